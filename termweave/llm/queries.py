@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.token_counts import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
