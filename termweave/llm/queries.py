@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from termweave.llm.packing import op4_best_fit_packing
+from termweave.llm.quality import op2_quality_classifier
+from termweave.llm.secrets import op3_secret_scan
 from termweave.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
