@@ -1,9 +1,10 @@
 """Operator 1, token counts: pieces are counted once per distinct pre-token, joined to per-document pre-token
 frequencies and summed; no document's ids are ever materialised.
 
-A pre-token is a run of spaces with the word behind it, a word that follows a line break, or a line break. The
-vocabulary has no piece in which a space mark follows another character and none with a line break, so merges never
-cross these cuts and the sum over pre-tokens is the count of the whole text. ``check_cuts`` proves that for a model.
+A pre-token is a run of spaces with the word behind it, a word that follows a line break, a line break, or the signs
+behind a word. The vocabulary has no piece in which a space mark follows another character or one of these signs a
+letter, and none with a line break, so merges never cross these cuts and the sum over pre-tokens is the count of the
+whole text. ``check_cuts`` proves that for a model.
 
 Plan: documents -> (pre-token, which rows of this slice have it, how often), one row per slice and distinct pre-token
 -> distinct pre-tokens -> pieces of each -> equi-join -> explode -> sum by row. What is shuffled is the index, not the
@@ -18,6 +19,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 from termweave.llm._spark import table
 
-SLICE = 12 << 20  # bytes of text whose pre-tokens are indexed together
+SLICE = 24 << 20  # bytes of text whose pre-tokens are indexed together
 MARK = "▁"  # the model's sign for a space
 BARE, MORE, WHOLE = "\x01", "\x02", "\x03"  # before a word without a space; for a further space; before a text in hex
-LOW_BITS = (1 << 33) - 1  # the row number within its partition, in monotonically_increasing_id
+SIGNS = ",.!?;:#$%&*"  # cut off behind a letter
+ROWS = 1 << 15  # rows of a slice at most, so that a row and a count share 32 bits
 
 
 @cache
@@ -48,7 +52,7 @@ def check_cuts(model) -> None:
         if model.is_byte(i) or model.is_control(i) or model.is_unknown(i):
             continue
         piece = model.id_to_piece(i)
-        if re.search(f"[^{MARK}]{MARK}", piece) or "\n" in piece:
+        if any(b == "\n" or b == MARK != a or (b in SIGNS and category(a)[0] == "L") for a, b in pairwise(f"{MARK}{piece}")):
             raise ValueError(f"piece {piece!r} crosses a cut between pre-tokens")
 
 
@@ -56,7 +60,7 @@ def marked(texts: pa.Array) -> pa.Array:
     """The texts with single spaces exactly at the cuts between their pre-tokens."""
     texts = pc.replace_substring(texts, MARK, " ")
     odd = pc.or_(pc.match_substring_regex(texts, "  |^ "), pc.match_substring_regex(texts, f"[{BARE}{MORE}{WHOLE}\\x00]"))
-    plain = pc.replace_substring(texts, "\n", f" \n {BARE}")
+    plain = pc.replace_substring(pc.replace_substring_regex(texts, f"(\\pL)([{SIGNS}])", f"\\1 {BARE}\\2"), "\n", f" \n {BARE}")
     if not pc.any(odd).as_py():
         return plain
     where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
@@ -90,31 +94,33 @@ def pieces(model, tokens: list[str]) -> list[int]:
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (base, pretoken, rows, counts): for each slice its distinct pre-tokens with the rows that have them."""
+    """(row, text) to (base, pretoken, posts): for each slice its distinct pre-tokens with the rows that have them, a
+    post being (row - base) << 16 | count - 1 and a count above 65,536 several posts."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE, "right")))
+            b = min(a + ROWS, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE, "right"))))
             part = batch.slice(a, b - a)
             a = b
+            base = part.column(0)[0].as_py()
             part = part.filter(pc.greater(pc.fill_null(pc.binary_length(part.column(1)), 0), 0))
             if not part.num_rows:
                 continue
-            ids = part.column(0).to_numpy()
             found = pc.split_pattern(marked(part.column(1).cast(pa.large_string())), " ")
             code = found.flatten().dictionary_encode()
-            row = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
-            pair = np.sort((code.indices.to_numpy().astype(np.int64) << 32) | row)
+            row = np.repeat(part.column(0).to_numpy() - base, np.diff(found.offsets.to_numpy()))
+            pair = np.sort((code.indices.to_numpy().astype(np.int64) << 16) | row)
             at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-            count = np.diff(np.append(at, len(pair))).astype(np.int32)
-            pair = pair[at]
-            off = np.searchsorted(pair >> 32, np.arange(len(code.dictionary) + 1)).astype(np.int32)
-            rows = (ids & LOW_BITS).astype(np.int32)[pair & 0xFFFFFFFF]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(off) - 1, ids[0] & ~LOW_BITS)), code.dictionary.cast(pa.string()), pa.ListArray.from_arrays(off, pa.array(rows)), pa.ListArray.from_arrays(off, pa.array(count))],
-                ["base", "pretoken", "rows", "counts"],
-            )
+            count, pair = np.diff(np.append(at, len(pair))), pair[at]
+            if len(count) and count.max() > 65536:
+                parts = -(-count // 65536)
+                pair, rest = np.repeat(pair, parts), np.repeat(count - 65536 * (parts - 1), parts)
+                rest[np.concatenate(([False], pair[1:] == pair[:-1]))] = 65536
+                count = rest
+            off = np.searchsorted(pair >> 16, np.arange(len(code.dictionary) + 1)).astype(np.int32)
+            posts = ((pair & 0xFFFF) << 16 | (count - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(off) - 1, base)), code.dictionary.cast(pa.string()), pa.ListArray.from_arrays(off, pa.array(posts))], ["base", "pretoken", "posts"])
 
 
 def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +130,7 @@ def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str
     read again, as files do.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    index = rows.select("row", "text").mapInArrow(frequencies, "base long, pretoken string, rows array<int>, counts array<int>")
+    index = rows.select("row", "text").mapInArrow(frequencies, "base long, pretoken string, posts array<int>")
 
     def count(batches):
         model = processor(model_path)
@@ -132,8 +138,9 @@ def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces(model, b.column(0).to_pylist()), pa.int32())], ["pretoken", "pieces"])
 
     counts = index.select("pretoken").distinct().mapInArrow(count, "pretoken string, pieces int")
-    shares = index.join(counts, "pretoken").select("base", "pieces", "counts", F.posexplode("rows").alias("i", "r"))
-    sums = shares.groupBy((F.col("base") + F.col("r")).alias("row")).agg(F.sum(F.col("pieces").cast("long") * F.get("counts", "i")).alias("n"))
+    shares = index.join(counts, "pretoken").select("base", "pieces", F.explode("posts").alias("post"))
+    row = (F.col("base") + F.shiftright("post", 16)).alias("row")
+    sums = shares.groupBy(row).agg(F.sum(F.col("pieces") * (F.col("post").bitwiseAND(0xFFFF).cast("long") + 1)).alias("n"))
     n = F.coalesce("n", F.lit(0).cast("long"))
     return rows.select("row", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > over).alias("over_limit"))
 

@@ -22,8 +22,8 @@ def test_pieces_of_pretokens_add_up(text):
 
 
 def test_rows(spark):
-    texts = ["the cat\nsat", None, "", " ", "a  b   c\n\n d", "the cat\nsat", "x" * 9000, "<s>a</s>", "word " * 5000]
-    ids = [1, 2, 3, 4, 5, 1, None, 8, 9]
+    texts = ["the cat\nsat", None, "", " ", "a  b   c\n\n d", "the cat\nsat", "x" * 9000, "<s>a</s>", "word " * 5000, "a, " * 70000]
+    ids = [1, 2, 3, 4, 5, 1, None, 8, 9, 10]
     df = spark.createDataFrame([(i, t, 7) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n_tokens int").repartition(3)
     df.write.parquet(path := __import__("tempfile").mkdtemp(prefix="spark-") + "/d")
     got = T.token_counts(spark.read.parquet(path), PATH).collect()
