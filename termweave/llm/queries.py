@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from termweave.llm.decontamination import op7_benchmark_decontamination
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
 from termweave.llm.secrets import op3_secret_scan
@@ -12,5 +13,6 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
