@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from termweave.llm.decontamination import op7_benchmark_decontamination
+from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
 from termweave.llm.secrets import op3_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
