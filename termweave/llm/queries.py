@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from termweave.llm.decontamination import op7_benchmark_decontamination
+from termweave.llm.lm import op6_lm_scoring
 from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
