@@ -7,8 +7,9 @@ letter, and none with a line break, so merges never cross these cuts and the sum
 whole text. ``check_cuts`` proves that for a model.
 
 Plan: documents -> (pre-token, which rows of this slice have it, how often), one row per slice and distinct pre-token
--> distinct pre-tokens -> pieces of each -> equi-join -> explode -> sum by row. What is shuffled is the index, not the
-text; a frequent pre-token has one row per slice, and the join's partitions may be split by adaptive execution.
+-> all rows of a pre-token in one place -> its pieces, counted there once and joined to those rows -> explode -> sum by
+row. What is shuffled is the index, once, and not the text; a frequent pre-token has one row per slice, and adaptive
+execution may split a partition that grows too large (then a pre-token is counted once in each part).
 
 Defined results: null or empty text has 0 bytes and 0 tokens; each row of the input gives one row, so that repeated
 rows and null ids come back as often as they went in; an empty table gives an empty result; other columns are ignored.
@@ -23,6 +24,7 @@ from itertools import pairwise
 from unicodedata import category
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 
 from termweave.llm._spark import table
 
-SLICE = 24 << 20  # bytes of text whose pre-tokens are indexed together
+SLICE = 16 << 20  # bytes of text whose pre-tokens are indexed together
 MARK = "▁"  # the model's sign for a space
 BARE, MORE, WHOLE = "\x01", "\x02", "\x03"  # before a word without a space; for a further space; before a text in hex
 SIGNS = ",.!?;:#$%&*"  # cut off behind a letter
+KEPT = 300_000  # pre-tokens whose counts a task keeps
 ROWS = 1 << 15  # rows of a slice at most, so that a row and a count share 32 bits
 
 
@@ -132,13 +135,19 @@ def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     index = rows.select("row", "text").mapInArrow(frequencies, "base long, pretoken string, posts array<int>")
 
-    def count(batches):
-        model = processor(model_path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces(model, b.column(0).to_pylist()), pa.int32())], ["pretoken", "pieces"])
-
-    counts = index.select("pretoken").distinct().mapInArrow(count, "pretoken string, pieces int")
-    shares = index.join(counts, "pretoken").select("base", "pieces", F.explode("posts").alias("post"))
+    @F.pandas_udf("int")
+    def count(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, known = processor(model_path), {}
+        for some in tokens:
+            code, found = pd.factorize(some)
+            if len(known) > KEPT:
+                known = {}
+            new = [t for t in found if t not in known]
+            known.update(zip(new, pieces(model, new), strict=True))
+            yield pd.Series(np.array([known[t] for t in found], np.int32)[code])
+
+    located = index.hint("rebalance", "pretoken").withColumn("pieces", count("pretoken"))
+    shares = located.select("base", "pieces", F.explode("posts").alias("post"))
     row = (F.col("base") + F.shiftright("post", 16)).alias("row")
     sums = shares.groupBy(row).agg(F.sum(F.col("pieces") * (F.col("post").bitwiseAND(0xFFFF).cast("long") + 1)).alias("n"))
     n = F.coalesce("n", F.lit(0).cast("long"))
