@@ -22,23 +22,25 @@ class Brute:
             follow[v].add(w)
             before[w].add(v)
         self.k = {w: len(x) for w, x in before.items()}
-        self.follow = follow
         self.D = L.discounts(*(sum(x == i for x in self.c.values()) for i in (1, 2, 3, 4)))
         self.E = L.discounts(*(sum(x == i for x in self.k.values()) for i in (1, 2, 3, 4)))
+        self.floor = sum(self.E[min(x, 3)] for x in self.k.values())
+        self.total = {v: sum(self.c[v, x] for x in f) for v, f in follow.items()}
+        self.taken = {v: sum(self.D[min(self.c[v, x], 3)] for x in f) for v, f in follow.items()}
         self.n, self.v = sum(self.uni.values()), len(self.uni)
 
     def low(self, w):
         k, total = self.k.get(w, 0), len(self.c)
         if not total:
             return 1.0
-        return (max(k - self.E[min(k, 3)], 0) + sum(self.E[min(x, 3)] for x in self.k.values()) / (self.v + 1)) / total
+        return (max(k - self.E[min(k, 3)], 0) + self.floor / (self.v + 1)) / total
 
     def p(self, v, w):
-        total = sum(self.c[v, x] for x in self.follow.get(v, ()))
+        total = self.total.get(v, 0)
         if not total:
             return self.low(w)
         c = self.c.get((v, w), 0)
-        return (max(c - self.D[min(c, 3)], 0) + sum(self.D[min(self.c[v, x], 3)] for x in self.follow[v]) * self.low(w)) / total
+        return (max(c - self.D[min(c, 3)], 0) + self.taken[v] * self.low(w)) / total
 
     def score(self, t):
         w = ["begin", *toks(t)]
