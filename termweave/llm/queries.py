@@ -7,6 +7,7 @@ from termweave.llm.lm import op6_lm_scoring
 from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
+from termweave.llm.repeats import op9_suffix_array_dedup
 from termweave.llm.secrets import op3_secret_scan
 from termweave.llm.token_counts import op1_token_counts
 
@@ -18,5 +19,6 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
