@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from termweave.llm.decontamination import op7_benchmark_decontamination
+from termweave.llm.fingerprints import op8_document_fingerprints
 from termweave.llm.lm import op6_lm_scoring
 from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.packing import op4_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
