@@ -9,6 +9,7 @@ from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
 from termweave.llm.repeats import op9_suffix_array_dedup
+from termweave.llm.revisits import OP10_SQL, op10_warc_revisits
 from termweave.llm.secrets import op3_secret_scan
 from termweave.llm.token_counts import op1_token_counts
 
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_warc_revisits": op10_warc_revisits,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_warc_revisits": OP10_SQL}
