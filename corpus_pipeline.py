@@ -1,15 +1,37 @@
-"""The corpus pipeline: stages that read what their predecessor kept."""
+"""The corpus pipeline: quality classifier, near-duplicates, benchmark decontamination, secrets, packing.
+
+Each stage works on all that its predecessor kept and is written as Parquet and read again. Rejected documents go; of
+each group of near copies one document stays; documents that overlap a benchmark item go; secrets are masked in the
+texts that stay; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from termweave.llm import decontamination, neardup, packing, quality, secrets
+from termweave.llm._spark import table, written
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality.stage),
+    ("near_dedup", neardup.stage),
+    ("decontamination", decontamination.stage),
+    ("secrets", secrets.stage),
+    ("packing", pack),
+]
+
+#: SQL cannot express the classifier, so the stages are tested against brute force one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
