@@ -1,6 +1,496 @@
-"""Registered queries over the reference operators, each with the SQL that states the same result."""
+"""Registered queries over the reference operators, each with the SQL that states the same result.
+
+The tables stand in for the domain's own: embeddings are term and query vectors (label: the ontology), orders and
+lineitem linked records, documents and labels annotated records, customer to region a hierarchy.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from termweave.functions import text as T
+from termweave.operators import evaluate, explorer, graph, linkage, ontology, resolve, retrieve
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- retrieval ------------------------------------------------------------------------------------------------
+
+EVERY = 25  # each so-manyth vector is a query
+
+
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    terms = read(spark, d, "embeddings").select(F.col("label").alias("ontology"), F.col("vec_id").alias("id"), "embedding")
+    return terms.where(F.col("id") % EVERY == 0), terms
+
+
+def knn_sql(score: str, order: str) -> str:
+    return f"""
+select ontology, query_id, term_id, score, rank from (
+  select *, row_number() over (partition by ontology, query_id order by score {order}, term_id) - 1 as rank from (
+    select q.label as ontology, q.vec_id as query_id, t.vec_id as term_id, round({score}, 6) + 0.0 as score
+    from embeddings q join embeddings t on q.label = t.label where q.vec_id % {EVERY} = 0)) where rank < 10"""
+
+
+COSINE = knn_sql("list_cosine_similarity(q.embedding::double[], t.embedding::double[])", "desc")
+
+
+@query(COSINE)
+def knn_topk_cosine(spark, d):
+    return retrieve.nearest(*vectors(spark, d))
+
+
+@query(knn_sql("list_dot_product(q.embedding::double[], t.embedding::double[])", "desc"))
+def knn_topk_dot(spark, d):
+    return retrieve.nearest(*vectors(spark, d), metric="dot")
+
+
+@query(knn_sql("list_distance(q.embedding::double[], t.embedding::double[]) ** 2", "asc"))
+def knn_topk_l2(spark, d):
+    return retrieve.nearest(*vectors(spark, d), metric="l2")
+
+
+def others(spark, d):
+    """Matches of each query without itself."""
+    q, t = vectors(spark, d)
+    found = retrieve.nearest(q, t, k=11).where("query_id <> term_id")
+    return q, found.withColumn("rank", F.row_number().over(Window.partitionBy("ontology", "query_id").orderBy(F.col("score").desc(), "term_id")) - 1)
+
+
+OTHERS = """
+with m as (select *, row_number() over (partition by ontology, query_id order by score desc, term_id) - 1 as rank from (
+  select q.label as ontology, q.vec_id as query_id, t.vec_id as term_id, round(list_cosine_similarity(q.embedding::double[], t.embedding::double[]), 6) + 0.0 as score
+  from embeddings q join embeddings t on q.label = t.label and q.vec_id <> t.vec_id where q.vec_id % 25 = 0) qualify rank < 10)"""
+
+
+@query(OTHERS + """
+select ontology, query_id, score, case when score is null then 'none' when score < 0.7 then 'low' end as flag
+from (select label as ontology, vec_id as query_id from embeddings where vec_id % 25 = 0) q left join (select * from m where rank = 0) using (ontology, query_id)""")
+def retrieve_flags(spark, d):
+    q, m = others(spark, d)
+    kind = F.when(F.contains("flag", F.lit("below threshold")), "low").when(F.col("flag").isNotNull(), "none")
+    return retrieve.flags(q, m).select("ontology", "query_id", "score", kind.alias("flag"))
+
+
+def candidates(spark, d):
+    """Two records of each ontology, whose queries are merged; a term's label is its id's remainder."""
+    _, m = others(spark, d)
+    return retrieve.merged(m.select(F.concat_ws("-", "ontology", F.col("query_id") % 2).alias("record"), F.col("ontology").cast("string").alias("bucket"), "term_id", F.concat(F.lit("t"), F.col("term_id") % 7).alias("label"), "score"))
+
+
+MERGED = OTHERS + """, c as (select *, row_number() over (partition by record, bucket order by score desc, term_id) - 1 as rank from (
+  select ontology || '-' || query_id % 2 as record, ontology::varchar as bucket, term_id, max(score) as score, 't' || term_id % 7 as label from m where rank < 10 group by all) qualify rank < 10)"""
+
+
+@query(MERGED + " select record, bucket, term_id, label, score, rank from c")
+def merge_candidates(spark, d):
+    return candidates(spark, d)
+
+
+@query(MERGED + """, r as (select distinct record from c), t as (select record, bucket, term_id, label, score from c where rank = 0 and score > 0.3)
+select record, coalesce(term_id, -1) as term_id, case when score >= 0.8 then 'high' when score >= 0.5 then 'medium' when score is not null then 'low' end as confidence,
+  case when term_id is null then 'insufficient_evidence' else 'proposed_with_flags' end as outcome from r left join t using (record)""")
+def resolve_rules(spark, d):
+    c = candidates(spark, d)
+    made = resolve.resolved(c, c, least=0.3).select("record", F.explode_outer("terms").alias("t"), "outcome")
+    return made.select("record", F.coalesce("t.term_id", F.lit(-1)).alias("term_id"), F.col("t.confidence").alias("confidence"), "outcome")
+
+
+@query(MERGED + """, t as (select record, count_if(rank = 0 and score > 0.3) as n from c group by record), o as (
+  select case when n = 0 then 'insufficient_evidence' when record like '%1' then 'proposed_with_flags' else 'proposed' end as outcome from t)
+select outcome, count(*) as n, round(100.0 * count(*) / (select count(*) from o), 4) as percent from o group by outcome""")
+def resolve_outcome(spark, d):
+    c = candidates(spark, d)
+    made = resolve.resolved(c, c, least=0.3)
+    flags = F.when(F.endswith("record", F.lit("1")), F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))
+    named = made.select(resolve.outcome(F.col("terms"), flags).alias("outcome"))
+    return named.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+# ---- plans ----------------------------------------------------------------------------------------------------
+
+
+def described(spark, d):
+    parts = read(spark, d, "part")
+    return parts.select(F.col("p_partkey").alias("record"), F.when(F.col("p_size") % 5 == 0, "human").when(F.col("p_size") % 3 == 0, F.col("p_name")).alias("isolation_source"), F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("  "), "p_type")).alias("disease"), F.concat("p_name", F.when(F.col("p_size") > 40, " WOUND swab").when(F.col("p_size") > 20, " patient").otherwise("")).alias("note"))
+
+
+PLAN = """
+with r as (select p_partkey as record, p_size as s, p_name, p_type, p_name || case when p_size > 40 then ' WOUND swab' when p_size > 20 then ' patient' else '' end as note from part),
+m as (
+  select record, 1 as o, 'UBERON' as ontology, 'isolation_source' as path, p_name as query_text from r where s % 5 <> 0 and s % 3 = 0
+  union all select record, 2, 'MONDO', 'disease', p_type from r where s % 4 = 0
+  union all select record, 3, 'MONDO', 'note', note from r where s > 20
+  union all select record, 4, 'UBERON', 'note', note from r where s > 40)"""
+
+
+@query(PLAN + " select record, ontology, path, query_text from m union all select record, 'flag', 'looks_like_host', null from r where s % 5 = 0 union all select record, 'flag', 'empty_record', null from r where record not in (select record from m)")
+def plan_rules(spark, d):
+    made = resolve.planned(described(spark, d))
+    mapped = made.select("record", F.inline("mappings"))
+    return mapped.unionByName(made.select("record", F.lit("flag").alias("ontology"), F.explode("flags").alias("path"), F.lit(None).cast("string").alias("query_text")))
+
+
+@query(PLAN + """, c as (select r.record, count(ontology) as n, count(distinct ontology) as k, count(distinct query_text) as t, coalesce(max(length(query_text)), 0) as l from r left join m using (record) group by all)
+select record, concat_ws(',', case when n = 0 then 'no_mappings' end, case when l > 16 then 'long_query_text' end, case when t < n then 'duplicate_query_texts' end, case when k < n then 'duplicate_ontology_mappings' end) as flags from c""")
+def plan_checks(spark, d):
+    made = resolve.planned(described(spark, d))
+    return made.select("record", F.array_join(resolve.plan_checks(made, longest=16), ",").alias("flags"))
+
+
+# ---- linkage and selection ------------------------------------------------------------------------------------
+
+
+@query("""select o_orderkey, c.c_name as customer, l.n as n_lines, l.brands from orders o left join customer c on c.c_custkey = o.o_custkey
+left join (select l_orderkey, count(*) as n, string_agg(p_brand, ',' order by l_linenumber, l_partkey, l_suppkey) as brands from lineitem join part on p_partkey = l_partkey group by 1) l on l.l_orderkey = o.o_orderkey""")
+def link_star_join(spark, d):
+    orders, lines = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "lineitem")
+    links = lines.select(F.col("l_orderkey").alias("key"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_partkey").alias("target"))
+    owner = orders.select(F.col("o_orderkey").alias("key"), F.lit(0).alias("pos"), F.col("o_custkey").alias("target"))
+    made = linkage.star_join(orders, "o_orderkey", {"parts": (read(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", links), "customers": (read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", owner)})
+    return made.select("o_orderkey", F.get("customers", F.lit(0))["c_name"].alias("customer"), F.when(F.col("parts").isNotNull(), F.size("parts")).cast("long").alias("n_lines"), F.array_join("parts.p_brand", ",").alias("brands"))
+
+
+def sides(spark, d):
+    """Suppliers and customers that share a number, a name's tail, or a listed number."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") * 3).alias("other"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat_ws(",", F.col("s_suppkey") * 3 + 6, F.col("s_suppkey") * 5).alias("listed"), F.col("s_nationkey").alias("nation"))
+    rules = [
+        ("same_number", F.array("id", "other"), F.array(F.col("id") * 2)),
+        ("listed_number", F.array(F.col("other").cast("string")), F.split("listed", ",")),
+        ("name_tail", F.array(F.regexp_extract("name", "#0*([0-9]+)$", 1)), F.array(F.col("id").cast("string"))),
+    ]
+    return c, s, rules
+
+
+MATCHES = r"""
+with c as (select c_custkey as id, c_name as name, c_custkey * 3 as other from customer), s as (select s_suppkey as id, concat_ws(',', s_suppkey * 3 + 6, s_suppkey * 5) as listed from supplier),
+x as (select c.id as l, s.id as r, 0 as o, 'same_number' as m from c join s on s.id * 2 in (c.id, c.other)
+  union select c.id, s.id, 1, 'listed_number' from c join s on list_contains(string_split(s.listed, ','), c.other::varchar)
+  union select c.id, s.id, 2, 'name_tail' from c join s on regexp_extract(c.name, '#0*([0-9]+)$', 1) = s.id::varchar),
+p as (select l as left_id, r as right_id, arg_min(m, o) as matched_by from x group by all)"""
+
+
+@query(MATCHES + " select * from p")
+def match_priority(spark, d):
+    return linkage.match_rules(*sides(spark, d))
+
+
+@query(MATCHES + " select left_id, right_id, matched_by from (select *, dense_rank() over (partition by left_id order by case matched_by when 'same_number' then 0 when 'listed_number' then 1 else 2 end) as k from p) where k = 1")
+def match_fallback(spark, d):
+    c, s, rules = sides(spark, d)
+    return linkage.first_rule(linkage.match_rules(c, s, rules), [r[0] for r in rules])
+
+
+@query(MATCHES + " select c.id as left_id, p.right_id, matched_by from c left join p on p.left_id = c.id union all select null, s.id, null from s where s.id not in (select right_id from p)")
+def full_outer_unmatched(spark, d):
+    c, s, rules = sides(spark, d)
+    return linkage.outer_pairs(c, s, linkage.match_rules(c, s, rules))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size > 45) or l_suppkey in (select p_partkey from part where p_size > 45)")
+def semi_filter(spark, d):
+    wanted = read(spark, d, "part").where("p_size > 45").select("p_partkey")
+    return linkage.having_any_key(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], wanted, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("select distinct c_custkey as o_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def anti_missing(spark, d):
+    return linkage.missing_keys(read(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", read(spark, d, "orders"), "o_custkey").select("o_custkey")
+
+
+@query("select lang, source, min(doc_id) as doc_id from documents group by all")
+def unique_by_fields(spark, d):
+    return linkage.unique_by(read(spark, d, "documents").select("lang", "source", "doc_id"), ["lang", "source"], ["doc_id"])
+
+
+@query("select min(doc_id) as doc_id, sha256(text) as digest from documents group by text")
+def dedup_full_row(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return linkage.distinct_rows(rows, F.col("digest"), "doc_id").select("doc_id", "digest")
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
+def last_record_wins(spark, d):
+    return linkage.last_wins(read(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+
+
+# ---- explorer -------------------------------------------------------------------------------------------------
+
+
+def stored(spark, d):
+    """Events as schemaless records: a number, a text, a null, a nested object, a list; some fields missing."""
+    e = read(spark, d, "events").where("event_id is not null")
+    payload = F.concat(
+        F.lit('{"type":"'), "event_type", F.lit('","value":'), F.when(F.col("event_id") % 7 == 0, "null").otherwise(F.col("user_id").cast("string")), F.lit(',"a/b":{"k~":'), F.col("event_id") % 13,
+        F.when(F.col("event_id") % 5 == 0, ',"tags":["x"]').otherwise(""), F.lit("}}"),
+    )
+    return e.select(F.col("event_id").alias("record_id"), payload.alias("payload"))
+
+
+LEAVES = """
+with v as (select event_id as record_id, '/type' as field, 'text' as kind, event_type as value from events
+  union all select event_id, '/value', case when event_id % 7 = 0 then 'null' else 'number' end, case when event_id % 7 <> 0 then user_id::varchar end from events
+  union all select event_id, '/a~1b/k~0', 'number', (event_id % 13)::varchar from events
+  union all select event_id, '/a~1b/tags', 'json', '["x"]' from events where event_id % 5 = 0)"""
+
+
+@query(LEAVES + " select * from v")
+def json_flatten(spark, d):
+    return explorer.leaves(stored(spark, d))
+
+
+@query(LEAVES + " select field, string_agg(distinct kind, ',' order by kind) as kinds from v group by field")
+def explorer_dictionary(spark, d):
+    return explorer.dictionary(explorer.leaves(stored(spark, d))).select("field", F.array_join("kinds", ",").alias("kinds"))
+
+
+FILTERS = {
+    "contains": ("/type", "contains", "LIC", "field = '/type' and contains(lower(value), 'lic')"),
+    "eq": ("/a~1b/k~0", "eq", "3.0", "field = '/a~1b/k~0' and value::double = 3"),
+    "ne": ("/type", "ne", "click", "field = '/type' and value <> 'click'"),
+    "gt": ("/value", "gt", "50", "field = '/value' and kind = 'number' and value::double > 50"),
+    "gte": ("/value", "gte", "50", "field = '/value' and kind = 'number' and value::double >= 50"),
+    "lt": ("/value", "lt", "20", "field = '/value' and kind = 'number' and value::double < 20"),
+    "lte": ("/value", "lte", "20", "field = '/value' and kind = 'number' and value::double <= 20"),
+    "null": ("/value", "null", None, "field = '/value' and kind = 'null'"),
+    "exists": ("/a~1b/tags", "exists", None, "field = '/a~1b/tags'"),
+}
+KINDS = {"/type": ["text"], "/value": ["null", "number"], "/a~1b/k~0": ["number"], "/a~1b/tags": ["json"]}
+
+
+def _filter(name, f, operator, operand, where):
+    def run(spark, d):
+        records = stored(spark, d)
+        return explorer.Query(filters=[(f, operator, operand)]).select(records, explorer.leaves(records), KINDS).select("record_id")
+
+    run.__name__ = f"explorer_filter_{name}"
+    query(LEAVES + f" select distinct record_id from v where {where}")(run)
+
+
+for _name, _row in FILTERS.items():
+    _filter(_name, *_row)
+
+
+@query(LEAVES + " select event_id as record_id from events where event_id not in (select record_id from v where field = '/a~1b/tags')")
+def explorer_filter_missing(spark, d):
+    records = stored(spark, d)
+    return explorer.Query(filters=[("/a~1b/tags", "missing", None)]).select(records, explorer.leaves(records), KINDS).select("record_id")
+
+
+@query(LEAVES + " select distinct record_id from v where contains(lower(value), 'ch') and record_id in (select record_id from v where field = '/value' and kind = 'null')")
+def explorer_search(spark, d):
+    records = stored(spark, d)
+    return explorer.Query(filters=[("/value", "null", None)], search="CH").select(records, explorer.leaves(records), KINDS).select("record_id")
+
+
+@query(LEAVES + " select record_id, value as sort_value from (select record_id, value from v where field = '/value' order by value::double desc nulls last, record_id limit 50 offset 100)")
+def explorer_sort_page(spark, d):
+    records = stored(spark, d)
+    values = explorer.leaves(records)
+    q = explorer.Query(sort="/value", descending=True, page=3, size=50)
+    return q.paged(q.ordered(q.select(records, values, KINDS), values, KINDS)).select("record_id", "sort_value")
+
+
+def reported(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("record_id"), (F.col("doc_id") % 3).cast("int").alias("run_id"))
+    entries = read(spark, d, "labels").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("run_id"), (F.col("doc_id") * 2).alias("entry_id"))
+    return docs, entries.unionByName(entries.where("entry_id % 4 = 0").withColumn("entry_id", F.col("entry_id") + 1))
+
+
+@query("""with e as (select doc_id as record_id, quality as run_id from labels union all select doc_id, quality from labels where doc_id * 2 % 4 = 0),
+r as (select doc_id as record_id, doc_id % 3 as run_id from documents), m as (select r.record_id from r join e using (record_id, run_id))
+select 'all' as scope, count(*) as n from r union all select 'matched', count(*) from m union all select 'matched_records', count(distinct record_id) from m
+union all select 'unmatched', count(*) from r where record_id not in (select record_id from m)""")
+def report_scopes(spark, d):
+    docs, entries = reported(spark, d)
+    one = [explorer.scope(docs, entries, s).agg(F.lit(s).alias("scope"), F.count("*").alias("n")) for s in ("all", "matched", "matched_records", "unmatched")]
+    return one[0].unionAll(one[1]).unionAll(one[2]).unionAll(one[3])
+
+
+# ---- ontology and evaluation ----------------------------------------------------------------------------------
+
+
+def hierarchy(spark, d):
+    """Customers below nations below regions below one root, and nations below their key's remainder too."""
+    c, n, r = read(spark, d, "customer"), read(spark, d, "nation"), read(spark, d, "region")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    links = c.select(key("C:", "c_custkey").alias("child"), key("N:", "c_nationkey").alias("parent")).unionAll(n.select(key("N:", "n_nationkey"), key("R:", "n_regionkey"))).unionAll(n.select(key("N:", "n_nationkey"), F.concat(F.lit("G:"), F.col("n_nationkey") % 3))).unionAll(r.select(key("R:", "r_regionkey"), F.lit("T:0"))).distinct()
+    nodes = links.select(F.col("child").alias("node")).unionAll(links.select("parent")).distinct()
+    return links, nodes
+
+
+HIERARCHY = """
+with recursive l as (select 'C:' || c_custkey as child, 'N:' || c_nationkey as parent from customer union select 'N:' || n_nationkey, 'R:' || n_regionkey from nation
+  union select 'N:' || n_nationkey, 'G:' || n_nationkey % 3 from nation union select 'R:' || r_regionkey, 'T:0' from region),
+n as (select child as node from l union select parent from l),
+a as (select node, node as ancestor from n union select a.node, l.parent from a join l on l.child = a.ancestor),
+ic as (select ancestor as term, -log2(count(distinct node) / (select count(*) from n)) as ic from a group by 1)"""
+
+
+@query(HIERARCHY + " select node, ancestor from a")
+def ontology_closure(spark, d):
+    links, nodes = hierarchy(spark, d)
+    return ontology.closure(links, nodes)
+
+
+@query(HIERARCHY + " select term, round(ic, 9) + 0.0 as ic from ic")
+def information_content(spark, d):
+    return ontology.information_content(ontology.closure(*hierarchy(spark, d))).select("term", (F.round("ic", 9) + 0.0).alias("ic"))
+
+
+@query(HIERARCHY + """, w as (select 'C:' || c_custkey as a, case when c_custkey % 10 = 0 then 'X:0' else 'C:' || (c_custkey * 7 % (select count(*) from customer)) end as b from customer),
+s as (select node, count(*) as n from a group by 1),
+b as (select w.a, w.b, count(*) as both_n, max(ic) as top, list({'t': x.ancestor, 'i': ic}) as anc from (select distinct a, b from w) w join a x on x.node = w.a join a y on y.node = w.b and y.ancestor = x.ancestor join ic on ic.term = x.ancestor group by all)
+select w.a, w.b, round(case when sb.n is null then case when w.a = w.b then 1.0 else 0.0 end else both_n / (sa.n + sb.n - both_n) end, 9) as jaccard, round(case when sb.n is not null then top end, 9) + 0.0 as resnik,
+  round(case when sb.n is not null and top > 0 then sqrt(top * both_n / (sa.n + sb.n - both_n)) end, 9) as phenodigm,
+  case when sb.n is not null then list_min(list_transform(list_filter(anc, lambda z: z.i >= top * 0.999), lambda z: z.t)) end as mica, sb.n is not null as comparable
+from w left join b using (a, b) left join s sa on sa.node = w.a left join s sb on sb.node = w.b""")
+def pair_similarity(spark, d):
+    pairs = ontology.closure(*hierarchy(spark, d))
+    c = read(spark, d, "customer").select("c_custkey")
+    n = c.count()
+    wanted = c.select(F.concat(F.lit("C:"), "c_custkey").alias("a"), F.when(F.col("c_custkey") % 10 == 0, "X:0").otherwise(F.concat(F.lit("C:"), F.col("c_custkey") * 7 % n)).alias("b"))
+    made = ontology.similarity(wanted, pairs, ontology.information_content(pairs))
+    return made.select("a", "b", F.round("jaccard", 9).alias("jaccard"), (F.round("resnik", 9) + 0.0).alias("resnik"), F.round("phenodigm", 9).alias("phenodigm"), "mica", "comparable")
+
+
+def judged(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    label = lambda c: F.when(c, "good").otherwise("")
+    return rows.select(F.col("doc_id").alias("record_id"), F.col("lang").alias("ontology"), label(F.col("quality") == 1).alias("gold"), label(F.col("n_chars") > 800).alias("predicted"))
+
+
+PRF = """with j as (select lang as ontology, quality = 1 as g, n_chars > 800 as p from documents join labels using (doc_id)),
+e as (select ontology, count_if(g and p) as tp, count_if(p) as pp, count_if(g) as gg from j group by 1 union all select 'micro avg', count_if(g and p), count_if(p), count_if(g) from j),
+f as (select ontology, case when pp > 0 then tp / pp else 0.0 end as precision, case when gg > 0 then tp / gg else 0.0 end as recall, case when pp + gg > 0 then 2 * tp / (pp + gg) else 0.0 end as f1, gg as support from e),
+t as (select * from f union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::bigint from f where ontology <> 'micro avg')"""
+
+
+@query(PRF + " select ontology, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from t")
+def micro_macro(spark, d):
+    made = evaluate.f1_table(judged(spark, d))
+    return made.select("ontology", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+def curated(spark, d):
+    docs = read(spark, d, "documents").select("doc_id")
+    name = lambda db, v: F.concat(F.lit(db), F.lpad((F.col("doc_id") % 400).cast("string"), 9, "0"), F.lit("."), v.cast("string"))
+    records = docs.where("doc_id % 2 = 0").select(name("GCA_", F.col("doc_id") % 3 + 1).alias("accession"))
+    gold = docs.where("doc_id % 3 <> 1").select(F.when(F.col("doc_id") % 5 == 0, name("GCA_", F.col("doc_id") % 3 + 1)).otherwise(name("GCF_", F.col("doc_id") % 4 + 1)).alias("accession"))
+    return records, gold
+
+
+@query("""with r as (select distinct 'GCA_' || lpad((doc_id % 400)::varchar, 9, '0') as b, doc_id % 3 + 1 as v from documents where doc_id % 2 = 0),
+g as (select distinct case when doc_id % 5 = 0 then 'GCA_' else 'GCF_' end as db, lpad((doc_id % 400)::varchar, 9, '0') as n, case when doc_id % 5 = 0 then doc_id % 3 + 1 else doc_id % 4 + 1 end as v from documents where doc_id % 3 <> 1),
+x as (select b, r.v, 1 as rule, db || '_' as z, db || n || '.' || g.v as acc from r join g on b = db || n and r.v = g.v
+  union all select b, r.v, 2, '', db || n || '.' || g.v from r join g on db = 'GCF_' and substr(b, 5) = n and r.v = g.v
+  union all select b, r.v, 3, '', min(db || n || '.' || g.v) from r join g on db = 'GCF_' and substr(b, 5) = n group by b, r.v having count(distinct g.v) = 1)
+select b || '.' || v as record, arg_min(acc, rule) as gold_accession, min(rule)::int as rule from x group by b, v""")
+def gold_align(spark, d):
+    return evaluate.align(*curated(spark, d))
+
+
+@query("""with s as (select doc_id as record_id, case doc_id % 3 when 0 then 'MONDO' when 1 then 'UBERON' end as ontology, case when quality = 1 then n_chars end as x from documents join labels using (doc_id))
+select coalesce(ontology, 'none') as ontology, round(avg(x), 6) as x, count(x) as n_scored, count(*) as n_records from s group by 1 union all select 'all', round(avg(x), 6), count(x), count(*) from s""")
+def corpus_means(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    of = F.when(F.col("doc_id") % 3 == 0, "MONDO").when(F.col("doc_id") % 3 == 1, "UBERON").otherwise("none")
+    made = evaluate.means(rows.select(of.alias("ontology"), F.when(F.col("quality") == 1, F.col("n_chars")).alias("x")), ["x"])
+    return made.select("ontology", F.round("x", 6).alias("x"), "n_scored", "n_records")
+
+
+@query("select doc_id as record_id, ontology, case when ontology = 'MONDO' then quality end as quality, case when ontology = 'ENVO' then toxic end as toxic from documents cross join (select unnest(['MONDO', 'UBERON', 'ENVO']) as ontology) left join labels using (doc_id)")
+def eval_grid(spark, d):
+    labels = read(spark, d, "labels").withColumnRenamed("doc_id", "record_id")
+    q = labels.select("record_id", F.lit("MONDO").alias("ontology"), "quality")
+    t = labels.select("record_id", F.lit("ENVO").alias("ontology"), "toxic")
+    return evaluate.grid(read(spark, d, "documents").withColumnRenamed("doc_id", "record_id"), ["MONDO", "UBERON", "ENVO"], q, t)
+
+
+# ---- graph, identifiers, summaries ----------------------------------------------------------------------------
+
+
+def mentions(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    sample = o.select(F.lit("sample").alias("type"), F.concat(F.lit("SAMN"), "o_custkey").alias("identifier"), F.concat(F.lit("customer "), "o_custkey").alias("label"), F.col("o_orderkey").alias("record_id"))
+    study = o.select(F.lit("study").alias("type"), F.concat(F.lit("PRJEB"), F.col("o_custkey") % 10).alias("identifier"), F.concat(F.lit("PRJEB"), F.col("o_custkey") % 10).alias("label"), F.col("o_orderkey").alias("record_id"))
+    return sample.unionByName(study)
+
+
+@query("""with m as (select 'sample' as type, 'SAMN' || o_custkey as identifier, 'customer ' || o_custkey as label, o_orderkey as r from orders union all select 'study', 'PRJEB' || o_custkey % 10, 'PRJEB' || o_custkey % 10, o_orderkey from orders)
+select type, identifier, min(label) as label, array_to_string(list_sort(list(distinct r))[1:8], ',') as record_ids, count(distinct r) as n_records from m group by type, identifier""")
+def graph_nodes(spark, d):
+    return graph.nodes(mentions(spark, d)).withColumn("record_ids", F.array_join(F.col("record_ids").cast("array<string>"), ","))
+
+
+@query("""with m as (select distinct 'sample:SAMN' || o_custkey as source, 'study:PRJEB' || o_custkey % 10 as target, 'part of' as relation, o_orderkey as e from orders union all
+  select distinct 'sample:SAMN' || o_custkey, 'repository:NCBI', 'registered in', null from orders union all select distinct 'study:PRJEB' || o_custkey % 10, 'repository:ENA', 'registered in', null from orders)
+select source, target, relation, count(*) as n_evidence from (select *, row_number() over (partition by source, target, relation order by e) as k from m) where k <= 5 group by all""")
+def graph_edges(spark, d):
+    o = read(spark, d, "orders")
+    own = o.select(F.concat(F.lit("sample:SAMN"), "o_custkey").alias("source"), F.concat(F.lit("study:PRJEB"), F.col("o_custkey") % 10).alias("target"), F.lit("part of").alias("relation"), F.lit("source").alias("status"), F.col("o_orderkey").cast("string").alias("evidence"))
+    made = graph.edges(own.unionByName(graph.registered(mentions(spark, d))))
+    return made.select("source", "target", "relation", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query("select t as type, case t when 'sample' then (select count(distinct o_custkey) from orders) when 'study' then (select count(distinct o_custkey % 10) from orders) else 0 end as n from (select unnest(['study','sample','sequence','publication','organism','disease','repository','program']) as t)")
+def graph_type_counts(spark, d):
+    return graph.type_counts(graph.nodes(mentions(spark, d)))
+
+
+@query("""select distinct p_partkey, case when p_size % 2 = 0 then 'GCA' else 'GCF' end as db, lpad(p_partkey::varchar, 9, '0') as number, p_size % 4 as version, case when p_size % 2 = 0 then 'GCF_' else 'GCA_' end || lpad(p_partkey::varchar, 9, '0') || '.' || p_size % 4 as twin from part""")
+def accession_parse(spark, d):
+    a = F.concat(F.when(F.col("p_size") % 2 == 0, "GCA_").otherwise("GCF_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("."), F.col("p_size") % 4)
+    rows = read(spark, d, "part").select("p_partkey", a.alias("a")).distinct()
+    return rows.select("p_partkey", T.assembly_parts(F.col("a")).alias("p"), T.twin(F.col("a")).alias("twin")).select("p_partkey", "p.db", "p.number", "p.version", "twin")
+
+
+@query("select p_partkey, 'MONDO:' || p_partkey || '_' || p_size as curie, 'MONDO' as prefix, case when p_size % 4 in (0, 1) then null else p_type end as kind from part")
+def iri_to_curie(spark, d):
+    iri = F.concat(F.lit(" http://purl.example.org/obo/MONDO_"), "p_partkey", F.lit("_"), "p_size", F.lit(" "))
+    kind = F.when(F.col("p_size") % 4 == 0, " Not Collected").when(F.col("p_size") % 4 == 1, "N/A ").otherwise(F.col("p_type"))
+    c = T.iri_to_curie(iri)
+    return read(spark, d, "part").select("p_partkey", c.alias("curie"), T.curie_prefix(c).alias("prefix"), T.meaningful(kind).alias("kind"))
+
+
+@query("select p_partkey, 'PRJNA' || p_partkey as studies, 'SAMN' || p_size || ',SRS' || p_partkey as samples, 'GCA_' || p_partkey || '.1' as sequences from part")
+def tokenize_ids(spark, d):
+    t = F.concat(F.lit("PRJNA"), "p_partkey", F.lit("; SAMN"), "p_size", F.lit("|SRS"), "p_partkey", F.lit(", GCA_"), "p_partkey", F.lit(".1 word PRJNA"), "p_partkey")
+    return read(spark, d, "part").select("p_partkey", *(F.array_join(T.identifiers(t, k), ",").alias(n) for k, n in (("study", "studies"), ("sample", "samples"), ("sequence", "sequences"))))
+
+
+@query("""select event_id, case when event_id % 4 = 0 then 'medium' when event_id % 4 = 1 then case when value / 100 >= 0.7 then 'high' when value / 100 >= 0.4 then 'medium' else 'low' end when event_id % 4 = 2 then 'high' else 'medium' end as label,
+  case when value / 100 >= 0.8 then 'high' when value / 100 >= 0.5 then 'medium' else 'low' end as by_score from events where value is not null""")
+def confidence_normalize(spark, d):
+    e = read(spark, d, "events").where("value is not null")
+    raw = F.when(F.col("event_id") % 4 == 0, "Mid").when(F.col("event_id") % 4 == 1, (F.col("value") / 100).cast("string")).when(F.col("event_id") % 4 == 2, " HIGH ").otherwise("odd")
+    return e.select("event_id", T.confidence(raw).alias("label"), T.confidence_of_score(F.col("value") / 100).alias("by_score"))
+
+
+@query("select o_orderstatus as outcome, o_orderpriority as priority, count(*) as n, round(100.0 * count(*) / (select count(*) from orders), 6) as percent, count(distinct o_custkey) as customers from orders group by all")
+def summary_counts(spark, d):
+    made = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("outcome"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return made.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query(r"select distinct unnest(regexp_extract_all(text, '\S+')) as word from documents")
+def unique_words(spark, d):
+    return read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("word")).distinct()
