@@ -6,6 +6,7 @@ from termweave.llm.decontamination import op7_benchmark_decontamination
 from termweave.llm.fingerprints import op8_document_fingerprints
 from termweave.llm.lm import op6_lm_scoring
 from termweave.llm.neardup import op5_minhash_near_dedup
+from termweave.llm.oracles import OP5_SQL, OP7_SQL
 from termweave.llm.packing import op4_best_fit_packing
 from termweave.llm.quality import op2_quality_classifier
 from termweave.llm.repeats import op9_suffix_array_dedup
@@ -25,4 +26,8 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc_revisits": op10_warc_revisits,
 }
-ORACLE_SQL: dict[str, str] = {"op10_warc_revisits": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": OP5_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op10_warc_revisits": OP10_SQL,
+}
