@@ -43,7 +43,7 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def knn_sql(score: str, order: str) -> str:
     return f"""
-select ontology, query_id, term_id, score, rank from (
+select ontology, query_id, term_id, score, rank::int as rank from (
   select *, row_number() over (partition by ontology, query_id order by score {order}, term_id) - 1 as rank from (
     select q.label as ontology, q.vec_id as query_id, t.vec_id as term_id, round({score}, 6) + 0.0 as score
     from embeddings q join embeddings t on q.label = t.label where q.vec_id % {EVERY} = 0)) where rank < 10"""
@@ -99,7 +99,7 @@ MERGED = OTHERS + """, c as (select *, row_number() over (partition by record, b
   select ontology || '-' || query_id % 2 as record, ontology::varchar as bucket, term_id, max(score) as score, 't' || term_id % 7 as label from m where rank < 10 group by all) qualify rank < 10)"""
 
 
-@query(MERGED + " select record, bucket, term_id, label, score, rank from c")
+@query(MERGED + " select record, bucket, term_id, label, score, rank::int as rank from c")
 def merge_candidates(spark, d):
     return candidates(spark, d)
 
@@ -384,7 +384,7 @@ f as (select ontology, case when pp > 0 then tp / pp else 0.0 end as precision,
 t as (select * from f union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::bigint from f where ontology <> 'micro avg')"""
 
 
-@query(PRF + " select ontology, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from t")
+@query(PRF + " select ontology, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support::bigint as support from t")
 def micro_macro(spark, d):
     made = evaluate.f1_table(judged(spark, d))
     return made.select("ontology", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
