@@ -29,7 +29,7 @@ from termweave.llm._text import U, mix, powers
 
 END = 0  # the id behind each document
 SLICE = 1 << 20  # characters of text that are encoded together
-RANKED = 100_000  # pieces that one task ranks, about
+RANKED = 10_000  # pieces that one task ranks, about
 BROADCAST_SLOTS = 1_000_000  # a plan of more slots is joined by a shuffle
 UNSURE = 255
 KEPT = 1 << 21  # pre-tokens whose ids a worker keeps; beyond that it starts anew
