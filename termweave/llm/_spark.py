@@ -20,13 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of df, written once as Parquet to the shared folder and read from there: a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, made: list[str] | None = None, compression: str = "snappy") -> DataFrame:
+    """The rows of df, written once as Parquet to the shared folder and read from there: a lost executor costs no
+    recomputation. The path is added to made, for ``removed``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

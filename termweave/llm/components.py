@@ -23,14 +23,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return kept.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, and none of these has one."""
+    up = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    chained = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u"))
+    return up.unionAll(chained).isEmpty()
+
+
+def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(node, component) for every node of edges (u, v): the smallest node that it reaches."""
-    now, seen = written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
-    while True:
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
-        now = written(_star(_star(now, True), False), "stars")
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", made)
+    while not _done(now):
+        now = written(_star(_star(now, True), False), "stars", made)
     # all edges now lead from a node to its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,7 +11,7 @@ pairs of different components are compared further, so a crowd of near copies is
 remain are compared in blocks of about ``BLOCK`` members, a block pair at a time, and only candidates are emitted.
 
 Recall: a pair of similarity 0.8 shares both tokens of a root with probability 0.64, so ``TREES`` = 14 roots miss it
-with probability 6e-7; a node that branches loses a pair with probability 0.01.
+with probability 6e-7; a node that branches, by two more tokens in each of 5 children, loses a pair with probability 0.006.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows without an id get the component
 of the class of texts that equal theirs, or none; repeated rows are copies of one another; an empty table gives an
@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import table, written
+from termweave.llm._spark import removed, table, written
 from termweave.llm._text import U, chunks, distinct, mix, word_hashes
 from termweave.llm.components import components
 
 WIDTH = 128
 TREES = 14
-BRANCHES = 3
-DEPTH = 6  # levels of branching before a node is compared in blocks all the same
-BLOCK = 64
+BRANCHES = 5
+DEPTH = 3  # levels of branching before a node is compared in blocks all the same
+BLOCK = 128
+FEW = 512  # a node with no more pairs of different components than so many for each member does not branch
 PERCENT = 80
 _seeds = np.random.default_rng(20240501)
 ROOTS = np.stack([_seeds.choice(WIDTH, 2, replace=False) for _ in range(64)])
@@ -75,17 +76,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, doc_id, text) to (row, doc_id, n, digest, signature)."""
+        """(row, doc_id, text) to (row, doc_id, n, digest, signature, sketch); the sketch has a byte of each token."""
         for batch, data, off in chunks(batches, text=2):
             sets = shingle_sets(data, off, k)
+            made = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([x.tobytes() if x is not None else None for x in made], pa.binary()),
+                    pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in made], pa.binary()),
                 ],
-                ["row", "doc_id", "n", "digest", "signature"],
+                ["row", "doc_id", "n", "digest", "signature", "sketch"],
             )
 
     return run
@@ -95,6 +98,10 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WIDTH)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
 def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, signature) to (key, rep): the root's child in each tree."""
     for batch in batches:
@@ -111,7 +118,8 @@ def branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, n = _signatures(batch.column(2)), batch.num_rows
             key = batch.column(0).to_numpy().view(U)
             picked = [mix(key + U(7919 * (b + 1))) for b in range(BRANCHES)]
-            child = np.stack([mix(p + sig[np.arange(n), (p % U(WIDTH)).astype(int)].astype(U)) for p in picked], 1)
+            token = lambda p: sig[np.arange(n), (p % U(WIDTH)).astype(int)].astype(U)
+            child = np.stack([mix(p + token(p) + (token(p >> U(20)) << U(32))) for p in picked], 1)
             yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), batch.column(1).take(pa.array(np.repeat(np.arange(n), BRANCHES)))], ["key", "rep"])
 
 
@@ -122,19 +130,39 @@ def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: i
     return (100 * small >= percent * large) & ((a == b).mean(-1) >= bound)
 
 
-def compared(percent: int):
+def compared(percent: int, best: bool):
+    def side(batch: pa.RecordBatch, x: str) -> dict[str, np.ndarray]:
+        of = lambda c: batch.column(batch.schema.get_field_index(f"{x}_{c}"))
+        out = {c: of(c).flatten().to_numpy() for c in ("reps", "ns", "comps")}
+        return out | {"sig": _sketches(of("sigs").flatten()), "off": np.concatenate(([0], np.cumsum(of("reps").value_lengths().to_numpy())))}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks, each with lists (reps, ns, comps, signatures), to candidate pairs (a, b) of different components."""
+        """Pairs of blocks, each with lists (reps, ns, comps, sigs), to candidate pairs (u, v) of different components:
+        all of them, or of each member the one that looks most alike."""
         for batch in batches:
-            rows = batch.to_pydict()
+            if not batch.num_rows:
+                continue
+            left, right = side(batch, "a"), side(batch, "b")
             out = []
             for i in range(batch.num_rows):
-                left, right = ({c: np.array(rows[f"{s}_{c}"][i]) for c in ("reps", "ns", "comps")} | {"sig": np.frombuffer(b"".join(rows[f"{s}_sigs"][i]), np.uint32).reshape(-1, WIDTH)} for s in "ab")
-                for j in range(len(left["reps"])):
-                    ok = (right["comps"] != left["comps"][j]) & alike(left["sig"][j], right["sig"], left["ns"][j], right["ns"], percent)
-                    out += [(min(x, y), max(x, y)) for y in right["reps"][ok].tolist() if (x := int(left["reps"][j])) != y]
-            u, v = zip(*set(out), strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                a, b = (slice(s["off"][i], s["off"][i + 1]) for s in (left, right))
+                n, m = left["ns"][a][:, None], right["ns"][b][None, :]
+                ok = (left["comps"][a][:, None] != right["comps"][b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                x, y = (k + s.start for k, s in zip(np.nonzero(ok), (a, b), strict=True))
+                held = []
+                for c in range(0, len(x), 1 << 14):
+                    u, v = x[c : c + (1 << 14)], y[c : c + (1 << 14)]
+                    near = alike(left["sig"][u], right["sig"][v], left["ns"][u], right["ns"][v], percent)
+                    u, v = u[near], v[near]
+                    held.append(np.stack([u, v, (left["sig"][u] == right["sig"][v]).sum(1)]))
+                u, v, same = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.int64)
+                if best and len(u):
+                    keep = [(order := np.lexsort((-same, z)))[np.concatenate(([True], z[order][1:] != z[order][:-1]))] for z in (u, v)]
+                    keep = np.unique(np.concatenate(keep))
+                    u, v = u[keep], v[keep]
+                out.append(np.stack([left["reps"][u], right["reps"][v]]))
+            pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["u", "v"])
 
     return run
 
@@ -158,12 +186,12 @@ class Join:
     """One run of the operator over a table of documents."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.made = k, percent, []
         self.docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.signed = written(self.docs.mapInArrow(signed(k), "row long, doc_id long, n long, digest binary, signature binary"), "signed")
+        self.signed = written(self.docs.mapInArrow(signed(k), "row long, doc_id long, n long, digest binary, signature binary, sketch binary"), "signed", self.made)
         some = self.signed.where("digest is not null and doc_id is not null")
-        self.classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-        self.reps = written(self.classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("digest").alias("digest")), "classes")
+        self.classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+        self.reps = written(self.classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest")), "classes", self.made)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
         """The rows (key, rep) of nodes with more than one member, with the smallest."""
@@ -174,10 +202,10 @@ class Join:
         a, b = self.sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), self.sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(confirmed(self.percent), "u long, v long")
 
-    def links(self) -> DataFrame:
-        """Edges (u, v) between representatives whose components are those of all links."""
+    def linked(self) -> DataFrame:
+        """(rep, component) of the representatives that are linked with another."""
         percent, k = self.percent, self.k
-        members = written(self.crowded(self.reps.select("rep", "signature").mapInArrow(roots, "key long, rep long")), "nodes")
+        members = written(self.crowded(self.reps.select("rep", "signature").mapInArrow(roots, "key long, rep long")), "nodes", self.made)
         near = members.select("rep").distinct()
         near = near.join(self.reps.select("rep", "digest"), "rep")
         # the sets of those that share a node with another, from their whole texts
@@ -188,7 +216,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())], ["rep", "shingles"])
 
         texts = self.docs.select("row", "doc_id", "text").join(some.select("row"), "row", "left_semi")
-        self.sets = written(texts.select("doc_id", "text").mapInArrow(sets, "rep long, shingles binary"), "sets")
+        self.sets = written(texts.select("doc_id", "text").mapInArrow(sets, "rep long, shingles binary"), "sets", self.made)
 
         lead = members.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
         left, right = (self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv")
@@ -201,39 +229,64 @@ class Join:
 
         stars = lead.join(left, "u").join(right, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
         stars = stars.select("u", "v", "su", "sv", "nu", "nv").mapInArrow(likely, "u long, v long")
-        edges = written(self.confirm(stars), "links")
-        comps = written(components(edges).withColumnRenamed("node", "rep"), "components")
-
+        edges = written(self.confirm(stars), "links", self.made)
+        comps = written(components(edges, self.made).withColumnRenamed("node", "rep"), "components", self.made)
+
+        # first the likeliest links alone: where they join a crowd, few pairs of different components are left for the
+        # second pass, which confirms all candidates
+        for best in (True, False):
+            more = written(self.confirm(self.candidates(members, comps, best).distinct()), "links", self.made)
+            if not more.isEmpty():
+                comps = written(self.joined(comps, more), "components", self.made)
+        return comps
+
+    def candidates(self, members: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
+        """Pairs of different components that may be linked, from the nodes of the trees."""
+        percent = self.percent
         found = []
         for level in range(DEPTH + 1):
             placed = members.select("key", "rep").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-            nodes = shares.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts")).where("parts > 1")
-            mixed = placed.join(nodes.select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2 > BLOCK * F.col("m")).alias("large")), "key").join(self.reps.drop("digest"), "rep")
-            mixed = written(mixed, "mixed")
+            big = F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(0)
+            nodes = shares.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"), F.sum(big).alias("in_big")).where("parts > 1")
+            large = ((F.col("m") * F.col("m") - F.col("squares")) / 2 > FEW * F.col("m")).alias("large")
+            mixed = placed.join(nodes.select("key", "m", "in_big", large), "key").join(shares.where(F.col("c") >= BLOCK), ["key", "component"], "left").join(self.reps.select("rep", "n", "sketch"), "rep")
+            mixed = written(mixed, "mixed", self.made)
             deep = level < DEPTH and mixed.where("large").limit(1).count() > 0
             now = mixed.where("not large") if deep else mixed
-            blocks = now.groupBy("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)).alias("block")).agg(
-                F.min("component").alias("low"), F.max("component").alias("high"), *(F.collect_list(c).alias(n) for c, n in (("rep", "reps"), ("n", "ns"), ("component", "comps"), ("signature", "sigs")))
-            )
+            # a component with many members here has blocks of its own, which need no comparison with one another
+            part = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / BLOCK))
+            block = F.when(F.col("c").isNotNull(), F.xxhash64("component", part(F.col("c")))).otherwise(part(F.col("m") - F.col("in_big"))).alias("block")
+            blocks = now.groupBy("key", block).agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.collect_list(c).alias(n) for c, n in (("rep", "reps"), ("n", "ns"), ("component", "comps"), ("sketch", "sigs"))))
             a, b = (blocks.select("key", *(F.col(c).alias(f"{x}_{c}") for c in blocks.columns if c != "key")) for x in "ab")
             both = a.join(b, "key").where("a_block <= b_block and not (a_low = a_high and b_low = b_high and a_low = b_low)")
-            found.append(both.select(*(f"{x}_{c}" for x in "ab" for c in ("reps", "ns", "comps", "sigs"))).mapInArrow(compared(percent), "u long, v long"))
+            found.append(both.select(*(f"{x}_{c}" for x in "ab" for c in ("reps", "ns", "comps", "sigs"))).mapInArrow(compared(percent, best), "u long, v long"))
             if not deep:
                 break
-            children = mixed.where("large").select("key", "rep", "signature").mapInArrow(branched, "key long, rep long")
-            members = written(self.crowded(children), "nodes")
+            children = mixed.where("large").select("key", "rep").join(self.reps.select("rep", "signature"), "rep").select("key", "rep", "signature").mapInArrow(branched, "key long, rep long")
+            members = written(self.crowded(children), "nodes", self.made)
         pairs = found[0]
         for f in found[1:]:
             pairs = pairs.unionAll(f)
-        return edges.unionAll(self.confirm(written(pairs.distinct(), "pairs")))
+        return pairs
+
+    def joined(self, comps: DataFrame, more: DataFrame) -> DataFrame:
+        """comps with the links ``more`` taken in."""
+        # links between components join these; what was no component yet is one by itself
+        ends = more.select("u", "v", F.explode(F.array("u", "v")).alias("rep")).join(comps, "rep", "left")
+        joined = ends.groupBy("u", "v").agg(F.min(F.coalesce("component", "rep")).alias("a"), F.max(F.coalesce("component", "rep")).alias("b"))
+        over = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v")), self.made).select(F.col("node").alias("component"), F.col("component").alias("above"))
+        lone = more.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(comps.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("component"))
+        return comps.unionByName(lone).join(over, "component", "left").select("rep", F.coalesce("above", "component").alias("component"))
 
     def members(self) -> DataFrame:
         """row, doc_id, n, digest and component of every row."""
-        comps = components(self.links())
-        of = self.classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        of = self.classes.select("digest", "rep").join(self.linked(), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
         rows = self.signed.select("row", "doc_id", "n", "digest")
-        return rows.join(of, "digest", "left").withColumn("component", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+        out = rows.join(of, "digest", "left").withColumn("component", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+        out = written(out, "members")
+        removed(self.docs.sparkSession, self.made)
+        return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,12 +74,12 @@ def test_large_mixed_nodes_branch(spark):
     common = rng.choices(v, k=110)
     texts = [" ".join(common + rng.choices(v, k=60)) for _ in range(420)]
     texts += [" ".join([*texts[i].split()[:-3], "a", "b", "c"]) for i in range(40)]
-    N_BLOCK, N.BLOCK = N.BLOCK, 4
+    old, N.BLOCK, N.FEW = (N.BLOCK, N.FEW), 4, 4
     try:
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, 4).collect()}
     finally:
-        N.BLOCK = N_BLOCK
+        N.BLOCK, N.FEW = old
     assert got == brute(range(len(texts)), texts, 4)
 
 
