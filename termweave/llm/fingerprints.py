@@ -168,7 +168,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = rows.schema["doc_id"].dataType.simpleString()
     order = ["none", "doc_id", "row"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    made = written(placed.mapInArrow(neighbours, f"part int, doc_id {kind}, {COLUMNS}, end int, text string"), "fingerprints")
+    made = written(placed.mapInArrow(neighbours, f"part int, doc_id {kind}, {COLUMNS}, end int, text string"), "fingerprints", compression="zstd")  # halves hexadecimal digits
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     # numbers of the partitions that have rows: one small row each
     parts = made.where("end = 0").select("part")
