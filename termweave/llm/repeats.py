@@ -195,7 +195,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
     known = written(rows.mapInArrow(described(length), f"row long, doc_id {kind}, n_bytes long, digest binary, grams array<long>"), "described")
     classes = known.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     grams = known.join(classes.select("row"), "row").select("row", F.explode("grams").alias("gram"))
-    twice = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join shuffles both sides by itself and may split a gram that very many texts hold
+    twice = written(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     hot = grams.join(twice, "gram").groupBy("row").agg(F.collect_set("gram").alias("grams"))
     there = rows.select("row", "text").join(hot, "row")
     if keep_first:  # packs in the order of the input
