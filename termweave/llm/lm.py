@@ -38,7 +38,7 @@ from termweave.llm._text import U, chunks, mix, word_hashes
 from termweave.llm.quality import held_out
 
 FOLDS = 10
-SHARD = 64 << 20  # bytes of text for each shard, about
+SHARD = 32 << 20  # bytes of text for each shard, about
 TOKENS = 3_000_000  # tokens that a task sums before it sends them on
 END, BEGIN = U(0x5BD1E995AABBCCDD), U(0x1B873593CC9E2D51)
 _V, _W = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
