@@ -1,8 +1,8 @@
 """Exact nearest neighbours per ontology, their flags, and candidates merged over the queries of a record.
 
 Queries and terms are dealt into blocks of an ontology; block pairs meet by an equi-join and are scored by one matrix
-product each, of which only the best k of each query leave the task. A large ontology is many blocks, so no side is
-broadcast or collected.
+product each, of which only the best k of each query leave the task. An ontology of n rows is n / ``BLOCK`` blocks, so
+no side is broadcast or collected; only the block counts of ontologies larger than a block are broadcast.
 """
 
 from __future__ import annotations
@@ -10,18 +10,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 4096
+BLOCK = 4096  # rows of an ontology in a block, about
+SLICE = 256  # queries of a block that are scored at a time
 
 
-def _blocks(df: DataFrame, prefix: str, blocks: int) -> DataFrame:
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
+def _counts(df: DataFrame, prefix: str, block: int) -> DataFrame:
+    """(ontology, blocks) of the ontologies that need more than one."""
+    return F.broadcast(df.groupBy("ontology").agg(F.ceil(F.count("*") / block).alias(f"{prefix}_blocks")).where(f"{prefix}_blocks > 1"))
+
+
+def _blocks(df: DataFrame, prefix: str, block: int = BLOCK) -> DataFrame:
+    """Rows dealt by a row number, as ids may repeat."""
+    numbered = df.select("ontology", "id", "embedding", F.monotonically_increasing_id().alias("row"))
+    dealt = numbered.join(_counts(df, prefix, block), "ontology", "left")
+    part = F.pmod(F.xxhash64("row"), F.coalesce(f"{prefix}_blocks", F.lit(1)))
     packed = F.collect_list(F.struct("id", "embedding"))
-    return df.groupBy("ontology", part.alias(f"{prefix}_block")).agg(packed.alias(prefix))
+    return dealt.groupBy("ontology", part.alias(f"{prefix}_block")).agg(packed.alias(prefix))
 
 
 def scores(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
@@ -33,27 +42,37 @@ def scores(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
     return q @ t.T
 
 
-def nearest(queries: DataFrame, terms: DataFrame, k: int = 10, metric: str = "cosine", query_blocks: int = 1, term_blocks: int = 8, digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, terms: DataFrame, k: int = 10, metric: str = "cosine", block: int = BLOCK, digits: int = 6) -> DataFrame:
     """queries and terms (ontology, id, embedding) to (ontology, query_id, term_id, score, rank); rank from 0, ties by id.
 
-    Null embeddings are left out; k may exceed the number of terms. Scores are in double, rounded to ``digits``.
+    Null embeddings and null ontologies are left out; k may exceed the number of terms. Scores are in double, rounded to ``digits``.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric}")
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                q, t = ({"id": np.array([x["id"] for x in row[c]]), "v": np.array([x["embedding"] for x in row[c]], np.float64)} for c in ("q", "t"))
-                s = np.round(scores(q["v"], t["v"], metric), digits) + 0.0
-                key = s if metric == "l2" else -s
-                order = np.lexsort((np.broadcast_to(t["id"], s.shape), key), axis=1)[:, :k]
-                yield pd.DataFrame({"ontology": row["ontology"], "query_id": np.repeat(q["id"], order.shape[1]), "term_id": t["id"][order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    q = _blocks(queries.where("embedding is not null"), "q", query_blocks)
-    t = _blocks(terms.where("embedding is not null"), "t", term_blocks)
+    def side(packed: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(packed.field("id").to_pylist()), packed.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(packed), -1)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, q), (terms_of, t) = (side(batch.column(c)[i].values) for c in (1, 2))
+                for a in range(0, len(ids), SLICE):
+                    s = np.round(scores(q[a : a + SLICE], t, metric), digits) + 0.0
+                    key = s if metric == "l2" else -s
+                    order = np.lexsort((np.broadcast_to(terms_of, s.shape), key), axis=1)[:, :k]
+                    found = [np.repeat(ids[a : a + SLICE], order.shape[1]), terms_of[order].ravel(), np.take_along_axis(s, order, 1).ravel()]
+                    ontology = batch.column(0).take(pa.array(np.full(order.size, i)))
+                    types = *(batch.column(c).type.value_type.field("id").type for c in (1, 2)), pa.float64()
+                    yield pa.RecordBatch.from_arrays([ontology, *map(pa.array, found, types)], ["ontology", "query_id", "term_id", "score"])
+
+    queries, terms = (x.where("embedding is not null and ontology is not null") for x in (queries, terms))
+    t = _blocks(terms, "t", block)
+    # a block of queries goes to each block of terms of its ontology, so that these are dealt over the tasks
+    last = F.coalesce("t_blocks", F.lit(1)) - 1
+    q = _blocks(queries, "q", block).join(_counts(terms, "t", block), "ontology", "left").select("ontology", "q", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("t_block"))
     kinds = f"ontology {terms.schema['ontology'].dataType.simpleString()}, query_id {queries.schema['id'].dataType.simpleString()}, term_id {terms.schema['id'].dataType.simpleString()}, score double"
-    found = q.join(t, "ontology").select("ontology", "q", "t").mapInPandas(best, kinds)
+    found = q.join(t, ["ontology", "t_block"]).select("ontology", "q", "t").mapInArrow(best, kinds)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("ontology", "query_id").orderBy(order, "term_id")) - 1)
     return ranked.where(F.col("rank") < k)
