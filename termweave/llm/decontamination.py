@@ -49,6 +49,11 @@ def seeds(rows: DataFrame, masks: list[str], whole: list[int] = ()) -> DataFrame
 def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word (where the item would begin, from 0), matched and compared words of the best stretch:
     a row for each document row and benchmark item that overlap."""
+    return _leaks(docs, benchmark, masks, window, percent, least, id_col, text_col).drop("row")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """find_leaks with the number of the document's row in front."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") >= least)
     short = sorted(r[0] for r in items.where(F.size("words") < max(map(len, masks))).select(F.size("words")).distinct().collect())  # fewer than a mask is long
@@ -58,7 +63,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS,
     tests = seeds(items, masks, whole).groupBy("item_id", "h").agg(F.min("i").alias("place")).join(items.select("item_id", F.size("words").alias("item_words")).distinct(), "item_id")
     n = tests.count()
     if n == 0:
-        return spark.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, doc_word int, matched int, compared int")
+        return spark.createDataFrame([], f"row long, doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, doc_word int, matched int, compared int")
     blocks = -(-n // BLOCK)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), word_hashes(text_col).alias("words")).where(F.size("words") >= least)
     placed = seeds(rows, masks)
@@ -79,7 +84,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS,
     judged = both.select("row", "doc_id", "item_id", "doc_word", same.alias("same"), compared.alias("compared")).where("size(same) >= compared")
     verified = judged.select("row", "doc_id", "item_id", "doc_word", "compared", F.array_max(stretches).alias("matched")).where(F.col("matched") * 100 >= F.col("compared") * percent)
     best = F.max(F.struct("matched", (-F.col("doc_word")).alias("first"), "compared")).alias("best")
-    return verified.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.first")).alias("doc_word"), "best.matched", "best.compared")
+    return verified.groupBy("row", "doc_id", "item_id").agg(best).select("row", "doc_id", "item_id", (-F.col("best.first")).alias("doc_word"), "best.matched", "best.compared")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +93,5 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that overlap no benchmark item."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leak_id")), "left_anti")
+    leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(leaks, "_row", "left_anti").select(*docs.columns)

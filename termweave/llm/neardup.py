@@ -13,9 +13,12 @@ remain are compared in blocks of about ``BLOCK`` members, a block pair at a time
 Recall: a pair of similarity 0.8 shares both tokens of a root with probability 0.64, so ``TREES`` = 14 roots miss it
 with probability 6e-7; a node that branches, by two more tokens in each of 5 children, loses a pair with probability 0.006.
 
-Defined results: null and empty texts have empty sets and are linked with nothing; rows without an id get the component
-of the class of texts that equal theirs, or none; repeated rows are copies of one another; an empty table gives an
-empty result; other columns are ignored.
+Rows are told apart by a row number, so that rows without an id are compared like others and different texts under one
+id are documents of their own.
+
+Defined results: null and empty texts have empty sets and are linked with nothing; a component has the smallest id of
+its rows, or none; repeated rows are copies of one another; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -189,9 +192,9 @@ class Join:
         self.k, self.percent, self.made = k, percent, []
         self.docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.signed = written(self.docs.mapInArrow(signed(k), "row long, doc_id long, n long, digest binary, signature binary, sketch binary"), "signed", self.made)
-        some = self.signed.where("digest is not null and doc_id is not null")
-        self.classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-        self.reps = written(self.classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest")), "classes", self.made)
+        # a class is represented by its first row
+        classes = self.signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+        self.reps = written(classes, "classes", self.made)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
         """The rows (key, rep) of nodes with more than one member, with the smallest."""
@@ -206,17 +209,15 @@ class Join:
         """(rep, component) of the representatives that are linked with another."""
         percent, k = self.percent, self.k
         members = written(self.crowded(self.reps.select("rep", "signature").mapInArrow(roots, "key long, rep long")), "nodes", self.made)
-        near = members.select("rep").distinct()
-        near = near.join(self.reps.select("rep", "digest"), "rep")
         # the sets of those that share a node with another, from their whole texts
-        some = self.signed.where("doc_id is not null").join(near.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"], "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
+        near = members.select(F.col("rep").alias("row")).distinct()
 
         def sets(batches):
             for batch, data, off in chunks(batches, text=1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())], ["rep", "shingles"])
 
-        texts = self.docs.select("row", "doc_id", "text").join(some.select("row"), "row", "left_semi")
-        self.sets = written(texts.select("doc_id", "text").mapInArrow(sets, "rep long, shingles binary"), "sets", self.made)
+        texts = self.docs.select("row", "text").join(near, "row", "left_semi")
+        self.sets = written(texts.select("row", "text").mapInArrow(sets, "rep long, shingles binary"), "sets", self.made)
 
         lead = members.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
         left, right = (self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv")
@@ -280,11 +281,14 @@ class Join:
         return comps.unionByName(lone).join(over, "component", "left").select("rep", F.coalesce("above", "component").alias("component"))
 
     def members(self) -> DataFrame:
-        """row, doc_id, n, digest and component of every row."""
-        of = self.classes.select("digest", "rep").join(self.linked(), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-        rows = self.signed.select("row", "doc_id", "n", "digest")
-        out = rows.join(of, "digest", "left").withColumn("component", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")))
-        out = written(out, "members")
+        """row, doc_id, n, component (a row number; null for an empty set) and the component's smallest id of every row."""
+        linked, ids = self.linked(), self.reps.select("rep", "id")
+        least = linked.join(ids, "rep").groupBy("component").agg(F.min("id").alias("least"))
+        linked = linked.join(least, "component").select("rep", "component", "least")
+        of = self.reps.select("digest", "rep", "id").join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+        rows = self.signed.select("row", "doc_id", "n", "digest").join(of, "digest", "left")
+        least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        out = written(rows.select("row", "doc_id", "n", "component", least.alias("least")), "members")
         removed(self.docs.sparkSession, self.made)
         return out
 
@@ -292,7 +296,7 @@ class Join:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs."""
     rows = Join(docs, shingle, percent, id_col, text_col).members()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,6 +306,6 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of docs: the one with the smallest id, of repeated rows the first; empty texts stay."""
     rows = Join(docs, 5, PERCENT, "doc_id", "text").members()
-    group = F.coalesce(F.when(F.col("digest").isNull(), F.concat(F.lit("row "), F.col("row"))), F.col("component").cast("string"), F.hex("digest"))
+    group = F.coalesce("component", "row")
     first = rows.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(first, "_row", "left_semi").select(*docs.columns)

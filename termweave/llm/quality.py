@@ -37,7 +37,7 @@ for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, features)."""
+    """(doc_id, text) to (doc_id, features); columns behind the text are kept."""
     for batch, data, off in chunks(batches):
         n = batch.num_rows
         out = np.zeros((n, len(NAMES)), np.float32)
@@ -67,7 +67,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[i, 15] = capital[a:b].mean()
             breaks = np.flatnonzero(np.concatenate(([True], ~same, [True])))
             out[i, 16] = np.log1p(np.diff(breaks).max())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))], ["doc_id", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(NAMES)).cast(pa.list_(pa.float32())), *batch.columns[2:]], ["doc_id", "features", *batch.schema.names[2:]])
 
 
 @dataclass
@@ -180,8 +180,13 @@ def held_out(id_col: str, folds: int):
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; labels has the id and the label column."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    measured = written(source.mapInArrow(features, f"doc_id {source.schema[0].dataType.simpleString()}, features array<float>"), "quality")
+    return _classified(docs, labels, label, threshold, sample, folds, id_col, text_col).drop("row")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """classify with the number of the document's row in front."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    measured = written(source.mapInArrow(features, f"doc_id {source.schema[0].dataType.simpleString()}, features array<float>, row long"), "quality")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id", folds))
     # ids and labels alone are shuffled to draw the sample; features follow only for the rows drawn
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
@@ -193,10 +198,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(model.score(x))], ["row", "doc_id", "score"])
 
-    scored = measured.mapInArrow(score, f"doc_id {source.schema[0].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = measured.mapInArrow(score, f"row long, doc_id {source.schema[0].dataType.simpleString()}, score double")
+    return scored.select("row", "doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +210,6 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    made = classify(docs, table(spark, sf_dir, "labels"))
-    rejected = made.where("predicted = 0").select("doc_id").distinct().withColumnRenamed("doc_id", "rejected_id")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("rejected_id")), "left_anti")
+    made = _classified(docs, table(spark, sf_dir, "labels"))
+    rejected = made.where("predicted = 0").select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(rejected, "_row", "left_anti").select(*docs.columns)
