@@ -5,10 +5,12 @@ of the hash range (an empty part takes that of the first full one in an order of
 documents by tokens of the signature that each node chooses; documents of a node share the chosen tokens. Nodes of few
 pairs are compared exhaustively, the others branch again. What looks alike by signature is confirmed on full sets.
 
-Two things keep the work linear where many documents are alike. Equal sets are one class with one representative.
-Then every node's smallest member is compared with its other members; where that joins all of a node, it is done: only
-pairs of different components are compared further, so a crowd of near copies is no square of pairs. Nodes that
-remain are compared in blocks of about ``BLOCK`` members, a block pair at a time, and only candidates are emitted.
+Three things keep the work linear where many documents are alike. Equal sets are one class with one representative.
+Then the members of each node are compared in blocks of about ``BLOCK`` by signature, and of what looks alike only the
+likeliest pairs that span it are confirmed on full sets; as the blocks differ from tree to tree, a crowd of near copies
+becomes few components. Only pairs of different components are compared further: a task gets two blocks with their full
+sets, compares them by products of incidence matrices, and gives the links that join what is not yet joined, so that no
+table holds a row for each pair.
 
 Recall: a pair of similarity 0.8 shares both tokens of a root with probability 0.64, so ``TREES`` = 14 roots miss it
 with probability 6e-7; a node that branches, by two more tokens in each of 5 children, loses a pair with probability 0.006.
@@ -18,7 +20,7 @@ id are documents of their own.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; a component has the smallest id of
 its rows, or none; repeated rows are copies of one another; an empty table gives an empty result; other columns are
-ignored.
+ignored; very long texts are sets like others, compared in a block with no more than ``BLOCK`` members.
 """
 
 from __future__ import annotations
@@ -31,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import removed, table, written
-from termweave.llm._text import U, chunks, distinct, mix, word_hashes
+from pyspark.sql.types import StructType
+
+from termweave.llm._spark import removed, small_batches, table, written
+from termweave.llm._text import U, chunks, counted, distinct, mix, word_hashes
 from termweave.llm.components import components
 
 WIDTH = 128
 TREES = 14
 BRANCHES = 5
 DEPTH = 3  # levels of branching before a node is compared in blocks all the same
-BLOCK = 128
+BLOCK = 192
+BATCH = 32  # pairs of blocks that a worker holds at once
+COLUMNS = 8192  # hashes in one product of incidence matrices
 FEW = 512  # a node with no more pairs of different components than so many for each member does not branch
 PERCENT = 80
 _seeds = np.random.default_rng(20240501)
@@ -79,19 +85,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, doc_id, text) to (row, doc_id, n, digest, signature, sketch); the sketch has a byte of each token."""
+        """Rows with a text in column 2, to these with (n, digest, signature, sketch); the sketch has a byte of each token."""
         for batch, data, off in chunks(batches, text=2):
             sets = shingle_sets(data, off, k)
             made = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:2],
+                    *batch.columns,
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([x.tobytes() if x is not None else None for x in made], pa.binary()),
                     pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in made], pa.binary()),
                 ],
-                ["row", "doc_id", "n", "digest", "signature", "sketch"],
+                [*batch.schema.names, "n", "digest", "signature", "sketch"],
             )
 
     return run
@@ -133,43 +139,97 @@ def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: i
     return (100 * small >= percent * large) & ((a == b).mean(-1) >= bound)
 
 
-def compared(percent: int, best: bool):
-    def side(batch: pa.RecordBatch, x: str) -> dict[str, np.ndarray]:
-        of = lambda c: batch.column(batch.schema.get_field_index(f"{x}_{c}"))
-        out = {c: of(c).flatten().to_numpy() for c in ("reps", "ns", "comps")}
-        return out | {"sig": _sketches(of("sigs").flatten()), "off": np.concatenate(([0], np.cumsum(of("reps").value_lengths().to_numpy())))}
+def spanning(score: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of a largest spanning forest of a node's members; a negative score is no edge."""
+    m = len(score)
+    best, parent, out, rest = np.full(m, -1), np.zeros(m, int), [], np.ones(m, bool)
+    for _ in range(m):
+        i = int(np.where(rest, best, -2).argmax())
+        if best[i] >= 0:
+            out.append((int(parent[i]), i))
+        rest[i] = False
+        better = score[i] > best
+        best[better], parent[better] = score[i][better], i
+    return out
+
 
+def forests(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks, each with lists (reps, ns, comps, sigs), to candidate pairs (u, v) of different components:
-        all of them, or of each member the one that looks most alike."""
+        """Blocks (reps, ns, sketches) to the likeliest pairs (u, v) that span what looks alike in each."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = side(batch, "a"), side(batch, "b")
-            out = []
-            for i in range(batch.num_rows):
-                a, b = (slice(s["off"][i], s["off"][i + 1]) for s in (left, right))
-                n, m = left["ns"][a][:, None], right["ns"][b][None, :]
-                ok = (left["comps"][a][:, None] != right["comps"][b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                x, y = (k + s.start for k, s in zip(np.nonzero(ok), (a, b), strict=True))
-                held = []
-                for c in range(0, len(x), 1 << 14):
-                    u, v = x[c : c + (1 << 14)], y[c : c + (1 << 14)]
-                    near = alike(left["sig"][u], right["sig"][v], left["ns"][u], right["ns"][v], percent)
-                    u, v = u[near], v[near]
-                    held.append(np.stack([u, v, (left["sig"][u] == right["sig"][v]).sum(1)]))
-                u, v, same = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.int64)
-                if best and len(u):
-                    keep = [(order := np.lexsort((-same, z)))[np.concatenate(([True], z[order][1:] != z[order][:-1]))] for z in (u, v)]
-                    keep = np.unique(np.concatenate(keep))
-                    u, v = u[keep], v[keep]
-                out.append(np.stack([left["reps"][u], right["reps"][v]]))
-            pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            reps, n, sig = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), _sketches(batch.column(2).flatten())
+            off = np.concatenate(([0], np.cumsum(batch.column(0).value_lengths().to_numpy()))).astype(np.int64)
+            two = off[:-1][np.diff(off) == 2]
+            two = two[alike(sig[two], sig[two + 1], n[two], n[two + 1], percent)]
+            us, vs = [two], [two + 1]
+            for i in np.flatnonzero(np.diff(off) > 2):
+                at = np.arange(off[i], off[i + 1])
+                same = (sig[at][:, None] == sig[at][None, :]).sum(-1)
+                ok = alike(sig[at][:, None], sig[at][None, :], n[at][:, None], n[at][None, :], percent)
+                edges = np.array(spanning(np.where(ok, same, -1)), np.int64).reshape(-1, 2) + off[i]
+                us.append(edges[:, 0])
+                vs.append(edges[:, 1])
+            pairs = np.stack([reps[np.concatenate(us)], reps[np.concatenate(vs)]])
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["u", "v"])
 
     return run
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray], alone: bool) -> np.ndarray:
+    """How many hashes each set of a shares with each of b (alone: a and b are the same sets), by products of incidence
+    matrices over the hashes that can be shared."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    if alone:
+        known, times = counted(x)
+        known = known[times > 1]
+    else:
+        known = np.intersect1d(distinct(x), distinct(y), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(known):
+        return out
+    places = []
+    for values, sets in ((x, a), (y, b)):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        hit = known[at] == values
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]))
+    for c in range(0, len(known), COLUMNS):
+        sides = []
+        for (of, at), sets in zip(places, (a, b), strict=True):
+            here = (at >= c) & (at < c + COLUMNS)
+            side = np.zeros((len(sets), min(COLUMNS, len(known) - c)), np.float32)
+            side[of[here], at[here] - c] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def linking(percent: int, sides: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks, or pairs of blocks, with lists (reps, comps, sets), to links (u, v) between different components: every
+        pair is compared on full sets, and of the links found those that join what is not yet joined stay."""
+        for batch in batches:
+            us, vs = [], []
+            for row in batch.to_pylist():
+                held = [[np.frombuffer(s, U) for s in row[f"{x}_sets"]] for x in sides]
+                label = [np.array(row[f"{x}_comps"]) for x in sides]
+                reps = [row[f"{x}_reps"] for x in sides]
+                a, b, la, lb = held[0], held[-1], label[0], label[-1].copy()
+                both = shared(a, b, len(sides) == 1)
+                n, m = (np.array([len(s) for s in z], np.float64) for z in (a, b))
+                x, y = np.nonzero((100 * both >= percent * (n[:, None] + m[None, :] - both)) & (la[:, None] != lb[None, :]))
+                while len(x):
+                    i, j = x[0], y[0]
+                    us.append(reps[0][i])
+                    vs.append(reps[-1][j])
+                    old, new = lb[j], la[i]
+                    la, lb = np.where(la == old, new, la), np.where(lb == old, new, lb)
+                    open_ = la[x] != lb[y]
+                    x, y = x[open_], y[open_]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
 def confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(u, v, set of u, set of v) to the pairs that have the similarity."""
@@ -186,20 +246,23 @@ def confirmed(percent: int):
 
 
 class Join:
-    """One run of the operator over a table of documents."""
+    """One run of the operator over a table of documents. The rows are numbered once, in a table that is written and
+    from then on read; ``rest`` is what else a row of that table keeps."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, rest: list[str] = ()):
         self.k, self.percent, self.made = k, percent, []
-        self.docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.signed = written(self.docs.mapInArrow(signed(k), "row long, doc_id long, n long, digest binary, signature binary, sketch binary"), "signed", self.made)
+        kept = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
+        found = StructType(list(rows.schema.fields)).add("n", "long").add("digest", "binary").add("signature", "binary").add("sketch", "binary")
+        self.signed = written(rows.mapInArrow(signed(k), found), "signed", self.made, "zstd")
         # a class is represented by its first row
         classes = self.signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         self.reps = written(classes, "classes", self.made)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
-        """The rows (key, rep) of nodes with more than one member, with the smallest."""
-        nodes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1")
-        return rows.join(nodes.select("key", "lead"), "key")
+        """The rows (key, rep) of nodes with more than one member, with their number."""
+        nodes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        return rows.join(nodes, "key")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         a, b = self.sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), self.sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
@@ -207,69 +270,61 @@ class Join:
 
     def linked(self) -> DataFrame:
         """(rep, component) of the representatives that are linked with another."""
-        percent, k = self.percent, self.k
+        k = self.k
         members = written(self.crowded(self.reps.select("rep", "signature").mapInArrow(roots, "key long, rep long")), "nodes", self.made)
-        # the sets of those that share a node with another, from their whole texts
-        near = members.select(F.col("rep").alias("row")).distinct()
+        # first the likeliest pairs alone, as many as span what looks alike in a block of a node
+        blocks = members.join(self.reps.select("rep", "n", "sketch"), "rep").groupBy("key", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / BLOCK)).alias("block"))
+        likely = blocks.agg(*(F.collect_list(c).alias(n) for c, n in (("rep", "reps"), ("n", "ns"), ("sketch", "sketches")))).where(F.size("reps") > 1)
+        pairs = written(likely.select("reps", "ns", "sketches").mapInArrow(forests(self.percent), "u long, v long").distinct(), "likely", self.made)
+        # the sets of those that look like another, or were not compared with all of a node, from their whole texts
+        near = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionAll(members.where(F.col("m") > BLOCK).select("rep")).distinct()
 
         def sets(batches):
             for batch, data, off in chunks(batches, text=1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())], ["rep", "shingles"])
 
-        texts = self.docs.select("row", "text").join(near, "row", "left_semi")
+        # by sorting at every size, as for a corpus whose near copies are too many to send to all tasks
+        texts = self.signed.select("row", "text").join(near.hint("merge"), "row", "left_semi")
         self.sets = written(texts.select("row", "text").mapInArrow(sets, "rep long, shingles binary"), "sets", self.made)
-
-        lead = members.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-        left, right = (self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv")
-
-        def likely(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    ok = alike(_signatures(batch.column(2)), _signatures(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
-                    yield batch.select([0, 1]).filter(pa.array(ok))
-
-        stars = lead.join(left, "u").join(right, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        stars = stars.select("u", "v", "su", "sv", "nu", "nv").mapInArrow(likely, "u long, v long")
-        edges = written(self.confirm(stars), "links", self.made)
-        comps = written(components(edges, self.made).withColumnRenamed("node", "rep"), "components", self.made)
-
-        # first the likeliest links alone: where they join a crowd, few pairs of different components are left for the
-        # second pass, which confirms all candidates
-        for best in (True, False):
-            more = written(self.confirm(self.candidates(members, comps, best).distinct()), "links", self.made)
-            if not more.isEmpty():
-                comps = written(self.joined(comps, more), "components", self.made)
-        return comps
-
-    def candidates(self, members: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-        """Pairs of different components that may be linked, from the nodes of the trees."""
-        percent = self.percent
-        found = []
+        links = written(self.confirm(pairs), "links", self.made)
+        comps = written(components(links, self.made).withColumnRenamed("node", "rep"), "components", self.made)
+        # then all pairs of different components that share a node
+        more = written(self.mixed_links(members.join(self.sets.select("rep"), "rep", "left_semi"), comps), "links", self.made)
+        return comps if more.isEmpty() else written(self.joined(comps, more), "components", self.made)
+
+    def mixed_links(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links between different components that share a node of the trees."""
+        found, percent = [], self.percent
         for level in range(DEPTH + 1):
             placed = members.select("key", "rep").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
             big = F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(0)
             nodes = shares.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"), F.sum(big).alias("in_big")).where("parts > 1")
             large = ((F.col("m") * F.col("m") - F.col("squares")) / 2 > FEW * F.col("m")).alias("large")
-            mixed = placed.join(nodes.select("key", "m", "in_big", large), "key").join(shares.where(F.col("c") >= BLOCK), ["key", "component"], "left").join(self.reps.select("rep", "n", "sketch"), "rep")
+            mixed = placed.join(nodes.select("key", "m", "in_big", large), "key").join(shares.where(F.col("c") >= BLOCK), ["key", "component"], "left")
             mixed = written(mixed, "mixed", self.made)
             deep = level < DEPTH and mixed.where("large").limit(1).count() > 0
-            now = mixed.where("not large") if deep else mixed
+            now = (mixed.where("not large") if deep else mixed).join(self.sets, "rep")
             # a component with many members here has blocks of its own, which need no comparison with one another
             part = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / BLOCK))
             block = F.when(F.col("c").isNotNull(), F.xxhash64("component", part(F.col("c")))).otherwise(part(F.col("m") - F.col("in_big"))).alias("block")
-            blocks = now.groupBy("key", block).agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.collect_list(c).alias(n) for c, n in (("rep", "reps"), ("n", "ns"), ("component", "comps"), ("sketch", "sigs"))))
-            a, b = (blocks.select("key", *(F.col(c).alias(f"{x}_{c}") for c in blocks.columns if c != "key")) for x in "ab")
-            both = a.join(b, "key").where("a_block <= b_block and not (a_low = a_high and b_low = b_high and a_low = b_low)")
-            found.append(both.select(*(f"{x}_{c}" for x in "ab" for c in ("reps", "ns", "comps", "sigs"))).mapInArrow(compared(percent, best), "u long, v long"))
+            lists = lambda x: [F.collect_list(c).alias(f"{x}_{n}") for c, n in (("rep", "reps"), ("component", "comps"), ("shingles", "sets"))]
+            blocks = lambda df, x: df.groupBy("key", block).agg(F.min("component").alias(f"{x}_low"), F.max("component").alias(f"{x}_high"), *lists(x)).withColumnRenamed("block", f"{x}_block")
+            alone = blocks(now, "a").where("a_low <> a_high")
+            many = now.where((F.col("m") > BLOCK) | (F.col("in_big") > 0))
+            across = blocks(many, "a").join(blocks(many, "b"), "key").where("a_block < b_block and not (a_low = a_high and b_low = b_high and a_low = b_low)")
+            names = lambda sides: [f"{x}_{c}" for x in sides for c in ("reps", "comps", "sets")]
+            with small_batches(now.sparkSession, BATCH):
+                for df, sides in ((alone, "a"), (across, "ab")):
+                    found.append(written(df.select(*names(sides)).mapInArrow(linking(percent, sides), "u long, v long"), "found", self.made))
             if not deep:
                 break
             children = mixed.where("large").select("key", "rep").join(self.reps.select("rep", "signature"), "rep").select("key", "rep", "signature").mapInArrow(branched, "key long, rep long")
             members = written(self.crowded(children), "nodes", self.made)
-        pairs = found[0]
+        links = found[0]
         for f in found[1:]:
-            pairs = pairs.unionAll(f)
-        return pairs
+            links = links.unionAll(f)
+        return links
 
     def joined(self, comps: DataFrame, more: DataFrame) -> DataFrame:
         """comps with the links ``more`` taken in."""
@@ -288,15 +343,16 @@ class Join:
         of = self.reps.select("digest", "rep", "id").join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
         rows = self.signed.select("row", "doc_id", "n", "digest").join(of, "digest", "left")
         least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-        out = written(rows.select("row", "doc_id", "n", "component", least.alias("least")), "members")
-        removed(self.docs.sparkSession, self.made)
-        return out
+        return rows.select("row", "doc_id", "n", "component", least.alias("least"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs."""
-    rows = Join(docs, shingle, percent, id_col, text_col).members()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+    join = Join(docs, shingle, percent, id_col, text_col)
+    rows = join.members()
+    out = written(rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept")), "near")
+    removed(docs.sparkSession, join.made)
+    return out
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +361,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of docs: the one with the smallest id, of repeated rows the first; empty texts stay."""
-    rows = Join(docs, 5, PERCENT, "doc_id", "text").members()
+    join = Join(docs, 5, PERCENT, "doc_id", "text", [c for c in docs.columns if c != "text"])
     group = F.coalesce("component", "row")
-    first = rows.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(first, "_row", "left_semi").select(*docs.columns)
+    first = join.members().groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    kept = join.signed.select("row", "text", "rest").join(first.hint("merge"), "row", "left_semi")
+    out = written(kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns)), "kept", compression="zstd")
+    removed(spark, join.made)
+    return out
