@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.plans.session import checkpoints
+
 TOP = "owl:Thing"
 PREDICATES = {"MONDO": ["is_a"], "UBERON": ["is_a", "part_of"], "ENVO": ["is_a", "part_of"]}
 
@@ -17,21 +19,20 @@ def edges(terms: DataFrame) -> DataFrame:
 
 def closure(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, ancestor) with every node its own ancestor, along links (child, parent): paths are doubled each round, so
-    a graph of depth d takes log2(d) rounds, and distinct pairs end cycles. Every round is checkpointed."""
+    a graph of depth d takes log2(d) rounds, and distinct pairs end cycles. Only pairs that the last round has found are
+    joined again. Every round is checkpointed."""
     pairs = nodes.select(F.col("node"), F.col("node").alias("ancestor")).unionByName(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))).where("node is not null and ancestor is not null").distinct()
-    spark, before = links.sparkSession, -1
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    checkpoints(links.sparkSession)
+    pairs = fresh = pairs.checkpoint()
     for _ in range(rounds):
-        pairs = pairs.checkpoint()
-        if (now := pairs.count()) == before:
-            break
-        before = now
-        up = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
-        pairs = pairs.join(up, "ancestor").select("node", F.col("above").alias("ancestor")).distinct()
-    return pairs
+        # a path that is not known yet goes on from one of the last round, or leads to one
+        ahead = fresh.join(pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("node", F.col("above").alias("ancestor"))
+        behind = pairs.join(fresh.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("node", F.col("above").alias("ancestor"))
+        fresh = ahead.unionAll(behind).distinct().join(pairs, ["node", "ancestor"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            return pairs
+        pairs = pairs.unionAll(fresh)
+    raise ValueError(f"paths of more than 2**{rounds} links")
 
 
 def information_content(pairs: DataFrame) -> DataFrame:
