@@ -5,68 +5,81 @@ mask have the same hash, whatever stands at the ignored positions. Test and trai
 fixes how the item lies over the document, and the hit is verified where they overlap: some stretch of ``WINDOW``
 words (or the whole item, if it is shorter) must agree in at least ``PERCENT`` per cent of its places.
 
+The masks leave no accepted overlap out. For stretches of n words of which ``wrong`` may differ, positions are dealt to
+wrong + 2 groups in turn, and there is a mask for each choice of ``wrong`` groups that it ignores: whatever differs,
+some mask ignores all of it. Items shorter than the window have masks of their own length.
+
 Words are runs of letters and digits, lower-cased. Documents are hashed and probed in one pass without a shuffle: the
 benchmark's seeds are broadcast, in blocks of at most ``BLOCK`` seeds each (their number is counted first). Only hits
 are shuffled, each with the stretch of document word hashes under the item.
 
 Defined results: null and empty texts have no words and no hits; items of fewer than ``LEAST`` words are no evidence
-and are never reported, items shorter than a mask are looked up whole; each row of the input is judged by itself, so
+and are never reported; a passage that an item holds twice is looked for at both places; each row of the input is judged by itself, so
 repeated rows and null ids come back as often as they are contaminated; other columns are ignored; an empty table on
 either side gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import table
+from termweave.llm._spark import numbered, removed, table, written
 
-MASKS = ["1101101011", "1011011101", "1110100111"]
 WINDOW = 13
 PERCENT = 80
 LEAST = 5
 BLOCK = 400_000
 
 
+def masks_of(n: int, percent: int) -> list[str]:
+    """Masks of n words, one of which at least ignores all differences of an overlap that is accepted."""
+    wrong = n * (100 - percent) // 100
+    groups = range(wrong + 2)
+    return ["".join("0" if k % len(groups) in gone else "1" for k in range(n)) for gone in combinations(groups, wrong)]
+
+
 def word_hashes(text: str) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, masks: list[str], whole: list[int] = ()) -> DataFrame:
-    """rows (with array ``words``) by position i and seed h; masks numbered in ``whole`` only for rows of their length."""
+def seeds(rows: DataFrame, masks: list[str], window: int | None = None) -> DataFrame:
+    """rows (with array ``words``) by position i and seed h; with ``window``, of items: each has the masks of its length,
+    or of the window if it is longer."""
     placed = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i")).where("i is not null")
 
     def seed(m: int, mask: str) -> Column:
         picked = [F.get("words", F.col("i") + k) for k, c in enumerate(mask) if c == "1"]
         fits = F.col("i") + len(mask) <= F.size("words")
-        return F.when(fits & (F.size("words") == len(mask)) if m in whole else fits, F.xxhash64(F.lit(m), *picked))
+        return F.when(fits if window is None else fits & (F.least(F.size("words"), F.lit(window)) == len(mask)), F.xxhash64(F.lit(m), *picked))
 
     return placed.select("*", F.explode(F.array(*(seed(m, mask) for m, mask in enumerate(masks)))).alias("h")).where("h is not null")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word (where the item would begin, from 0), matched and compared words of the best stretch:
     a row for each document row and benchmark item that overlap."""
-    return _leaks(docs, benchmark, masks, window, percent, least, id_col, text_col).drop("row")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return leaks(rows, benchmark, window, percent, least).drop("row")
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """find_leaks with the number of the document's row in front."""
-    spark = docs.sparkSession
+def leaks(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+    """find_leaks over rows (row, doc_id, text), with the row in front."""
+    spark = rows.sparkSession
     items = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") >= least)
-    short = sorted(r[0] for r in items.where(F.size("words") < max(map(len, masks))).select(F.size("words")).distinct().collect())  # fewer than a mask is long
-    whole = list(range(len(masks), len(masks) + len(short)))
-    masks = [*masks, *("1" * n for n in short)]
-    # one place of each seed in an item is enough to fix how they lie
-    tests = seeds(items, masks, whole).groupBy("item_id", "h").agg(F.min("i").alias("place")).join(items.select("item_id", F.size("words").alias("item_words")).distinct(), "item_id")
-    n = tests.count()
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect())  # a window has so many at most
+    masks = [m for n in lengths for m in masks_of(n, percent)]
+    tests = seeds(items, masks, window).select("item_id", "h", F.col("i").alias("place"), F.size("words").alias("item_words")) if masks else None
+    n = tests.count() if masks else 0
     if n == 0:
-        return spark.createDataFrame([], f"row long, doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, doc_word int, matched int, compared int")
+        return spark.createDataFrame([], f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, doc_word int, matched int, compared int")
     blocks = -(-n // BLOCK)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), word_hashes(text_col).alias("words")).where(F.size("words") >= least)
-    placed = seeds(rows, masks)
+    if blocks > 1:  # read once for each block: the rows' numbers are written
+        rows = written(rows, "rows", compression="zstd")
+    placed = seeds(rows.select("row", "doc_id", word_hashes("text").alias("words")).where(F.size("words") >= least), masks)
     hits = None
     for b in range(blocks):
         own = tests if blocks == 1 else tests.where(F.pmod("h", F.lit(blocks)) == b)
@@ -93,5 +106,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that overlap no benchmark item."""
-    leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(leaks, "_row", "left_anti").select(*docs.columns)
+    made: list[str] = []
+    rows, row = numbered(docs, made)
+    leaking = leaks(rows.select(F.col(row).alias("row"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row").alias(row)).distinct()
+    out = written(rows.join(leaking, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)), "clean", compression="zstd")
+    removed(spark, made)
+    return out

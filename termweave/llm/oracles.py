@@ -17,22 +17,23 @@ with recursive w as (
 select n.doc_id, n.n as n_shingles, min(other) as component_id, n.doc_id = min(other) as kept from n join reach using (doc_id) group by n.doc_id, n.n
 """
 
+#: Every alignment that could be accepted: of a stretch of ``compared`` words with at most ``wrong`` differences, some
+#: q words in a row agree, q being the matching words over the number of runs that the differences leave, rounded up.
 OP7_SQL = r"""
 with w as (
   select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents
 ), t as (
   select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from benchmark
-), m as (
-  select unnest(['1101101011', '1011011101', '1110100111']) as mask
-), k as (
-  select mask, list_filter(range(0, len(mask)), lambda i: mask[i + 1] = '1') as picks, len(mask) as span from m
+), c as (
+  select item_id, ws, least(13, len(ws)) as compared, least(13, len(ws)) * 20 // 100 as wrong from t where len(ws) >= 5
 ), ts as (
-  select item_id, mask, seed, min(i) as place from (
-    select item_id, mask, i, list_transform(picks, lambda p: ws[i + p + 1]) as seed from (select *, unnest(range(0, len(ws) - span + 1)) as i from t, k where len(ws) >= greatest(5, span))) group by all
+  select item_id, unnest(range(0, len(ws) - q + 1)) as place, q, ws from (select *, ((compared - wrong + wrong) // (wrong + 1))::bigint as q from c)
+), td as (
+  select item_id, place, q, array_to_string(ws[place + 1 : place + q], ' ') as seed from ts
 ), ds as (
-  select doc_id, mask, i, list_transform(picks, lambda p: ws[i + p + 1]) as seed from (select *, unnest(range(0, len(ws) - span + 1)) as i from w, k where len(ws) >= span)
+  select doc_id, q, i, array_to_string(ws[i + 1 : i + q], ' ') as seed from (select doc_id, ws, q, unnest(range(0, len(ws) - q + 1)) as i from w, (select distinct q from td) where len(ws) >= q)
 ), lain as (
-  select distinct doc_id, item_id, i - place as doc_word from ds join ts using (mask, seed)
+  select distinct doc_id, item_id, i - place as doc_word from ds join td using (q, seed)
 ), same as (
   select doc_id, item_id, doc_word, least(13, len(t.ws)) as compared,
     list_transform(range(greatest(0, -doc_word), least(len(t.ws), len(w.ws) - doc_word)), lambda p: case when w.ws[p + doc_word + 1] = t.ws[p + 1] then 1 else 0 end) as eq

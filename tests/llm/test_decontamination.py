@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -11,34 +12,47 @@ def words(t):
 
 
 def brute(doc, item):
-    """Whether some alignment on which a mask hits has a stretch that agrees enough."""
+    """Whether some alignment has a stretch that agrees enough: all alignments are tried."""
     a, b = words(doc), words(item)
-    if len(b) < D.LEAST:
+    if len(b) < D.LEAST or not set(a) & set(b):
         return False
-    masks = D.MASKS + (["1" * len(b)] if len(b) < max(map(len, D.MASKS)) else [])
-    picks = [(len(m), [k for k, c in enumerate(m) if c == "1"]) for m in masks]
-    by = {}
-    for x, (n, ks) in enumerate(picks):
-        for j in range(len(b) - n + 1):
-            by.setdefault((x, *(b[j + k] for k in ks)), j)
-    at = {i - by[s] for x, (n, ks) in enumerate(picks) for i in range(len(a) - n + 1) if (s := (x, *(a[i + k] for k in ks))) in by}
     w = min(D.WINDOW, len(b))
-    for d in at:
-        same = [a[p + d] == b[p] for p in range(len(b)) if 0 <= p + d < len(a)]
-        if any(100 * sum(same[i : i + w]) >= D.PERCENT * w for i in range(len(same) - w + 1)):
+    for d in range(-len(b), len(a)):
+        same = [a[p + d] == b[p] for p in range(max(0, -d), min(len(b), len(a) - d))]
+        if sum(same) * 100 >= D.PERCENT * w and any(100 * sum(same[i : i + w]) >= D.PERCENT * w for i in range(len(same) - w + 1)):
             return True
     return False
 
 
+def test_masks_miss_nothing():
+    for n in range(D.LEAST, D.WINDOW + 1):
+        wrong = n * (100 - D.PERCENT) // 100
+        masks = D.masks_of(n, D.PERCENT)
+        for gone in itertools.combinations(range(n), wrong):
+            assert any(all(m[k] == "0" for k in gone) for m in masks)
+        assert min(m.count("1") for m in masks) >= (n - wrong) // 2
+
+
+def test_every_place_of_a_seed(spark):
+    rng = random.Random(1)
+    a = [f"a{i}" for i in range(10)]
+    between, behind = [f"b{i}" for i in range(10)], ["c0", "c1", "c2"]
+    item = " ".join([*a, *between, *a, *behind])
+    later = [*a, *behind]
+    later[1], later[6] = "x", "y"
+    d = spark.createDataFrame([(1, " ".join(later)), (2, " ".join(rng.sample(later, 13)))], "doc_id long, text string")
+    assert [(r.doc_id, r.doc_word, r.matched) for r in D.find_leaks(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, -20, 11)]
+
+
 def test_rows(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 6, 9, 15, 40])))) for i in range(30)] + [(90, None), (91, "")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 6, 9, 10, 11, 12, 15, 40])))) for i in range(40)] + [(90, None), (91, "")]
     docs = []
     for i in range(120):
         text = rng.choices(vocabulary, k=rng.randrange(60))
         if i % 3:
-            part = words(rng.choice(items[:30])[1])
+            part = words(rng.choice(items[:40])[1])
             part = part[rng.randrange(3) :]
             for _ in range(rng.randrange(4)):
                 part[rng.randrange(len(part))] = "other" if part else part
