@@ -9,7 +9,8 @@ whole text. ``check_cuts`` proves that for a model.
 Plan: documents -> (pre-token, which rows of this slice have it, how often), one row per slice and distinct pre-token
 -> all rows of a pre-token in one place -> its pieces, counted there once and joined to those rows -> explode -> sum by
 row. What is shuffled is the index, once, and not the text; a frequent pre-token has one row per slice, and adaptive
-execution may split a partition that grows too large (then a pre-token is counted once in each part).
+execution may split a partition that grows too large. Rows are sorted there, so that each pre-token is counted once (and
+once more for a part of its rows that was split off).
 
 Defined results: null or empty text has 0 bytes and 0 tokens; each row of the input gives one row, so that repeated
 rows and null ids come back as often as they went in; an empty table gives an empty result; other columns are ignored.
@@ -30,13 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import table
+from termweave.llm._spark import identified, table
 
 SLICE = 16 << 20  # bytes of text whose pre-tokens are indexed together
 MARK = "▁"  # the model's sign for a space
 BARE, MORE, WHOLE = "\x01", "\x02", "\x03"  # before a word without a space; for a further space; before a text in hex
 SIGNS = ",.!?;:#$%&*"  # cut off behind a letter
-KEPT = 300_000  # pre-tokens whose counts a task keeps
 ROWS = 1 << 15  # rows of a slice at most, so that a row and a count share 32 bits
 
 
@@ -98,15 +98,16 @@ def pieces(model, tokens: list[str]) -> list[int]:
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) to (base, pretoken, posts): for each slice its distinct pre-tokens with the rows that have them, a
-    post being (row - base) << 16 | count - 1 and a count above 65,536 several posts."""
+    post being (row - base) << 16 | count - 1 and a count above 65,536 several posts. A slice is of rows of one file."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-        a = 0
+        rows, a = batch.column(0).to_numpy(), 0
         while a < batch.num_rows:
             b = min(a + ROWS, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE, "right"))))
+            base = int(rows[a])
+            b = a + int(np.append(np.flatnonzero((rows[a:b] < base) | (rows[a:b] >= base + ROWS)), b - a)[0])
             part = batch.slice(a, b - a)
             a = b
-            base = part.column(0)[0].as_py()
             part = part.filter(pc.greater(pc.fill_null(pc.binary_length(part.column(1)), 0), 0))
             if not part.num_rows:
                 continue
@@ -127,26 +128,23 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > over) of every row, as sentencepiece counts whole texts.
-
-    Rows are told apart by their place in the input, so docs must give the same rows in the same order when it is
-    read again, as files do.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > over) of every row, as sentencepiece counts whole texts."""
+    made: list[str] = []
+    rows, row = identified(docs, made)
+    rows = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     index = rows.select("row", "text").mapInArrow(frequencies, "base long, pretoken string, posts array<int>")
 
     @F.pandas_udf("int")
     def count(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, known = processor(model_path), {}
-        for some in tokens:
+        model, last = processor(model_path), {}
+        for some in tokens:  # in order: a pre-token's rows follow one another, over the end of a batch as well
             code, found = pd.factorize(some)
-            if len(known) > KEPT:
-                known = {}
-            new = [t for t in found if t not in known]
-            known.update(zip(new, pieces(model, new), strict=True))
+            new = [t for t in found if t not in last]
+            known = last | dict(zip(new, pieces(model, new), strict=True))
             yield pd.Series(np.array([known[t] for t in found], np.int32)[code])
+            last = {some.iloc[-1]: known[some.iloc[-1]]} if len(some) else last
 
-    located = index.hint("rebalance", "pretoken").withColumn("pieces", count("pretoken"))
+    located = index.hint("rebalance", "pretoken").sortWithinPartitions("pretoken").withColumn("pieces", count("pretoken"))
     shares = located.select("base", "pieces", F.explode("posts").alias("post"))
     row = (F.col("base") + F.shiftright("post", 16)).alias("row")
     sums = shares.groupBy(row).agg(F.sum(F.col("pieces") * (F.col("post").bitwiseAND(0xFFFF).cast("long") + 1)).alias("n"))
