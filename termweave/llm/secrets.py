@@ -12,7 +12,7 @@ its nearest partner on either side and no pairs are made.
 
 Defined results: a null text counts as empty and has no spans; every row of the input gives a row, repeated rows and
 null ids included; spans that start together are ordered by kind as listed in ``KINDS``; other columns are ignored;
-an empty table gives an empty result. Rows are told apart by their place in the input (as files give them).
+an empty table gives an empty result. Texts are scanned once; rows are numbered in the table that this pass writes.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.window import Window
 
-from termweave.llm._spark import table, written
+from termweave.llm._spark import removed, table, written
 
 REACH = 240
 MASK = "[SECRET]"
@@ -90,15 +91,17 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
-PART = "struct<start:bigint,rank:int,end:bigint,kind:string,scope:int>"
+PART = StructType().add("start", "long").add("rank", "integer").add("end", "long").add("kind", "string").add("scope", "integer")
+FOUND = ["n_assign", "n_access", "n_hex", "base_sha256", "parts"]
 _PART = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("scope", pa.int32())])
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to counts, the digest of the strong spans, and all parts; parts only where something is found."""
+    """Rows with a text in column 0 to these with counts, the digest of the strong spans, and all parts, which only texts
+    have where something is found."""
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
-        texts = pc.fill_null(batch.column(2), "")
+        texts = pc.fill_null(batch.column(0), "")
         n = batch.num_rows
         counts, digest, parts = [[0] * n, [0] * n, [0] * n], [nothing] * n, [[]] * n
         maybe = pc.match_substring_regex(texts, MAYBE).to_numpy(zero_copy_only=False)
@@ -116,7 +119,7 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     scope += 1
                 rows.append({"start": s.start, "rank": s.rank, "end": s.end, "kind": s.kind, "scope": scope})
             parts[i] = rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(parts, pa.list_(_PART))], ["row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "parts"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(parts, pa.list_(_PART))], [*batch.schema.names, *FOUND])
 
 
 def linked(parts: DataFrame, reach: int) -> DataFrame:
@@ -135,47 +138,55 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     return seen.where(told).select("row", "start", "rank", "end", "kind")
 
 
-def scan(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, counts, digest) of every row of docs, and (row, spans) of those with findings."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema[1].dataType.simpleString()
-    found = written(rows.mapInArrow(scanned, f"row long, doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, parts array<{PART}>"), "secrets")
+def scan(docs: DataFrame, kept: list[Column], text_col: str, reach: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(row, kept columns, counts, digest, parts) of every row of docs, and (row, spans) of those with findings."""
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *kept)
+    shape = StructType(list(rows.schema.fields)).add("n_assign", "long").add("n_access", "long").add("n_hex", "long").add("base_sha256", "string").add("parts", ArrayType(PART))
+    whole = "whole" in rows.columns
+    found = rows.mapInArrow(scanned, shape).drop("text").withColumn("row", F.monotonically_increasing_id())
+    found = written(found, "secrets", made, "zstd" if whole else "snappy")
     spans = linked(found.where(F.size("parts") > 0), reach).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
-    return found.drop("parts"), spans
+    return found, spans
 
 
 def find_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined) of every row of docs."""
-    found, spans = scan(docs, reach, id_col, text_col)
+    made: list[str] = []
+    found, spans = scan(docs, [F.col(f"`{id_col}`").alias("doc_id")], text_col, reach, made)
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.join(spans, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"))
+    out = found.join(spans, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"))
+    out = written(out, "spans")
+    removed(docs.sparkSession, made)
+    return out
+
+
+def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, spans, further columns) to (masked text, further columns)."""
+    for batch in batches:
+        out = []
+        for t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, kept = 0, []
+            for s in found:
+                if s["start"] >= at:
+                    kept += [t[at : s["start"]], MASK]
+                at = max(at, s["end"])
+            out.append("".join([*kept, t[at:]]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
 
 def redact(docs: DataFrame, reach: int = REACH, text_col: str = "text") -> DataFrame:
     """docs with every reported span replaced by ``MASK``; other columns and untouched texts stay as they are."""
-    _, spans = scan(docs, reach, docs.columns[0], text_col)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-
-    def masked(batches):
-        for batch in batches:
-            texts, cuts = batch.column(0), batch.column(1).to_pylist()
-            out = []
-            for t, found in zip(texts.to_pylist(), cuts, strict=True):
-                if found:
-                    whole, at, kept = t, 0, []
-                    for s in found:
-                        if s["start"] >= at:
-                            kept += [whole[at : s["start"]], MASK]
-                        at = max(at, s["end"])
-                    t = "".join([*kept, whole[at:]])
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], [text_col, *batch.schema.names[2:]])
-
-    both = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left")
-    rest = [c for c in docs.columns if c != text_col]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    hit = both.where("spans is not null").select(text_col, "spans", *rest).mapInArrow(masked, f"`{text_col}` string, {kinds}")
-    return both.where("spans is null").select(*docs.columns).unionByName(hit.select(*docs.columns))
+    made: list[str] = []
+    found, spans = scan(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")], text_col, reach, made)
+    hit = found.where(F.size("parts") > 0).join(spans, "row", "left").select(F.col(f"whole.`{text_col}`").alias("text"), "spans", "whole")
+    shape = StructType().add("text", "string").add(found.schema["whole"])
+    cut = hit.where("spans is not null").select("text", "spans", "whole").mapInArrow(masked, shape)
+    columns = lambda text: [text.alias(c) if c == text_col else F.col(f"whole.`{c}`").alias(c) for c in docs.columns]
+    old = F.col(f"whole.`{text_col}`")
+    out = found.where(F.size("parts") == 0).select(*columns(old)).unionByName(hit.where("spans is null").select(*columns(old))).unionByName(cut.select(*columns(F.col("text"))))
+    out = written(out, "masked", compression="zstd")
+    removed(docs.sparkSession, made)
+    return out
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
