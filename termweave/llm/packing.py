@@ -3,8 +3,9 @@ length histogram by non-negative least squares, rounded, and the residual packed
 
 Only the histogram (at most ``size`` rows, whatever the corpus) reaches the driver. The plan it makes says how often
 each pattern repeats; pieces find their places by (length, rank among pieces of that length), so the assignment is one
-join with the plan. Ranks are counted per (length, salt) and shifted by prefix sums: no length, however common, is
-ranked in one task.
+join with the plan. Ranks are counted per (length, salt) and shifted by prefix sums, and the join is by (length, run of
+``RUN`` ranks), in which few slots lie: no length, however common, is ranked or placed in one task, and no piece meets
+all slots of its length.
 
 Defined results: null or empty text is one piece that holds only the end id; every row of the input is packed, so
 repeated rows and null ids are too; an empty table gives an empty result; other columns are ignored; a text longer
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termweave.llm._spark import table, written
+from termweave.llm._spark import removed, table, written
 from termweave.llm._text import U, mix, powers
 
 END = 0  # the id behind each document
 SLICE = 1 << 20  # characters of text that are encoded together
 RANKED = 10_000  # pieces that one task ranks, about
-BROADCAST_SLOTS = 1_000_000  # a plan of more slots is joined by a shuffle
+RUN = 4096  # ranks of a length that are placed together
 UNSURE = 255
 KEPT = 1 << 21  # pre-tokens whose ids a worker keeps; beyond that it starts anew
 BASE = 0xD1342543DE82EF95
@@ -124,9 +125,9 @@ class Encoder:
         clean = ["" if i in special else self.clean(t) for i, t in enumerate(texts)]
         joined = " ".join(clean)
         ends = np.cumsum([len(t) + 1 for t in clean])
-        if joined.isspace() or not joined:
-            return [special.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
         s, e, h = self.spans(joined)
+        if not len(s):
+            return [special.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
         code, keys = pd.factorize(h)
         place = self.place(keys)
         if len(new := np.flatnonzero(place < 0)):
@@ -256,8 +257,9 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out + [(p, k) for kinds in room for p, k in kinds.items()]
 
 
-def slots(made: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset): where the pieces of each length stand."""
+def slots(made: list[tuple[tuple[int, ...], int]], size: int) -> pa.Table:
+    """(length, low, n, sequence, offset): in which sequences, from the first on, the pieces of a length stand whose ranks
+    are low .. low + n - 1."""
     used, out, sequence = [0] * (size + 1), [], 0
     for p, k in made:
         offset = 0
@@ -266,27 +268,30 @@ def slots(made: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[int,
             used[n] += k
             offset += n
         sequence += k
-    return out
+    columns = np.array(out, np.int64).reshape(-1, 5).T
+    return pa.table(dict(zip(("length", "low", "n", "sequence", "offset"), columns, strict=True)))
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of at most ``size`` ids."""
-    spark = docs.sparkSession
-    pieces = written(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, size), "pieces")
+    spark, stored = docs.sparkSession, []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    pieces = written(cut(rows, path, size), "pieces", stored)
     histogram = np.zeros(size + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``size`` rows
         histogram[r["length"]] = r["count"]
-    places = slots(plan(histogram), size)
+    places = spark.createDataFrame(slots(plan(histogram), size))
     salts = max(1, int(histogram.sum()) // RANKED + 1)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = salted.withColumn("within", within).join(before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before")), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    where = spark.createDataFrame(places, "length long, low long, n long, sequence long, offset long")
-    if len(places) <= BROADCAST_SLOTS:
-        where = F.broadcast(where)
-    at = (ranked["length"] == where["length"]) & (ranked["rank"] >= where["low"]) & (ranked["rank"] < where["low"] + where["n"])
-    return ranked.join(where, at).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (where["sequence"] + ranked["rank"] - where["low"]).alias("sequence_id"), "offset")
+    run = lambda c: F.floor(c / RUN)
+    where = places.select("*", F.explode(F.sequence(run(F.col("low")), run(F.col("low") + F.col("n") - 1))).alias("run"))
+    met = ranked.withColumn("run", run(F.col("rank"))).join(where, ["length", "run"]).where("rank >= low and rank < low + n")
+    out = written(met.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"), "packed")
+    removed(spark, stored)
+    return out
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
