@@ -21,15 +21,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from termweave.llm._spark import table, written
+from termweave.llm._spark import removed, table, written
 from termweave.llm._text import chunks, prefix, spans, words
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
 FOLDS = 5
 THRESHOLD = 0.3
+DIGITS = 9  # of a gain; equal ones go to the first cut, feature or pair
 NAMES = ["log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "bar", "bang", "stop", "line_break", "wide", "distinct", "repeat", "top_word", "short", "capital", "longest_run"]
 _CLASSES = np.zeros((256, 9))
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*^~<>{}[]\\=+_@", b"|", b"!", b".,;:?", b"\n", bytes(range(128, 256)), b"abcdefghijklmnopqrstuvwxyz")):
@@ -100,6 +102,7 @@ def _split(g: np.ndarray, h: np.ndarray, lam: float, least: float) -> tuple[floa
     gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
     gr, hr = g.sum() - gl, h.sum() - hl
     gain = np.where((hl >= least) & (hr >= least), gl**2 / (hl + lam) + gr**2 / (hr + lam) - g.sum() ** 2 / (h.sum() + lam), 0)
+    gain = np.round(gain, DIGITS)
     return float(gain.max()), int(gain.argmax()) + 1
 
 
@@ -126,12 +129,12 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, lam: float, least: float) -> tuple[
             total, out = 0.0, np.zeros(G.shape)
             for a, b in ((0, k), (k, len(G))):
                 gs, hs = G[a:b].sum(0), H[a:b].sum(0)
-                _, c = _split(gs, hs, lam, least)
-                for s in (slice(0, c), slice(c, None)) if c else (slice(None),):
+                found, c = _split(gs, hs, lam, least)
+                for s in (slice(0, c), slice(c, None)) if found > 0 else (slice(None),):
                     total += gs[s].sum() ** 2 / (hs[s].sum() + lam)
                     out[a:b, s] = -gs[s].sum() / (hs[s].sum() + lam)
-            if total - whole > best:
-                best, values = total - whole, (out.T if flip else out).copy()
+            if (gain := round(total - whole, DIGITS)) > best:
+                best, values = gain, (out.T if flip else out).copy()
     return best, values
 
 
@@ -180,14 +183,19 @@ def held_out(id_col: str, folds: int):
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; labels has the id and the label column."""
-    return _classified(docs, labels, label, threshold, sample, folds, id_col, text_col).drop("row")
+    made: list[str] = []
+    out = written(_classified(docs, labels, made, [], label, threshold, sample, folds, id_col, text_col), "classified")
+    removed(docs.sparkSession, made)
+    return out
 
 
-def _classified(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """classify with the number of the document's row in front."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    measured = written(source.mapInArrow(features, f"doc_id {source.schema[0].dataType.simpleString()}, features array<float>, row long"), "quality")
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id", folds))
+def _classified(docs: DataFrame, labels: DataFrame, made: list[str], kept: list[Column], label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """classify with further columns ``kept`` of docs, which go with their row through every step."""
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *kept)
+    rest = list(source.schema.fields[2:])
+    shape = StructType([source.schema[0], StructField("features", ArrayType(FloatType())), *rest])
+    measured = written(source.mapInArrow(features, shape), "quality", made, "zstd" if kept else "snappy")
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id", folds))
     # ids and labels alone are shuffled to draw the sample; features follow only for the rows drawn
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = measured.join(drawn, "doc_id").select("doc_id", "features", "y").toPandas().sort_values(["doc_id", "y"])
@@ -198,10 +206,10 @@ def _classified(docs: DataFrame, labels: DataFrame, label: str = "quality", thre
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(model.score(x))], ["row", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
-    scored = measured.mapInArrow(score, f"row long, doc_id {source.schema[0].dataType.simpleString()}, score double")
-    return scored.select("row", "doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = measured.mapInArrow(score, StructType([source.schema[0], StructField("score", DoubleType()), *rest]))
+    return scored.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(f.name for f in rest))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +218,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    made = _classified(docs, table(spark, sf_dir, "labels"))
-    rejected = made.where("predicted = 0").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(rejected, "_row", "left_anti").select(*docs.columns)
+    made: list[str] = []
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    out = written(_classified(docs, table(spark, sf_dir, "labels"), made, [whole]).where("predicted = 1").select(*(F.col(f"whole.`{c}`").alias(c) for c in docs.columns)), "good", compression="zstd")
+    removed(spark, made)
+    return out
