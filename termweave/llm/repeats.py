@@ -36,8 +36,8 @@ from termweave.llm._text import BASE, BYTES, U, chunks, powers, spans, word_hash
 LENGTH = 400
 WORDS = 50
 SALTS = 16  # tasks that the copies of one text are dealt to
-PACK = 4 << 20  # bytes of text in a pack, about
-SHARD = 4_000_000  # hashes in a shard, about
+PACK = 2 << 20  # bytes of text in a pack, about
+SHARD = 2_000_000  # hashes in a shard, about
 NONE = hashlib.sha256(b"").digest()
 MOST = U(0xFFFFFFFFFFFFFFFF)
 
