@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termweave.functions import text as T
-from termweave.operators import evaluate, explorer, graph, linkage, ontology, resolve, retrieve
+from termweave.functions import paths
+from termweave.operators import evaluate, evidence, explorer, graph, linkage, ontology, resolve, retrieve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +34,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # ---- retrieval ------------------------------------------------------------------------------------------------
 
-EVERY = 25  # each so-manyth vector is a query
+EVERY = 20  # each so-manyth vector is a query
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -74,19 +75,19 @@ def others(spark, d):
     return q, found.withColumn("rank", F.row_number().over(Window.partitionBy("ontology", "query_id").orderBy(F.col("score").desc(), "term_id")) - 1)
 
 
-OTHERS = """
+OTHERS = f"""
 with m as (select *, row_number() over (partition by ontology, query_id order by score desc, term_id) - 1 as rank from (
   select q.label as ontology, q.vec_id as query_id, t.vec_id as term_id, round(list_cosine_similarity(q.embedding::double[], t.embedding::double[]), 6) + 0.0 as score
-  from embeddings q join embeddings t on q.label = t.label and q.vec_id <> t.vec_id where q.vec_id % 25 = 0) qualify rank < 10)"""
+  from embeddings q join embeddings t on q.label = t.label and q.vec_id <> t.vec_id where q.vec_id % {EVERY} = 0) qualify rank < 10)"""
 
 
-@query(OTHERS + """
-select ontology, query_id, score, case when score is null then 'none' when score < 0.7 then 'low' end as flag
-from (select label as ontology, vec_id as query_id from embeddings where vec_id % 25 = 0) q left join (select * from m where rank = 0) using (ontology, query_id)""")
+@query(OTHERS + f"""
+select ontology, query_id, score, case when score is null then ontology || ': no matches found for query ' || chr(39) || query_id || chr(39)
+  when score < 0.7 then ontology || ': top match score ' || printf('%.3f', score) || ' below threshold 0.7 for query ' || chr(39) || query_id || chr(39) end as flag
+from (select label as ontology, vec_id as query_id from embeddings where vec_id % {EVERY} = 0) q left join (select * from m where rank = 0) using (ontology, query_id)""")
 def retrieve_flags(spark, d):
     q, m = others(spark, d)
-    kind = F.when(F.contains("flag", F.lit("below threshold")), "low").when(F.col("flag").isNotNull(), "none")
-    return retrieve.flags(q, m).select("ontology", "query_id", "score", kind.alias("flag"))
+    return retrieve.flags(q, m).select("ontology", "query_id", "score", "flag")
 
 
 def candidates(spark, d):
@@ -211,9 +212,9 @@ def semi_filter(spark, d):
     return linkage.having_any_key(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], wanted, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("select distinct c_custkey as o_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select distinct doc_id from documents where doc_id not in (select doc_id from labels)")
 def anti_missing(spark, d):
-    return linkage.missing_keys(read(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", read(spark, d, "orders"), "o_custkey").select("o_custkey")
+    return linkage.missing_keys(read(spark, d, "documents"), "doc_id", read(spark, d, "labels"), "doc_id").select("doc_id")
 
 
 @query("select lang, source, min(doc_id) as doc_id from documents group by all")
@@ -391,15 +392,17 @@ def micro_macro(spark, d):
 
 
 def curated(spark, d):
+    """Every document is a record and a gold row; numbers are shared by two documents that follow one another."""
     docs = read(spark, d, "documents").select("doc_id")
-    name = lambda db, v: F.concat(F.lit(db), F.lpad((F.col("doc_id") % 400).cast("string"), 9, "0"), F.lit("."), v.cast("string"))
-    records = docs.where("doc_id % 2 = 0").select(name("GCA_", F.col("doc_id") % 3 + 1).alias("accession"))
-    gold = docs.where("doc_id % 3 <> 1").select(F.when(F.col("doc_id") % 5 == 0, name("GCA_", F.col("doc_id") % 3 + 1)).otherwise(name("GCF_", F.col("doc_id") % 4 + 1)).alias("accession"))
+    name = lambda db, k, v: F.concat(F.lit(db), F.lpad(k.cast("bigint").cast("string"), 9, "0"), F.lit("."), v.cast("string"))
+    k = F.floor(F.col("doc_id") / 2)
+    records = docs.select(name("GCA_", k, F.col("doc_id") % 3 + 1).alias("accession"))
+    gold = docs.select(F.when(F.col("doc_id") % 5 == 0, name("GCA_", k, F.col("doc_id") % 3 + 1)).otherwise(name("GCF_", k, F.col("doc_id") % 4 + 1)).alias("accession"))
     return records, gold
 
 
-@query("""with r as (select distinct 'GCA_' || lpad((doc_id % 400)::varchar, 9, '0') as b, doc_id % 3 + 1 as v from documents where doc_id % 2 = 0),
-g as (select distinct case when doc_id % 5 = 0 then 'GCA_' else 'GCF_' end as db, lpad((doc_id % 400)::varchar, 9, '0') as n, case when doc_id % 5 = 0 then doc_id % 3 + 1 else doc_id % 4 + 1 end as v from documents where doc_id % 3 <> 1),
+@query("""with r as (select distinct 'GCA_' || lpad((doc_id // 2)::varchar, 9, '0') as b, doc_id % 3 + 1 as v from documents),
+g as (select distinct case when doc_id % 5 = 0 then 'GCA_' else 'GCF_' end as db, lpad((doc_id // 2)::varchar, 9, '0') as n, case when doc_id % 5 = 0 then doc_id % 3 + 1 else doc_id % 4 + 1 end as v from documents),
 x as (select b, r.v, 1 as rule, db || '_' as z, db || n || '.' || g.v as acc from r join g on b = db || n and r.v = g.v
   union all select b, r.v, 2, '', db || n || '.' || g.v from r join g on db = 'GCF_' and substr(b, 5) = n and r.v = g.v
   union all select b, r.v, 3, '', min(db || n || '.' || g.v) from r join g on db = 'GCF_' and substr(b, 5) = n group by b, r.v having count(distinct g.v) = 1)
@@ -428,32 +431,76 @@ def eval_grid(spark, d):
 # ---- graph, identifiers, summaries ----------------------------------------------------------------------------
 
 
-def mentions(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    sample = o.select(F.lit("sample").alias("type"), F.concat(F.lit("SAMN"), "o_custkey").alias("identifier"), F.concat(F.lit("customer "), "o_custkey").alias("label"), F.col("o_orderkey").alias("record_id"))
-    study = o.select(F.lit("study").alias("type"), F.concat(F.lit("PRJEB"), F.col("o_custkey") % 10).alias("identifier"), F.concat(F.lit("PRJEB"), F.col("o_custkey") % 10).alias("label"), F.col("o_orderkey").alias("record_id"))
-    return sample.unionByName(study)
-
-
-@query("""with m as (select 'sample' as type, 'SAMN' || o_custkey as identifier, 'customer ' || o_custkey as label, o_orderkey as r from orders union all select 'study', 'PRJEB' || o_custkey % 10, 'PRJEB' || o_custkey % 10, o_orderkey from orders)
-select type, identifier, min(label) as label, array_to_string(list_sort(list(distinct r))[1:8], ',') as record_ids, count(distinct r) as n_records from m group by type, identifier""")
+def recorded(spark, d):
+    """Orders as records of every shape that the graph reads: assemblies with samples, projects with publications, runs,
+    and curated rows with proposals."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"))
+    text = lambda *xs: F.concat(*(F.col(x) if x in ("k", "c") else F.lit(x) for x in xs))
+    genome = text('{"genome":{"accession":"GCA_', "k", '.1","organism":{"taxId":', "c", ',"organismName":"S. ', "c", '"},"assemblyInfo":{"bioprojectAccession":"PRJNA', "c", '","biosample":{"accession":"SAMN', "k", '","hostDisease":"Fever ', "c", '"}}}}')
+    project = text('{"bioprojects":[{"accession":"PRJEB', "c", '","title":"study ', "c", '","publications":[{"db":"Pubmed","id":"', "c", '"},{"doi":"10.1234/A', "c", '"},{"id":"7"}]}],"description":"PRJNA1 by NIAID"}')
+    run = text('{"sra_runs":[{"run_accession":"SRR', "k", '","experiment_accession":"SRX', "c", '","sample_accession":"SRS', "c", '","study_accession":"SRP', "c", '"}]}')
+    curated_row = text('{"source_record":{"record_id":"SAMN', "k", '","niaid_program":"NIAID ', "c", '","disease":"not provided"},"proposal":{"record_id":"SAMN', "k", '","candidate_curies":["MONDO:', "c", '"],"terms":[{"ontology":"MONDO","term_id":"MONDO:', "c", '","label":"term ', "c", '"},{"ontology":"MONDO","term_id":"MONDO:9"}]}}')
+    by = F.col("o_orderkey") % 4
+    return o.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderkey").alias("line"), F.when(by == 0, genome).when(by == 1, project).when(by == 2, run).otherwise(curated_row).alias("payload"))
+
+
+SAID = """with o as (select o_orderkey as r, o_custkey as c, o_orderkey % 4 as b from orders),
+e as (
+  select r, 'sequence:GCA_' || r || '.1' as s, case when c = 0 then 'organism:name:s. 0' else 'organism:NCBITaxon:' || c end as t, 'organism' as relation, 'reported' as status from o where b = 0
+  union all select r, 'sequence:GCA_' || r || '.1', 'study:PRJNA' || c, 'belongs to study', 'reported' from o where b = 0
+  union all select r, 'sequence:GCA_' || r || '.1', 'sample:SAMN' || r, 'sequenced from', 'reported' from o where b = 0
+  union all select r, 'sample:SAMN' || r, 'disease:reported:fever ' || c, 'reported disease', 'reported' from o where b = 0
+  union all select r, 'study:PRJEB' || c, 'publication:PMID:' || c, 'cites', 'reported' from o where b = 1
+  union all select r, 'study:PRJEB' || c, 'publication:DOI:10.1234/A' || c, 'cites', 'reported' from o where b = 1
+  union all select r, 'sequence:SRR' || r, 'sequence:SRX' || c, 'run of experiment', 'reported' from o where b = 2
+  union all select r, 'sequence:SRR' || r, 'sample:SRS' || c, 'sequenced from', 'reported' from o where b = 2
+  union all select r, 'sequence:SRR' || r, 'study:SRP' || c, 'belongs to study', 'reported' from o where b = 2
+  union all select r, 'sample:SAMN' || r, 'program:NIAID:niaid ' || c, 'reported NIAID program', 'reported' from o where b = 3
+  union all select r, 'sample:SAMN' || r, 'disease:MONDO:' || c, 'proposed disease', 'proposed' from o where b = 3),
+m as (select r, s as n from e union select r, t from e),
+p as (select r, n, case when n like '%:GCA~_%' escape '~' then 'NCBI Assembly' when n like 'sequence:SR%' or n like 'sample:SR%' or n like 'study:SR%' then 'SRA / INSDC' when n like 'study:%' then 'BioProject' when n like 'sample:%' then 'BioSample'
+  when n like '%:PMID:%' then 'PubMed' when n like '%:DOI:%' then 'DOI' when n like '%:NCBITaxon:%' then 'NCBI Taxonomy' end as a from m),
+n as (select r, n from m union select r, 'repository:' || a from p where a is not null),
+l as (select r, s, t, relation, status from e union select r, n, 'repository:' || a, 'registered in', 'derived' from p where a is not null)"""
+
+
+def said(spark, d):
+    return evidence.statements(recorded(spark, d))
+
+
+@query(SAID + """, labels_of as (select case when c = 0 then 'organism:name:s. 0' else 'organism:NCBITaxon:' || c end as n, 'S. ' || c as label from o union select 'disease:reported:fever ' || c, 'Fever ' || c from o union select 'study:PRJEB' || c, 'study ' || c from o union select 'program:NIAID:niaid ' || c, 'NIAID ' || c from o union select 'disease:MONDO:' || c, 'term ' || c from o)
+select split_part(n.n, ':', 1) as type, n.n[length(split_part(n.n, ':', 1)) + 2:] as identifier, coalesce(min(label), n.n[length(split_part(n.n, ':', 1)) + 2:]) as label, array_to_string(list_sort(list(distinct r))[1:8], ',') as record_ids, count(distinct r) as n_records
+from n left join labels_of using (n) group by n.n""")
 def graph_nodes(spark, d):
-    return graph.nodes(mentions(spark, d)).withColumn("record_ids", F.array_join(F.col("record_ids").cast("array<string>"), ","))
+    made = graph.nodes(evidence.mentions(said(spark, d)))
+    return made.select("type", "identifier", "label", F.array_join(F.col("record_ids").cast("array<string>"), ",").alias("record_ids"), "n_records")
 
 
-@query("""with m as (select distinct 'sample:SAMN' || o_custkey as source, 'study:PRJEB' || o_custkey % 10 as target, 'part of' as relation, o_orderkey as e from orders union all
-  select distinct 'sample:SAMN' || o_custkey, 'repository:NCBI', 'registered in', null from orders union all select distinct 'study:PRJEB' || o_custkey % 10, 'repository:ENA', 'registered in', null from orders)
-select source, target, relation, count(*) as n_evidence from (select *, row_number() over (partition by source, target, relation order by e) as k from m) where k <= 5 group by all""")
+@query(SAID + """ select s as source, t as target, relation, status, least(count(distinct r), 5) as n_records, array_to_string(list_sort(list(distinct r))[1:5], ',') as record_ids from l group by all""")
 def graph_edges(spark, d):
-    o = read(spark, d, "orders")
-    own = o.select(F.concat(F.lit("sample:SAMN"), "o_custkey").alias("source"), F.concat(F.lit("study:PRJEB"), F.col("o_custkey") % 10).alias("target"), F.lit("part of").alias("relation"), F.lit("source").alias("status"), F.col("o_orderkey").cast("string").alias("evidence"))
-    made = graph.edges(own.unionByName(graph.registered(mentions(spark, d))))
-    return made.select("source", "target", "relation", F.size("evidence").cast("long").alias("n_evidence"))
+    # an archive is told by each statement about an entity; here a record counts once
+    made = evidence.claims(said(spark, d)).withColumn("evidence", F.col("evidence.record_id"))
+    return graph.edges(made).select("source", "target", "relation", "status", F.size("evidence").cast("long").alias("n_records"), F.array_join(F.col("evidence").cast("array<string>"), ",").alias("record_ids"))
 
 
-@query("select t as type, case t when 'sample' then (select count(distinct o_custkey) from orders) when 'study' then (select count(distinct o_custkey % 10) from orders) else 0 end as n from (select unnest(['study','sample','sequence','publication','organism','disease','repository','program']) as t)")
+@query(SAID + " select k as type, (select count(distinct n.n) from n where n.n like k || ':%') as n from (select unnest(['study','sample','sequence','publication','organism','disease','repository','program']) as k)")
 def graph_type_counts(spark, d):
-    return graph.type_counts(graph.nodes(mentions(spark, d)))
+    return graph.type_counts(graph.nodes(evidence.mentions(said(spark, d))))
+
+
+@query("select count(*) as records, 0::bigint as unsupported, 0::bigint as truncated from orders")
+def graph_accounting(spark, d):
+    rows = recorded(spark, d)
+    return evidence.accounting(rows, evidence.statements(rows)).select("records", "unsupported", "truncated")
+
+
+@query("""select o_orderkey as k, 'PMID:' || o_custkey || ',DOI:10.1000/Ab' || o_orderkey as ids, case o_orderkey % 3 when 0 then 'BioProject' when 1 then 'GenBank / RefSeq' else 'SRA / INSDC' end as archive,
+case o_orderkey % 3 when 0 then 'https://www.ncbi.nlm.nih.gov/bioproject/PRJ' || o_orderkey when 1 then 'https://www.ncbi.nlm.nih.gov/nuccore/NC_' || o_orderkey else 'https://www.ncbi.nlm.nih.gov/sra/?term=ERX' || o_orderkey end as url from orders""")
+def publication_archive(spark, d):
+    o = read(spark, d, "orders")
+    text = F.concat(F.lit("pmid:"), "o_custkey", F.lit("; https://doi.org/10.1000/Ab"), "o_orderkey", F.lit(" see p. 7x, PMID:"), "o_custkey")
+    name = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "PRJ").when(F.col("o_orderkey") % 3 == 1, "NC_").otherwise("ERX"), "o_orderkey")
+    return o.select(F.col("o_orderkey").alias("k"), F.array_join(T.publication_ids(text), ",").alias("ids"), T.repository(name, F.lit("sequence")).alias("archive"), T.repository_url(name, F.lit("sequence")).alias("url"))
 
 
 @query("""select distinct p_partkey, case when p_size % 2 = 0 then 'GCA' else 'GCF' end as db, lpad(p_partkey::varchar, 9, '0') as number, p_size % 4 as version, case when p_size % 2 = 0 then 'GCF_' else 'GCA_' end || lpad(p_partkey::varchar, 9, '0') || '.' || p_size % 4 as twin from part""")
@@ -494,3 +541,176 @@ def summary_counts(spark, d):
 @query(r"select distinct unnest(regexp_extract_all(text, '\S+')) as word from documents")
 def unique_words(spark, d):
     return read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("word")).distinct()
+
+
+# ---- enrichment, mappings, checks -----------------------------------------------------------------------------
+
+
+@query("""with n as (select count(*) as n from customer), k as (select o_orderkey as id, 0 as pos, o_custkey as key from orders union all select o_orderkey, 1, o_custkey * 7 % (select n from n) from orders),
+m as (select id, l, min(pos) as pos from (select id, pos, c_nationkey || ':' || c_mktsegment as l from k join customer on c_custkey = key) group by id, l)
+select o_orderkey, coalesce(string_agg(l, ',' order by pos, l), '') as found from orders left join m on id = o_orderkey group by o_orderkey""")
+def enrich_dedup(spark, d):
+    o, c = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer")
+    facts = c.select("c_custkey", F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("l"))
+    # two customers of one nation and segment are the same whole record
+    records = facts.select("c_custkey", "l")
+    asked = o.withColumn("keys", F.array("o_custkey", F.col("o_custkey") * 7 % c.count()))
+    made = linkage.enriched(asked, "o_orderkey", F.col("keys"), records.select(F.col("c_custkey").alias("key"), "l"), "key", ["l"], "rows")
+    return made.select("o_orderkey", F.array_join(F.array_distinct(F.transform("rows", lambda r: r["l"])), ",").alias("found"))
+
+
+@query("""select c_custkey, string_agg(o_orderkey, ',' order by o_orderkey) as orders from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders) on o_custkey = c_custkey and n <= 5 group by c_custkey""")
+def first_related(spark, d):
+    made = linkage.first_related(read(spark, d, "customer").select("c_custkey"), "c_custkey", read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], 5, "orders")
+    return made.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
+
+
+@query("select doc_id, row_number() over (order by lang, doc_id) as id from documents")
+def surrogate_ids(spark, d):
+    return linkage.surrogate(read(spark, d, "documents").select("doc_id", "lang"), ["lang", "doc_id"]).select("doc_id", "id")
+
+
+@query("select doc_id, quality, lang, lang is not null as found from labels left join documents using (doc_id)")
+def proposal_metadata(spark, d):
+    labels = read(spark, d, "labels").select("doc_id", "quality")
+    return linkage.with_metadata(labels, read(spark, d, "documents"), "doc_id", ["lang"]).select("doc_id", "quality", F.col("metadata.lang").alias("lang"), "found")
+
+
+@query("select (select count(*) from documents where doc_id in (select doc_id from labels)) as matched, (select count(*) from documents where doc_id not in (select doc_id from labels)) as left_only, (select count(*) from labels where doc_id not in (select doc_id from documents)) as right_only")
+def matched_counts(spark, d):
+    return linkage.matched_counts(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
+
+
+def mapped(spark, d):
+    """Each part's number to its size and its number's remainder."""
+    return read(spark, d, "part").select("p_partkey", F.array_distinct(F.array(F.concat(F.lit("s"), "p_size"), F.concat(F.lit("r"), F.col("p_partkey") % 17))).alias("to"))
+
+
+@query("with m as (select p_partkey, 's' || p_size as value from part union all select p_partkey, 'r' || p_partkey % 17 from part) select value, max(p_partkey) as p_partkey from m group by value")
+def xref_inverted(spark, d):
+    return linkage.inverted(mapped(spark, d), "p_partkey", "to", "p_partkey")
+
+
+@query("with m as (select p_partkey, 's' || p_size as v from part union select p_partkey, 'r' || p_partkey % 17 from part union select p_partkey + 1, 's1' from part) select p_partkey, string_agg(v, ',' order by v) as values from m group by p_partkey")
+def xref_united(spark, d):
+    new = read(spark, d, "part").select((F.col("p_partkey") + 1).alias("p_partkey"), F.array(F.lit("s1")).alias("to"))
+    return linkage.united(mapped(spark, d), new, "p_partkey", "to").select("p_partkey", F.array_join("to", ",").alias("values"))
+
+
+@query("select l_orderkey, l_linenumber, coalesce(p_brand, 'NA') as p_brand from lineitem left join (select p_partkey, p_brand from part where p_size > 25) on p_partkey = l_partkey")
+def xref_lookup(spark, d):
+    brands = read(spark, d, "part").where("p_size > 25").select("p_partkey", "p_brand")
+    return linkage.xref(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", brands, "p_partkey", "p_brand").select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("select o_custkey, o_orderkey, n_rows from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n, count(*) over (partition by o_custkey) as n_rows from orders) where n = 1")
+def first_gold_row(spark, d):
+    return linkage.first_of(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "n_rows")
+
+
+@query(MERGED + " select record, term_id, max(score) as score from c group by all")
+def best_scores(spark, d):
+    return resolve.best_scores(candidates(spark, d))
+
+
+def planned_texts(spark, d):
+    """A plan for each query vector: two mappings of its ontology, the second with the vector's successor as a text."""
+    q, t = vectors(spark, d)
+    text = lambda c: F.array(c.cast("string"))
+    m = lambda o, x: F.struct(o.alias("ontology"), x.alias("query_texts"))
+    o = F.col("ontology").cast("string")
+    plans = q.select(F.col("id").cast("string").alias("record_id"), F.col("id").alias("line"), F.array(m(o, text(F.col("id"))), m(o, F.array(F.col("id").cast("string"), F.lit("none")))).alias("mappings"), F.array(F.lit("seen")).alias("flags"))
+    return plans, q
+
+
+@query(OTHERS + """, f as (select query_id, ontology, max(score) as s from m where rank = 0 group by all),
+q as (select label as ontology, vec_id as query_id from embeddings where vec_id % """ + str(EVERY) + """ = 0),
+g as (select query_id::varchar as record_id, ontology, case when s is null then ontology || ': no matches found for query ' || chr(39) || query_id || chr(39) when s < 0.7 then ontology || ': top match score ' || printf('%.3f', s) || ' below threshold 0.7 for query ' || chr(39) || query_id || chr(39) end as x from q left join f using (query_id, ontology))
+select record_id, (select count(*) from m where m.query_id::varchar = record_id) * 2 as n_matches, concat_ws('|', 'seen', x, x, ontology || ': no matches found for query ' || chr(39) || 'none' || chr(39)) as flags from g""")
+def retrieve_assembly(spark, d):
+    plans, q = planned_texts(spark, d)
+    asked = retrieve.requests(plans)
+    known = q.select(F.col("id").cast("string").alias("record_id"), F.col("ontology").cast("string").alias("ontology"), F.col("id").cast("string").alias("query_text"), "embedding")
+    vectors_of = retrieve.embedded(asked.where("query_text <> 'none'"), known)
+    _, found = others(spark, d)
+    found = found.where("rank < 10").select(F.col("query_id").cast("string").alias("record_id"), "term_id", F.concat(F.lit("t"), "term_id").alias("label"), "score", "rank")
+    matches = vectors_of.select("record_id", "bucket", "place").join(found, "record_id")
+    made = retrieve.assembled(plans, matches, "line")
+    n = F.aggregate(F.flatten(F.transform("buckets", lambda b: F.transform(b["query_texts"], lambda t: F.size(t["matches"])))), F.lit(0), lambda a, x: a + x)
+    return made.select("record_id", n.cast("long").alias("n_matches"), F.array_join("flags", "|").alias("flags"))
+
+
+@query("""select o_custkey as record, concat_ws(',', case when count(*) filter (o_orderkey % 3 = 0) = 0 then 'empty_rag_A' end, case when count(*) filter (o_orderkey % 3 <> 0) = 0 then 'empty_rag_B' end,
+  case when count(*) filter (o_orderkey % 3 = 0) > count(distinct o_orderkey % 7) filter (o_orderkey % 3 = 0) then 'duplicate_curies_A' end, case when count(*) filter (o_orderkey % 3 <> 0) > count(distinct o_orderkey % 7) filter (o_orderkey % 3 <> 0) then 'duplicate_curies_B' end,
+  case when max(o_totalprice / 1000000) filter (o_orderkey % 3 = 0) < 0.2 then 'low_scores_A' end, case when max(o_totalprice / 1000000) filter (o_orderkey % 3 <> 0) < 0.2 then 'low_scores_B' end) as flags from orders group by o_custkey""")
+def retrieve_checks(spark, d):
+    c = F.struct((F.col("o_orderkey") % 7).cast("string").alias("curie"), (F.col("o_totalprice") / 1000000).alias("score"))
+    of = lambda test: F.collect_list(F.when(test, c))
+    rows = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("record")).agg(of(F.col("o_orderkey") % 3 == 0).alias("a"), of(F.col("o_orderkey") % 3 != 0).alias("b"))
+    buckets = F.array(*(F.struct(F.lit(n.upper()).alias("ontology"), F.col(n).alias("candidates")) for n in "ab"))
+    return rows.select("record", F.array_join(resolve.retrieve_checks(buckets, 0.2), ",").alias("flags"))
+
+
+@query("""with x as (select p_partkey as record, p_size % 4 as n, p_partkey % 3 = 0 as foreign_term, p_partkey % 5 = 0 as odd, p_partkey % 7 = 0 as reason, p_partkey % 2 = 0 as flagged from part),
+f as (select *, concat_ws(',', case when flagged then 'seen' end, case when n > 0 and foreign_term then 'term_not_in_candidates' end, case when n = 0 and not reason then 'empty_terms_no_reason' end, case when n > 1 then 'multiple_primary_same_ontology' end, case when n > 0 and odd then 'invalid_confidence' end, case when n > 0 and not odd then 'low_confidence_primary' end) as flags from x)
+select record, flags, case when n = 0 then 'insufficient_evidence' when flags = '' then 'proposed' else 'proposed_with_flags' end as outcome, case when n = 0 and not reason then 'Unknown reason (flagged by checker)' when reason then 'why' end as abstain_reason from f""")
+def resolve_checks(spark, d):
+    p = read(spark, d, "part")
+    n = (F.col("p_size") % 4).cast("int")
+    term = lambda i: F.struct(F.lit("MONDO").alias("ontology"), F.concat(F.lit("t"), i.cast("string")).alias("term_id"), F.lit("primary").alias("role"), F.when(F.col("p_partkey") % 5 == 0, "sure").otherwise("low").alias("confidence"))
+    terms = F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= n, term(i))), lambda t: t.isNotNull())
+    known = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array(*(F.lit(f"t{i}") for i in (1, 2, 3))))
+    none = F.array().cast("array<string>")
+    rows = p.select(F.col("p_partkey").alias("record"), terms.alias("terms"), known.alias("candidate_curies"), F.when(F.col("p_partkey") % 7 == 0, "why").alias("abstain_reason"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("seen"))).otherwise(none).alias("flags"), F.lit("proposed").alias("outcome"))
+    return resolve.resolve_checks(rows).select("record", F.array_join("flags", ",").alias("flags"), "outcome", "abstain_reason")
+
+
+@query("""with j as (select doc_id as record_id, case when quality = 1 then 'good' else '' end as g, case when n_chars > 800 then 'good' when n_chars > 400 then 'bad' else '' end as p from documents join labels using (doc_id))
+select record_id, 'en' as ontology, g as f1_gold, p as f1_pred, (g <> '' and g = p)::int as f1_match from j union all select record_id, 'de', '', '', 0 from j""")
+def melt_f1(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    terms = F.when(F.col("n_chars") > 800, F.array(F.lit("good"))).when(F.col("n_chars") > 400, F.array(F.lit("bad")))
+    long = rows.select(F.col("doc_id").alias("record_id"), F.lit("en").alias("ontology"), F.when(F.col("quality") == 1, "good").alias("gold"), terms.alias("terms"))
+    return evaluate.melted(evaluate.wide_f1(long, ["en", "de"]), ["en", "de"])
+
+
+@query("""select o_orderkey as record_id, case o_orderkey % 3 when 0 then 'no_matching_record' when 1 then 'no_gold_term' else 'scored' end as status, count(*) as n_terms,
+round(avg(case when o_orderkey % 3 = 2 and l_linenumber % 2 = 0 then l_linenumber * 1.5 end), 9) as x from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+def record_scores(spark, d):
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.lit("MONDO").alias("ontology"), F.col("l_linenumber").cast("string").alias("term_id"))
+    keys = read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"))
+    gold = keys.where("record_id % 3 > 0").select("record_id", F.lit("MONDO").alias("ontology"), F.when(F.col("record_id") % 3 == 2, "g").alias("gold"))
+    scored = lines.select("ontology", F.col("term_id").alias("a"), F.lit("g").alias("b"), F.when(F.col("term_id").cast("int") % 2 == 0, F.col("term_id").cast("int") * 1.5).alias("x")).distinct()
+    return evaluate.record_scores(lines, gold, scored, ["x"]).select("record_id", "status", "n_terms", F.round("x", 9).alias("x"))
+
+
+@query("""with e as (select doc_id * 2 as entry_id, doc_id % 4 as report_id, doc_id as record_id, quality as run_id, doc_id as line from labels union all select doc_id * 2 + 1, doc_id % 4, doc_id, quality, doc_id + 1 from labels where doc_id % 2 = 0)
+select doc_id as record_id, min(entry_id) as entry_id, report_id, 'report ' || report_id as report_name, case when doc_id % 3 = 0 then 'note ' || doc_id end as comment from documents join e on record_id = doc_id and run_id = doc_id % 3 where report_id <> 3 group by doc_id, report_id""")
+def matched_view(spark, d):
+    docs, e = reported(spark, d)
+    labels = e.select("record_id", "run_id", "entry_id", (F.col("record_id") % 4).alias("report_id"), (F.col("record_id") + F.col("entry_id") % 2).alias("line"), F.format_string('{"record_id":%s,"k":1}', F.col("record_id").cast("string")).alias("payload"))
+    reports = read(spark, d, "region").select("r_regionkey").where("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("report_id"), F.concat(F.lit("report "), "r_regionkey").alias("name"))
+    comments = docs.where("record_id % 3 = 0").select("record_id", F.concat(F.lit("note "), "record_id").alias("comment"))
+    return explorer.matched_view(docs, labels, reports, comments).select("record_id", "entry_id", "report_id", "report_name", "comment")
+
+
+@query("""select event_id as record_id, '{"type":"' || event_type || '","bioprojects":[{"accession":" P' || user_id || ' "},{"accession":"P' || user_id || '"},{"accession":7},{"accession":"Q"}]' || case when event_id % 3 = 0 then ',"comments_2":"say ' || chr(92) || '"' || user_id || chr(92) || '""' else '' end || '}' as payload, 'P' || user_id || ', Q' as projects from events""")
+def export_comments(spark, d):
+    e = read(spark, d, "events").where("event_id is not null")
+    rows = e.select(F.col("event_id").alias("record_id"), F.concat(F.lit('{"type":"'), "event_type", F.lit('","bioprojects":[{"accession":" P'), "user_id", F.lit(' "},{"accession":"P'), "user_id", F.lit('"},{"accession":7},{"accession":"Q"}]}')).alias("payload"))
+    notes = e.where("event_id % 3 = 0").select(F.col("event_id").alias("record_id"), F.concat(F.lit('say "'), "user_id", F.lit('"')).alias("comment"))
+    key = explorer.comment_key(["/type", "/comments/a"])
+    return explorer.commented(rows, notes).select("record_id", explorer.exported(key).alias("payload"), explorer.bioproject_accessions(F.col("payload")).alias("projects"))
+
+
+@query("select l_orderkey, l_linenumber, p_brand, p_size from lineitem join part on p_partkey = l_partkey")
+def elide_nested(spark, d):
+    part = read(spark, d, "part").select("p_partkey", F.struct("p_brand", "p_type", F.struct("p_size", "p_name").alias("in")).alias("part"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    made = paths.elided(rows, ["part.p_type", "part.in.p_name", "l_partkey", "nowhere.x"])
+    return made.select("l_orderkey", "l_linenumber", paths.field(made, "part.p_brand").alias("p_brand"), paths.field(made, "part.in.p_size").alias("p_size"))
+
+
+@query("select o_orderkey, o_custkey from orders order by o_orderkey limit 20 offset 40")
+def accession_slice(spark, d):
+    return linkage.slice_of(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 40, 20)

@@ -67,11 +67,12 @@ def identifiers(c: Column, kind: str, most: int = 100) -> Column:
     return F.slice(F.array_distinct(F.filter(F.split(c, r"[,;|\s]+"), keep)), 1, most)
 
 
-def publication(c: Column) -> Column:
-    """'PMID:n' or 'DOI:x' of a text that names a publication, else null."""
-    pmid = F.regexp_extract(c, r"(?i)^\s*(?:pmid:?\s*|https?://(?:www\.)?(?:ncbi\.nlm\.nih\.gov/pubmed|pubmed\.ncbi\.nlm\.nih\.gov)/)?(\d{1,9})/?\s*$", 1)
-    doi = F.regexp_extract(c, r"(?i)^\s*(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/\S+?)\s*$", 1)
-    return F.when(pmid != "", F.concat(F.lit("PMID:"), pmid)).when(doi != "", F.concat(F.lit("DOI:"), F.lower(doi)))
+def publication_ids(c: Column) -> Column:
+    """The distinct 'PMID:n' and 'DOI:x' that the parts of a text name, in order; a DOI keeps its case."""
+    pmid = lambda x: F.regexp_extract(x, r"(?i)^(?:PMID:|https://pubmed\.ncbi\.nlm\.nih\.gov/)?(\d+)/?$", 1)
+    doi = lambda x: F.regexp_extract(x, r"(?i)^(?:DOI:|https://doi\.org/)?(10\.\d{4,9}/\S+)$", 1)
+    one = lambda x: F.when(pmid(x) != "", F.concat(F.lit("PMID:"), pmid(x))).when(doi(x) != "", F.concat(F.lit("DOI:"), doi(x)))
+    return F.array_distinct(F.filter(F.transform(F.split(c, r"[,;\s]+"), one), lambda x: x.isNotNull()))
 
 
 def confidence(c: Column) -> Column:
@@ -100,10 +101,36 @@ def fingerprint(json_text: Column) -> Column:
     return F.sha2(F.to_json(F.try_parse_json(json_text)), 256)
 
 
-def repository(accession: Column) -> Column:
-    """The archive that an accession belongs to, by its prefix."""
-    return (
-        F.when(F.rlike(accession, F.lit(r"^(PRJN|SAMN|GC[AF]_|SR)")), "NCBI")
-        .when(F.rlike(accession, F.lit(r"^(PRJE|SAME|ER)")), "ENA")
-        .when(F.rlike(accession, F.lit(r"^(PRJD|SAMD|DR)")), "DDBJ")
-    )
+# The archive of an identifier by its form, and where it is shown there.
+ARCHIVES = [
+    (r"^PRJ", "BioProject", "https://www.ncbi.nlm.nih.gov/bioproject/"),
+    (r"^SAM", "BioSample", "https://www.ncbi.nlm.nih.gov/biosample/"),
+    (r"^[SED]R[PSRX]\d+$", "SRA / INSDC", "https://www.ncbi.nlm.nih.gov/sra/?term="),
+    (r"^GC[AF]_", "NCBI Assembly", "https://www.ncbi.nlm.nih.gov/datasets/genome/"),
+    (r"^PMID:", "PubMed", "https://pubmed.ncbi.nlm.nih.gov/"),
+    (r"^DOI:", "DOI", "https://doi.org/"),
+    (r"^NCBITaxon:", "NCBI Taxonomy", "https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id="),
+]
+NUCLEOTIDE = ("GenBank / RefSeq", "https://www.ncbi.nlm.nih.gov/nuccore/")
+
+
+def repository(identifier: Column, kind: Column) -> Column:
+    """The archive that an identifier lies in, by its form; other sequences lie in the nucleotide archive."""
+    first, *rest = ARCHIVES
+    out = F.when(F.rlike(identifier, F.lit(first[0])), first[1])
+    for pattern, name, _ in rest[:3]:
+        out = out.when(F.rlike(identifier, F.lit(pattern)), name)
+    out = out.when(kind == "sequence", NUCLEOTIDE[0])
+    for pattern, name, _ in rest[3:]:
+        out = out.when(F.rlike(identifier, F.lit(pattern)), name)
+    return out
+
+
+def repository_url(identifier: Column, kind: Column) -> Column:
+    """The page of an identifier in its archive, null without one."""
+    name, bare = repository(identifier, kind), F.regexp_replace(identifier, "^(PMID|DOI|NCBITaxon):", "")
+    path = F.when(name == "DOI", F.replace(F.url_encode(bare), F.lit("%2F"), F.lit("/"))).otherwise(bare)
+    page = F.when(name == NUCLEOTIDE[0], NUCLEOTIDE[1])
+    for _, archive, url in ARCHIVES:
+        page = page.when(name == archive, url)
+    return F.concat(page, path, F.when(name.isin("PubMed", "NCBI Assembly"), "/").otherwise(""))

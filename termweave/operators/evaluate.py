@@ -56,3 +56,32 @@ def grid(records: DataFrame, ontologies: list[str], *measured: DataFrame) -> Dat
     for m in measured:
         out = out.join(m, ["record_id", "ontology"], "left")
     return out
+
+
+def melted(wide: DataFrame, ontologies: list[str], facts: list[str] = ("gold", "pred", "match")) -> DataFrame:
+    """A row for each record and ontology of a table with columns <ontology>_<fact>: record_id, ontology, f1_<fact>."""
+    rows = F.array(*(F.struct(F.lit(o).alias("ontology"), *(F.col(f"{o}_{f}").alias(f"f1_{f}") for f in facts)) for o in ontologies))
+    return wide.select("record_id", F.inline(rows))
+
+
+def wide_f1(rows: DataFrame, ontologies: list[str]) -> DataFrame:
+    """rows (record_id, ontology, gold, terms) to one row for each record with <ontology>_gold, _pred and _match."""
+    pred = predicted_label(F.coalesce("gold", F.lit("")), F.coalesce("terms", F.array().cast("array<string>")))
+    held = rows.select("record_id", "ontology", F.coalesce("gold", F.lit("")).alias("gold"), pred.alias("pred"))
+    fact = lambda o, c: F.coalesce(F.max(F.when(F.col("ontology") == o, F.col(c))), F.lit(""))
+    out = held.groupBy("record_id").agg(*(fact(o, c).alias(f"{o}_{c}") for o in ontologies for c in ("gold", "pred")))
+    return out.select("record_id", *(c for o in ontologies for c in (f"{o}_gold", f"{o}_pred", ((F.col(f"{o}_gold") != "") & (F.col(f"{o}_gold") == F.col(f"{o}_pred"))).cast("int").alias(f"{o}_match"))))
+
+
+def record_scores(predicted: DataFrame, gold: DataFrame, scored: DataFrame, metrics: list[str]) -> DataFrame:
+    """(record_id, ontology, status, n_terms, metrics): the mean of each metric over a record's terms of an ontology,
+    nulls left out. status: scored, no_gold_term (the record's gold has none of the ontology), no_matching_record.
+
+    predicted: record_id, ontology, term_id; gold: record_id, ontology, gold (null: none); scored: ontology, a (the
+    term), b (the gold term) and the metrics."""
+    own = predicted.join(gold.select("record_id", "ontology", "gold").distinct(), ["record_id", "ontology"], "left")
+    known = gold.select("record_id", F.lit(True).alias("known")).distinct()
+    pairs = scored.select("ontology", F.col("a").alias("term_id"), F.col("b").alias("gold"), *metrics).distinct()
+    both = own.join(known, "record_id", "left").join(pairs, ["ontology", "term_id", "gold"], "left")
+    status = F.when(F.max("known").isNull(), "no_matching_record").when(F.max("gold").isNull(), "no_gold_term").otherwise("scored")
+    return both.groupBy("record_id", "ontology").agg(status.alias("status"), F.count("term_id").alias("n_terms"), *(F.avg(m).alias(m) for m in metrics))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termweave.functions.text import repository
+from termweave.functions.text import repository, repository_url
 
 TYPES = ["study", "sample", "sequence", "publication", "organism", "disease", "repository", "program"]
 RECORDS_PER_NODE, EVIDENCE_PER_EDGE, MOST_NODES, MOST_EDGES = 8, 5, 400, 800
@@ -19,9 +19,17 @@ def organism(taxon: Column, name: Column) -> Column:
 
 def nodes(mentions: DataFrame) -> DataFrame:
     """mentions (type, identifier, label, record_id) to one node each with a label (the first that is not the
-    identifier itself, if any) and at most eight record ids."""
+    identifier itself, if any), its page, at most eight record ids, and the number of records.
+
+    A record counts once for a node before nodes are put together, and only eight rows of a node leave a task, so an
+    entity that every record names is no large group."""
+    keys = ["type", "identifier"]
     better = F.min(F.when(F.col("label") != F.col("identifier"), F.col("label")))
-    return mentions.where("identifier is not null and identifier <> ''").groupBy("type", "identifier").agg(F.coalesce(better, F.min("identifier")).alias("label"), F.slice(F.array_sort(F.collect_set("record_id")), 1, RECORDS_PER_NODE).alias("record_ids"), F.countDistinct("record_id").alias("n_records"))
+    once = mentions.where("identifier is not null and identifier <> ''").groupBy(*keys, "record_id").agg(better.alias("label"))
+    counted = once.groupBy(*keys).agg(F.substring(F.coalesce(F.min("label"), F.min("identifier")), 1, 200).alias("label"), F.count("record_id").alias("n_records"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("record_id"))).where(F.col("n") <= RECORDS_PER_NODE)
+    shown = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"))
+    return counted.join(shown, keys).select(*keys, "label", repository_url(F.col("identifier"), F.col("type")).alias("url"), "record_ids", "n_records")
 
 
 def edges(claims: DataFrame) -> DataFrame:
@@ -35,10 +43,10 @@ def edges(claims: DataFrame) -> DataFrame:
 
 
 def registered(mentions: DataFrame) -> DataFrame:
-    """Claims that studies, samples and sequences are registered in the repository of their accession's prefix."""
-    of = repository(F.col("identifier"))
+    """Claims that studies, samples and sequences are registered in the archive that their accession's form tells."""
+    of = repository(F.col("identifier"), F.col("type"))
     rows = mentions.where(F.col("type").isin("study", "sample", "sequence") & of.isNotNull()).select("type", "identifier").distinct()
-    return rows.select(F.concat_ws(":", "type", "identifier").alias("source"), F.concat(F.lit("repository:"), of).alias("target"), F.lit("registered in").alias("relation"), F.lit("source").alias("status"), F.col("identifier").alias("evidence"))
+    return rows.select(F.concat_ws(":", "type", "identifier").alias("source"), F.concat(F.lit("repository:"), of).alias("target"), F.lit("registered in").alias("relation"), F.lit("derived").alias("status"), F.col("identifier").alias("evidence"))
 
 
 def proposed_disease(proposals: DataFrame) -> DataFrame:
@@ -59,3 +67,10 @@ def view(made: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     shown = made.orderBy("type", "identifier").limit(MOST_NODES)
     keys = shown.select(F.concat_ws(":", "type", "identifier").alias("key"))
     return shown, links.join(keys.withColumnRenamed("key", "source"), "source", "left_semi").join(keys.withColumnRenamed("key", "target"), "target", "left_semi").orderBy("source", "target", "relation").limit(MOST_EDGES)
+
+
+def as_json(shown: DataFrame, links: DataFrame) -> DataFrame:
+    """A view as one JSON text (nodes, edges, types): bounded by what ``view`` shows, so one row holds it."""
+    packed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    n, e, t = packed(shown, "nodes"), packed(links, "edges"), packed(type_counts(shown), "types")
+    return n.join(e).join(t).select(F.to_json(F.struct("nodes", "edges", "types")).alias("value"))

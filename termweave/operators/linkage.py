@@ -60,11 +60,109 @@ def outer_pairs(left: DataFrame, right: DataFrame, matches: DataFrame, how: str
 
 
 def having_any_key(df: DataFrame, keys: list[str], wanted: DataFrame, name: str) -> DataFrame:
-    """Rows of which any key column is among the wanted values; each row once."""
-    row = F.monotonically_increasing_id()
-    numbered = df.withColumn("_row", row)
-    hit = numbered.select("_row", F.explode(F.array(*keys)).alias("_key")).join(wanted.select(F.col(name).alias("_key")).distinct(), "_key", "left_semi").select("_row").distinct()
-    return numbered.join(hit, "_row", "left_semi").drop("_row")
+    """Rows of which any key column is among the wanted values; each row once, repeated rows as often as they stand.
+
+    A semi-join for each key, of the rows that no earlier key has found: rows are not numbered."""
+    values = wanted.select(F.col(name).alias("_key")).where("_key is not null").distinct()
+    out, rest = None, df
+    for k in keys:
+        found = rest.join(values, F.col(k) == F.col("_key"), "left_semi")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(values, F.col(k) == F.col("_key"), "left_anti")
+    return out
+
+
+def grouped_lists(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, rows): the rows of each key as structs, in order."""
+    ranked = F.struct(*order, F.struct(*df.columns).alias("_item"))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["_item"]).alias("rows"))
+
+
+def enriched(rows: DataFrame, id_col: str, keys: Column, related: DataFrame, own: str, order: list[str], name: str) -> DataFrame:
+    """rows with an array column ``name`` of the related rows that an array of keys leads to: in the order of the keys,
+    whole rows that are equal only once, where they stand first. Null keys lead nowhere; no key gives an empty list."""
+    asked = rows.select(F.col(id_col).alias("_id"), F.posexplode(keys).alias("_pos", "_key")).where("_key is not null")
+    item = F.struct(*related.columns)
+    ranked = related.select(F.col(own).alias("_key"), F.struct(*order).alias("_order"), item.alias("_item"))
+    met = asked.join(ranked, "_key")
+    once = met.groupBy("_id", F.to_json("_item").alias("_text")).agg(F.min(F.struct("_pos", "_order")).alias("_at"), F.first("_item").alias("_item"))
+    lists = once.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text", "_item"))), lambda x: x["_item"]).alias(name))
+    none = F.array().cast(lists.schema[name].dataType)
+    return rows.join(lists, rows[id_col] == lists["_id"], "left").drop("_id").withColumn(name, F.coalesce(name, none))
+
+
+def first_related(rows: DataFrame, key: str, related: DataFrame, own: str, order: list[str], most: int, name: str) -> DataFrame:
+    """rows with the first ``most`` related rows of their key as an array, null where there is none."""
+    by = Window.partitionBy(own).orderBy(*order)
+    kept = related.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    lists = kept.groupBy(F.col(own).alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*related.columns).alias("_item")))), lambda x: x["_item"]).alias(name))
+    return rows.join(lists, rows[key] == lists["_key"], "left").drop("_key")
+
+
+def looked_up(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The first row, in order, of which some key column is the value."""
+    return df.where(F.coalesce(F.array_contains(F.array(*keys), value), F.lit(False))).orderBy(order).limit(1)
+
+
+def reachable(tables: dict[str, tuple[DataFrame, str]], keys: DataFrame, name: str) -> dict[str, DataFrame]:
+    """The tables cut down to the rows whose key column is among the keys: one semi-join each, before anything is joined."""
+    wanted = keys.select(F.col(name).alias("_key")).where("_key is not null").distinct()
+    return {t: df.join(wanted, df[own] == wanted["_key"], "left_semi") for t, (df, own) in tables.items()}
+
+
+def surrogate(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """df with a dense number from 1 in order. Rows are numbered within ranges of the order, and ranges by how many rows
+    lie before them, so no task holds all rows; equal rows have their numbers in any order."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(name, own.cast("long")).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
+def with_metadata(proposals: DataFrame, records: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """proposals with their record's metadata as a struct; ``found`` is false, and the struct null, without a record."""
+    own = records.select(F.col(key), F.struct(*fields).alias("metadata"))
+    return proposals.join(own, key, "left").withColumn("found", F.col("metadata").isNotNull())
+
+
+def matched_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: matched (keys of both), left_only and right_only."""
+    one, two = left.select(key, F.lit(1).alias("l")).distinct(), right.select(key, F.lit(1).alias("r")).distinct()
+    return one.join(two, key, "full_outer").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("matched"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"))
+
+
+def inverted(mapping: DataFrame, key: str, values: str, order: str) -> DataFrame:
+    """(value, key) of a table with an array of values for each key; a value of several keys goes to the last in order."""
+    rows = mapping.select(F.col(key), F.col(order).alias("_order"), F.explode(values).alias("value"))
+    return rows.groupBy("value").agg(F.max_by(key, F.struct("_order", key)).alias(key))
+
+
+def united(mapping: DataFrame, new: DataFrame, key: str, values: str) -> DataFrame:
+    """mapping with the values of new added as sets, keys that were not there included."""
+    both = mapping.select(key, values).unionByName(new.select(key, values))
+    return both.select(key, F.explode_outer(values).alias("_v")).groupBy(key).agg(F.array_sort(F.collect_set("_v")).alias(values))
+
+
+def mapping_frame(mapping: DataFrame, key: str, values: str, explode: bool = False) -> DataFrame:
+    """The mapping sorted by key, a row for each key or, exploded, for each value (null for a key without values)."""
+    out = mapping.select(key, F.explode_outer(values).alias(values)) if explode else mapping.select(key, values)
+    return out.orderBy(key, values) if explode else out.orderBy(key)
+
+
+def xref(df: DataFrame, term: str, mapping: DataFrame, key: str, value: str) -> DataFrame:
+    """df with ``value`` of the term's row in mapping, 'NA' where it has none."""
+    one = mapping.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias(value))
+    return df.join(one, df[term] == one["_key"], "left").drop("_key").withColumn(value, F.coalesce(F.col(value), F.lit("NA")))
+
+
+def require_known(df: DataFrame, key: str, known: DataFrame, known_key: str, shown: int = 5) -> DataFrame:
+    """df, after a check that all its keys are known: else a ValueError names how many are not and the first of them."""
+    missing = missing_keys(df, key, known, known_key)
+    first = [r[0] for r in missing.orderBy(key).limit(shown).collect()]
+    if first:
+        raise ValueError(f"{missing.count()} keys of {key} are not known, such as {', '.join(map(str, first))}")
+    return df
 
 
 def unique_by(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
@@ -73,8 +171,25 @@ def unique_by(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def slice_of(df: DataFrame, order: list[str], skip: int, most: int) -> DataFrame:
+    """So many rows in order behind the first ``skip``."""
+    return df.orderBy(*order).offset(skip).limit(most)
+
+
+def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in order, with the number of its rows as n_rows."""
+    by = Window.partitionBy(key)
+    ranked = df.withColumns({"n_rows": F.count("*").over(by), "_n": F.row_number().over(by.orderBy(*order))})
+    return ranked.where("_n = 1").drop("_n")
+
+
+def keyless(df: DataFrame, key: str) -> int:
+    """How many rows ``last_wins`` drops."""
+    return df.where(F.col(key).isNull()).count()
+
+
 def last_wins(df: DataFrame, key: str, position: str) -> DataFrame:
-    """Of rows with one key the last; rows without a key are dropped."""
+    """Of rows with one key the last; rows without a key are dropped (``keyless`` counts them)."""
     row = F.struct(*df.columns)
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, position).alias("_row")).select("_row.*")
 

@@ -23,8 +23,8 @@ ORDER = {
     "biosample_description": ["s.title", "s.description.title"],
     "bioproject_title": ["p.title"],
 }
-
-
+# The accessions that are kept beside the fields.
+EXTRAS = {"biosample_accession": "s.accession", "bioproject_accession": "p.accession", "genome_accession": "g.accession", "bvbrc_genome_id": "b.genome_id"}
 NAMES = ["harmonized_name", "name", "attribute_name"]
 
 
@@ -50,7 +50,8 @@ def _text(c: Column, kind: K.DataType) -> Column:
 
 def flat(records: DataFrame) -> DataFrame:
     """The flat record of each combined one; columns that the input does not have count as null. A record without any
-    accession is named by a hash of its content."""
+    accession is named by a hash of its content. comments are the annotation's texts, extras the accessions and all
+    attributes of the first sample."""
     schema = records.schema
     own = {f.name: f.dataType for f in schema}
     first = lambda name: (F.get(name, F.lit(0)), own[name].elementType) if name in own else (None, None)
@@ -77,4 +78,14 @@ def flat(records: DataFrame) -> DataFrame:
         if name == "record_id":
             found.append(F.concat(F.lit("unknown_"), F.pmod(F.xxhash64(F.to_json(F.struct(*records.columns))), F.lit(1_000_000)).cast("string")))
         out.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(name))
-    return records.select(*out)
+    # what is said in free text, and every attribute of the first sample
+    said = _there(own["bvbrc"], ["comments"]) if "bvbrc" in own else None
+    texts = F.lit(None).cast("array<string>") if said is None else F.col("bvbrc.comments").cast("array<string>") if isinstance(said, K.ArrayType) else F.when(F.trim(F.col("bvbrc.comments").cast("string")) != "", F.array(F.col("bvbrc.comments").cast("string")))
+    attrs = held.cast("map<string,string>") if held is not None else F.lit(None).cast("map<string,string>")
+
+    def leaf(path: str) -> Column:
+        found = of(path)
+        return found if found is not None else F.lit(None).cast("string")
+
+    extras = F.struct(*(leaf(p).alias(n) for n, p in EXTRAS.items()), attrs.alias("biosample_attrs"))
+    return records.select(*out, texts.alias("comments"), extras.alias("extras"))

@@ -93,3 +93,72 @@ def merged(matches: DataFrame, k: int = 10) -> DataFrame:
     one = matches.groupBy("record", "bucket", "term_id").agg(F.max("score").alias("score"), F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"))
     by = Window.partitionBy("record", "bucket").orderBy(F.col("score").desc(), "term_id")
     return one.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+
+
+def vector_table(df: DataFrame, keys: list[str] = ("id", "name"), prefix: str = "d") -> DataFrame:
+    """A table with a column for each dimension (d0, d1, ...) as one with the keys and an array ``embedding``; a key that
+    is not there raises."""
+    missing = [k for k in keys if k not in df.columns]
+    if missing:
+        raise ValueError(f"the table has no column {', '.join(missing)}")
+    wide = sorted((c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
+    return df.select(*keys, F.array(*(F.col(c).cast("double") for c in wide)).alias("embedding"))
+
+
+def wide_table(df: DataFrame, dimensions: int, prefix: str = "d") -> DataFrame:
+    """The inverse of ``vector_table``."""
+    return df.select(*(c for c in df.columns if c != "embedding"), *(F.get("embedding", F.lit(i)).alias(f"{prefix}{i}") for i in range(dimensions)))
+
+
+def requests(plans: DataFrame) -> DataFrame:
+    """plans (record_id, mappings with ontology and query_texts) to one row for each text that is to be embedded:
+    (record_id, bucket, place, ontology, query_text)."""
+    mapped = plans.select("record_id", F.posexplode("mappings").alias("bucket", "m"))
+    return mapped.select("record_id", "bucket", F.col("m.ontology").alias("ontology"), F.posexplode("m.query_texts").alias("place", "query_text")).select("record_id", "bucket", "place", "ontology", "query_text")
+
+
+def embedded(asked: DataFrame, embeddings: DataFrame, dimensions: int | None = None) -> DataFrame:
+    """asked with the embedding of its (record_id, ontology, query_text). A request without one raises, and so does an
+    embedding of another number of dimensions. Of embeddings with one key the last (by ``pos``, if there is one) counts."""
+    keys = ["record_id", "ontology", "query_text"]
+    last = F.max_by("embedding", "pos") if "pos" in embeddings.columns else F.last("embedding")
+    one = embeddings.groupBy(*keys).agg(last.alias("embedding"))
+    made = asked.join(one, keys, "left")
+    bad = F.col("embedding").isNull() if dimensions is None else F.col("embedding").isNull() | (F.size("embedding") != dimensions)
+    first = made.where(bad).select(*keys, "embedding").limit(1).collect()
+    if first and first[0]["embedding"] is None:
+        raise ValueError("no embedding for record '{}' ontology '{}' query_text '{}'".format(*first[0][:3]))
+    if first:
+        raise ValueError(f"an embedding has {len(first[0]['embedding'])} dimensions, the terms of {first[0]['ontology']} have {dimensions}")
+    return made
+
+
+def assembled(plans: DataFrame, matches: DataFrame, order: str, threshold: float = 0.7) -> DataFrame:
+    """(record_id, buckets, flags): for each record its buckets in the order of its mappings, each with its texts and
+    their matches, and the plan's flags followed by those of its texts, which stand by ontology in the order in which
+    ontologies first appear.
+
+    plans: record_id, flags, mappings; ``order``: their column that orders records. matches: record_id, bucket, place,
+    term_id, label, score, rank. Records with one id become one, whose buckets follow one another and whose flags are
+    those of the last; a text without matches has an empty list."""
+    rows = plans.select(F.col(order).alias("_order"), "record_id", "flags", F.posexplode_outer("mappings").alias("bucket", "m"))
+    texts = rows.select("_order", "record_id", "bucket", F.col("m.ontology").alias("ontology"), F.posexplode_outer("m.query_texts").alias("place", "text"))
+    found = matches.groupBy("record_id", "bucket", "place").agg(F.array_sort(F.collect_list(F.struct("rank", "term_id", "label", "score"))).alias("matches"))
+    none = F.array().cast(found.schema["matches"].dataType)
+    held = texts.join(found, ["record_id", "bucket", "place"], "left").withColumn("matches", F.coalesce("matches", none))
+    score = F.col("matches")[0]["score"]
+    told = F.when(F.size("matches") == 0, F.format_string("%s: no matches found for query '%s'", "ontology", "text")).when(score < threshold, F.format_string("%s: top match score %.3f below threshold %s for query '%s'", "ontology", score, F.lit(str(threshold)), "text"))
+    held = held.withColumn("flag", F.when(F.col("text").isNotNull(), told))
+    turn = texts.where("ontology is not null").groupBy("ontology").agg(F.min(F.struct("_order", "bucket")).alias("turn"))  # a row for each ontology
+    held = held.join(turn, "ontology", "left")
+    by_bucket = held.where("bucket is not null").groupBy("record_id", "_order", "bucket", "ontology").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("place", "text", "matches")))).alias("query_texts"))
+    buckets = by_bucket.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_order", "bucket", "ontology", "query_texts"))), lambda b: F.struct(b["ontology"].alias("ontology"), b["query_texts"].alias("query_texts"))).alias("buckets"))
+    raised = held.where("flag is not null").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "_order", "bucket", "place", "flag"))), lambda x: x["flag"]).alias("raised"))
+    own = plans.groupBy("record_id").agg(F.max_by(F.coalesce("flags", F.array().cast("array<string>")), order).alias("own"))
+    out = own.join(buckets, "record_id", "left").join(raised, "record_id", "left")
+    return out.select("record_id", F.coalesce("buckets", F.array().cast(buckets.schema["buckets"].dataType)).alias("buckets"), F.concat("own", F.coalesce("raised", F.array().cast("array<string>"))).alias("flags"))
+
+
+def empty_buckets(buckets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(record, flag): a flag for each bucket (record, bucket) in which no candidate was found."""
+    return buckets.select("record", "bucket").distinct().join(candidates.select("record", "bucket").distinct(), ["record", "bucket"], "left_anti").select("record", F.concat(F.lit("empty_rag_"), "bucket").alias("flag"))
