@@ -1,19 +1,23 @@
-"""Operator 6, language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as
+"""Operator 6, language-model scoring: an interpolated modified Kneser-Ney trigram model, counted in Spark, stored as
 sorted hash arrays in the shared folder and memory-mapped by the workers that score.
 
-Counting: each task sums the bigrams of its training texts and sends one block of them to each shard; a shard holds
-all bigrams of its contexts, so it knows how many followers each context has, and sends the followers' continuation and
-token counts to the shards of words. A shard is one file set; the number of shards grows with the text, and what
-meets in a shard is summed before it is sent. Nothing but a few sums for each shard reaches the driver.
+Counting: each task sums the trigrams u v w of its training texts and sends one block of them to each shard; a shard
+holds all trigrams with its middle words v, so it knows the followers of each context (u, v), the words before each
+pair (v, w), and the followers of v. A middle word so frequent that it would fill more than a shard is dealt over all
+shards by u; its pairs are then summed by a second shuffle, by (v, w). Counts and continuation counts of words are
+summed by a last shuffle. What meets in a shard is summed before it is sent, and only sums reach the driver.
 
-Scoring: tasks sort the distinct bigrams of some thousand texts and look them up in the mapped arrays in order.
+Scoring: tasks look up the distinct trigrams, pairs and words of some thousand texts in the mapped arrays, in order.
 
-    p(w | v) = (max(c(vw) - D(c(vw)), 0) + g(v) p(w)) / c(v)       p(w) for a context that was never seen
-    p(w)     = (max(k(w) - E(k(w)), 0) + G / (V + 1)) / K          k: in how many contexts w has followed, K: their sum
+    p(w | u v) = (max(c(uvw) - D(c), 0) + g(u v) p(w | v)) / c(uv)       p(w | v) for a context that was never seen
+    p(w | v)   = (max(k(vw) - D'(k), 0) + g'(v) p(w)) / k(v)             k(vw): after how many u the pair has stood
+    p(w)       = (max(k(w) - D''(k), 0) + G / (V + 1)) / K               k(w): in how many pairs w has come second
 
-D and E are the discounts for counts 1, 2 and 3 or more, from the numbers of counts 1 to 4; g and G give what they
+The discounts for counts 1, 2 and 3 or more come from the numbers of counts 1 to 4 of each order; g and G give what they
 take to the lower order, whose last is uniform over the V training tokens and one unknown. Where these numbers are too
-small for discounts between 0 and the count, 0.5, 1 and 1.5 are used.
+small for discounts between 0 and the count, 0.5, 1 and 1.5 are used. Two begin tokens stand before each text.
+
+Words are told apart by hashes of 56 bits; a stored key is its place in a bucket of the array and 32 further bits.
 
 Defined results: a null or empty text is one end token; every row of the input gives a row; a null id counts as ''
 (held out); without training text every token is unknown and p is 1; an empty table gives an empty result; other
@@ -33,20 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import shared_dir, table
-from termweave.llm._text import U, chunks, mix, word_hashes
+from termweave.llm._spark import shared_dir, table, written
+from termweave.llm._text import U, chunks, counted, distinct, mix, word_hashes
 from termweave.llm.quality import held_out
 
 FOLDS = 10
-SHARD = 32 << 20  # bytes of text for each shard, about
-TOKENS = 3_000_000  # tokens that a task sums before it sends them on
-END, BEGIN = U(0x5BD1E995AABBCCDD), U(0x1B873593CC9E2D51)
-_V, _W = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
+SHARD = 16 << 20  # bytes of text for each shard, about
+TOKENS = 2_000_000  # tokens that a task sums before it sends them on
+END, BEGIN = U(0x5BD1E995AABBCCDD) >> U(8), U(0x1B873593CC9E2D51) >> U(8)
+_A, _B = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
+BUCKET = 8  # keys in a bucket, about
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a chunk, the end behind each document's words, and each document's first token (n + 1 values)."""
     h, first = word_hashes(data, off)
+    h = h >> U(8)
     at = first + np.arange(len(first))
     out = np.empty(at[-1], U)
     out[at[1:] - 1] = END
@@ -56,35 +62,54 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def contexts(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What stands before each token."""
-    out = np.empty(len(tok), U)
-    out[1:] = tok[:-1]
-    out[at[:-1]] = BEGIN
-    return mix(out)
+def before(tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before each token."""
+    v, u = np.empty(len(tok), U), np.empty(len(tok), U)
+    v[1:] = tok[:-1]
+    v[at[:-1]] = BEGIN
+    u[1:] = v[:-1]
+    u[at[:-1]] = BEGIN
+    return u, v
+
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a * _A) + b * _B)
 
-def pair_keys(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of bigrams: the leading bits are those of the context's shard."""
-    key = mix(context * _V + word * _W)
-    return (context >> U(64 - bits) << U(64 - bits)) | (key >> U(bits)) if bits else key
+
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(pair_key(u, v) * _A + w * _B)
 
 
 def shard_of(key: np.ndarray, bits: int) -> np.ndarray:
-    return (key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    return (mix(key) >> U(64 - bits)).astype(np.int64)
+
+
+def shards(u: np.ndarray, v: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each trigram with these first two words."""
+    out = shard_of(v, bits)
+    if len(frequent):
+        often = np.isin(v, frequent)
+        out[often] = shard_of(pair_key(u[often], v[often]), bits)
+    return out
+
 
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of integers as compressed planes of their bytes."""
+    planes = [c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns]
+    return pa.Codec("zstd", compression_level=1).compress(b"".join(planes), asbytes=True)
 
-def blocks(keys: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard: the columns' values of its keys. The keys are sorted."""
-    shard = shard_of(keys, bits)
-    cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-    rows = [[shard[a], *(c[a:b].tobytes() for c in columns)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] if len(keys) else []
-    made = list(zip(*rows, strict=True)) if rows else [()] * (1 + len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), *(pa.array(c, pa.binary()) for c in made[1:])], ["shard", *(f"c{i}" for i in range(len(columns)))])
+
+def unsqueezed(raw: bytes, n: list[int], kinds: list[str]) -> list[np.ndarray]:
+    sizes = [k * np.dtype(t).itemsize for k, t in zip(n, kinds, strict=True)]
+    data, out, a = pa.Codec("zstd").decompress(raw, decompressed_size=sum(sizes), asbytes=True), [], 0
+    for k, t, size in zip(n, kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, a).reshape(-1, k).T).view(t).ravel() if k else np.zeros(0, t))
+        a += size
+    return out
 
 
-def bytes_of(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def deltas(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=ordered[:1] * 0)
 
 
 def small(counts: np.ndarray) -> np.ndarray:
@@ -101,96 +126,199 @@ def unsmall(raw: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def summed_bigrams(bits: int):
-    def flush(tok: list[np.ndarray], con: list[np.ndarray]) -> pa.RecordBatch:
-        import pandas as pd
+def saved(folder: str, name: str, values: np.ndarray) -> None:
+    """Under its name at once and whole, so that a task that is repeated does no harm."""
+    os.makedirs(folder, exist_ok=True)
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    values.tofile(part)
+    os.replace(part, f"{folder}/{name}")
 
-        word, context = np.concatenate(tok), np.concatenate(con)
-        code, _ = pd.factorize(mix(context * _V + word * _W))
-        count = np.bincount(code)
-        top = np.maximum.accumulate(code)
-        first = np.flatnonzero(np.concatenate(([True], top[1:] > top[:-1])))
-        order = first[np.argsort(context[first])]
-        context, word, count = context[order], word[order], count[code[order]]
-        # contexts once each, with the number of their followers; this, the followers and their counts are the block
-        run = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        own, follow = context[run], np.diff(np.append(run, len(context)))
-        left = blocks(own, bits, own, follow.astype(np.uint32))
-        shard = shard_of(context, bits)
-        cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-        rest = [(word[a:b].tobytes(), small(count[a:b]).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*left.columns, *(pa.array(c, pa.binary()) for c in zip(*rest, strict=True))], ["shard", "contexts", "followers", "words", "counts"])
+
+BLOCK = "shard long, n array<long>, words binary, entries binary"
+
+
+def block(shard: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> list:
+    """A shard's trigrams in the order of v, u, w: the words of the block once, then each trigram by their numbers."""
+    own = distinct(np.concatenate([u, v, w]))
+    numbers = [np.searchsorted(own, x).astype(np.uint32) for x in (v, u, w)]
+    counts = small(count)
+    return [shard, [len(own), len(v), len(counts)], squeezed(deltas(own)), squeezed(deltas(numbers[0]), numbers[1], numbers[2], counts)]
+
+
+def opened(n: list[int], words: bytes, entries: bytes) -> list[np.ndarray]:
+    own = np.cumsum(unsqueezed(words, n[:1], ["<u8"])[0], dtype=U)
+    v, u, w, counts = unsqueezed(entries, [n[1]] * 3 + n[2:], ["<u4", "<u4", "<u4", "u1"])
+    return [own[u], own[np.cumsum(v, dtype=np.uint32)], own[w], unsmall(counts, n[1])]
+
+
+def summed_trigrams(frequent: np.ndarray, bits: int):
+    def flush(tok: list[np.ndarray], us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+        u, v, w = (np.concatenate(x) for x in (us, vs, tok))
+        known = distinct(np.concatenate([w, [BEGIN]]))
+        k = len(known)
+        numbers = np.searchsorted(known, w)
+        # the numbers of the words before are those of the tokens before
+        first, second = np.empty_like(numbers), np.empty_like(numbers)
+        begin = int(np.searchsorted(known, BEGIN))
+        second[1:] = numbers[:-1]
+        second[v == BEGIN] = begin
+        first[1:] = second[:-1]
+        first[u == BEGIN] = begin
+        keys, count = counted(((second * k + first) * k + numbers).astype(np.int64))  # k is far below 2**21
+        u, v, w = known[keys // k % k], known[keys // (k * k)], known[keys % k]
+        shard = shards(u, v, frequent, bits)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        rows = [block(int(shard[order[a]]), u[i], v[i], w[i], count[i]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for i in [order[a:b]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "words", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, con, held = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
         for _, data, off in chunks(batches, text=0):
             t, at = tokens(data, off)
-            tok.append(t)
-            con.append(contexts(t, at))
-            held += len(t)
-            if held >= TOKENS:
-                yield flush(tok, con)
-                tok, con, held = [], [], 0
+            held.append((t, *before(t, at)))
+            if sum(len(h[0]) for h in held) >= TOKENS:
+                yield flush(*map(list, zip(*held, strict=True)))
+                held = []
         if held:
-            yield flush(tok, con)
+            yield flush(*map(list, zip(*held, strict=True)))
 
     return run
 
 
-def saved(folder: str, name: str, values: np.ndarray) -> None:
-    """Under its name at once and whole, so that a task that is repeated does no harm."""
-    os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    values.tofile(part)
-    os.replace(part, f"{folder}/{name}")
+def saved_keys(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted keys as buckets by their leading bits, and 32 bits that follow these."""
+    bits = max(0, int(len(keys) // BUCKET).bit_length())
+    cut = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(keys)])
+    saved(folder, f"{name}.at", cut.astype(np.uint32))
+    saved(folder, f"{name}.keys", ((keys << U(bits)) >> U(32)).astype(np.uint32))
 
 
-def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return keys[cut], order[cut], *(np.add.reduceat(c[order], cut) if len(cut) else c[:0] for c in counts)
+def saved_rows(folder: str, name: str, *columns: np.ndarray) -> None:
+    """Rows of numbers, each distinct row once and its number for each row."""
+    rows = np.stack(columns, 1).astype(np.int64)
+    if len(columns) == 1:
+        kinds, code = np.unique(rows[:, 0], return_inverse=True)
+        kinds = kinds[:, None]
+    else:
+        kinds, code = np.unique(np.ascontiguousarray(rows).view([("", np.int64)] * len(columns)).ravel(), return_inverse=True)
+        kinds = kinds.view(np.int64).reshape(-1, len(columns))
+    size = next(t for t in (np.uint8, np.uint16, np.uint32) if len(kinds) <= np.iinfo(t).max)
+    saved(folder, f"{name}.rows", code.astype(size))
+    saved(folder, f"{name}.kinds", kinds)
+
+
+def sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, where each first stands, and the sums of the columns."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.zeros(0, int)
+    return ordered[cut], order[cut], *(np.add.reduceat(c[order], cut) if len(cut) else c[:0] for c in columns)
+
+
+def kinds_of(count: np.ndarray) -> list[np.ndarray]:
+    return [(count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64)]
 
 
 def count_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def context_shard(folder: str, bits: int):
+SENT = "kind string, shard long, n long, a binary, b binary, c binary, stats array<long>"
+_SENT = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+NO_STATS = [0] * 10
+
+
+def sent(rows: list[list]) -> pa.Table:
+    return pa.table({name.split()[0]: pa.array(c, t) for name, c, t in zip(SENT.split(", "), zip(*rows, strict=True), _SENT, strict=True)})
+
+
+def word_rows(words: np.ndarray, kinds: np.ndarray, counts: np.ndarray, bits: int) -> list[list]:
+    """Words with how many pairs and tokens of this shard end with them, for the shards of words."""
+    word, _, kinds, counts = sums(words, kinds, counts)
+    shard = shard_of(word, bits)
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    return [["word", int(shard[i[0]]), len(i), squeezed(deltas(word[i])), small(kinds[i]).tobytes(), small(counts[i]).tobytes(), NO_STATS] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for i in [order[a:b]]]
+
+
+def pair_results(folder: str, name: str, v: np.ndarray, w: np.ndarray, kinds: np.ndarray) -> list[int]:
+    """Saves the continuation counts of pairs; the numbers of counts 1 to 4, and how many there are."""
+    keys = pair_key(v, w)
+    order = np.argsort(keys)
+    saved_keys(folder, name, keys[order])
+    saved_rows(folder, name, kinds[order])
+    return [*count_of_counts(kinds), len(keys)]
+
+
+def trigram_shard(folder: str, frequent: np.ndarray, bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        """All blocks of a shard: saves its arrays and sends on what others need."""
+        shard = group.column("shard")[0].as_py()
+        parts = [opened(*row) for row in zip(*(group.column(c).to_pylist() for c in ("n", "words", "entries")), strict=True)]
+        u, v, w, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        keys, at, count = sums(triple_key(u, v, w), count)
+        u, v, w = u[at], v[at], w[at]
+        saved_keys(folder, f"three-{shard}", keys)
+        saved_rows(folder, f"three-{shard}", count)
+        stats = [*count_of_counts(count), len(keys)]
+        seen, _, *of = sums(pair_key(u, v), count, *kinds_of(count))
+        saved_keys(folder, f"before-{shard}", seen)
+        saved_rows(folder, f"before-{shard}", *of)
+        # pairs of v and w: after how many u they have stood
+        _, at, kinds, tokens_of = sums(pair_key(v, w), np.ones(len(v), np.int64), count)
+        v, w = v[at], w[at]
+        often = np.isin(v, frequent)
+        own = ~often
+        stats += pair_results(folder, f"two-{shard}", v[own], w[own], kinds[own])
+        middle, _, *of = sums(v[own], kinds[own], *kinds_of(kinds[own]))
+        saved_keys(folder, f"middle-{shard}", distinct(mix(middle)))
+        order = np.argsort(mix(middle))
+        saved_rows(folder, f"middle-{shard}", *(c[order] for c in of))
+        rows = word_rows(w, own.astype(np.int64), tokens_of, bits) or [["word", shard, 0, squeezed(np.zeros(0, U)), b"", b"", NO_STATS]]
+        rows[0][-1] = stats
+        if often.any():
+            to = shard_of(pair_key(v[often], w[often]), bits)
+            for s in np.unique(to).tolist():
+                i = np.flatnonzero(often)[to == s]
+                rows.append(["pair", s, len(i), v[i].tobytes(), w[i].tobytes(), small(kinds[i]).tobytes(), NO_STATS])
+        return sent(rows)
+
+    return run
+
+
+def _wide(group: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([unsmall(np.frombuffer(c, np.uint8), n) for n, c in zip(group.column("n").to_pylist(), group.column(column).to_pylist(), strict=True)])
+
+
+def pair_shard(folder: str, bits: int):
     def run(group: pa.Table) -> pa.Table:
-        """All blocks of a shard of contexts: saves its arrays and sends the followers on to the shards of words."""
+        """The pairs of frequent middle words in a shard: saves their counts; sends their words and middle words on."""
         shard = group.column("shard")[0].as_py()
-        own, words = bytes_of(group.column("contexts"), U), bytes_of(group.column("words"), U)
-        follow = bytes_of(group.column("followers"), np.uint32)
-        counts = np.concatenate([unsmall(np.frombuffer(c, np.uint8), len(w) // 8) for w, c in zip(group.column("words").to_pylist(), group.column("counts").to_pylist(), strict=True)])
-        context = np.repeat(own, follow)
-        keys, at, counts = summed(pair_keys(context, words, bits), counts)
-        saved(folder, f"pairs-{shard}", keys)
-        large = counts >= 255
-        saved(folder, f"counts-{shard}", np.minimum(counts, 255).astype(np.uint8))
-        saved(folder, f"large-{shard}", np.stack([keys[large], counts[large].astype(U)]))
-        context, words = context[at], words[at]
-        kinds = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64)]
-        seen, _, *sums = summed(context, counts, *kinds)
-        saved(folder, f"contexts-{shard}", seen)
-        saved(folder, f"sums-{shard}", np.stack(sums).astype(np.int64))
-        word, _, kinds_of, total = summed(mix(words), np.ones(len(words), np.int64), counts)
-        made = blocks(word, bits, word, kinds_of.astype(np.uint32), total)
-        stats = [[*count_of_counts(counts), len(keys)]] + [[0] * 5] * (made.num_rows - 1)
-        return pa.Table.from_arrays([*made.columns, pa.array(stats, pa.list_(pa.int64()))], ["shard", "words", "kinds", "counts", "stats"])
+        v, w = (np.frombuffer(b"".join(group.column(c).to_pylist()), U) for c in "ab")
+        _, at, kinds = sums(pair_key(v, w), _wide(group, "c"))
+        v, w = v[at], w[at]
+        stats = [0] * 5 + pair_results(folder, f"often-{shard}", v, w, kinds)
+        rows = word_rows(w, np.ones(len(w), np.int64), np.zeros(len(w), np.int64), bits)
+        rows[0][-1] = stats
+        middle, _, *of = sums(v, kinds, *kinds_of(kinds))
+        rows += [["middle", 0, 1, m.tobytes(), None, None, [int(x) for x in of_m] + [0] * 6] for m, *of_m in zip(middle, *of, strict=True)]
+        return sent(rows)
 
     return run
 
 
 def word_shard(folder: str):
     def run(group: pa.Table) -> pa.Table:
-        """All blocks of a shard of words: saves its arrays; sums of what it holds."""
+        """All that shards say of the words of a shard: saves their counts; sums of these."""
         shard = group.column("shard")[0].as_py()
-        words, _, kinds, counts = summed(bytes_of(group.column("words"), U), bytes_of(group.column("kinds"), np.uint32).astype(np.int64), bytes_of(group.column("counts"), np.int64))
-        saved(folder, f"words-{shard}", words)
-        saved(folder, f"kinds-{shard}", np.stack([kinds, counts]))
-        of_pairs = np.array(group.column("stats").to_pylist()).sum(0).tolist()
-        return pa.table({"stats": pa.array([[*of_pairs, *count_of_counts(kinds), int(kinds.sum()), int(counts.sum()), len(words)]], pa.list_(pa.int64()))})
+        words = np.concatenate([np.cumsum(unsqueezed(a, [n], ["<u8"])[0], dtype=U) for n, a in zip(group.column("n").to_pylist(), group.column("a").to_pylist(), strict=True)])
+        words, _, kinds, counts = sums(words, _wide(group, "b"), _wide(group, "c"))
+        order = np.argsort(mix(words))
+        saved_keys(folder, f"words-{shard}", mix(words)[order])
+        saved_rows(folder, f"words-{shard}", kinds[order], counts[order])
+        return pa.table({"stats": pa.array([[*count_of_counts(kinds), int(kinds.sum()), int(counts.sum()), len(words)]], pa.list_(pa.int64()))})
 
     return run
 
@@ -208,68 +336,104 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """What all workers need to know of a model; its arrays stay in the folder."""
 
-    def __init__(self, folder: str, bits: int, stats: list[int]):
-        self.folder, self.bits = folder, bits
-        self.pair_discount, self.word_discount = discounts(*stats[:4]), discounts(*stats[5:9])
-        self.pairs, self.n, self.v = stats[4], stats[10], stats[11]
-        kinds = np.array([0, stats[5], stats[6], max(0, self.v - stats[5] - stats[6])])
-        self.floor = float(self.word_discount @ kinds) / (self.v + 1) / self.pairs if self.pairs else 1.0
+    def __init__(self, folder: str, bits: int, frequent: dict[int, list[int]], pairs: list[int], words: list[int]):
+        self.folder, self.bits, self.frequent = folder, bits, frequent
+        self.often = np.array(sorted(frequent), U)
+        self.of_often = np.array([frequent[k] for k in sorted(frequent)], np.int64).reshape(-1, 4)
+        self.three, self.two, self.one = discounts(*pairs[:4]), discounts(*pairs[5:9]), discounts(*words[:4])
+        self.k, self.n, self.v = words[4:7]
+        kinds = np.array([0, words[0], words[1], max(0, self.v - words[0] - words[1])])
+        self.floor = float(self.one @ kinds) / (self.v + 1) / self.k if self.k else 1.0
 
 
 @cache
-def mapped(path: str, kind: str, rows: int) -> np.ndarray:
+def mapped(path: str, kind: str) -> np.ndarray:
     """A stored array, mapped and not read."""
     if not os.path.exists(path) or os.path.getsize(path) == 0:
-        return np.zeros((rows, 0) if rows > 1 else 0, kind)
-    got = np.memmap(path, kind, "r")
-    return got.reshape(rows, -1) if rows > 1 else got
+        return np.zeros(0, kind)
+    return np.memmap(path, kind, "r")
+
+
+def looked_up(folder: str, name: str, keys: np.ndarray, columns: int) -> np.ndarray:
+    """The rows (columns x keys) of keys in one stored array, 0 where there is none."""
+    out = np.zeros((columns, len(keys)), np.int64)
+    stored = mapped(f"{folder}/{name}.keys", "<u4")
+    if not len(stored):
+        return out
+    cut = mapped(f"{folder}/{name}.at", "<u4")
+    bits = (len(cut) - 1).bit_length() - 1
+    bucket = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    want = ((keys << U(bits)) >> U(32)).astype(np.uint32)
+    low, end = cut[bucket].astype(np.int64), cut[bucket + 1].astype(np.int64)
+    high = end
+    while (low < high).any():
+        middle = (low + high) // 2
+        less = (low < high) & (stored[np.minimum(middle, len(stored) - 1)] < want)
+        low, high = np.where(less, middle + 1, low), np.where(less | (low >= high), high, middle)
+    hit = np.flatnonzero((low < end) & (stored[np.minimum(low, len(stored) - 1)] == want))
+    kinds = mapped(f"{folder}/{name}.kinds", "<i8").reshape(-1, columns)
+    size = os.path.getsize(f"{folder}/{name}.rows") // len(stored)
+    out[:, hit] = kinds[mapped(f"{folder}/{name}.rows", f"<u{size}")[low[hit]]].T
+    return out
 
 
 class Reader:
     def __init__(self, m: Model):
         self.m = m
 
-    def look(self, keys: np.ndarray, name: str, values: str, kind: str, rows: int) -> np.ndarray:
-        """The values (rows x keys) of sorted keys, 0 where there is none."""
-        out = np.zeros((rows, len(keys)), np.int64)
-        shard = shard_of(keys, self.m.bits)
-        cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
+    def look(self, name: str, keys: np.ndarray, shard: np.ndarray, columns: int) -> np.ndarray:
+        """The rows of keys that lie in these shards, those of one shard in order."""
+        order = np.lexsort((keys, shard))
+        out = np.empty((columns, len(keys)), np.int64)
+        cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            there = mapped(f"{self.m.folder}/{name}-{shard[a]}", "<u8", 1)
-            if len(there):
-                at = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
-                hit = there[at] == keys[a:b]
-                stored = mapped(f"{self.m.folder}/{values}-{shard[a]}", kind, rows)
-                out[:, a:b][:, hit] = (stored if rows > 1 else stored[None])[:, at[hit]]
+            i = order[a:b]
+            out[:, i] = looked_up(self.m.folder, f"{name}-{shard[i[0]]}", keys[i], columns)
         return out
 
     def score(self, tok: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """For each document: tokens, known tokens, base score and model score."""
         import pandas as pd
 
-        m, con = self.m, contexts(tok, at)
+        m = self.m
+        u, v = before(tok, at)
 
-        def of(keys, *names):
+        def each(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Number of its distinct key for each token, the distinct keys, and where each first stands."""
             code, found = pd.factorize(keys)
-            order = np.argsort(found)
-            got = np.empty((names[-1], len(found)), np.int64)
-            got[:, order] = self.look(found[order], *names)
-            return found, code, got
-
-        _, code, (kinds, counts) = of(mix(tok), "words", "kinds", "<i8", 2)
-        low = m.floor + np.maximum(kinds - m.word_discount[np.minimum(kinds, 3)], 0) / max(m.pairs, 1)
-        p, c = low[code], counts[code]
-        keys, code, (pair,) = of(pair_keys(con, tok, m.bits), "pairs", "counts", "u1", 1)
-        if len(large := np.flatnonzero(pair == 255)):
-            order = large[np.argsort(keys[large])]
-            for i, s in zip(order, shard_of(keys[order], m.bits), strict=True):
-                held = mapped(f"{m.folder}/large-{s}", "<u8", 2)
-                pair[i] = held[1, np.searchsorted(held[0], keys[i])]
-        top = np.maximum(pair - m.pair_discount[np.minimum(pair, 3)], 0)[code]
-        _, code, (total, one, two, more) = of(con, "contexts", "sums", "<i8", 4)
-        taken = m.pair_discount[1] * one + m.pair_discount[2] * two + m.pair_discount[3] * more
-        total, taken = total[code], taken[code]
-        p = np.where(total > 0, (top + taken * p) / np.maximum(total, 1), p)
+            top = np.maximum.accumulate(code) if len(code) else code
+            return code, found, np.flatnonzero(np.concatenate(([True], top[1:] > top[:-1]))) if len(code) else code
+
+        code, word, _ = each(tok)
+        kinds, counts = self.look("words", mix(word), shard_of(word, m.bits), 2)
+        p = (m.floor + np.maximum(kinds - m.one[np.minimum(kinds, 3)], 0) / max(m.k, 1))[code]
+        c = counts[code]
+
+        def interpolated(p, count, discount, of, code_of):
+            total, one, two, more = of
+            taken = discount[1] * one + discount[2] * two + discount[3] * more
+            total, taken = total[code_of], taken[code_of]
+            return np.where(total > 0, (np.maximum(count - discount[np.minimum(count, 3)], 0) + taken * p) / np.maximum(total, 1), p)
+
+        code, pair, first = each(pair_key(v, tok))
+        of_v = v[first]
+        often = np.isin(of_v, m.often)
+        kinds = np.zeros(len(pair), np.int64)
+        for name, some, shard in (("two", ~often, shard_of(of_v, m.bits)), ("often", often, shard_of(pair, m.bits))):
+            kinds[some] = self.look(name, pair[some], shard[some], 1)[0]
+        code_v, middle, _ = each(v)
+        of = self.look("middle", mix(middle), shard_of(middle, m.bits), 4)
+        if len(m.often):
+            i = np.minimum(np.searchsorted(m.often, middle), len(m.often) - 1)
+            there = m.often[i] == middle
+            of[:, there] = m.of_often[i[there]].T
+        p = interpolated(p, kinds[code], m.two, of, code_v)
+
+        code, triple, first = each(triple_key(u, v, tok))
+        count = self.look("three", triple, shards(u[first], v[first], m.often, m.bits), 1)[0]
+        code_uv, context, first = each(pair_key(u, v))
+        of = self.look("before", context, shards(u[first], v[first], m.often, m.bits), 4)
+        p = interpolated(p, count[code], m.three, of, code_uv)
         per = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else x[:0]
         return [np.diff(at), per((c > 0).astype(np.int64)), per(np.log10((c + 0.1) / (m.n + 0.1 * (m.v + 1)))), per(np.log10(p))]
 
@@ -282,17 +446,45 @@ def local_folder(spark: SparkSession) -> str:
     return where.path
 
 
+def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's first chunk the tokens in all (word null) and the words with a thousandth of them."""
+    for _, data, off in chunks(batches, text=0):
+        t, _ = tokens(data, off)
+        word, count = counted(t)
+        often = count * 1000 >= len(t)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *word[often].view(np.int64).tolist()], pa.int64()), pa.array([len(t), *count[often].tolist()], pa.int64())], ["word", "n"])
+        break
+    for _ in batches:  # the rest is read by no one
+        break
+
+
 def train(texts: DataFrame) -> Model:
     """The model of a column of texts."""
     spark = texts.sparkSession
     texts = texts.select(F.coalesce(F.col(texts.columns[0]), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(2, int(size // SHARD).bit_length())
+    # which middle words are dealt over all shards changes how work is spread and no result: no more than 2 ** bits
+    share = texts.mapInArrow(heavy, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    share = {r["word"]: r["n"] for r in share.orderBy(F.col("word").isNotNull(), F.desc("n")).limit(1 + (1 << bits)).collect()}
+    total = share.pop(None, 0)
+    frequent = np.array(sorted(np.uint64(w & 0xFFFFFFFFFFFFFFFF) for w, n in share.items() if n << bits > 2 * total), U)
     folder = f"{local_folder(spark)}/lm-{uuid.uuid4().hex}"
-    sent = texts.mapInArrow(summed_bigrams(bits), "shard long, contexts binary, followers binary, words binary, counts binary")
-    words = sent.groupBy("shard").applyInArrow(context_shard(folder, bits), "shard long, words binary, kinds binary, counts binary, stats array<long>")
-    rows = words.groupBy("shard").applyInArrow(word_shard(folder), "stats array<long>").collect()  # one for each shard
-    return Model(folder, bits, np.array([r[0] for r in rows]).sum(0).tolist() if rows else [0] * 12)
+    blocks = texts.mapInArrow(summed_trigrams(frequent, bits), BLOCK)
+    first = blocks.groupBy("shard").applyInArrow(trigram_shard(folder, frequent, bits), SENT)
+    told = written(first, "lm-sent")
+    if len(frequent):
+        pairs = written(told.where("kind = 'pair'").groupBy("shard").applyInArrow(pair_shard(folder, bits), SENT), "lm-pairs")
+        told = told.where("kind = 'word'").unionAll(pairs)
+    else:
+        pairs = None
+    words = told.where("kind = 'word'").select("shard", "n", "a", "b", "c").groupBy("shard").applyInArrow(word_shard(folder), "stats array<long>")
+    summed_up = lambda df, n: list(df.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(n))).first())
+    of_words = summed_up(words, 7)
+    of_pairs = summed_up(told.where("kind = 'word'"), 10)
+    middles = pairs.where("kind = 'middle'").groupBy("a").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(4))).collect() if pairs is not None else []
+    of_often = {int(w): [0, 0, 0, 0] for w in frequent} | {int(np.frombuffer(r["a"], U)[0]): list(r)[1:] for r in middles}
+    return Model(folder, bits, of_often, of_pairs, of_words)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

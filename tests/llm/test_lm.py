@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,40 +13,45 @@ def toks(t):
 
 
 class Brute:
+    """The trigram model by its definition."""
+
     def __init__(self, texts):
-        self.c, self.uni, follow, before = Counter(), Counter(), defaultdict(set), defaultdict(set)
+        self.c, self.uni = Counter(), Counter()
         for t in texts:
-            w = ["begin", *toks(t)]
-            self.c.update(zip(w[:-1], w[1:], strict=True))
-            self.uni.update(w[1:])
-        for v, w in self.c:
-            follow[v].add(w)
-            before[w].add(v)
-        self.k = {w: len(x) for w, x in before.items()}
-        self.D = L.discounts(*(sum(x == i for x in self.c.values()) for i in (1, 2, 3, 4)))
-        self.E = L.discounts(*(sum(x == i for x in self.k.values()) for i in (1, 2, 3, 4)))
-        self.floor = sum(self.E[min(x, 3)] for x in self.k.values())
-        self.total = {v: sum(self.c[v, x] for x in f) for v, f in follow.items()}
-        self.taken = {v: sum(self.D[min(self.c[v, x], 3)] for x in f) for v, f in follow.items()}
+            w = ["begin", "begin", *toks(t)]
+            self.c.update(zip(w[:-2], w[1:-1], w[2:], strict=True))
+            self.uni.update(w[2:])
+        self.k2 = Counter((v, w) for _, v, w in self.c)
+        self.k1 = Counter(w for _, w in self.k2)
+        self.D = [L.discounts(*(sum(x == i for x in c.values()) for i in (1, 2, 3, 4))) for c in (self.c, self.k2, self.k1)]
+        self.at, self.mid = defaultdict(list), defaultdict(list)
+        for (u, v, _), n in self.c.items():
+            self.at[u, v].append(n)
+        for (v, _), n in self.k2.items():
+            self.mid[v].append(n)
+        self.K = len(self.k2)
+        self.floor = sum(self.D[2][min(x, 3)] for x in self.k1.values())
         self.n, self.v = sum(self.uni.values()), len(self.uni)
 
-    def low(self, w):
-        k, total = self.k.get(w, 0), len(self.c)
-        if not total:
+    def p1(self, w):
+        if not self.K:
             return 1.0
-        return (max(k - self.E[min(k, 3)], 0) + self.floor / (self.v + 1)) / total
+        return (max(self.k1[w] - self.D[2][min(self.k1[w], 3)], 0) + self.floor / (self.v + 1)) / self.K
+
+    @staticmethod
+    def higher(count, seen, d, lower):
+        return (max(count - d[min(count, 3)], 0) + sum(d[min(x, 3)] for x in seen) * lower) / sum(seen) if seen else lower
 
-    def p(self, v, w):
-        total = self.total.get(v, 0)
-        if not total:
-            return self.low(w)
-        c = self.c.get((v, w), 0)
-        return (max(c - self.D[min(c, 3)], 0) + self.taken[v] * self.low(w)) / total
+    def p(self, u, v, w):
+        two = self.higher(self.k2[v, w], self.mid.get(v), self.D[1], self.p1(w))
+        return self.higher(self.c[u, v, w], self.at.get((u, v)), self.D[0], two)
 
     def score(self, t):
-        w = ["begin", *toks(t)]
-        base = sum(math.log10((self.uni.get(x, 0) + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w[1:])
-        return len(w) - 1, sum(x in self.uni for x in w[1:]), base, sum(math.log10(self.p(a, b)) for a, b in zip(w[:-1], w[1:], strict=True))
+        w = ["begin", "begin", *toks(t)]
+        base = sum(math.log10((self.uni[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w[2:])
+        known = {}
+        log = lambda g: known[g] if g in known else known.setdefault(g, math.log10(self.p(*g)))
+        return len(w) - 2, sum(x in self.uni for x in w[2:]), base, sum(map(log, zip(w[:-2], w[1:-1], w[2:], strict=True)))
 
 
 def same(rows, docs):
@@ -64,8 +70,21 @@ def test_equals_brute_force(spark):
     texts = ["the cat sat", "The cat  sat on\nthe mat", None, "", "a b a b a b", "the " * 3000, "é é ê", "the cat sat"]
     docs = [(i, texts[i % len(texts)]) for i in range(60)] + [(None, "new words here"), (3, "the dog")]
     model = same(L.score_corpus(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, score int").repartition(3)).collect(), docs)
-    for v in ("begin", b"the", b"a", "unseen"):  # a distribution over the training tokens and one unknown
-        assert sum(model.p(v, w) for w in model.uni) + model.p(v, b"unknown") == pytest.approx(1)
+    for u, v in (("begin", "begin"), (b"the", b"cat"), ("unseen", b"a"), ("unseen", "unseen")):  # distributions over the training tokens and one unknown
+        assert sum(model.p(u, v, w) for w in model.uni) + model.p(u, v, b"unknown") == pytest.approx(1)
+
+
+def test_frequent_words_are_dealt_over_shards(spark):
+    """A word in a third of all places, and many shards."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["the", "the", rng.choice("abcdefgh"), f"w{rng.randrange(200)}"]) for _ in range(rng.randrange(60)))) for i in range(300)]
+    old, L.SHARD = L.SHARD, 400
+    try:
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        assert len(L.train(df.select("text")).often) > 0
+        same(L.score_corpus(df).collect(), docs)
+    finally:
+        L.SHARD = old
 
 
 def test_empty_and_untrained(spark):
@@ -75,7 +94,7 @@ def test_empty_and_untrained(spark):
 
 
 def test_whole_table(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    rows = L.op6_lm_scoring(spark, "/root/testdata/sf0.001").collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = L.op6_lm_scoring(spark, "/root/testdata/sf0.01").collect()
     same(rows, docs)
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
