@@ -33,9 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
-
-from termweave.llm._spark import removed, small_batches, table, written
+from termweave.llm._spark import identified, removed, small_batches, table, written
 from termweave.llm._text import U, chunks, counted, distinct, mix, word_hashes
 from termweave.llm.components import components
 
@@ -44,9 +42,10 @@ TREES = 14
 BRANCHES = 5
 DEPTH = 3  # levels of branching before a node is compared in blocks all the same
 BLOCK = 192
-BATCH = 32  # pairs of blocks that a worker holds at once
+BATCH = 8  # pairs of blocks that a worker holds at once
+SALTS = 16  # tasks that the copies of one text are dealt to
 COLUMNS = 8192  # hashes in one product of incidence matrices
-FEW = 512  # a node with no more pairs of different components than so many for each member does not branch
+FEW = 4096  # a node with no more pairs of different components than so many for each member does not branch
 PERCENT = 80
 _seeds = np.random.default_rng(20240501)
 ROOTS = np.stack([_seeds.choice(WIDTH, 2, replace=False) for _ in range(64)])
@@ -85,19 +84,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a text in column 2, to these with (n, digest, signature, sketch); the sketch has a byte of each token."""
+        """(row, doc_id, text) to (row, doc_id, n, digest, signature, sketch); the sketch has a byte of each token."""
         for batch, data, off in chunks(batches, text=2):
             sets = shingle_sets(data, off, k)
             made = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    *batch.columns[:2],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([x.tobytes() if x is not None else None for x in made], pa.binary()),
                     pa.array([x.astype(np.uint8).tobytes() if x is not None else None for x in made], pa.binary()),
                 ],
-                [*batch.schema.names, "n", "digest", "signature", "sketch"],
+                ["row", "doc_id", "n", "digest", "signature", "sketch"],
             )
 
     return run
@@ -246,17 +245,15 @@ def confirmed(percent: int):
 
 
 class Join:
-    """One run of the operator over a table of documents. The rows are numbered once, in a table that is written and
-    from then on read; ``rest`` is what else a row of that table keeps."""
+    """One run of the operator over a table of documents, whose rows have numbers that every scan gives them alike."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, rest: list[str] = ()):
+    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.k, self.percent, self.made = k, percent, []
-        kept = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
-        found = StructType(list(rows.schema.fields)).add("n", "long").add("digest", "binary").add("signature", "binary").add("sketch", "binary")
-        self.signed = written(rows.mapInArrow(signed(k), found), "signed", self.made, "zstd")
+        self.placed, self.number = identified(docs, self.made)
+        self.rows = self.placed.select(F.col(self.number).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        self.signed = written(self.rows.mapInArrow(signed(k), "row long, doc_id long, n long, digest binary, signature binary, sketch binary"), "signed", self.made)
         # a class is represented by its first row
-        classes = self.signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+        classes = self.signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         self.reps = written(classes, "classes", self.made)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
@@ -284,7 +281,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())], ["rep", "shingles"])
 
         # by sorting at every size, as for a corpus whose near copies are too many to send to all tasks
-        texts = self.signed.select("row", "text").join(near.hint("merge"), "row", "left_semi")
+        texts = self.rows.select("row", "text").join(near.hint("merge"), "row", "left_semi")
         self.sets = written(texts.select("row", "text").mapInArrow(sets, "rep long, shingles binary"), "sets", self.made)
         links = written(self.confirm(pairs), "links", self.made)
         comps = written(components(links, self.made).withColumnRenamed("node", "rep"), "components", self.made)
@@ -340,10 +337,14 @@ class Join:
         linked, ids = self.linked(), self.reps.select("rep", "id")
         least = linked.join(ids, "rep").groupBy("component").agg(F.min("id").alias("least"))
         linked = linked.join(least, "component").select("rep", "component", "least")
-        of = self.reps.select("digest", "rep", "id").join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
-        rows = self.signed.select("row", "doc_id", "n", "digest").join(of, "digest", "left")
-        least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-        return rows.select("row", "doc_id", "n", "component", least.alias("least"))
+        of = self.reps.select("digest", "rep", "id", "copies").join(linked, "rep", "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        own = of.select(F.col("rep").alias("row"), F.struct("component", "least").alias("own"))
+        copied = of.where("copies > 1").select("digest", F.struct("component", "least").alias("copied"), salt)
+        rows = self.signed.select("row", "doc_id", "n", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+        rows = rows.join(own, "row", "left").join(copied, ["digest", "salt"], "left").withColumn("found", F.coalesce("own", "copied"))
+        least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found.least"))
+        return rows.select("row", "doc_id", "n", F.col("found.component").alias("component"), least.alias("least"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,10 +362,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of docs: the one with the smallest id, of repeated rows the first; empty texts stay."""
-    join = Join(docs, 5, PERCENT, "doc_id", "text", [c for c in docs.columns if c != "text"])
+    join = Join(docs, 5, PERCENT, "doc_id", "text")
     group = F.coalesce("component", "row")
-    first = join.members().groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    kept = join.signed.select("row", "text", "rest").join(first.hint("merge"), "row", "left_semi")
-    out = written(kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns)), "kept", compression="zstd")
-    removed(spark, join.made)
-    return out
+    first = join.members().groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    kept = written(first.select(F.col("first.row").alias(join.number)), "kept")
+    if not any("/numbered-" in path for path in join.made):
+        removed(spark, join.made)
+    return join.placed.join(kept.hint("merge"), join.number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
