@@ -16,7 +16,7 @@ and those that said nothing. Null and malformed payloads and fields give no stat
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,11 +95,9 @@ def names_of(v: Column, of: str) -> Column:
     return F.array_distinct(F.flatten(found))
 
 
-def objects(records: DataFrame) -> DataFrame:
-    """(record_id, line, role, base, o): the objects of a record that speak for an entity, and the record itself."""
-    v = records.select("record_id", "line", F.try_parse_json("payload").alias("p")).where(kind(F.col("p")) == "object")
-    wrapped = kind(at(F.col("p"), "source_record")) == "object"
-    v = v.select("record_id", "line", F.when(wrapped, at(F.col("p"), "source_record")).otherwise(F.col("p")).alias("p"), F.when(wrapped, "/source_record").otherwise("").alias("prefix"), F.when(wrapped, at(F.col("p"), "proposal")).otherwise(F.coalesce(at(F.col("p"), "proposal"), F.when(at(F.col("p"), "terms").isNotNull(), F.col("p")))).alias("proposal"))
+@cache
+def _laid_out(application: str) -> Column:
+    """The objects in a payload p with the path prefix, as one list of (role, base, o)."""
     row = lambda role, base, o: F.struct(F.lit(role).alias("role"), base.alias("base"), o.alias("o"))
 
     def listed(role: str, name: str) -> Column:
@@ -117,7 +115,15 @@ def objects(records: DataFrame) -> DataFrame:
     found.append(F.when(leaf(at(F.col("p"), "assembly_accession")).isNotNull(), F.array(row("assembly", F.col("prefix"), F.col("p")))))
     found.append(F.array(row("root", F.col("prefix"), F.col("p"))))
     none = F.expr("filter(array(named_struct('role', '', 'base', '', 'o', parse_json('null'))), x -> false)")
-    laid = v.select("record_id", "line", "prefix", "proposal", F.explode(F.flatten(F.array(*(F.coalesce(f, none) for f in found)))).alias("x")).select("record_id", "line", "prefix", "proposal", "x.role", "x.base", "x.o")
+    return F.flatten(F.array(*(F.coalesce(f, none) for f in found)))
+
+
+def objects(records: DataFrame) -> DataFrame:
+    """(record_id, line, role, base, o): the objects of a record that speak for an entity, and the record itself."""
+    v = records.select("record_id", "line", F.try_parse_json("payload").alias("p")).where(kind(F.col("p")) == "object")
+    wrapped = kind(at(F.col("p"), "source_record")) == "object"
+    v = v.select("record_id", "line", F.when(wrapped, at(F.col("p"), "source_record")).otherwise(F.col("p")).alias("p"), F.when(wrapped, "/source_record").otherwise("").alias("prefix"), F.when(wrapped, at(F.col("p"), "proposal")).otherwise(F.coalesce(at(F.col("p"), "proposal"), F.when(at(F.col("p"), "terms").isNotNull(), F.col("p")))).alias("proposal"))
+    laid = v.select("record_id", "line", "prefix", "proposal", F.explode(_laid_out(records.sparkSession.sparkContext.applicationId)).alias("x")).select("record_id", "line", "prefix", "proposal", "x.role", "x.base", "x.o")
     # samples inside assemblies speak for themselves as well
     inner = laid.where("role = 'assembly'").select("record_id", "line", "prefix", "proposal", F.lit("sample").alias("role"), F.concat("base", F.lit("/assemblyInfo/biosample")).alias("base"), at(F.col("o"), "assemblyInfo.biosample").alias("o"))
     return laid.unionByName(inner.where(kind(F.col("o")) == "object"))
@@ -135,13 +141,23 @@ def _said(targets: Column, relation: str, kind_of: str, path: Column, identifier
     return F.coalesce(F.filter(F.transform(targets, one), lambda x: x["target_id"].isNotNull()), F.expr(NOTHING))
 
 
+@cache
+def _named(of: str, fields: tuple[str, ...], application: str) -> list[Column]:
+    """source_id, source_label and key of an object o that holds its accession in one of the fields."""
+
+    def held(f: str) -> Column:
+        found = F.struct(F.lit(f).alias("key"), at(F.col("o"), f).alias("value"))
+        return F.when(leaf(at(F.col("o"), f)).isNotNull(), found)
+
+    chosen = F.coalesce(*map(held, fields))
+    return [let(chosen, lambda c: F.get(names_of(c["value"], of), F.lit(0))).alias("source_id"), said_of(at(F.col("o"), "title")).alias("source_label"), chosen["key"].alias("key")]
+
+
 def identified(laid: DataFrame) -> DataFrame:
     """Objects with the entity that they speak for; those without an accession of their type are left out."""
 
     def own(role: str, of: str, fields: list[str]) -> DataFrame:
-        key = F.coalesce(*(F.when(leaf(at(F.col("o"), f)).isNotNull(), F.lit(f)) for f in fields))
-        value = F.coalesce(*(F.when(leaf(at(F.col("o"), f)).isNotNull(), at(F.col("o"), f)) for f in fields))
-        return laid.where(F.col("role") == role).select("*", F.lit(of).alias("source_type"), F.get(names_of(value, of), F.lit(0)).alias("source_id"), said_of(at(F.col("o"), "title")).alias("source_label"), key.alias("key"))
+        return laid.where(F.col("role") == role).select("*", F.lit(of).alias("source_type"), *_named(of, tuple(fields), laid.sparkSession.sparkContext.applicationId))
 
     made = [own(role, of, fields) for role, (of, fields) in OWN.items()]
     rid = first_text(leaf(at(F.col("o"), "record_id")), leaf(at(F.col("o"), "original_metadata.record_id")))
@@ -184,8 +200,10 @@ def _publications(v: Column) -> Column:
     return _said(F.flatten(F.transform(items(v), named)), "cites", "publication", _under("publications"), lambda t: t["id"], lambda t: t["title"], lambda t: t["id"])
 
 
-def _told(role: str) -> Column:
-    """All that an object of the role says, as one list."""
+@cache
+def _told(role: str, application: str) -> Column:
+    """All that an object of the role says, as one list. Building so many expressions takes longer than running them on
+    a small table, so each application builds them once."""
     o = F.col("o")
     out = [_said(names_of(at(o, path), kind_of), relation, kind_of, _under(path)) for path, kind_of, relation in RULES.get(role, [])]
     if role in ORGANISM:
@@ -225,8 +243,8 @@ def _told(role: str) -> Column:
 
 
 def statements(records: DataFrame) -> DataFrame:
-    """All statements of the records: each object lists all it says, in one pass over the laid out objects, which are
-    checkpointed so that payloads are parsed once."""
+    """All statements of the records: each object lists all it says, in one pass over the laid out objects. These and the
+    statements are checkpointed, so that payloads are parsed once and what is made of statements has a small plan."""
     checkpoints(records.sparkSession)
     rows = identified(objects(records)).checkpoint()
     rid = first_text(leaf(at(F.col("o"), "record_id")), leaf(at(F.col("o"), "original_metadata.record_id")))
@@ -236,8 +254,8 @@ def statements(records: DataFrame) -> DataFrame:
         own = rows.where(F.col("role") == role)
         if role == "root":
             own = own.withColumn("rid", rid).withColumn("o", F.when(kind(inner) == "object", inner).otherwise(F.col("o")))
-        parts.append(own.select("record_id", "line", "source_type", "source_id", "source_label", F.inline(_told(role))))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(own.select("record_id", "line", "source_type", "source_id", "source_label", F.inline(_told(role, records.sparkSession.sparkContext.applicationId))))
+    return reduce(DataFrame.unionByName, parts).checkpoint()
 
 
 def mentions(said: DataFrame) -> DataFrame:

@@ -10,16 +10,37 @@ from termweave.operators import linkage as L
 from termweave.operators import resolve as R
 
 
+NESTED = {
+    "genome": {"accession": "GCA_000000001.1", "organism": {"taxId": 1280, "organismName": "S. aureus"}, "assemblyInfo": {"bioprojectAccession": "PRJNA1", "biosample": {"accession": "SAMN7", "hostDisease": "bacteremia"}, "pairedAssembly": {"accession": "GCF_000000001.1"}}},
+    "bioprojects": [{"accession": "PRJNA1", "publications": [{"db": "Pubmed", "id": "24744328", "pubdate": "2014"}]}],
+    "sra_runs": [{"run_accession": "SRR5", "experiment_accession": "SRX5", "sample_accession": "SRS5", "study_accession": "SRP5"}],
+}
+FLAT = {"genome.assembly_accession": "GCF_000000001.1", "genome.biosample_accession": "SAMN7", "genome.publication": "24744328; 24744329"}
+PROSE = {"record_id": "SAMN123456", "host": "Homo sapiens", "comments": ["host_disease: infection"], "description": "Supported by NIAID. Study PRJNA123456.", "disease": "not provided"}
+BELOW = {"biosamples": [{"accession": "SAMN1"}, {"accession": "SAMN2"}], "disease": "x", "niaid_program": "y", "extras": {"taxonomy_id": 9606}}
+SOURCE = {"record_id": "SAMN1", "extras": {"taxonomy_id": 1280, "organism": "S. aureus", "attributes": {"host_disease": "MRSA infection"}}}
+TERMS = [{"ontology": "MONDO", "term_id": "MONDO:0100073", "label": "MRSA infection"}, {"ontology": "MONDO", "term_id": "MONDO:9999999"}, {"ontology": "UBERON", "term_id": "UBERON:0000001"}]
+PROPOSAL = {"record_id": "SAMN1", "candidate_curies": ["MONDO:0100073"], "terms": TERMS}
+ODD = {"record_id": "SAMN1", "terms": None, "genome": [None, 5], "biosamples": None, "original_metadata": [], "extras": {"organism": [], "taxonomy_id": {}, "attributes": None}}
+RECORDS = [NESTED, FLAT, FLAT, PROSE, BELOW, {"source_record": SOURCE, "proposal": PROPOSAL}, {"source_record": SOURCE, "proposal": PROPOSAL | {"record_id": "SAMN9"}}, ODD, {"metric": 0.7}, None, {"biosamples": [{"accession": f"SAMN{i}"} for i in range(101)]}]
+
+
+@pytest.fixture(scope="module")
+def stated(spark):
+    """The statements of all records (their plan is large, so it is run once), and the accounting."""
+    rows = spark.createDataFrame([(i, i, json.dumps(o) if o is not None else None) for i, o in enumerate(RECORDS)], "record_id long, line long, payload string")
+    said = evidence.statements(rows)
+    return said.schema, said.collect(), evidence.accounting(rows, spark.createDataFrame(said.collect(), said.schema)).first()
+
+
 @pytest.fixture
-def project(spark):
+def project(spark, stated):
     def run(*objects):
-        rows = spark.createDataFrame([(i, i, json.dumps(o) if o is not None else None) for i, o in enumerate(objects, 1)], "record_id long, line long, payload string")
-        said = evidence.statements(rows).cache()
+        wanted = {i for i, o in enumerate(RECORDS) if any(o is x for x in objects)}
+        said = spark.createDataFrame([r for r in stated[1] if r.record_id in wanted], stated[0]).coalesce(1)
         nodes = {f"{r.type}:{r.identifier}": r for r in graph.nodes(evidence.mentions(said)).collect()}
         edges = {(r.source, r.target, r.relation): r for r in graph.edges(evidence.claims(said)).collect()}
-        counts = evidence.accounting(rows, said).first()
-        said.unpersist()
-        return nodes, edges, counts
+        return nodes, edges
 
     return run
 
@@ -29,52 +50,41 @@ def kinds(nodes):
 
 
 def test_nested_records(project):
-    nodes, edges, _ = project({
-        "genome": {"accession": "GCA_000000001.1", "organism": {"taxId": 1280, "organismName": "S. aureus"}, "assemblyInfo": {"bioprojectAccession": "PRJNA1", "biosample": {"accession": "SAMN7", "hostDisease": "bacteremia"}, "pairedAssembly": {"accession": "GCF_000000001.1"}}},
-        "bioprojects": [{"accession": "PRJNA1", "publications": [{"db": "Pubmed", "id": "24744328", "pubdate": "2014"}]}],
-        "sra_runs": [{"run_accession": "SRR5", "experiment_accession": "SRX5", "sample_accession": "SRS5", "study_accession": "SRP5"}],
-    })
+    nodes, edges = project(NESTED)
     assert kinds(nodes) == {"study", "sample", "sequence", "organism", "disease", "publication", "repository"}
     assert "publication:PMID:24744328" in nodes and "publication:PMID:2014" not in nodes
     assert nodes["organism:NCBITaxon:1280"].label == "S. aureus" and nodes["study:PRJNA1"].url.endswith("/bioproject/PRJNA1")
     edge = edges["sequence:GCA_000000001.1", "sample:SAMN7", "sequenced from"]
-    assert [(e.record_id, e.path) for e in edge.evidence] == [(1, "/genome/assemblyInfo/biosample/accession")]
+    assert [e.path for e in edge.evidence] == ["/genome/assemblyInfo/biosample/accession"]
     assert ("sequence:SRR5", "sequence:SRX5", "run of experiment") in edges and ("sequence:GCA_000000001.1", "sequence:GCF_000000001.1", "paired assembly") in edges
     assert not any({"sequence:GCA_000000001.1", "sequence:SRR5"} == {a, b} for a, b, _ in edges)
     assert all(e.status == "derived" for (_, _, relation), e in edges.items() if relation == "registered in")
 
 
 def test_flat_keys_in_two_records(project):
-    one = {"genome.assembly_accession": "GCF_000000001.1", "genome.biosample_accession": "SAMN7", "genome.publication": "24744328; 24744329"}
-    nodes, edges, counts = project(one, one)
+    nodes, edges = project(FLAT)
     edge = edges["sequence:GCF_000000001.1", "sample:SAMN7", "sequenced from"]
     assert [(e.record_id, e.path) for e in edge.evidence] == [(1, "/genome.biosample_accession"), (2, "/genome.biosample_accession")]
-    assert sum(k.startswith("publication:") for k in nodes) == 2 and (counts.records, counts.unsupported) == (2, 0)
+    assert sum(k.startswith("publication:") for k in nodes) == 2
 
 
 def test_nothing_from_prose_or_below_the_root(project):
-    nodes, _, _ = project({"record_id": "SAMN123456", "host": "Homo sapiens", "comments": ["host_disease: infection"], "description": "Supported by NIAID. Study PRJNA123456.", "disease": "not provided"})
-    assert kinds(nodes) == {"sample", "repository"}
-    nodes, _, _ = project({"biosamples": [{"accession": "SAMN1"}, {"accession": "SAMN2"}], "disease": "x", "niaid_program": "y", "extras": {"taxonomy_id": 9606}})
-    assert kinds(nodes) == {"sample", "repository"}
+    assert kinds(project(PROSE)[0]) == kinds(project(BELOW)[0]) == {"sample", "repository"}
 
 
 def test_proposals_need_their_own_record_and_a_retrieved_term(project):
-    source = {"record_id": "SAMN1", "extras": {"taxonomy_id": 1280, "organism": "S. aureus", "attributes": {"host_disease": "MRSA infection"}}}
-    terms = [{"ontology": "MONDO", "term_id": "MONDO:0100073", "label": "MRSA infection"}, {"ontology": "MONDO", "term_id": "MONDO:9999999"}, {"ontology": "UBERON", "term_id": "UBERON:0000001"}]
-    proposal = {"record_id": "SAMN1", "candidate_curies": ["MONDO:0100073"], "terms": terms}
-    nodes, edges, _ = project({"source_record": source, "proposal": proposal})
+    nodes, edges = project(RECORDS[5])
     proposed = [e for e in edges.values() if e.status == "proposed"]
     assert len(proposed) == 1 and proposed[0].evidence[0].path == "/proposal/terms/0"
     assert "disease:reported:mrsa infection" in nodes and "disease:MONDO:0100073" in nodes
-    _, edges, _ = project({"source_record": source, "proposal": proposal | {"record_id": "SAMN9"}})
-    assert not any(e.status == "proposed" for e in edges.values())
+    assert not any(e.status == "proposed" for e in project(RECORDS[6])[1].values())
 
 
-def test_null_and_malformed_fields(project):
-    nodes, _, counts = project({"record_id": "SAMN1", "terms": None, "genome": [None, 5], "biosamples": None, "original_metadata": [], "extras": {"organism": [], "taxonomy_id": {}, "attributes": None}}, {"metric": 0.7}, None, {"biosamples": [{"accession": f"SAMN{i}"} for i in range(101)]})
-    assert "disease" not in kinds(nodes) and counts.unsupported == 2 and counts.truncated == 1
+def test_null_and_malformed_fields(project, stated):
+    assert "disease" not in kinds(project(ODD)[0])
+    nodes, _ = project(RECORDS[-1])
     assert sum(k.startswith("sample:") for k in nodes) == 100
+    assert (stated[2].records, stated[2].unsupported, stated[2].truncated) == (len(RECORDS), 2, 1)
 
 
 def test_hub_nodes_stay_small(spark):
