@@ -67,6 +67,14 @@ def identifiers(c: Column, kind: str, most: int = 100) -> Column:
     return F.slice(F.array_distinct(F.filter(F.split(c, r"[,;|\s]+"), keep)), 1, most)
 
 
+def publication(c: Column) -> Column:
+    """'PMID:n' or 'DOI:x' of a text that is one publication's name, with its case folded so that names can be compared,
+    else null; ``publication_ids`` reads lists and keeps the case."""
+    pmid = F.regexp_extract(c, r"(?i)^\s*(?:pmid:?\s*|https?://(?:www\.)?(?:ncbi\.nlm\.nih\.gov/pubmed|pubmed\.ncbi\.nlm\.nih\.gov)/)?(\d{1,9})/?\s*$", 1)
+    doi = F.regexp_extract(c, r"(?i)^\s*(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/\S+?)\s*$", 1)
+    return F.when(pmid != "", F.concat(F.lit("PMID:"), pmid)).when(doi != "", F.concat(F.lit("DOI:"), F.lower(doi)))
+
+
 def publication_ids(c: Column) -> Column:
     """The distinct 'PMID:n' and 'DOI:x' that the parts of a text name, in order; a DOI keeps its case."""
     pmid = lambda x: F.regexp_extract(x, r"(?i)^(?:PMID:|https://pubmed\.ncbi\.nlm\.nih\.gov/)?(\d+)/?$", 1)
