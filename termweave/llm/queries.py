@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from termweave.llm.decontamination import op7_benchmark_decontamination
 from termweave.llm.fingerprints import op8_document_fingerprints
+from termweave.llm.fim import OP12_SQL, op12_fill_in_middle
 from termweave.llm.lm import op6_lm_scoring
+from termweave.llm.merkle import OP11_SQL, op11_merkle_manifest
 from termweave.llm.neardup import op5_minhash_near_dedup
 from termweave.llm.oracles import OP5_SQL, OP7_SQL
 from termweave.llm.packing import op4_best_fit_packing
@@ -25,9 +27,13 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_warc_revisits": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
