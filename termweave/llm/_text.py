@@ -14,20 +14,21 @@ import pyarrow.compute as pc
 
 CHUNK = 2 << 20
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
+MODULI = [((1 << 31) - 1, 0x2545F491), ((1 << 31) - 19, 0x1B56C4E9)]  # primes and bases
+_held: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept by the worker and grown as longer chunks come."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = max(n, CHUNK + 4096)
-        got = np.full(size, base, U)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        _powers[base] = got
-    return got[:n]
+def powers_of(prime: int, base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo the prime, each half from the one before; kept by the worker."""
+    out = _held.get((prime, base))
+    if out is None or len(out) < n:
+        out, k = np.ones(max(n, CHUNK + 4096), U), 1
+        while k < len(out):
+            step = min(k, len(out) - k)
+            out[k : k + step] = out[:step] * U(pow(base, k, prime)) % U(prime)
+            k += step
+        _held[prime, base] = out
+    return out[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,23 +96,28 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def prefix(data: np.ndarray, table: np.ndarray = LOWER, base: int = BASE) -> np.ndarray:
-    """Prefix sums P of table[byte] * base**position: P[e] - P[s] holds the polynomial of bytes s..e."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * powers(base, len(data)), out=out[1:])
-    return out
+class Sums:
+    """Prefix sums modulo two primes over one 64-bit mark for each unit, for hashes of any span of them. A polynomial modulo
+    2**64 will not do: for every odd base it gives a word of 1,024 letters in the Thue-Morse order, and its complement,
+    one hash. Modulo a prime two different spans are equal for few of the bases only."""
 
+    def __init__(self, marks: np.ndarray):
+        self.parts = []
+        for (prime, base), mark in zip(MODULI, (marks & U(0x3FFFFFFF), marks >> U(34)), strict=True):
+            sums = np.zeros(len(marks) + 1, U)
+            np.cumsum(mark * powers_of(prime, base, len(marks)) % U(prime), out=sums[1:])  # below 2**31 each: no overflow in a text
+            self.parts.append((U(prime), sums, powers_of(prime, pow(base, -1, prime), len(marks) + 1)))
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """64-bit hashes of the spans, equal for equal bytes wherever they stand."""
-    back = powers(pow(base, -1, 1 << 64), len(sums))
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U))
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the spans, of both residues and the length, equal for equal spans wherever they stand."""
+        one, two = ((sums[ends] - sums[starts]) % prime * back[starts] % prime for prime, sums, back in self.parts)
+        return mix((one << U(32) | two) + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and each document's first word (n + 1 values)."""
     starts, ends, first = words(data, off)
-    return spans(prefix(data), starts, ends), first
+    return Sums(LOWER[data]).spans(starts, ends), first
 
 
 def owners(first: np.ndarray) -> np.ndarray:

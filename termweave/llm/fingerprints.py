@@ -30,33 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termweave.llm._spark import table, written
-from termweave.llm._text import U, mix
+from termweave.llm._text import MODULI, U, mix, powers_of
 
 GRAM = 24
 WIDTH = 128
 SLICE = 1 << 20  # code points that are hashed together
-MODULI = [((1 << 31) - 1, 0x2545F491), ((1 << 31) - 19, 0x1B56C4E9)]  # primes and bases
 MARKS = mix(np.arange(1, 0x10001, dtype=U) * U(0x9FB21C651E98DF25))
 LENDERS = np.argsort(np.random.default_rng(77).random((WIDTH, WIDTH)), axis=1)
 EMPTY = "0" * (16 + 4 * WIDTH)
 
 
-_held: dict[tuple[int, int], np.ndarray] = {}
-
-
-def powers_of(prime: int, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo the prime, each half from the one before; kept by the worker."""
-    out = _held.get((prime, base))
-    if out is None or len(out) < n:
-        out, k = np.ones(max(n, SLICE + 1), U), 1
-        while k < len(out):
-            step = min(k, len(out) - k)
-            out[k : k + step] = out[:step] * U(pow(base, k, prime)) % U(prime)
-            k += step
-        _held[prime, base] = out
-    return out[:n]
-
-
 class Prefixes:
     """Prefix hashes of a text or of several texts one behind the other."""
 

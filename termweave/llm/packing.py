@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termweave.llm._spark import removed, table, written
-from termweave.llm._text import U, mix, powers
+from termweave.llm._text import Sums, U, mix
 
 END = 0  # the id behind each document
 SLICE = 1 << 20  # characters of text that are encoded together
@@ -34,7 +34,6 @@ RANKED = 10_000  # pieces that one task ranks, about
 RUN = 4096  # ranks of a length that are placed together
 UNSURE = 255
 KEPT = 1 << 21  # pre-tokens whose ids a worker keeps; beyond that it starts anew
-BASE = 0xD1342543DE82EF95
 #: White space of Unicode
 BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -99,9 +98,7 @@ class Encoder:
         last = solid.copy()
         last[:-1] &= ~solid[1:] | start[1:]
         e = np.flatnonzero(last) + 1
-        sums = np.zeros(len(cp) + 1, U)
-        np.cumsum((self.marks[cp & 0xFFFF] + (cp >> 16).astype(U) * U(0x9E3779B97F4A7C15)) * powers(BASE, len(cp)), out=sums[1:])
-        return s, e, mix((sums[e] - sums[s]) * powers(pow(BASE, -1, 1 << 64), len(cp) + 1)[s] + (e - s).astype(U))
+        return s, e, Sums(self.marks[cp & 0xFFFF] + (cp >> 16).astype(U) * U(0x9E3779B97F4A7C15)).spans(s, e)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(keys) > KEPT:

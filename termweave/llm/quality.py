@@ -1,6 +1,7 @@
 """Operator 2, quality classifier: a generalised additive model with pairwise interactions.
 
-Features of each whole text are measured once, in vectorised passes over its bytes. Shallow trees are boosted in
+Features of each whole text are measured once, in vectorised passes over its bytes; whether two words are the same is
+told with A-Z lower-cased. Shallow trees are boosted in
 cycles, one feature after the other, then on the pairs with the most to gain; as each tree sees one feature or one
 pair, the sum of its trees is a lookup table, and a score is an addition of table entries.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from termweave.llm._spark import removed, table, written
-from termweave.llm._text import chunks, prefix, spans, words
+from termweave.llm._text import LOWER, Sums, chunks, words
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
 FOLDS = 5
@@ -44,7 +45,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         out = np.zeros((n, len(NAMES)), np.float32)
         starts, ends, first = words(data, off)
-        h = spans(prefix(data), starts, ends)
+        h = Sums(LOWER[data]).spans(starts, ends)
         size = ends - starts
         capital = np.isin(data[starts], np.arange(65, 91)) if len(starts) else np.zeros(0, bool)
         hist = np.stack([np.bincount(data[off[i] : off[i + 1]], minlength=256) for i in range(n)]) @ _CLASSES

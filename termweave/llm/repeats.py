@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm._spark import identified, table, written
 from termweave.llm._spark import removed as deleted
-from termweave.llm._text import BASE, BYTES, U, chunks, powers, spans, word_hashes
+from termweave.llm._text import BYTES, Sums, U, chunks, word_hashes
 
 LENGTH = 400
 WORDS = 50
@@ -55,13 +55,6 @@ def sliding(op, x: np.ndarray, w: int, fill) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def sums_of(values: np.ndarray) -> np.ndarray:
-    """Prefix sums for ``spans`` over one value for each unit."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
-    return out
-
-
 def anchors(values: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the picked grams of half the length: those that are least among length - gram + 1."""
     gram = length // 2
@@ -69,7 +62,7 @@ def anchors(values: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarra
     if n < w:
         return np.zeros(0, np.int64), np.zeros(0, U)
     at = np.arange(n)
-    h = spans(sums_of(values), at, at + gram)
+    h = Sums(values).spans(at, at + gram)
     inside = np.ones(len(values) + gram, bool)
     for e in off[1:].tolist():
         inside[max(0, e - gram + 1) : e] = False  # grams that leave their text
@@ -148,7 +141,7 @@ def suffixes(data: bytes, off: list[int], lows: list[list[int]], highs: list[lis
         stop = np.cumsum(size)
         at = np.repeat(low - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
         out.append((at, start))
-        hashes.append(spans(sums_of(values), at, at + length))
+        hashes.append(Sums(values).spans(at, at + length))
     return out, np.concatenate(hashes)
 
 
