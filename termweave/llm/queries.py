@@ -15,6 +15,7 @@ from termweave.llm.repeats import op9_suffix_array_dedup
 from termweave.llm.revisits import OP10_SQL, op10_warc_revisits
 from termweave.llm.secrets import op3_secret_scan
 from termweave.llm.token_counts import op1_token_counts
+from termweave.llm.toxicity import op13_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_warc_revisits": op10_warc_revisits,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": OP5_SQL,
