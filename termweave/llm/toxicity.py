@@ -2,14 +2,15 @@
 
 Voters are found, not given. A lexicon is mined from the labelled sample: words, and beginnings of words, that toxic texts
 hold far more often than others (by the log-likelihood ratio; of a word and its beginnings one stays). Each entry is a
-voter that says toxic where it occurs and nothing elsewhere; further voters look at how many entries a text holds and how
-densely, or at patterns (shouting, exclamations, signs inside words), and may say either. The given label is one voter more.
+voter that says toxic where it occurs more than by chance and nothing elsewhere; further voters look at how many entries a
+text holds and how densely, or at patterns (shouting, exclamations, signs inside words), and may say either.
 
 A generative label model explains all votes by a hidden class: for each class a tree of voters, in which a vote depends on
 the class and on one other vote. The tree is the maximum spanning tree of the mutual information of votes within a class,
 so that voters which say the same are not counted twice; its tables, the accuracies, are estimated by expectation
-maximisation over labelled and unlabelled texts together. A linear classifier is then trained on the posterior labels, and
-scores every text in one vectorised pass, with no shuffle.
+maximisation over labelled and unlabelled texts together, the latter with less weight. A given label anchors the classes:
+votes may make it less sure but not overturn it. A linear classifier is then trained on the posterior labels, and scores
+every text in one vectorised pass, with no shuffle.
 
 The model is fitted on the driver from at most ``sample`` labelled texts and ``unlabelled`` others (taken in the order of a
 hash of their id, from rows whose crc32(id as text) mod ``folds`` is not 0). Everything else runs over all rows.
@@ -42,7 +43,11 @@ BEGINNINGS = (4, 5, 6, 7)  # code points of a word's beginnings
 CANDIDATES = 50_000  # keys of toxic texts that are counted in the others, at most: those that most toxic texts hold
 LEXICON = 128  # entries, at most
 SUPPORT = 3  # toxic texts of the sample that hold an entry, at least
-LEAST_G = 12.0  # log-likelihood ratio of an entry, at least
+LEAST_G = 20.0  # log-likelihood ratio of an entry, at least
+TRUST = 0.98  # that a given label is right
+LEEWAY = 3.0  # log odds by which all votes together move a given label, at most
+UNSURE = 0.3  # weight of a text without a label beside one with a label
+OFTEN, DENSE = 2, 0.01  # hits, or hits a word, from which an entry says toxic
 DIGITS = 9  # of what is compared; equal ones go to the first
 PATTERNS = ["upper", "bang", "signs", "digits", "wide"]
 LETTER = np.zeros(256, bool)
@@ -117,9 +122,9 @@ def ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
     return 2 * (part(a, n, p) + part(n - a, n, 1 - p) + part(b, m, p) + part(m - b, m, 1 - p))
 
 
-def lexicon(keys: np.ndarray, over: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, m: int, most: int = LEXICON) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (sorted) that say most for themselves, and the log of how much more often toxic texts hold them; a key
-    goes if it extends one that is chosen, or one that is chosen extends it."""
+def lexicon(keys: np.ndarray, over: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, m: int, most: int = LEXICON) -> np.ndarray:
+    """The keys (sorted) that say most for themselves; a key goes if it extends one that is chosen, or one that is chosen
+    extends it."""
     g = np.round(ratio(pos, neg, n, m), DIGITS)
     good = (pos >= SUPPORT) & (g >= LEAST_G) & (pos * m > 2 * neg * n)
     above = dict(zip(keys.tolist(), over.tolist(), strict=True))
@@ -131,19 +136,14 @@ def lexicon(keys: np.ndarray, over: np.ndarray, pos: np.ndarray, neg: np.ndarray
         return out
 
     lines = {i: line(int(keys[i])) for i in np.flatnonzero(good)}
-    chosen, blocked = [], set()
+    chosen, over_chosen = set(), set()
     for i in sorted(lines, key=lambda i: (-g[i], len(lines[i]), int(keys[i]))):
         if len(chosen) == most:
             break
-        if not blocked.intersection(lines[i]) and int(keys[i]) not in chosen_over(chosen, lines):
-            chosen.append(i)
-            blocked.add(int(keys[i]))
-    chosen = np.array(sorted(chosen, key=lambda i: int(keys[i])), np.int64)
-    return keys[chosen], np.log((pos[chosen] + 0.5) / (n + 1)) - np.log((neg[chosen] + 0.5) / (m + 1))
-
-
-def chosen_over(chosen: list[int], lines: dict[int, list[int]]) -> set[int]:
-    return {k for i in chosen for k in lines[i]}
+        if not chosen.intersection(lines[i]) and int(keys[i]) not in over_chosen:
+            chosen.add(int(keys[i]))
+            over_chosen.update(lines[i])
+    return np.array(sorted(chosen), U)
 
 
 def measured(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,10 +164,10 @@ def measured(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.n
 def votes(hits: np.ndarray, n_words: np.ndarray, patterns: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The votes of all voters on each text: 1 toxic, -1 not, 0 nothing. Entries come first; then how many different
     entries, how many hits, how dense (against two edges), none at all, some but thin; then the patterns."""
-    each, total = (hits > 0).astype(np.int8), hits.sum(1)
-    dense = total / np.maximum(n_words, 1)
+    words, total = np.maximum(n_words, 1), hits.sum(1)
+    each, dense = ((hits >= OFTEN) | (hits >= DENSE * words[:, None]) & (hits > 0)).astype(np.int8), total / words
     say = lambda yes, no=False: np.where(yes, 1, np.where(no, -1, 0)).astype(np.int8)
-    some, kinds = total > 0, each.sum(1)
+    some, kinds = total > 0, (hits > 0).sum(1)
     more = [say(kinds >= 2), say(kinds >= 4), say(total >= 2), say(total >= 4), say(dense >= edges[0], ~some), say(dense >= edges[1], dense < edges[0]), say(False, ~some), say(False, some & (dense < edges[0]))]
     more += [say(patterns[:, 0] > 0.4), say(patterns[:, 1] > 0.02), say(patterns[:, 2] > 0.05), say(patterns[:, 3] > 0.2), say(False, patterns[:, 4] > 0.3)]
     return np.concatenate([each, np.stack(more, 1)], 1)
@@ -175,30 +175,26 @@ def votes(hits: np.ndarray, n_words: np.ndarray, patterns: np.ndarray, edges: np
 
 @dataclass
 class LabelModel:
-    """P(class) and, for each voter, P(vote | class, vote of its parent): a tree of voters within each class.
-    ``given`` is P(given label 1 | class)."""
+    """P(class) and, for each voter, P(vote | class, vote of its parent): a tree of voters within each class."""
 
     prior: float = 0.5
     parent: list[int] = field(default_factory=list)
     tables: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3, 3)))
-    given: np.ndarray = field(default_factory=lambda: np.array([0.02, 0.98]))
 
-    def likelihoods(self, v: np.ndarray) -> np.ndarray:
-        """Log likelihoods of each row of votes in both classes."""
-        x, out = v.astype(np.int64) + 1, np.zeros((len(v), 2))
+    def log_odds(self, v: np.ndarray) -> np.ndarray:
+        """What the votes of each row say, as the log odds of toxic."""
+        x, out = v.astype(np.int64) + 1, np.full(len(v), np.log(self.prior / (1 - self.prior)))
         for j, p in enumerate(self.parent):
-            t = np.log(self.tables[j])
-            for y in (0, 1):
-                out[:, y] += t[y, x[:, p] if p >= 0 else 0, x[:, j]]
+            t = np.log(self.tables[j, 1] / self.tables[j, 0])
+            out += t[x[:, p] if p >= 0 else 0, x[:, j]]
         return out
 
     def posterior(self, v: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
         """P(toxic) of each row of votes; y holds given labels, nan where there is none."""
-        a = self.likelihoods(v) + np.log([1 - self.prior, self.prior])
+        a = self.log_odds(v)
         if y is not None:
-            for c in (0, 1):
-                a[:, c] += np.where(np.isnan(y), 0, np.log(np.where(y == 1, self.given[c], 1 - self.given[c])))
-        return 1 / (1 + np.exp(np.clip(a[:, 0] - a[:, 1], -50, 50)))
+            a = np.where(np.isnan(y), a, np.where(y == 1, 1, -1) * np.log(TRUST / (1 - TRUST)) + np.clip(a, -LEEWAY, LEEWAY))
+        return 1 / (1 + np.exp(-np.clip(a, -50, 50)))
 
     def accuracies(self, v: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Of each voter the share of its votes that are right, by the posterior r."""
@@ -206,19 +202,17 @@ class LabelModel:
         return right / np.maximum((v != 0).sum(0), 1)
 
 
-def correlated(onehot: np.ndarray, r: np.ndarray, voters: int) -> tuple[list[int], np.ndarray]:
+def correlated(onehot: np.ndarray, sides: tuple[np.ndarray, np.ndarray], voters: int) -> tuple[list[int], np.ndarray]:
     """Each voter's parent in the maximum spanning tree of mutual information within the classes (-1: the root), and that
-    information."""
-    info = np.zeros((voters, voters))
-    for w in (1 - r, r):
+    information; ``sides`` are the weights of the rows in either class."""
+    info, all_of = np.zeros((voters, voters)), sides[0].sum() + sides[1].sum()
+    for w in sides:
         total = w.sum()
-        if total <= 0:
-            continue
         joint = ((onehot * w[:, None]).T @ onehot).reshape(voters, 3, voters, 3).transpose(0, 2, 1, 3) / total
         alone = np.einsum("jjaa->ja", joint)
         with np.errstate(divide="ignore", invalid="ignore"):
             part = joint * np.log(joint / (alone[:, None, :, None] * alone[None, :, None, :]))
-        info += total / len(r) * np.nansum(np.where(joint > 0, part, 0), (2, 3))
+        info += total / all_of * np.where(joint > 0, part, 0).sum((2, 3))
     np.fill_diagonal(info, 0)
     info = np.round(info, DIGITS)
     parent, best, rest = [-1] * voters, np.full(voters, -1.0), np.ones(voters, bool)
@@ -232,39 +226,37 @@ def correlated(onehot: np.ndarray, r: np.ndarray, voters: int) -> tuple[list[int
     return parent, info
 
 
-def estimate(v: np.ndarray, y: np.ndarray, trees: int = 3, rounds: int = 8, weight: float = 1.0) -> LabelModel:
+def estimate(v: np.ndarray, y: np.ndarray, trees: int = 3, rounds: int = 6, weight: float = 1.0) -> LabelModel:
     """The label model of votes v and given labels y (nan where there is none), by expectation maximisation; ``weight`` is
-    that of a uniform prior of each table."""
+    that of each table's prior, the voter's own shares in the class."""
     n, voters = v.shape
-    x = (v[:, :, None] == np.array([-1, 0, 1])).astype(np.float32)
-    onehot = x.reshape(n, -1)
-    share = float(np.clip(np.nanmean(y), 0.01, 0.99))
-    r = np.where(np.isnan(y), np.where(v.sum(1) > 0, np.clip(2 * share, 0.05, 0.6), share / 4), np.where(y == 1, 0.98, 0.02))
-    m = LabelModel()
+    onehot = (v[:, :, None] == np.array([-1, 0, 1])).astype(np.float64).reshape(n, -1)
     known = ~np.isnan(y)
+    r, worth = np.where(y == 1, TRUST, 1 - TRUST), np.where(known, 1.0, 0.0)  # the first tables are those of the labelled rows
+    m = LabelModel()
     for _ in range(trees):
-        parent, _ = correlated(onehot, r, voters)
-        for _ in range(rounds):
-            m = LabelModel(float(np.clip(r.mean(), 1e-4, 1 - 1e-4)), parent, np.zeros((voters, 2, 3, 3)), m.given)
-            for c, w in enumerate((1 - r, r)):
+        for k in range(rounds):
+            sides = (worth * (1 - r), worth * r)
+            if k == 0:
+                parent, _ = correlated(onehot, sides, voters)
+            m = LabelModel(float(np.clip(sides[1].sum() / worth.sum(), 1e-4, 1 - 1e-4)), parent, np.zeros((voters, 2, 3, 3)))
+            for c, w in enumerate(sides):
                 weighted = onehot * w[:, None]
                 for j, p in enumerate(parent):
                     own = weighted[:, 3 * j : 3 * j + 3]
                     counts = onehot[:, 3 * p : 3 * p + 3].T @ own if p >= 0 else np.broadcast_to(own.sum(0), (3, 3))
-                    back = (own.sum(0) + weight) / (own.sum() + 3 * weight)  # where a parent's vote is rare, the voter's own shares
-                    m.tables[j, c] = (counts + weight * 3 * back) / (counts.sum(1, keepdims=True) + 3 * weight)
-            m.given = np.array([(1 + (w[known] * y[known]).sum() + 49 * c) / (51 + w[known].sum()) for c, w in enumerate((1 - r, r))])
-            m.given = np.clip(m.given, 1e-3, 1 - 1e-3)
-            r = m.posterior(v, y)
+                    back = (own.sum(0) + weight) / (own.sum() + 3 * weight)
+                    m.tables[j, c] = (counts + weight * back) / (counts.sum(1, keepdims=True) + weight)
+            r, worth = m.posterior(v, y), np.where(known, 1.0, UNSURE)
     return m
 
 
 def inputs(hits: np.ndarray, n_words: np.ndarray, patterns: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """What the linear classifier sees of each text."""
-    total, words = hits.sum(1), np.maximum(n_words, 1)
+    """What the linear classifier sees of each text; ``weights`` are those of the entries."""
+    total, words, most = hits.sum(1), np.maximum(n_words, 1), hits.max(1, initial=0)
     strong = hits @ weights.astype(np.float32)
-    out = [np.log1p(hits), np.stack([np.log1p(total), np.sqrt(total / words), np.sqrt(np.maximum(strong, 0) / words), np.log1p(np.maximum(strong, 0)), (hits > 0).sum(1), np.log1p(n_words), total == 0, np.minimum((hits > 0).sum(1), 2)], 1), patterns]
-    return np.concatenate(out, 1).astype(np.float64)
+    out = [np.log1p(total), np.log1p(strong), np.log1p(most), np.sqrt(total / words), np.sqrt(strong / words), np.sqrt(most / words), (hits > 0).sum(1), np.log1p(n_words), total == 0, total == 1, most >= OFTEN]
+    return np.concatenate([np.log1p(hits), np.stack(out, 1), patterns], 1).astype(np.float64)
 
 
 @dataclass
@@ -278,16 +270,16 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip((x - self.center) / self.scale @ self.weights + self.bias, -30, 30)))
 
 
-def logistic(x: np.ndarray, r: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> Linear:
-    """The linear classifier of inputs x and posterior labels r, by Newton's method."""
+def logistic(x: np.ndarray, r: np.ndarray, worth: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> Linear:
+    """The linear classifier of inputs x, posterior labels r and weights of the rows, by Newton's method."""
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.concatenate([(x - center) / scale, np.ones((len(x), 1))], 1)
     w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-5)
-        step = np.linalg.solve((z * s[:, None]).T @ z + np.diag(ridge), z.T @ (p - r) + ridge * w)
+        s = worth * np.maximum(p * (1 - p), 1e-5)
+        step = np.linalg.solve((z * s[:, None]).T @ z + np.diag(ridge), z.T @ (worth * (p - r)) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -337,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, made: list[str], label: str = "toxic
     if len(keys):
         others = rows.where("y <= 0.5").select("text").mapInArrow(counting(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
         neg[np.searchsorted(keys, others["key"].to_numpy(np.int64).view(U))] = others["n"]
-    known, weights = lexicon(keys, over, pos, neg, n, m)
+    known = lexicon(keys, over, pos, neg, n, m)
 
     def measure(batches):
         for batch, data, off in chunks(batches, text=1):
@@ -351,11 +343,14 @@ def fit(docs: DataFrame, labels: DataFrame, made: list[str], label: str = "toxic
     hits, words, patterns = x[:, : len(known)], x[:, len(known)], x[:, len(known) + 1 :]
     y = seen["y"].to_numpy(np.float64)
     y = np.where(np.isnan(y), np.nan, y > 0.5)
+    rate = [hits[y == c].sum(0) / max(words[y == c].sum(), 1) for c in (0, 1)]
+    weights = np.log(np.maximum((rate[1] + 1e-6) / (rate[0] + 1e-6), 1.0))  # how much more often a word of a toxic text is this one
     dense = np.sort((hits.sum(1) / np.maximum(words, 1))[y == 1])
-    edges = np.maximum(np.array([dense[int(len(dense) * q)] for q in (0.05, 0.5)]), 1e-6)
+    edges = np.maximum(np.array([dense[int(len(dense) * q)] for q in (0.1, 0.5)]), 1e-6)
     v = votes(hits, words, patterns, edges)
     model = estimate(v, y)
-    return Toxicity(known, weights, edges, model, logistic(inputs(hits, words, patterns, weights), model.posterior(v, y)), nothing.share)
+    linear = logistic(inputs(hits, words, patterns, weights), model.posterior(v, y), np.where(np.isnan(y), UNSURE, 1.0))
+    return Toxicity(known, weights, edges, model, linear, nothing.share)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE, unlabelled: int = UNLABELLED, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
