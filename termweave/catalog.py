@@ -434,7 +434,9 @@ def eval_grid(spark, d):
 def recorded(spark, d):
     """Orders as records of every shape that the graph reads: assemblies with samples, projects with publications, runs,
     and curated rows with proposals."""
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"))
+    # keys are dealt out before they become records, so that few files do not mean few tasks
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    o = o.select("*", F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"))
     text = lambda *xs: F.concat(*(F.col(x) if x in ("k", "c") else F.lit(x) for x in xs))
     genome = text('{"genome":{"accession":"GCA_', "k", '.1","organism":{"taxId":', "c", ',"organismName":"S. ', "c", '"},"assemblyInfo":{"bioprojectAccession":"PRJNA', "c", '","biosample":{"accession":"SAMN', "k", '","hostDisease":"Fever ', "c", '"}}}}')
     project = text('{"bioprojects":[{"accession":"PRJEB', "c", '","title":"study ', "c", '","publications":[{"db":"Pubmed","id":"', "c", '"},{"doi":"10.1234/A', "c", '"},{"id":"7"}]}],"description":"PRJNA1 by NIAID"}')
@@ -494,6 +496,57 @@ def graph_accounting(spark, d):
     return evidence.accounting(rows, evidence.statements(rows)).select("records", "unsupported", "truncated")
 
 
+#: Every piece of evidence by its definition: where each shape of record says what.
+PROVEN = SAID.split(",\nm as")[0] + """,
+x as (
+  select r, s, t, relation, status, case relation when 'organism' then case when t like 'organism:name:%' then '/genome/organism/organismName' else '/genome/organism/taxId' end when 'belongs to study' then case when s like '%:SRR%' then '/sra_runs/0/study_accession' else '/genome/assemblyInfo/bioprojectAccession' end
+      when 'sequenced from' then case when s like '%:SRR%' then '/sra_runs/0/sample_accession' else '/genome/assemblyInfo/biosample/accession' end when 'reported disease' then '/genome/assemblyInfo/biosample/hostDisease' when 'cites' then case when t like '%:PMID:%' then '/bioprojects/0/publications/0' else '/bioprojects/0/publications/1' end
+      when 'run of experiment' then '/sra_runs/0/experiment_accession' when 'reported NIAID program' then '/source_record/niaid_program' else '/proposal/terms/0' end as path,
+    case relation when 'organism' then case when t like 'organism:name:%' then 'S. 0' else t[20:] end when 'reported disease' then 'F' || t[19:] when 'cites' then t[13:] when 'reported NIAID program' then 'NIAID' || t[20:] when 'proposed disease' then t[9:] else t[instr(t, ':') + 1:] end as value
+  from e
+  union all select r, 'sample:SAMN' || r, 'disease:MONDO:9', 'proposed disease', 'proposed', '/proposal/terms/1', 'MONDO:9' from o where b = 3 and c = 9),
+own as (select r, case b when 0 then 'sequence:GCA_' || r || '.1' when 1 then 'study:PRJEB' || c when 2 then 'sequence:SRR' || r else 'sample:SAMN' || r end as n,
+    case b when 0 then '/genome/accession' when 1 then '/bioprojects/0/accession' when 2 then '/sra_runs/0/run_accession' else '/source_record/record_id' end as path from o),
+m as (select r, n, path from own union select r, t, path from x),
+p as (select r, n, path, case when n like '%:GCA~_%' escape '~' then 'NCBI Assembly' when n like 'sequence:SR%' or n like 'sample:SR%' or n like 'study:SR%' then 'SRA / INSDC' when n like 'study:%' then 'BioProject' when n like 'sample:%' then 'BioSample'
+  when n like '%:PMID:%' then 'PubMed' when n like '%:DOI:%' then 'DOI' when n like '%:NCBITaxon:%' then 'NCBI Taxonomy' end as a from m),
+l as (select r, s, t, relation, status, path, value, 'explicit field' as basis from x
+  union select r, n, 'repository:' || a, 'registered in', 'derived', path, n[instr(n, ':') + 1:], 'repository derived from identifier namespace' from p where a is not null)"""
+
+
+@query(PROVEN + """ select s as source, t as target, relation, status, substr(sha256(s || chr(31) || t || chr(31) || relation || chr(31) || status), 1, 16) as edge_id, r as record_id, path, value, basis
+from l qualify row_number() over (partition by s, t, relation, status order by r, path, value, basis) <= 5""")
+def graph_evidence(spark, d):
+    made = graph.edges(evidence.claims(said(spark, d)))
+    return made.select("source", "target", "relation", "status", "edge_id", F.explode("evidence").alias("e")).select("source", "target", "relation", "status", "edge_id", "e.record_id", "e.path", "e.value", "e.basis")
+
+
+@query(SAID + """, k as (select distinct n from n), shown as (select n from k order by split_part(n, ':', 1), n[instr(n, ':') + 1:] limit 400), d as (select distinct s, t, relation, status from l),
+inside as (select count(*) as c from d where s in (from shown) and t in (from shown))
+select (select count(*) from k) as nodes, greatest((select count(*) from k) - 400, 0)::bigint as nodes_dropped, (select count(*) from d) as edges, ((select count(*) from d) - c)::bigint as edges_dangling, greatest(c - 800, 0)::bigint as edges_dropped from inside""")
+def graph_bounds(spark, d):
+    made = said(spark, d)
+    return graph.bounds(graph.nodes(evidence.mentions(made)), graph.edges(evidence.claims(made)))
+
+
+def lengthy(spark, d):
+    """Customers as records whose lists have just as many items as are read, or more; some say nothing, some are no JSON."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.pmod("c_custkey", F.lit(5)).alias("by"))
+    listed = lambda n, one: F.transform(F.sequence(F.lit(1), n.cast("int")), one)
+    number = lambda i: (F.col("k") * 1000 + i).cast("string")
+    samples = F.to_json(F.struct(listed(99 + F.col("k") % 3, lambda i: F.struct(F.concat(F.lit("SAMN"), number(i)).alias("accession"))).alias("biosamples")))
+    ill = F.to_json(F.struct(F.concat(F.lit("SAMN"), number(0)).alias("record_id"), listed(49 + F.col("k") % 3, lambda i: F.concat(F.lit("fever "), i.cast("string"))).alias("disease")))
+    long = F.to_json(F.struct(F.concat(F.lit("SAMN"), number(0)).alias("record_id"), F.repeat(F.lit("x"), (299 + F.col("k") % 3).cast("int")).alias("disease")))
+    payload = F.when(F.col("by") == 0, samples).when(F.col("by") == 1, ill).when(F.col("by") == 2, F.lit('{"metric": 0.5}')).when(F.col("by") == 3, F.lit("no record")).otherwise(long)
+    return c.select(F.col("k").alias("record_id"), F.col("k").alias("line"), payload.alias("payload"))
+
+
+@query("select count(*) as records, count_if(c_custkey % 5 in (2, 3)) as unsupported, count_if(c_custkey % 5 in (0, 1, 4) and c_custkey % 3 = 2) as truncated from customer")
+def graph_cut_lists(spark, d):
+    rows = lengthy(spark, d)
+    return evidence.accounting(rows, evidence.statements(rows)).select("records", "unsupported", "truncated")
+
+
 @query("""select o_orderkey as k, 'PMID:' || o_custkey || ',DOI:10.1000/Ab' || o_orderkey as ids, case o_orderkey % 3 when 0 then 'BioProject' when 1 then 'GenBank / RefSeq' else 'SRA / INSDC' end as archive,
 case o_orderkey % 3 when 0 then 'https://www.ncbi.nlm.nih.gov/bioproject/PRJ' || o_orderkey when 1 then 'https://www.ncbi.nlm.nih.gov/nuccore/NC_' || o_orderkey else 'https://www.ncbi.nlm.nih.gov/sra/?term=ERX' || o_orderkey end as url from orders""")
 def publication_archive(spark, d):

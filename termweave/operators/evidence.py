@@ -1,13 +1,17 @@
 """What records say explicitly, as statements that the evidence graph is made of.
 
-Records are (record_id, line, payload as JSON text). Objects that can speak for an entity - assemblies, samples, projects,
-sequencing experiments, and the record itself - are laid out as rows first, with the path they stand at; ``RULES`` says
-for each role which of their fields name another entity and how the two are related. A statement is one row:
+Records are (record_id, line, payload as JSON text). A small table of steps, (state, key) to state, describes where in a
+record something is said: which objects speak for an entity (assemblies, samples, projects, sequencing experiments, the
+record itself), and which of their fields name another. One pass over the payloads walks them along that table and gives
+rows (record, object, field, item, code, text) that know their places in the payload; a broadcast join with the codes says
+what is read there. Windows over the rows of an object choose between fields of which the first that is there counts, find
+the object's own accession, and put the parts of an item together. A statement is one row:
 
     record_id, line, source_type, source_id, source_label, relation, target_type, target_id, target_label, path, value, status
 
 and a statement without a relation only mentions its source. Nothing is read from free text, and nothing below the root
-of a record is taken to speak for its root.
+of a record is taken to speak for its root. ``path`` is the place of the field that was really read, with the places of
+items for lists of objects, publications, attributes and archive ids.
 
 Lists are read up to ``MOST`` items (diseases up to ``MOST_DISEASES``); ``accounting`` counts the records that had more,
 and those that said nothing. Null and malformed payloads and fields give no statements.
@@ -15,278 +19,378 @@ and those that said nothing. Null and malformed payloads and fields give no stat
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache, reduce
+import json
+from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from termweave.functions.text import first_text, identifiers, meaningful, publication_ids, repository
+from termweave.functions.text import identifiers, meaningful, publication_ids, repository
 from termweave.plans.session import checkpoints
 
 MOST, MOST_DISEASES, LONGEST = 100, 50, 300
-NOTHING = "filter(array(named_struct('relation', '', 'target_type', '', 'target_id', '', 'target_label', '', 'path', '', 'value', '', 'status', '')), x -> false)"
 STATEMENT = ["record_id", "line", "source_type", "source_id", "source_label", "relation", "target_type", "target_id", "target_label", "path", "value", "status"]
-
-# By role, the fields that hold the object's own accession (the first that is there), and the fields that
-# name other entities: (path, type, relation).
-OWN = {
-    "assembly": ("sequence", ["accession", "currentAccession", "assembly_accession"]),
-    "sample": ("sample", ["accession", "_key", "record_id"]),
-    "study": ("study", ["accession", "_key"]),
-    "experiment": ("sequence", ["accession", "run_accession", "experiment_accession"]),
-}
-RULES = {
+# What a piece of evidence rests on.
+EXPLICIT, DERIVED = "explicit field", "repository derived from identifier namespace"
+
+# The keys of a record that hold objects of a role, and the type of entity that a role speaks for.
+PLACES = {"assembly": ["genome", "genomes", "bvbrc"], "sample": ["biosample", "biosamples"], "study": ["bioproject", "bioprojects"], "experiment": ["sra_experiments", "sra-experiment", "sra_runs"]}
+SPEAKS_FOR = {"assembly": "sequence", "sample": "sample", "study": "study", "experiment": "sequence"}
+# By role, (field, use, type, relation, choice, rank): of the fields of one choice that of the least rank
+# that is there counts. ``raw`` relations carry the field's text as their value, others the identifier.
+FIELDS = {
     "assembly": [
-        ("biosample_accession", "sample", "sequenced from"),
-        ("assemblyInfo.biosample.accession", "sample", "sequenced from"),
-        ("bioproject_accession", "study", "belongs to study"),
-        ("assemblyInfo.bioprojectAccession", "study", "belongs to study"),
-        ("genbank_accessions", "sequence", "linked sequence"),
-        ("refseq_accessions", "sequence", "linked sequence"),
-        ("sra_accession", "sequence", "linked sequence"),
+        ("accession", "own", "sequence", None, "own", 0),
+        ("currentAccession", "own", "sequence", None, "own", 1),
+        ("assembly_accession", "own", "sequence", None, "own", 2),
+        ("biosample_accession", "refs", "sample", "sequenced from", None, 0),
+        ("assemblyInfo/biosample/accession", "inner", "sample", "sequenced from", "inner", 0),
+        ("assemblyInfo/biosample/_key", "inner", "sample", "sequenced from", "inner", 1),
+        ("assemblyInfo/biosample/record_id", "inner", "sample", "sequenced from", "inner", 2),
+        ("bioproject_accession", "raw", "study", "belongs to study", None, 0),
+        ("assemblyInfo/bioprojectAccession", "raw", "study", "belongs to study", None, 0),
+        ("pairedAccession", "raw", "sequence", "paired assembly", "paired", 0),
+        ("assemblyInfo/pairedAssembly/accession", "raw", "sequence", "paired assembly", "paired", 1),
+        ("genbank_accessions", "refs", "sequence", "linked sequence", None, 0),
+        ("refseq_accessions", "refs", "sequence", "linked sequence", None, 0),
+        ("sra_accession", "refs", "sequence", "linked sequence", None, 0),
+        ("organism/taxId", "taxon", "organism", "organism", "taxon", 0),
+        ("taxon_id", "taxon", "organism", "organism", "taxon", 1),
+        ("organism/organismName", "called", "organism", "organism", "called", 2),
+        ("organism_name", "called", "organism", "organism", "called", 3),
+        ("species", "called", "organism", "organism", "called", 4),
+        ("disease", "disease", "disease", "reported disease", None, 0),
+        ("host_disease", "disease", "disease", "reported disease", None, 0),
+        ("publication", "cites", "publication", "cites", "cites", 0),
+        ("publications", "cites", "publication", "cites", "cites", 1),
+        ("niaid_program", "program", "program", "reported NIAID program", "program", 0),
+        ("niaid_programs", "program", "program", "reported NIAID program", "program", 1),
+        ("genome_id", "supplied", "repository", "metadata supplied by", "supplied", 0),
+        ("bvbrc_id", "supplied", "repository", "metadata supplied by", "supplied", 1),
+    ],
+    "sample": [
+        ("accession", "own", "sample", None, "own", 0),
+        ("_key", "own", "sample", None, "own", 1),
+        ("record_id", "own", "sample", None, "own", 2),
+        ("title", "title", None, None, None, 0),
+        ("taxon_id", "taxon", "organism", "organism", "taxon", 0),
+        ("description/organism/taxId", "taxon", "organism", "organism", "taxon", 1),
+        ("taxonomy_name", "called", "organism", "organism", "called", 2),
+        ("description/organism/organismName", "called", "organism", "organism", "called", 3),
+        ("bioprojects", "refs", "study", "belongs to study", "project", 0),
+        ("bioproject_accession", "refs", "study", "belongs to study", "project", 1),
+        ("sra_sample", "refs", "sample", "same sample identifier", None, 0),
+        ("id_recs", "archive", "sample", "same sample identifier", None, 0),
+        ("disease", "disease", "disease", "reported disease", None, 0),
+        ("hostDisease", "disease", "disease", "reported disease", None, 0),
+        ("host_disease", "disease", "disease", "reported disease", None, 0),
+        ("attributes", "attribute", "disease", "reported disease", None, 0),
+        ("attribute_recs", "attribute", "disease", "reported disease", None, 0),
+        ("niaid_program", "program", "program", "reported NIAID program", "program", 0),
+        ("niaid_programs", "program", "program", "reported NIAID program", "program", 1),
+    ],
+    "study": [
+        ("accession", "own", "study", None, "own", 0),
+        ("_key", "own", "study", None, "own", 1),
+        ("title", "title", None, None, None, 0),
+        ("publications", "cites", "publication", "cites", None, 0),
+        ("niaid_program", "program", "program", "reported NIAID program", "program", 0),
+        ("niaid_programs", "program", "program", "reported NIAID program", "program", 1),
+    ],
+    "experiment": [
+        ("accession", "own", "sequence", None, "own", 0),
+        ("run_accession", "own", "sequence", None, "own", 1),
+        ("experiment_accession", "own", "sequence", None, "own", 2),
+        ("title", "title", None, None, None, 0),
+        ("sample_accession", "raw", "sample", "sequenced from", None, 0),
+        ("study_accession", "raw", "study", "belongs to study", None, 0),
+        ("experiment_accession", "raw", "sequence", "run of experiment", None, 0),
+    ],
+    "root": [
+        ("extras/taxonomy_id", "taxon", "organism", "organism", "taxon", 0),
+        ("extras/organism", "called", "organism", "organism", "called", 1),
+        ("disease", "disease", "disease", "reported disease", None, 0),
+        ("extras/attributes/host_disease", "disease", "disease", "reported disease", "ill", 0),
+        ("extras/attributes/disease", "disease", "disease", "reported disease", "ill", 1),
+        ("niaid_program", "program", "program", "reported NIAID program", "program", 0),
+        ("niaid_programs", "program", "program", "reported NIAID program", "program", 1),
     ],
-    "sample": [("sra_sample", "sample", "same sample identifier")],
-    "study": [],
-    "experiment": [("sample_accession", "sample", "sequenced from"), ("study_accession", "study", "belongs to study"), ("experiment_accession", "sequence", "run of experiment")],
-}
-DISEASES = {"assembly": ["disease", "host_disease"], "sample": ["disease", "hostDisease", "host_disease"], "root": ["disease"]}
-ORGANISM = {
-    "assembly": (["organism.taxId", "taxon_id"], ["organism.organismName", "organism_name", "species"]),
-    "sample": (["taxon_id", "description.organism.taxId"], ["taxonomy_name", "description.organism.organismName"]),
-    "root": (["extras.taxonomy_id"], ["extras.organism"]),
 }
+ALONE = ("taxon", "called", "title", "supplied")  # uses that read no lists
+#: The parts of an item that a use reads; uses that are not here read texts alone.
+PARTS = {use: ["accession", "_key", "id"] for use in ("own", "inner", "refs", "raw")} | {"program": ["name"], "cites": ["pmid", "doi", "db", "id", "title"], "archive": ["db", "id"], "attribute": ["harmonized_name", "attribute_name", "name", "value"]}
+ITEM, SIZE = "*", "#"  # steps to a list's items, and to the size of a list or object
+CODES = "code int, use string, type string, relation string, choice string, rank int, part string"
+FOUND = "role string, base string, field string, item string, n int, code int, text string, there boolean, size int, label string"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def at(v: Column, path: str) -> Column:
-    """What stands at a dotted path of a variant, or null."""
-    return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path.split(".")), "variant")
-
-
-def kind(v: Column) -> Column:
-    return let(F.schema_of_variant(v), lambda t: F.when(t.isNull() | (t == "VOID"), None).when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "list").when(t == "BOOLEAN", "boolean").otherwise("text"))
-
+class Step(NamedTuple):
+    """Where a key leads: the next state, the role that is entered there if any, whether a field or an item begins, and the
+    code of what is read there (-1: nothing)."""
 
-def leaf(v: Column) -> Column:
-    """The trimmed text of a text or number; booleans, lists and objects are none."""
-    text = let(v, lambda x: F.trim(F.when(kind(x) == "text", F.try_variant_get(x, "$", "string"))))
-    return let(text, lambda t: F.when(t != "", t))
-
-
-def said_of(v: Column) -> Column:
-    """A leaf that says something."""
-    return let(leaf(v), meaningful)
-
-
-def items(v: Column, most: int = MOST) -> Column:
-    """A list's first items, or a single value as a list."""
-    return let(v, lambda x: let(kind(x), lambda k: F.when(k == "list", F.slice(F.try_variant_get(x, "$", "array<variant>"), 1, most)).when(k.isNotNull(), F.array(x))))
-
-
-def names_of(v: Column, of: str) -> Column:
-    """The identifiers of a type in a text, an object's accession, or a list of either; in order, each once."""
-    one = lambda x: F.when(kind(x) == "object", F.coalesce(leaf(at(x, "accession")), leaf(at(x, "_key")), leaf(at(x, "id")))).otherwise(leaf(x))
-    found = F.transform(items(v), lambda x: F.coalesce(let(one(x), lambda t: identifiers(t, of)), F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(found))
+    state: str
+    role: str | None
+    is_field: bool
+    is_item: bool
+    code: int
 
 
 @cache
-def _laid_out(application: str) -> Column:
-    """The objects in a payload p with the path prefix, as one list of (role, base, o)."""
-    row = lambda role, base, o: F.struct(F.lit(role).alias("role"), base.alias("base"), o.alias("o"))
-
-    def listed(role: str, name: str) -> Column:
-        inside, path = at(F.col("p"), name), F.concat("prefix", F.lit("/" + name))
-        is_list = kind(inside) == "list"
-        made = F.transform(items(inside), lambda x, i: F.when(kind(x) == "object", row(role, F.concat(path, F.when(is_list, F.concat(F.lit("/"), i.cast("string"))).otherwise("")), x)))
-        return F.filter(made, lambda x: x.isNotNull())
-
-    sources = [("assembly", n) for n in ("genome", "genomes", "bvbrc")] + [("sample", n) for n in ("biosample", "biosamples")] + [("study", n) for n in ("bioproject", "bioprojects")] + [("experiment", n) for n in ("sra_experiments", "sra-experiment", "sra_runs")]
-    found = [listed(role, name) for role, name in sources]
-    # keys such as genome.accession are one flat assembly
-    flat = F.map_filter(F.try_variant_get(F.col("p"), "$", "map<string,variant>"), lambda k, _: k.startswith("genome."))
-    flat_object = F.parse_json(F.to_json(F.transform_keys(flat, lambda k, _: F.substring(k, F.lit(8), F.length(k)))))
-    found.append(F.when(F.size(flat) > 0, F.array(row("assembly", F.concat("prefix", F.lit("/genome.")), flat_object))))
-    found.append(F.when(leaf(at(F.col("p"), "assembly_accession")).isNotNull(), F.array(row("assembly", F.col("prefix"), F.col("p")))))
-    found.append(F.array(row("root", F.col("prefix"), F.col("p"))))
-    none = F.expr("filter(array(named_struct('role', '', 'base', '', 'o', parse_json('null'))), x -> false)")
-    return F.flatten(F.array(*(F.coalesce(f, none) for f in found)))
-
-
-def objects(records: DataFrame) -> DataFrame:
-    """(record_id, line, role, base, o): the objects of a record that speak for an entity, and the record itself."""
-    v = records.select("record_id", "line", F.try_parse_json("payload").alias("p")).where(kind(F.col("p")) == "object")
-    wrapped = kind(at(F.col("p"), "source_record")) == "object"
-    v = v.select("record_id", "line", F.when(wrapped, at(F.col("p"), "source_record")).otherwise(F.col("p")).alias("p"), F.when(wrapped, "/source_record").otherwise("").alias("prefix"), F.when(wrapped, at(F.col("p"), "proposal")).otherwise(F.coalesce(at(F.col("p"), "proposal"), F.when(at(F.col("p"), "terms").isNotNull(), F.col("p")))).alias("proposal"))
-    laid = v.select("record_id", "line", "prefix", "proposal", F.explode(_laid_out(records.sparkSession.sparkContext.applicationId)).alias("x")).select("record_id", "line", "prefix", "proposal", "x.role", "x.base", "x.o")
-    # samples inside assemblies speak for themselves as well
-    inner = laid.where("role = 'assembly'").select("record_id", "line", "prefix", "proposal", F.lit("sample").alias("role"), F.concat("base", F.lit("/assemblyInfo/biosample")).alias("base"), at(F.col("o"), "assemblyInfo.biosample").alias("o"))
-    return laid.unionByName(inner.where(kind(F.col("o")) == "object"))
-
-
-def _under(path: str) -> Column:
-    joined = F.concat(F.lit("/"), F.lit(path.replace(".", "/")))
-    return F.when(F.endswith("base", F.lit("genome.")), F.concat("base", F.lit(path.replace(".", "/")))).otherwise(F.concat("base", joined))
-
-
-def _said(targets: Column, relation: str, kind_of: str, path: Column, identifier: Callable[[Column], Column] = lambda t: t, label: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] = lambda t: t, status: str = "reported") -> Column:
-    """A list of what is said about each of the targets, none for null."""
-    text = lambda c: c.cast("string")
-    one = lambda t: F.struct(F.lit(relation).alias("relation"), F.lit(kind_of).alias("target_type"), text(identifier(t)).alias("target_id"), text(label(t) if label else F.lit(None)).alias("target_label"), text(path).alias("path"), F.substring(text(value(t)), 1, LONGEST).alias("value"), F.lit(status).alias("status"))
-    return F.coalesce(F.filter(F.transform(targets, one), lambda x: x["target_id"].isNotNull()), F.expr(NOTHING))
-
-
-@cache
-def _named(of: str, fields: tuple[str, ...], application: str) -> list[Column]:
-    """source_id, source_label and key of an object o that holds its accession in one of the fields."""
-
-    def held(f: str) -> Column:
-        found = F.struct(F.lit(f).alias("key"), at(F.col("o"), f).alias("value"))
-        return F.when(leaf(at(F.col("o"), f)).isNotNull(), found)
-
-    chosen = F.coalesce(*map(held, fields))
-    return [let(chosen, lambda c: F.get(names_of(c["value"], of), F.lit(0))).alias("source_id"), said_of(at(F.col("o"), "title")).alias("source_label"), chosen["key"].alias("key")]
-
-
-def identified(laid: DataFrame) -> DataFrame:
-    """Objects with the entity that they speak for; those without an accession of their type are left out."""
-
-    def own(role: str, of: str, fields: list[str]) -> DataFrame:
-        return laid.where(F.col("role") == role).select("*", F.lit(of).alias("source_type"), *_named(of, tuple(fields), laid.sparkSession.sparkContext.applicationId))
-
-    made = [own(role, of, fields) for role, (of, fields) in OWN.items()]
-    rid = first_text(leaf(at(F.col("o"), "record_id")), leaf(at(F.col("o"), "original_metadata.record_id")))
-    sample, sequence = (F.get(identifiers(rid, k), F.lit(0)) for k in ("sample", "sequence"))
-    root = laid.where("role = 'root'").select("*", F.when(sample.isNotNull(), "sample").otherwise("sequence").alias("source_type"), F.coalesce(sample, sequence).alias("source_id"), F.lit(None).cast("string").alias("source_label"), F.lit("record_id").alias("key"))
-    return reduce(DataFrame.unionByName, [*made, root]).where("source_id is not null")
-
-
-def _either(a: str, b: str) -> Column:
-    """Of two fields the first that is there."""
-    first, second = at(F.col("o"), a), at(F.col("o"), b)
-    return let(first, lambda v: F.when(F.coalesce(kind(v).isin("list", "object"), F.lit(False)) | leaf(v).isNotNull(), v).otherwise(second))
-
-
-def _organism(role: str) -> Column:
-    taxa, called = ORGANISM[role]
-    taxon = F.coalesce(*(leaf(at(F.col("o"), p)) for p in taxa))
-    name = let(F.coalesce(*(leaf(at(F.col("o"), p)) for p in called)), meaningful)
-    number = lambda x: F.when(F.rlike(x["taxon"], F.lit("^0*[1-9][0-9]*$")), F.concat(F.lit("NCBITaxon:"), x["taxon"]))
-    one = F.array(F.struct(taxon.alias("taxon"), name.alias("name")))
-    return _said(one, "organism", "organism", F.col("base"), lambda x: F.coalesce(number(x), F.concat(F.lit("name:"), F.lower(x["name"]))), lambda x: F.coalesce(x["name"], F.concat(F.lit("Taxon "), x["taxon"])), lambda x: F.coalesce(x["taxon"], x["name"]))
-
-
-def _diseases(v: Column, path: Column) -> Column:
-    told = F.filter(F.transform(items(v, MOST_DISEASES), lambda x: said_of(x)), lambda x: x.isNotNull() & (F.char_length(x) <= LONGEST))
-    return _said(told, "reported disease", "disease", path, lambda t: F.concat(F.lit("reported:"), F.lower(t)), lambda t: t)
-
-
-def _programs() -> Column:
-    one = lambda x: let(F.when(kind(x) == "object", leaf(at(x, "name"))).otherwise(leaf(x)), meaningful)
-    named = F.filter(F.transform(items(_either("niaid_program", "niaid_programs")), one), lambda x: x.isNotNull())
-    return _said(named, "reported NIAID program", "program", _under("niaid_program"), lambda t: F.concat(F.lit("NIAID:"), F.lower(t)), lambda t: t)
-
-
-def _publications(v: Column) -> Column:
-    db = lambda x: F.lower(leaf(at(x, "db")))
-    prefixed = lambda p, t: F.concat(F.lit(p), t)
-    one = lambda x: F.when(kind(x) == "object", F.coalesce(prefixed("PMID:", leaf(at(x, "pmid"))), prefixed("DOI:", leaf(at(x, "doi"))), F.when(db(x).isin("pubmed", "pmid"), prefixed("PMID:", leaf(at(x, "id")))), F.when(db(x) == "doi", prefixed("DOI:", leaf(at(x, "id")))))).otherwise(leaf(x))
-    named = lambda x: F.transform(F.coalesce(let(one(x), publication_ids), F.array().cast("array<string>")), lambda i: F.struct(i.alias("id"), said_of(at(x, "title")).alias("title")))
-    return _said(F.flatten(F.transform(items(v), named)), "cites", "publication", _under("publications"), lambda t: t["id"], lambda t: t["title"], lambda t: t["id"])
-
-
-@cache
-def _told(role: str, application: str) -> Column:
-    """All that an object of the role says, as one list. Building so many expressions takes longer than running them on
-    a small table, so each application builds them once."""
-    o = F.col("o")
-    out = [_said(names_of(at(o, path), kind_of), relation, kind_of, _under(path)) for path, kind_of, relation in RULES.get(role, [])]
-    if role in ORGANISM:
-        out.append(_organism(role))
-    out += [_diseases(at(o, f), _under(f)) for f in DISEASES.get(role, [])]
-    if role in ("assembly", "sample", "study", "root"):
-        out.append(_programs())
-    if role == "assembly":
-        out.append(_said(names_of(_either("pairedAccession", "assemblyInfo.pairedAssembly.accession"), "sequence"), "paired assembly", "sequence", _under("pairedAccession")))
-        out.append(_said(F.when(F.endswith("base", F.lit("/bvbrc")), F.array(F.lit("BV-BRC"))), "metadata supplied by", "repository", F.col("base"), value=lambda _: F.coalesce(leaf(at(o, "genome_id")), leaf(at(o, "bvbrc_id")))))
-        out.append(_publications(_either("publication", "publications")))
-    if role == "study":
-        out.append(_publications(at(o, "publications")))
-    if role == "sample":
-        out.append(_said(names_of(_either("bioprojects", "bioproject_accession"), "study"), "belongs to study", "study", _under("bioprojects")))
-        archive = F.filter(items(at(o, "id_recs")), lambda x: F.coalesce(F.lower(leaf(at(x, "db"))) == "sra", F.lit(False)))
-        out.append(_said(F.flatten(F.transform(archive, lambda x: names_of(at(x, "id"), "sample"))), "same sample identifier", "sample", _under("id_recs")))
-        held = lambda x: F.replace(F.lower(F.coalesce(leaf(at(x, "harmonized_name")), leaf(at(x, "attribute_name")), leaf(at(x, "name")))), F.lit(" "), F.lit("_"))
-        for name in ("attributes", "attribute_recs"):
-            said = F.filter(items(at(o, name)), lambda x: F.coalesce(held(x).isin("disease", "host_disease"), F.lit(False)))
-            told = F.filter(F.transform(said, lambda x: said_of(at(x, "value"))), lambda t: t.isNotNull() & (F.char_length(t) <= LONGEST))
-            out.append(_said(told, "reported disease", "disease", _under(name), lambda t: F.concat(F.lit("reported:"), F.lower(t)), lambda t: t))
-    if role == "root":
-        attribute = lambda n: at(o, f"extras.attributes.{n}")
-        out.append(_diseases(F.when(leaf(attribute("host_disease")).isNotNull(), attribute("host_disease")).otherwise(attribute("disease")), _under("extras.attributes")))
-        # proposals speak for their own record alone, and only by terms that were retrieved for it
-        p = F.col("proposal")
-        known = F.transform(F.try_variant_get(at(p, "candidate_curies"), "$", "array<variant>"), leaf)
-        own = F.when((leaf(at(p, "record_id")) == F.col("rid")) & (kind(at(p, "terms")) == "list"), items(at(p, "terms")))
-        term = lambda t: leaf(at(t, "term_id"))
-        placed = F.transform(own, lambda t, i: F.struct(i.alias("i"), term(t).alias("id"), let(F.coalesce(leaf(at(t, "label")), term(t)), meaningful).alias("label"), (leaf(at(t, "ontology")) == "MONDO").alias("ok")))
-        kept = F.filter(placed, lambda x: F.coalesce(x["ok"] & F.rlike(x["id"], F.lit(r"^MONDO:\d+$")) & F.array_contains(known, x["id"]), F.lit(False)))
-        listed = F.transform(kept, lambda x: F.struct(F.lit("proposed disease").alias("relation"), F.lit("disease").alias("target_type"), x["id"].alias("target_id"), x["label"].alias("target_label"), F.concat(F.lit("/proposal/terms/"), x["i"].cast("string")).alias("path"), x["id"].alias("value"), F.lit("proposed").alias("status")))
-        out.append(F.coalesce(listed, F.expr(NOTHING)))
-    own = F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in ("relation", "target_type", "target_id", "target_label")), F.concat("base", F.lit("/"), F.col("key")).alias("path"), F.col("source_id").alias("value"), F.lit("reported").alias("status")))
-    return F.flatten(F.array(own, *out))
+def steps() -> tuple[dict[str, dict[str, list[Step]]], list[tuple]]:
+    """The table of steps, as state -> key -> steps, and the rows of ``CODES``."""
+    table: dict[str, dict[str, list[Step]]] = {}
+    codes: dict[tuple, int] = {}
+
+    def step(state: str, key: str, target: str, told: tuple | None = None, part: str = "", role: str | None = None, is_field: bool = False, is_item: bool = False) -> str:
+        code = codes.setdefault((*told, part), len(codes)) if told else -1
+        table.setdefault(state, {}).setdefault(key, []).append(Step(target, role, is_field, is_item, code))
+        return target
+
+    for role, fields in FIELDS.items():
+        above = {}
+        for path, use, kind, relation, choice, rank in fields:
+            told = (use, kind, relation, choice or path, rank)
+            *names, last = path.split("/")
+            state = role
+            for name in names:
+                if (state, name) not in above:
+                    above[state, name] = step(state, name, f"{state}/{name}")
+                state = above[state, name]
+            field = step(state, last, f"{state}/{last}:{use}", told, is_field=True, is_item=True)
+            step(field, SIZE, "", told, SIZE)
+            holders = [field] if use in ALONE else [field, step(field, ITEM, f"{field}{ITEM}", told, is_item=True)]
+            for holder in holders:
+                for part in PARTS.get(use, []):
+                    inner = step(holder, part, f"{holder}.{part}", told, part)
+                    if (use, part) in (("attribute", "value"), ("archive", "id")):  # these may be lists themselves
+                        step(inner, ITEM, f"{inner}{ITEM}", told, part)
+    for role, names in PLACES.items():
+        for name in names:
+            step("top", name, f"{role}@", role=role)
+        table[f"{role}@"] = dict(table[role])
+        step(f"{role}@", ITEM, role, role=role)
+        step(f"{role}@", SIZE, "", ("objects", None, None, role, 0), SIZE)
+    step("assembly/assemblyInfo", "biosample", "sample", role="sample")
+    table["flat"] = {f"genome.{key}": found for key, found in table["assembly"].items()}
+    for use in ("root", "proposed"):  # the last two codes
+        codes[(use, "disease" if use == "proposed" else None, "proposed disease" if use == "proposed" else None, use, 0, "")] = len(codes)
+    return table, [(i, *told) for told, i in codes.items()]
+
+
+def text_of(v) -> str:
+    """The trimmed text of a text or number; booleans, lists and objects have none."""
+    if isinstance(v, str):
+        v = v.strip()
+        return v if v.isascii() else v.encode("utf-8", "replace").decode()
+    return str(v) if isinstance(v, int | float) and not isinstance(v, bool) else ""
+
+
+def walk(out: list[tuple], table: dict[str, dict[str, list[Step]]], state: str, role: str | None, base: str, place: str, field: str, item: str, n: int, read: int, v) -> None:
+    """Adds the rows of ``FOUND`` below a value to out."""
+    if not isinstance(v, dict | list):
+        if read >= 0 and (text := text_of(v)):
+            out.append((role, base, field, item, n, read, text, bool(v), None, None))
+        return
+    known = table.get(state)
+    if not known:
+        return
+    for s in known.get(SIZE, ()):
+        out.append((role, base, field or place, item, n, s.code, None, bool(v), len(v), None))
+    if isinstance(v, dict):
+        for key in known.keys() & v.keys():
+            there, x = f"{place}/{key}", v[key]
+            for s in known[key]:
+                walk(out, table, s.state, s.role or role, there if s.role else base, there, there if s.is_field else field, there if s.is_item else item, n, s.code, x)
+    elif ITEM in known:
+        for i, x in enumerate(v[: MOST_DISEASES if state.endswith(":disease") else MOST]):
+            there = f"{place}/{i}"
+            for s in known[ITEM]:
+                walk(out, table, s.state, s.role or role, there if s.role else base, there, field, there if s.is_item else item, i if s.is_item else n, s.code, x)
+
+
+def found(payload: str | None) -> list[tuple]:
+    """The rows of ``FOUND`` of one payload, walked along the steps."""
+    try:
+        whole = json.loads(payload or "null")
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(whole, dict):
+        return []
+    out, (table, codes) = [], steps()
+    start = lambda state, role, base, place, v: walk(out, table, state, role, base, place, "", "", 0, -1, v)
+    proposal = whole.get("proposal") if isinstance(whole.get("proposal"), dict) else whole if "terms" in whole else None
+    record, prefix = (whole["source_record"], "/source_record") if isinstance(whole.get("source_record"), dict) else (whole, "")
+    start("top", None, prefix, prefix, record)
+    start("flat", "assembly", prefix + "/genome.", prefix, record)
+    if record.get("assembly_accession"):
+        start("assembly", "assembly", prefix, prefix, record)
+    original, below = (record["original_metadata"], prefix + "/original_metadata") if isinstance(record.get("original_metadata"), dict) else (record, prefix)
+    rid = record.get("record_id") or original.get("record_id")
+    if text_of(rid):
+        as_root, as_proposed = len(codes) - 2, len(codes) - 1
+        own = (prefix if record.get("record_id") else below) + "/record_id"
+        out.append(("root", below, own, own, 0, as_root, text_of(rid), True, None, None))
+        start("root", "root", below, below, original)
+        if proposal and proposal.get("record_id") == rid:
+            terms, known = (x if isinstance(x, list) else [] for x in (proposal.get("terms"), proposal.get("candidate_curies")))
+            out.append(("root", below, "", "", 0, as_proposed, None, bool(terms), len(terms), None))
+            for i, t in enumerate(terms[:MOST]):
+                if isinstance(t, dict) and t.get("ontology") == "MONDO" and t.get("term_id") in known:
+                    place = f"{'' if proposal is record else '/proposal'}/terms/{i}"
+                    out.append(("root", below, place, place, i, as_proposed, text_of(t["term_id"]), True, None, text_of(t.get("label") or t["term_id"])))
+    return out
+
+
+def walked(records: DataFrame) -> DataFrame:
+    """The rows of what records say, by the steps, with what their codes stand for."""
+    fields = [f for f in records.schema if f.name in ("record_id", "line")]
+    shape = StructType([*fields, *StructType.fromDDL(FOUND)])
+    arrow = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of = [], []
+            for i, payload in enumerate(batch.column(2).to_pylist()):
+                mine = found(payload)
+                rows += mine
+                of += [i] * len(mine)
+            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], shape.names)
+
+    codes = records.sparkSession.createDataFrame(steps()[1], CODES)
+    rows = records.select("record_id", "line", F.col("payload").cast("string")).mapInArrow(run, StructType([records.schema["record_id"], records.schema["line"], *StructType.fromDDL(FOUND)]))
+    return rows.join(F.broadcast(codes), "code").drop("code")
+
+
+def _names(text: Column, kind: Column) -> Column:
+    """The identifiers in a text of the type that a column names."""
+    out = F.when(kind == "study", identifiers(text, "study")).when(kind == "sample", identifiers(text, "sample")).when(kind == "sequence", identifiers(text, "sequence"))
+    return F.coalesce(out, F.array().cast("array<string>"))
 
 
 def statements(records: DataFrame) -> DataFrame:
-    """All statements of the records: each object lists all it says, in one pass over the laid out objects. These and the
-    statements are checkpointed, so that payloads are parsed once and what is made of statements has a small plan."""
+    """All statements of the records; they are checkpointed, so that payloads are parsed once."""
     checkpoints(records.sparkSession)
-    rows = identified(objects(records)).checkpoint()
-    rid = first_text(leaf(at(F.col("o"), "record_id")), leaf(at(F.col("o"), "original_metadata.record_id")))
-    inner = at(F.col("o"), "original_metadata")
-    parts = []
-    for role in (*OWN, "root"):
-        own = rows.where(F.col("role") == role)
-        if role == "root":
-            own = own.withColumn("rid", rid).withColumn("o", F.when(kind(inner) == "object", inner).otherwise(F.col("o")))
-        parts.append(own.select("record_id", "line", "source_type", "source_id", "source_label", F.inline(_told(role, records.sparkSession.sparkContext.applicationId))))
-    return reduce(DataFrame.unionByName, parts).checkpoint()
+    return stated(walked(records)).checkpoint()
+
+
+#: Of the rows of an object: choices, then what the parts of an item and the fields of an object say together.
+GATHERED = """
+with ranked as (
+  select *, min(case when there then rank end) over (partition by record_id, line, role, base, choice) as best from {rows}
+), items as (
+  select *, array_position(array({own_parts}), part) as turn,
+    min(array_position(array({own_parts}), part)) over item as least,
+    lower(max(case when part = 'db' then text end) over item) as db,
+    max(case when part = 'pmid' then text end) over item as pmid,
+    max(case when part = 'doi' then text end) over item as doi,
+    max(case when part = 'id' then text end) over item as id,
+    max(case when part = 'title' then text end) over item as title,
+    replace(lower(coalesce(max(case when part = 'harmonized_name' then text end) over item, max(case when part = 'attribute_name' then text end) over item, max(case when part = 'name' then text end) over item)), ' ', '_') as attribute
+  from ranked where rank = best and text is not null
+  window item as (partition by record_id, line, role, base, choice, item)
+), objects as (
+  select *, names[0] as first_name,
+    min(case when use = 'own' and size(names) > 0 then struct(n, names[0] as x) end) over object as own_id,
+    min(case when use = 'inner' and size(names) > 0 then struct(n, names[0] as x) end) over object as inner,
+    max(case when use = 'root' then struct(type, names[0] as x) end) over object as root,
+    max(case when use = 'title' then told end) over object as own_title,
+    max(case when use = 'taxon' then text end) over object as taxon,
+    max(case when use = 'called' then told end) over object as name,
+    max(case when use = 'supplied' then text end) over object as supplied,
+    min(case when use in ('taxon', 'called') then rank end) over object as seen
+  from {named} where not coalesce(use in ('own', 'inner', 'refs', 'raw') and turn > least, false)
+  window object as (partition by record_id, line, role, base)
+)
+"""
+
+
+def stated(rows: DataFrame) -> DataFrame:
+    """The statements that walked rows make."""
+    spark = rows.sparkSession
+    quoted = ", ".join(f"'{p}'" for p in PARTS["refs"])
+    gathered = GATHERED.replace("{own_parts}", quoted)
+    choices, objects = gathered.split("), objects as (")
+    # one shuffle serves all windows: a record's rows are few
+    named = spark.sql(choices + ") select * from items", rows=rows.repartition("record_id", "line"))
+    root = F.when(F.col("use") == "root", F.when(F.size(identifiers(F.col("text"), "sample")) > 0, "sample").otherwise("sequence"))
+    named = named.withColumn("type", F.coalesce(root, "type"))
+    named = named.withColumns({"names": F.when(F.col("use").isin("own", "inner", "refs", "raw", "archive", "root"), _names(F.col("text"), F.col("type"))), "told": meaningful(F.coalesce("label", "text"))})
+    cited = F.expr("case when use = 'cites' then case when part = '' then text when pmid is not null then concat('PMID:', pmid) when doi is not null then concat('DOI:', doi) when db in ('pubmed', 'pmid') then concat('PMID:', id) when db = 'doi' then concat('DOI:', id) end end")
+    named = named.withColumn("cited", cited).withColumns({"publications": publication_ids(F.col("cited")), "entry": meaningful(F.when(F.col("part") != "", F.col("title")))})
+    kinds = ", ".join(f"'{role}', '{kind}'" for role, kind in SPEAKS_FOR.items())
+    one = lambda i, label, path, value, source="null": f"named_struct('id', cast({i} as string), 'label', cast({label} as string), 'path', cast({path} as string), 'value', cast({value} as string), 'source', cast({source} as string))"
+    disease = lambda path: f"array({one("concat('reported:', lower(told))", 'told', path, 'told')})"
+    targets = f"""case
+      when use = 'refs' then transform(names, t -> {one('t', 'null', 'field', 't')})
+      when use = 'raw' then transform(names, t -> {one('t', 'null', 'field', "case when item = field and part = '' then text else '' end")})
+      when use = 'archive' and db = 'sra' and part = 'id' then transform(names, t -> {one('t', 'null', "concat(item, '/id')", 't')})
+      when use = 'own' and role = 'assembly' and endswith(base, '/bvbrc') and first_name = own_id.x then array({one("'BV-BRC'", 'null', 'base', "coalesce(supplied, '')")})
+      when use = 'inner' and n = inner.n and first_name = inner.x then array({one('inner.x', 'null', "concat(base, case when endswith(base, 'genome.') then '' else '/' end, 'assemblyInfo/biosample/accession')", 'inner.x')})
+      when use in ('taxon', 'called') and rank = seen then array({one("case when taxon rlike '^0*[1-9][0-9]*$' then concat('NCBITaxon:', taxon) else concat('name:', lower(name)) end", "coalesce(name, concat('Taxon ', taxon))", "case when role = 'root' then concat(base, '/extras') else field end", 'coalesce(taxon, name)')})
+      when use = 'cites' and part = case when part = '' then '' when pmid is not null then 'pmid' when doi is not null then 'doi' else 'id' end then transform(publications, t -> {one('t', 'entry', 'item', 't')})
+      when use = 'program' then array({one("concat('NIAID:', lower(told))", 'told', 'field', 'told')})
+      when char_length(told) > {LONGEST} then null
+      when use = 'disease' then {disease('field')}
+      when use = 'attribute' and part = 'value' and attribute in ('disease', 'host_disease') then {disease("concat(item, '/value')")}
+      when use = 'proposed' and text rlike '^MONDO:[0-9]+$' then array({one('text', 'told', 'field', 'text')})
+    end"""
+    # an object's own accession is mentioned even where nothing is said of another; an assembly mentions all it lists
+    mentioned = "case when use = 'root' then array(root.x) when use = 'own' and role = 'assembly' then names when use = 'own' then filter(names, t -> t = own_id.x) end"
+    return spark.sql(
+        "with objects as (" + objects + f""", owned as (
+  select *, case when role = 'root' then root.type else map({kinds})[role] end as source_type, case when role = 'root' then root.x else own_id.x end as source_id, case when role <> 'root' then own_title end as source_label
+  from objects
+), said as (
+  select record_id, line, source_type, source_id, source_label, coalesce(relation, 'metadata supplied by') as relation, case when relation is null then 'repository' else type end as target_type,
+    inline(concat(coalesce({targets}, array()), coalesce(transform({mentioned}, x -> {one('null', 'null', 'field', 'x', 'x')}), array())))
+  from owned where source_id is not null
+)
+select record_id, line, source_type, coalesce(source, source_id) as source_id, case when source is null or source = source_id then source_label end as source_label,
+  case when source is null then relation end as relation, case when source is null then target_type end as target_type, id as target_id, label as target_label, path,
+  substring(coalesce(value, ''), 1, {LONGEST}) as value, case when relation = 'proposed disease' then 'proposed' else 'reported' end as status
+from said where source is not null or id is not null""",
+        named=named,
+    )
 
 
 def mentions(said: DataFrame) -> DataFrame:
     """(type, identifier, label, record_id) of every entity in the statements, and of the repositories they lie in."""
-    one = said.select(F.col("source_type").alias("type"), F.col("source_id").alias("identifier"), F.col("source_label").alias("label"), "record_id")
-    two = said.where("target_id is not null").select(F.col("target_type").alias("type"), F.col("target_id").alias("identifier"), F.col("target_label").alias("label"), "record_id")
-    both = one.unionByName(two)
-    lain = both.select(F.lit("repository").alias("type"), repository(F.col("identifier"), F.col("type")).alias("identifier"), F.lit(None).cast("string").alias("label"), "record_id").where("identifier is not null")
-    return both.unionByName(lain)
+    end = lambda side: F.struct(F.col(f"{side}_type").alias("type"), F.col(f"{side}_id").alias("identifier"), F.col(f"{side}_label").alias("label"))
+    both = said.select("record_id", F.explode(F.array(end("source"), end("target"))).alias("x")).select("x.*", "record_id").where("identifier is not null")
+    lies = F.struct(F.lit("repository").alias("type"), repository(F.col("identifier"), F.col("type")).alias("identifier"), F.lit(None).cast("string").alias("label"))
+    return both.select("record_id", F.explode(F.array(F.struct("type", "identifier", "label"), lies)).alias("x")).select("x.*", "record_id").where("identifier is not null")
 
 
 def claims(said: DataFrame) -> DataFrame:
-    """(source, target, relation, status, evidence) for ``graph.edges``; evidence: record, path and value."""
+    """(source, target, relation, status, evidence) for ``graph.edges``; evidence: record, line, path, value and basis."""
     key = lambda side: F.concat_ws(":", f"{side}_type", f"{side}_id")
-    evidence = F.struct("record_id", "line", "path", "value")
-    own = said.where("relation is not null").select(key("source").alias("source"), key("target").alias("target"), "relation", "status", evidence.alias("evidence"))
-    ends = [said.select(F.col(f"{s}_type").alias("type"), F.col(f"{s}_id").alias("identifier"), evidence.alias("evidence")).where("identifier is not null") for s in ("source", "target")]
-    named = ends[0].unionByName(ends[1])
-    lain = named.select(F.concat_ws(":", "type", "identifier").alias("source"), F.concat(F.lit("repository:"), repository(F.col("identifier"), F.col("type"))).alias("target"), F.lit("registered in").alias("relation"), F.lit("derived").alias("status"), "evidence").where("target is not null")
-    return own.unionByName(lain)
+    evidence = lambda value, basis: F.struct("record_id", "line", "path", value.alias("value"), F.lit(basis).alias("basis"))
+    one = lambda source, target, relation, status, told: F.struct(source.alias("source"), target.alias("target"), relation.alias("relation"), status.alias("status"), told.alias("evidence"))
+
+    def lies(side: str) -> Column:
+        archive = repository(F.col(f"{side}_id"), F.col(f"{side}_type"))
+        return one(key(side), F.concat(F.lit("repository:"), archive), F.lit("registered in"), F.lit("derived"), evidence(F.col(f"{side}_id"), DERIVED))
+
+    # what a source's own accession says is said where it is mentioned, a target's where it is named
+    own = F.when(F.col("relation").isNotNull(), one(key("source"), key("target"), F.col("relation"), F.col("status"), evidence(F.col("value"), EXPLICIT)))
+    source = F.when(F.col("relation").isNull(), lies("source"))
+    target = F.when(F.col("target_id").isNotNull(), lies("target"))
+    return said.select(F.explode(F.array(own, source, target)).alias("x")).select("x.*").where("target is not null")
 
 
 def accounting(records: DataFrame, said: DataFrame) -> DataFrame:
-    """One row: records, unsupported (those that say nothing), truncated (those with a list that was cut)."""
-    long: Callable[[Column], Column] = lambda v: F.size(F.try_variant_get(v, "$", "array<variant>"))
-    laid = objects(records)
-    fields = sorted({p for rules in RULES.values() for p, *_ in rules} | {"publications", "publication", "attributes", "niaid_programs", "bioprojects"})
-    cut = F.greatest(F.lit(0), *(F.coalesce(long(at(F.col("o"), f)), F.lit(0)) for f in fields)) > MOST
-    named = sorted({"genomes", "biosamples", "sra_experiments", "sra_runs"})
-    lists = F.greatest(F.lit(0), *(F.coalesce(long(at(F.col("o"), f)), F.lit(0)) for f in named)) > MOST
-    ill = F.greatest(F.lit(0), *(F.coalesce(long(at(F.col("o"), f)), F.lit(0)) for f in sorted({d for ds in DISEASES.values() for d in ds}))) > MOST_DISEASES
-    flagged = laid.where(cut | lists | ill).agg(F.countDistinct("record_id").alias("truncated"))
-    counts = records.select("record_id").join(said.select("record_id", F.lit(1).alias("there")).distinct(), "record_id", "left").agg(F.count("*").alias("records"), F.count_if(F.col("there").isNull()).alias("unsupported"))
-    return counts.join(flagged)
+    """One row: records, unsupported (those that say nothing), truncated (those with a list that was cut, or a disease
+    that is too long)."""
+    most = F.when(F.col("use") == "disease", MOST_DISEASES).otherwise(MOST)
+    long = F.col("use").isin("disease", "attribute", "proposed") & (F.char_length(F.coalesce("label", "text")) > LONGEST)
+    cut = walked(records).where((F.col("size") > most) | long).select("record_id").distinct().withColumn("cut", F.lit(1))
+    there = said.select("record_id").distinct().withColumn("there", F.lit(1))
+    counts = records.select("record_id").join(there, "record_id", "left").join(cut, "record_id", "left")
+    return counts.agg(F.count("*").alias("records"), F.count_if(F.col("there").isNull()).alias("unsupported"), F.count_if(F.col("cut").isNotNull()).alias("truncated"))

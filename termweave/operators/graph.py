@@ -62,11 +62,23 @@ def type_counts(made: DataFrame) -> DataFrame:
     return kinds.join(made.groupBy("type").count(), "type", "left").select("type", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
-def view(made: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def view(made: DataFrame, links: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
     """A bounded view to look at: the first nodes by type and identifier, and edges between them alone."""
-    shown = made.orderBy("type", "identifier").limit(MOST_NODES)
+    shown = made.orderBy("type", "identifier").limit(most_nodes)
     keys = shown.select(F.concat_ws(":", "type", "identifier").alias("key"))
-    return shown, links.join(keys.withColumnRenamed("key", "source"), "source", "left_semi").join(keys.withColumnRenamed("key", "target"), "target", "left_semi").orderBy("source", "target", "relation").limit(MOST_EDGES)
+    return shown, links.join(keys.withColumnRenamed("key", "source"), "source", "left_semi").join(keys.withColumnRenamed("key", "target"), "target", "left_semi").orderBy("source", "target", "relation").limit(most_edges)
+
+
+def bounds(made: DataFrame, links: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> DataFrame:
+    """One row that says what ``view`` leaves out: nodes and nodes_dropped, edges, edges_dangling (an end was dropped) and
+    edges_dropped (beyond the cap). Only the keys of the nodes that are shown are sent to all tasks."""
+    keys = F.broadcast(made.orderBy("type", "identifier").limit(most_nodes).select(F.concat_ws(":", "type", "identifier").alias("key")))
+    end = lambda side: keys.select(F.col("key").alias(side), F.lit(1).alias(f"{side}_shown"))
+    both = F.col("source_shown").isNotNull() & F.col("target_shown").isNotNull()
+    told = links.join(end("source"), "source", "left").join(end("target"), "target", "left").agg(F.count("*").alias("edges"), F.count_if(both).alias("inside"))
+    over = lambda n, most: F.greatest(F.col(n) - most, F.lit(0).cast("long"))
+    counted = made.agg(F.count("*").alias("nodes")).join(told)
+    return counted.select("nodes", over("nodes", most_nodes).alias("nodes_dropped"), "edges", (F.col("edges") - F.col("inside")).alias("edges_dangling"), over("inside", most_edges).alias("edges_dropped"))
 
 
 def as_json(shown: DataFrame, links: DataFrame) -> DataFrame:
