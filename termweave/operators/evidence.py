@@ -296,10 +296,10 @@ with ranked as (
   from ranked where rank = best and text is not null
   window item as (partition by record_id, line, role, base, choice, item)
 ), objects as (
-  select *, names[0] as first_name,
-    min(case when use = 'own' and size(names) > 0 then struct(n, names[0] as x) end) over object as own_id,
-    min(case when use = 'inner' and size(names) > 0 then struct(n, names[0] as x) end) over object as inner,
-    max(case when use = 'root' then struct(type, names[0] as x) end) over object as root,
+  select *, get(names, 0) as first_name,
+    min(case when use = 'own' and size(names) > 0 then struct(n, get(names, 0) as x) end) over object as own_id,
+    min(case when use = 'inner' and size(names) > 0 then struct(n, get(names, 0) as x) end) over object as inner,
+    max(case when use = 'root' then struct(type, get(names, 0) as x) end) over object as root,
     max(case when use = 'title' then told end) over object as own_title,
     max(case when use = 'taxon' then text end) over object as taxon,
     max(case when use = 'called' then told end) over object as name,

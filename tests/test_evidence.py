@@ -1,4 +1,4 @@
-"""What the evidence graph takes from records, and what it does not."""
+"""What the evidence graph takes from records, where it says it was read, and what it leaves out."""
 
 import json
 
@@ -9,82 +9,119 @@ from termweave.operators import explorer as X
 from termweave.operators import linkage as L
 from termweave.operators import resolve as R
 
-
-NESTED = {
-    "genome": {"accession": "GCA_000000001.1", "organism": {"taxId": 1280, "organismName": "S. aureus"}, "assemblyInfo": {"bioprojectAccession": "PRJNA1", "biosample": {"accession": "SAMN7", "hostDisease": "bacteremia"}, "pairedAssembly": {"accession": "GCF_000000001.1"}}},
-    "bioprojects": [{"accession": "PRJNA1", "publications": [{"db": "Pubmed", "id": "24744328", "pubdate": "2014"}]}],
-    "sra_runs": [{"run_accession": "SRR5", "experiment_accession": "SRX5", "sample_accession": "SRS5", "study_accession": "SRP5"}],
+#: One record for each rule, told apart by its place in the list.
+CASES = {
+    # an assembly list: the second's accession is under the third name, its sample has a key alone, its twin stands below
+    "assemblies": {"genomes": [{"species": "no accession"}, {"assembly_accession": "GCF_900000002.3", "assemblyInfo": {"biosample": {"_key": "SAMEA55", "taxonomy_name": " Vibrio Sp. ", "attributes": [{"name": "depth", "value": "3 m"}, {"attribute_name": "Host Disease", "value": "Cholera"}]}, "pairedAssembly": {"accession": "GCA_900000002.3"}}}]},
+    # lists of accessions in one text and in a list of objects; the studies of a sample come before its one study
+    "sample": {"biosample": {"accession": "SAMD31", "title": "Sea water", "bioprojects": [{"accession": "PRJDB7"}, {"_key": "PRJDB8"}, "PRJDB9;PRJDB10"], "bioproject_accession": "PRJDB11", "sra_sample": "DRS4", "id_recs": [{"db": "GenBank", "id": "SAMD99"}, {"db": "SRA", "id": ["DRS5", "DRS4"]}]}},
+    # the archive's own fields: the first accession speaks, all are mentioned; a taxon that is no number leaves the name
+    "bvbrc": {"bvbrc": {"accession": ["NC_000907.1", "NC_000908"], "genome_id": 562.55, "taxon_id": "n/a", "organism_name": "Haemophilus", "publication": 0, "publications": ["10.1000/xyz12, 777", {"pmid": 88, "title": "On shells"}, {"db": "doi", "id": "10.1000/Q"}, {"db": "book", "id": "5"}]}},
+    "flat": {"genome.accession": "GCA_700000001", "genome.sra_accession": "ERR7,ERX8", "genome.organism": {"taxId": "0485"}, "genome.disease": ["Gonorrhea", "unknown", None]},
+    "study": {"bioproject": {"_key": "PRJEB40", "niaid_programs": [{"name": "Vector Hub"}, "Vector Hub", 7, {"name": ""}]}},
+    "runs": {"sra_runs": {"experiment_accession": "SRX61", "study_accession": "SRP62 SRP63"}},
+    "curated": {"original_metadata": {"record_id": "ERS12", "disease": ["Measles", "x" * 301], "extras": {"taxonomy_id": None, "organism": "Measles morbillivirus", "attributes": {"host_disease": "", "disease": "Rash"}}}},
+    "own terms": {"record_id": "SAMN8", "candidate_curies": ["MONDO:2", "MONDO:x", 3], "terms": [{"ontology": "MONDO", "term_id": "MONDO:1", "label": "a"}, "MONDO:2", {"ontology": "MONDO", "term_id": "MONDO:2"}, {"ontology": "MONDO", "term_id": "MONDO:x"}, {"ontology": "ENVO", "term_id": "MONDO:2"}]},
+    "other record": {"source_record": {"record_id": "SAMN8"}, "proposal": {"record_id": "SAMN9", "candidate_curies": ["MONDO:2"], "terms": [{"ontology": "MONDO", "term_id": "MONDO:2"}]}},
+    "text only": {"title": "SAMN77 of PRJNA5", "note": "seen in GCA_000000009.1", "extras": {"organism": "Felis"}},
+    "below": {"sra_experiments": [{"accession": "ERX1"}, {"accession": "ERX2"}], "disease": "Gout", "niaid_programs": ["P"]},
+    "odd": {"record_id": ["SAMN1"], "genome": "GCA_000000009.1", "biosamples": {"accession": None, "_key": True}, "bvbrc": [[{"accession": "NC_000909"}]], "terms": {}, "proposal": 3},
+    "dates": {"genome": {"accession": "GCA_300000001.1", "biosample_accession": 12, "bioproject_accession": {"accession": "PRJNA3"}, "assemblyInfo": [], "organism": None, "disease": False}},
+}
+NAMES = list(CASES)
+#: (relation, target, path, value) of all edges but those to archives, by record; sources where they are not plain.
+WANT = {
+    "assemblies": {
+        ("sequenced from", "sample:SAMEA55", "/genomes/1/assemblyInfo/biosample/accession", "SAMEA55"),
+        ("organism", "organism:name:vibrio sp.", "/genomes/1/assemblyInfo/biosample/taxonomy_name", "Vibrio Sp."),
+        ("reported disease", "disease:reported:cholera", "/genomes/1/assemblyInfo/biosample/attributes/1/value", "Cholera"),
+        ("paired assembly", "sequence:GCA_900000002.3", "/genomes/1/assemblyInfo/pairedAssembly/accession", "GCA_900000002.3"),
+    },
+    "sample": {*(("belongs to study", f"study:PRJDB{i}", "/biosample/bioprojects", f"PRJDB{i}") for i in (7, 8, 9, 10)), ("same sample identifier", "sample:DRS4", "/biosample/sra_sample", "DRS4"), ("same sample identifier", "sample:DRS4", "/biosample/id_recs/1/id", "DRS4"), ("same sample identifier", "sample:DRS5", "/biosample/id_recs/1/id", "DRS5")},
+    "bvbrc": {
+        ("metadata supplied by", "repository:BV-BRC", "/bvbrc", "562.55"),
+        ("organism", "organism:name:haemophilus", "/bvbrc/taxon_id", "n/a"),
+        ("cites", "publication:DOI:10.1000/xyz12", "/bvbrc/publications/0", "DOI:10.1000/xyz12"),
+        ("cites", "publication:PMID:777", "/bvbrc/publications/0", "PMID:777"),
+        ("cites", "publication:PMID:88", "/bvbrc/publications/1", "PMID:88"),
+        ("cites", "publication:DOI:10.1000/Q", "/bvbrc/publications/2", "DOI:10.1000/Q"),
+    },
+    "flat": {("linked sequence", "sequence:ERR7", "/genome.sra_accession", "ERR7"), ("linked sequence", "sequence:ERX8", "/genome.sra_accession", "ERX8"), ("organism", "organism:NCBITaxon:0485", "/genome.organism/taxId", "0485"), ("reported disease", "disease:reported:gonorrhea", "/genome.disease", "Gonorrhea")},
+    "study": {("reported NIAID program", "program:NIAID:vector hub", "/bioproject/niaid_programs", "Vector Hub"), ("reported NIAID program", "program:NIAID:7", "/bioproject/niaid_programs", "7")},
+    "runs": {("belongs to study", "study:SRP62", "/sra_runs/study_accession", "SRP62 SRP63"), ("belongs to study", "study:SRP63", "/sra_runs/study_accession", "SRP62 SRP63")},
+    "curated": {("organism", "organism:name:measles morbillivirus", "/original_metadata/extras", "Measles morbillivirus"), ("reported disease", "disease:reported:measles", "/original_metadata/disease", "Measles"), ("reported disease", "disease:reported:rash", "/original_metadata/extras/attributes/disease", "Rash")},
+    "own terms": {("proposed disease", "disease:MONDO:2", "/terms/2", "MONDO:2")},
+    "dates": {("belongs to study", "study:PRJNA3", "/genome/bioproject_accession", "")},
 }
-FLAT = {"genome.assembly_accession": "GCF_000000001.1", "genome.biosample_accession": "SAMN7", "genome.publication": "24744328; 24744329"}
-PROSE = {"record_id": "SAMN123456", "host": "Homo sapiens", "comments": ["host_disease: infection"], "description": "Supported by NIAID. Study PRJNA123456.", "disease": "not provided"}
-BELOW = {"biosamples": [{"accession": "SAMN1"}, {"accession": "SAMN2"}], "disease": "x", "niaid_program": "y", "extras": {"taxonomy_id": 9606}}
-SOURCE = {"record_id": "SAMN1", "extras": {"taxonomy_id": 1280, "organism": "S. aureus", "attributes": {"host_disease": "MRSA infection"}}}
-TERMS = [{"ontology": "MONDO", "term_id": "MONDO:0100073", "label": "MRSA infection"}, {"ontology": "MONDO", "term_id": "MONDO:9999999"}, {"ontology": "UBERON", "term_id": "UBERON:0000001"}]
-PROPOSAL = {"record_id": "SAMN1", "candidate_curies": ["MONDO:0100073"], "terms": TERMS}
-ODD = {"record_id": "SAMN1", "terms": None, "genome": [None, 5], "biosamples": None, "original_metadata": [], "extras": {"organism": [], "taxonomy_id": {}, "attributes": None}}
-RECORDS = [NESTED, FLAT, FLAT, PROSE, BELOW, {"source_record": SOURCE, "proposal": PROPOSAL}, {"source_record": SOURCE, "proposal": PROPOSAL | {"record_id": "SAMN9"}}, ODD, {"metric": 0.7}, None, {"biosamples": [{"accession": f"SAMN{i}"} for i in range(101)]}]
+EXPLICIT, DERIVED = "explicit field", "repository derived from identifier namespace"
 
 
 @pytest.fixture(scope="module")
-def stated(spark):
-    """The statements of all records (their plan is large, so it is run once), and the accounting."""
-    rows = spark.createDataFrame([(i, i, json.dumps(o) if o is not None else None) for i, o in enumerate(RECORDS)], "record_id long, line long, payload string")
-    said = evidence.statements(rows)
-    return said.schema, said.collect(), evidence.accounting(rows, spark.createDataFrame(said.collect(), said.schema)).first()
+def records(spark):
+    rows = [(i, i + 100, json.dumps(o)) for i, o in enumerate(CASES.values())] + [(50, 1, None), (51, 2, "{not json"), (52, 3, '["SAMN1"]'), (53, 4, '{"a": ' * 3000)]
+    return spark.createDataFrame(rows, "record_id long, line long, payload string")
 
 
-@pytest.fixture
-def project(spark, stated):
-    def run(*objects):
-        wanted = {i for i, o in enumerate(RECORDS) if any(o is x for x in objects)}
-        said = spark.createDataFrame([r for r in stated[1] if r.record_id in wanted], stated[0]).coalesce(1)
-        nodes = {f"{r.type}:{r.identifier}": r for r in graph.nodes(evidence.mentions(said)).collect()}
-        edges = {(r.source, r.target, r.relation): r for r in graph.edges(evidence.claims(said)).collect()}
-        return nodes, edges
+@pytest.fixture(scope="module")
+def stated(spark, records):
+    said = evidence.statements(records)
+    return spark.createDataFrame(said.collect(), said.schema).coalesce(1)
+
+
+@pytest.fixture(scope="module")
+def evidences(stated):
+    made = graph.edges(evidence.claims(stated)).collect()
+    return [(e.source, e.relation, e.target, e.status, x) for e in made for x in e.evidence]
+
 
-    return run
+def of(evidences, name):
+    return [e for e in evidences if e[4].record_id == NAMES.index(name)]
 
 
-def kinds(nodes):
-    return {k.split(":")[0] for k in nodes}
+@pytest.mark.parametrize("name", NAMES)
+def test_each_record_says_what_is_expected(evidences, name):
+    mine = [e for e in of(evidences, name) if e[1] != "registered in"]
+    assert {(r, t, x.path, x.value) for _, r, t, _, x in mine} == WANT.get(name, set())
+    assert all(x.basis == EXPLICIT and x.line == x.record_id + 100 and s == ("proposed" if r == "proposed disease" else "reported") for _, r, _, s, x in mine)
 
 
-def test_nested_records(project):
-    nodes, edges = project(NESTED)
-    assert kinds(nodes) == {"study", "sample", "sequence", "organism", "disease", "publication", "repository"}
-    assert "publication:PMID:24744328" in nodes and "publication:PMID:2014" not in nodes
-    assert nodes["organism:NCBITaxon:1280"].label == "S. aureus" and nodes["study:PRJNA1"].url.endswith("/bioproject/PRJNA1")
-    edge = edges["sequence:GCA_000000001.1", "sample:SAMN7", "sequenced from"]
-    assert [e.path for e in edge.evidence] == ["/genome/assemblyInfo/biosample/accession"]
-    assert ("sequence:SRR5", "sequence:SRX5", "run of experiment") in edges and ("sequence:GCA_000000001.1", "sequence:GCF_000000001.1", "paired assembly") in edges
-    assert not any({"sequence:GCA_000000001.1", "sequence:SRR5"} == {a, b} for a, b, _ in edges)
-    assert all(e.status == "derived" for (_, _, relation), e in edges.items() if relation == "registered in")
+def test_sources_are_the_objects_that_speak(evidences):
+    sources = {name: {s for s, r, *_ in of(evidences, name) if r != "registered in"} for name in NAMES}
+    assert sources["assemblies"] == {"sequence:GCF_900000002.3", "sample:SAMEA55"}
+    assert sources["bvbrc"] == {"sequence:NC_000907.1"} and sources["curated"] == {"sample:ERS12"} and sources["runs"] == {"sequence:SRX61"}
 
 
-def test_flat_keys_in_two_records(project):
-    nodes, edges = project(FLAT)
-    edge = edges["sequence:GCF_000000001.1", "sample:SAMN7", "sequenced from"]
-    assert [(e.record_id, e.path) for e in edge.evidence] == [(1, "/genome.biosample_accession"), (2, "/genome.biosample_accession")]
-    assert sum(k.startswith("publication:") for k in nodes) == 2
+def test_archives_rest_on_the_form_of_an_identifier(evidences):
+    lain = {(s, t): (status, x.path, x.value, x.basis) for s, r, t, status, x in of(evidences, "bvbrc") if r == "registered in"}
+    assert lain["sequence:NC_000908", "repository:GenBank / RefSeq"] == ("derived", "/bvbrc/accession", "NC_000908", DERIVED)
+    assert lain["publication:PMID:88", "repository:PubMed"] == ("derived", "/bvbrc/publications/1", "PMID:88", DERIVED)
+    assert not any(s.startswith(("disease:", "program:")) for s, r, *_ in evidences if r == "registered in")
 
 
-def test_nothing_from_prose_or_below_the_root(project):
-    assert kinds(project(PROSE)[0]) == kinds(project(BELOW)[0]) == {"sample", "repository"}
+def test_nodes_and_their_labels(stated):
+    nodes = {f"{r.type}:{r.identifier}": r for r in graph.nodes(evidence.mentions(stated)).collect()}
+    assert nodes["sample:SAMD31"].label == "Sea water" and nodes["publication:PMID:88"].label == "On shells"
+    assert nodes["organism:NCBITaxon:0485"].label == "Taxon 0485" and nodes["disease:MONDO:2"].label == "MONDO:2"
+    assert {NAMES[i] for i in nodes["sample:SAMN8"].record_ids} == {"own terms", "other record"}
+    seen = {NAMES[i] for r in nodes.values() for i in r.record_ids}
+    assert seen == set(NAMES) - {"text only", "odd"}
+    assert not any(k.startswith(("sequence:GCA_000000009", "sample:SAMN77", "disease:reported:gout")) for k in nodes)
 
 
-def test_proposals_need_their_own_record_and_a_retrieved_term(project):
-    nodes, edges = project(RECORDS[5])
-    proposed = [e for e in edges.values() if e.status == "proposed"]
-    assert len(proposed) == 1 and proposed[0].evidence[0].path == "/proposal/terms/0"
-    assert "disease:reported:mrsa infection" in nodes and "disease:MONDO:0100073" in nodes
-    assert not any(e.status == "proposed" for e in project(RECORDS[6])[1].values())
+def test_accounting(records, stated):
+    row = evidence.accounting(records, stated).first()
+    assert (row.records, row.unsupported, row.truncated) == (len(NAMES) + 4, 2 + 4, 1)
 
 
-def test_null_and_malformed_fields(project, stated):
-    assert "disease" not in kinds(project(ODD)[0])
-    nodes, _ = project(RECORDS[-1])
-    assert sum(k.startswith("sample:") for k in nodes) == 100
-    assert (stated[2].records, stated[2].unsupported, stated[2].truncated) == (len(RECORDS), 2, 1)
+def test_bounds_count_what_a_view_leaves_out(stated):
+    made, links = graph.nodes(evidence.mentions(stated)), graph.edges(evidence.claims(stated))
+    nodes, edges = made.collect(), links.collect()
+    shown = {f"{r.type}:{r.identifier}" for r in sorted(nodes, key=lambda r: (r.type, r.identifier))[:12]}
+    inside = sum(e.source in shown and e.target in shown for e in edges)
+    row = graph.bounds(made, links, 12, 2).first()
+    assert tuple(row) == (len(nodes), len(nodes) - 12, len(edges), len(edges) - inside, max(inside - 2, 0))
+    a, b = graph.view(made, links, 12, 2)
+    assert a.count() == 12 and b.count() == min(inside, 2)
 
 
 def test_hub_nodes_stay_small(spark):
