@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from termweave.functions import text as T
 from termweave.functions import paths
-from termweave.operators import evaluate, evidence, explorer, graph, linkage, ontology, resolve, retrieve
+from termweave.operators import clients, embed, evaluate, evidence, explorer, graph, linkage, ontology, resolve, retrieve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,6 +200,15 @@ def match_fallback(spark, d):
     return linkage.first_rule(linkage.match_rules(c, s, rules), [r[0] for r in rules])
 
 
+@query("""select c_custkey as left_id, s_suppkey as right_id, case when c_custkey = s_suppkey then 'same' else 'begins' end as matched_by
+from customer join supplier on starts_with('K' || s_suppkey || '.' || s_nationkey, 'K' || c_custkey)""")
+def match_prefix(spark, d):
+    """Keys without a version against lists of keys that carry one."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("K"), "c_custkey").alias("key"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("K"), "s_suppkey").alias("own"), F.concat(F.lit("K"), "s_suppkey", F.lit("."), "s_nationkey").alias("versioned"))
+    return linkage.match_rules(c, s, [("same", F.array("key"), F.array("own")), ("begins", F.array("key"), F.array("versioned", F.lit(None)), True)])
+
+
 @query(MATCHES + " select c.id as left_id, p.right_id, matched_by from c left join p on p.left_id = c.id union all select null, s.id, null from s where s.id not in (select right_id from p)")
 def full_outer_unmatched(spark, d):
     c, s, rules = sides(spark, d)
@@ -233,6 +242,40 @@ def last_record_wins(spark, d):
     return linkage.last_wins(read(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
 
 
+@query("""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as ts from documents),
+t as (select doc_id, '#' || unnest(ts) || '#' as t from w), g as (select doc_id, md5(substr(t, (k + 1)::bigint, 3)) as h from (select doc_id, t, unnest(range(length(t) - 2)) as k from t)),
+s as (select doc_id, ('0x' || h[1:4])::int % 16 as i, sum(1 - 2 * (('0x' || h[5:5])::int % 2))::bigint as v from g group by all)
+select doc_id, len(ts) as n_tokens, (select string_agg(coalesce(s.v, 0)::varchar, ',' order by r.i) from (select unnest(range(16)) as i) r left join s on s.i = r.i and s.doc_id = w.doc_id) as total from w""")
+def embed_texts(spark, d):
+    """Vectors of whole documents; the mean over tokens times their number is a whole number."""
+    made = embed.embed(read(spark, d, "documents").select("doc_id", "text"), "text", most_tokens=None)
+    total = F.transform("embedding", lambda x: F.round(x * F.col("n_tokens")).cast("long").cast("string"))
+    return made.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.array_join(total, ",").alias("total"))
+
+
+def first_two():
+    """A client that proposes the first two candidates; for some records it makes a term up, for some it fails."""
+
+    def propose(found):
+        if not found or int(found[0]["curie"]) % 5 == 0:
+            raise ValueError("no answer")
+        made = [{"curie": c["curie"], "role": role, "confidence": sure} for c, role, sure in zip(found, ("primary", "secondary"), (found[0]["score"], "high"))]
+        return made + [{"curie": "X:1"}] * (int(found[0]["curie"]) % 3 == 0)
+
+    return propose
+
+
+@query(MERGED + """, n as (select *, row_number() over (partition by record order by bucket, rank) as n from c), f as (select record, min(case when n = 1 then term_id end) as f from n group by record),
+t as (select record, term_id, case n when 1 then 'primary' else 'secondary' end as role, case when n = 2 or score >= 0.7 then 'high' when score >= 0.4 then 'medium' else 'low' end as confidence from n join f using (record) where n <= 2 and f % 5 <> 0
+  union all select record, term_id, 'primary', case when score >= 0.8 then 'high' when score >= 0.5 then 'medium' else 'low' end from n join f using (record) where f % 5 = 0 and rank = 0 and score > 0.3)
+select f.record, t.term_id::varchar as term_id, role, confidence, case when term_id is null then 'insufficient_evidence' when f % 5 = 0 or f % 3 = 0 then 'proposed_with_flags' else 'proposed' end as outcome,
+  case when f % 5 = 0 then 'resolve_agent_error: no answer' when f % 3 = 0 then 'invented_curie_removed' else '' end as flags, case when term_id is null then 'Resolve agent failed: no answer' end as abstain_reason from f left join t using (record)""")
+def resolve_client(spark, d):
+    c = candidates(spark, d)
+    made = clients.resolved_by(c, c, first_two, least=0.3).select("record", F.explode_outer("terms").alias("t"), "outcome", F.array_join("flags", "|").alias("flags"), "abstain_reason")
+    return made.select("record", "t.term_id", "t.role", "t.confidence", "outcome", "flags", "abstain_reason")
+
+
 # ---- explorer -------------------------------------------------------------------------------------------------
 
 
@@ -280,7 +323,7 @@ KINDS = {"/type": ["text"], "/value": ["null", "number"], "/a~1b/k~0": ["number"
 def _filter(name, f, operator, operand, where):
     def run(spark, d):
         records = stored(spark, d)
-        return explorer.Query(filters=[(f, operator, operand)]).select(records, explorer.leaves(records), KINDS).select("record_id")
+        return explorer.Query(filters=[(f, operator, operand)]).select(records, None, KINDS).select("record_id")
 
     run.__name__ = f"explorer_filter_{name}"
     query(LEAVES + f" select distinct record_id from v where {where}")(run)
@@ -293,7 +336,7 @@ for _name, _row in FILTERS.items():
 @query(LEAVES + " select event_id as record_id from events where event_id not in (select record_id from v where field = '/a~1b/tags')")
 def explorer_filter_missing(spark, d):
     records = stored(spark, d)
-    return explorer.Query(filters=[("/a~1b/tags", "missing", None)]).select(records, explorer.leaves(records), KINDS).select("record_id")
+    return explorer.Query(filters=[("/a~1b/tags", "missing", None)]).select(records, None, KINDS).select("record_id")
 
 
 @query(LEAVES + " select distinct record_id from v where contains(lower(value), 'ch') and record_id in (select record_id from v where field = '/value' and kind = 'null')")
@@ -305,9 +348,8 @@ def explorer_search(spark, d):
 @query(LEAVES + " select record_id, value as sort_value from (select record_id, value from v where field = '/value' order by value::double desc nulls last, record_id limit 50 offset 100)")
 def explorer_sort_page(spark, d):
     records = stored(spark, d)
-    values = explorer.leaves(records)
     q = explorer.Query(sort="/value", descending=True, page=3, size=50)
-    return q.paged(q.ordered(q.select(records, values, KINDS), values, KINDS)).select("record_id", "sort_value")
+    return q.paged(q.ordered(q.select(records, None, KINDS), None, KINDS)).select("record_id", "sort_value")
 
 
 def reported(spark, d):
@@ -623,6 +665,13 @@ def surrogate_ids(spark, d):
     return linkage.surrogate(read(spark, d, "documents").select("doc_id", "lang"), ["lang", "doc_id"]).select("doc_id", "id")
 
 
+@query("select doc_id, n_chars, strlen(text) as n_bytes, row_number() over (order by lang desc, n_chars, doc_id) as id from documents")
+def surrogate_payload(spark, d):
+    """Numbers beside columns that are no part of the order."""
+    docs = read(spark, d, "documents").withColumn("rank", F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "es", 1).when(F.col("lang") == "en", 2).otherwise(3))
+    return linkage.surrogate(docs, ["rank", "n_chars", "doc_id"]).select("doc_id", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), "id")
+
+
 @query("select doc_id, quality, lang, lang is not null as found from labels left join documents using (doc_id)")
 def proposal_metadata(spark, d):
     labels = read(spark, d, "labels").select("doc_id", "quality")

@@ -91,9 +91,10 @@ class Query:
     page: int = 1
     size: int = 25
 
-    def select(self, records: DataFrame, values: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+    def select(self, records: DataFrame, values: DataFrame | None, kinds: dict[str, list[str]]) -> DataFrame:
         """The records (record_id, payload, ...) that match: filters are conditions on the payload, which are checked as it
-        is read; a searched text is looked for in the leaves ``values`` of what is left."""
+        is read; a searched text is looked for in the leaves ``values``, or where these are None in those of what is left.
+        Without a search nothing is laid out."""
         if len(self.filters) > MOST_FILTERS:
             raise ValueError(f"more than {MOST_FILTERS} filters")
         out = records
@@ -102,10 +103,11 @@ class Query:
                 raise ValueError(f"unknown operator or field: {operator} {name}")
             out = out.where(holds(F.col("payload"), name, operator, operand, set(kinds[name]) <= {"number", "null"}))
         if self.search:
-            out = out.join(values.where(condition("contains", self.search, False)).select("record_id").distinct(), "record_id", "left_semi")
+            held = leaves(out) if values is None else values
+            out = out.join(held.where(condition("contains", self.search, False)).select("record_id").distinct(), "record_id", "left_semi")
         return out
 
-    def ordered(self, selected: DataFrame, values: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+    def ordered(self, selected: DataFrame, values: DataFrame | None, kinds: dict[str, list[str]]) -> DataFrame:
         """In order, missing values last either way, ties by record_id; with the value sorted by as sort_value."""
         if not self.sort:
             return selected.orderBy("record_id")

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termweave.plans.session import checkpoints
+
+MOST_LENGTHS = 100  # of keys that others may begin with
+
 
 def star_join(primary: DataFrame, key: str, related: dict[str, tuple[DataFrame, str, DataFrame | None]]) -> DataFrame:
     """primary with one array column per related source (its rows as structs, in link order, duplicates kept, dangling
@@ -29,16 +33,30 @@ def star_join(primary: DataFrame, key: str, related: dict[str, tuple[DataFrame,
     return out
 
 
-def match_rules(left: DataFrame, right: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+def beginnings(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """keys (id, key) with each key replaced by those of its beginnings that have the length of some known key."""
+    lengths = [r[0] for r in known.select(F.char_length("key")).distinct().where("char_length(key) > 0").limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"keys of more than {MOST_LENGTHS} lengths")
+    own = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>"), lambda n: n <= F.char_length("key"))
+    return keys.select("id", F.explode(own).alias("_n"), "key").select("id", F.substr("key", F.lit(1), F.col("_n")).alias("key"))
+
+
+def match_rules(left: DataFrame, right: DataFrame, rules: list[tuple]) -> DataFrame:
     """(left_id, right_id, matched_by) for every pair that a rule matches, named by the first rule in the list.
 
     A rule is (name, left keys, right keys), each an array of keys of the row with column ``id``; rows match if they
-    share a key. Null keys match nothing.
+    share a key. Null keys match nothing. A rule with a fourth item, true, matches if a right key begins with a left one
+    (accessions without and with their version): right keys are exploded into their beginnings of the lengths that left
+    keys have, so that this is an equi-join as well.
     """
     pairs = None
-    for order, (name, l, r) in enumerate(rules):  # noqa: E741
-        a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct(l)).alias("key")).where("key is not null")
-        b = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct(r)).alias("key")).where("key is not null")
+    for order, (name, l, r, *prefix) in enumerate(rules):  # noqa: E741
+        a = left.select("id", F.explode(F.array_distinct(l)).alias("key")).where("key is not null")
+        b = right.select("id", F.explode(F.array_distinct(r)).alias("key")).where("key is not null")
+        if any(prefix):
+            b = beginnings(b, a)
+        a, b = a.withColumnRenamed("id", "left_id"), b.withColumnRenamed("id", "right_id")
         found = a.join(b, "key").select("left_id", "right_id", F.lit(order).alias("rule_order"), F.lit(name).alias("matched_by")).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.groupBy("left_id", "right_id").agg(F.min_by("matched_by", "rule_order").alias("matched_by"))
@@ -112,12 +130,15 @@ def reachable(tables: dict[str, tuple[DataFrame, str]], keys: DataFrame, name: s
 
 def surrogate(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """df with a dense number from 1 in order. Rows are numbered within ranges of the order, and ranges by how many rows
-    lie before them, so no task holds all rows; equal rows have their numbers in any order."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn(name, own.cast("long")).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    lie before them, so no task holds all rows; equal rows have their numbers in any order, and may lie in several ranges.
+    Where rows come to lie is checkpointed: a range shuffle that is planned twice samples its bounds twice."""
+    checkpoints(df.sparkSession)
+    by = [*order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"))  # a row for each partition
+    before = counts.select("_part", "_low", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") - F.col("_low") + F.col("_before") + 1).drop("_part", "_at", "_low", "_before")
 
 
 def with_metadata(proposals: DataFrame, records: DataFrame, key: str, fields: list[str]) -> DataFrame:

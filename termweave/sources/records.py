@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,12 +117,50 @@ def _violation(line: Column, required: list[str], most_bytes: int) -> Column:
     return out
 
 
+def _pointers(v: dict, above: str = "") -> Iterator[str]:
+    """The JSON pointers of an object's leaves; lists and empty objects are leaves."""
+    for key, x in v.items():
+        name = f"{above}/{key.replace('~', '~0').replace('/', '~1')}"
+        if isinstance(x, dict) and x:
+            yield from _pointers(x, name)
+        else:
+            yield name
+
+
+def first_fields(lines: DataFrame, most: int = MOST_FIELDS) -> DataFrame:
+    """(field, line) of the first ``most`` + 1 fields of (line, payload), with the first line that each is in. A task holds
+    and sends on no more fields than that, those of its first lines: a later one has as many before it in any case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, int] = {}
+        for batch in batches:
+            if len(first) > most:
+                continue
+            for line, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = json.loads(payload)
+                except (ValueError, RecursionError):
+                    continue
+                for name in _pointers(found) if isinstance(found, dict) else ():
+                    first[name] = min(line, first.get(name, line))
+                if len(first) > most:
+                    break
+        names = [n.encode("utf-8", "replace") for n in first]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(list(first.values()), pa.int64())], ["field", "line"])
+
+    found = lines.select(F.col("line").cast("long"), "payload").mapInArrow(run, "field string, line long")
+    return found.groupBy("field").agg(F.min("line").alias("line")).orderBy("line", "field").limit(most + 1)
+
+
 def strict_import(spark: SparkSession, path: str, required: list[str] = (), most_rows: int | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(line, payload) of every line that is not blank, if all are JSON objects within the limits and have the required
     texts; else a ValueError with the first bad line. Nothing is written before the whole file has passed."""
     lines = numbered_lines(spark, path)
     lines = lines.select("line", F.when(F.col("line") == 1, F.ltrim(F.col("value"), F.lit("﻿"))).otherwise(F.col("value")).alias("payload")).where("trim(payload) <> ''")
     bad = lines.select("line", _violation(F.col("payload"), list(required), most_bytes).alias("what")).where("what is not null").agg(F.min(F.struct("line", "what")).alias("first")).first()["first"]
+    limit = first_fields(lines if bad is None else lines.where(F.col("line") < bad["line"])).agg(F.count("*").alias("n"), F.max("line").alias("line")).first()
+    if limit["n"] > MOST_FIELDS:
+        raise ValueError(f"line {limit['line']}: more than {MOST_FIELDS} fields")
     if bad:
         raise ValueError(f"line {bad['line']}: {bad['what']}")
     if most_rows is not None and lines.count() > most_rows:

@@ -74,6 +74,26 @@ def test_strict_import_takes_all(spark, folder):
         records.strict_import(spark, path, most_rows=1)
 
 
+def test_an_import_holds_500_fields(spark, folder):
+    """Counted over all lines; the line that has the next one is named, wherever tasks begin."""
+    line = lambda names: "{" + ",".join(f'"{n}":1' for n in names) + "}"
+    names = [f"f{i}" for i in range(500)]
+    rows = [line(names[i : i + 10]) for i in range(0, 500, 10)] + [line(names[:400])] * 40 + ['{"f0":{},"f1":[{"new":1}]}']
+    ok = put(f"{folder}/ok.jsonl", "\n".join(rows) + "\n")
+    assert records.strict_import(spark, ok).count() == len(rows)
+    for extra in ('{"f0":{"f1":1}}', '{"f/0":1}', '{"g":{}}'):
+        path = put(f"{folder}/bad.jsonl", "\n".join([*rows, extra, line(["another"]), "no json"]) + "\n")
+        with pytest.raises(ValueError, match=f"line {len(rows) + 1}: more than 500 fields"):
+            records.strict_import(spark, path)
+    path = put(f"{folder}/both.jsonl", "\n".join([*rows, "no json", '{"g":1}']) + "\n")
+    with pytest.raises(ValueError, match=f"line {len(rows) + 1}: no JSON"):
+        records.strict_import(spark, path)
+    # in many tasks, whose lines do not follow one another
+    lines = spark.createDataFrame([(i, line([f"k{i % 600}"])) for i in range(3000)], "line long, payload string").repartition(9)
+    found = records.first_fields(lines).collect()
+    assert [(r.field, r.line) for r in found] == [(f"/k{i}", i) for i in range(501)]
+
+
 def test_links_and_accessions(spark, folder):
     links = records.read_links(spark, put(f"{folder}/l.tsv", "a\tx\ty\na\tz\tw\n"), 3)
     assert [(r.key, r.target) for r in links.orderBy("pos").collect()] == [("a", "y"), ("a", "w")]
