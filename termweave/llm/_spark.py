@@ -26,7 +26,18 @@ def written(df: DataFrame, name: str, made: list[str] | None = None, compression
     df.write.option("compression", compression).parquet(path)
     if made is not None:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rests_in = path
+    return out
+
+
+def at_rest(df: DataFrame) -> bool:
+    """Whether df is what ``written`` gave."""
+    return hasattr(df, "rests_in")
+
+
+def folder(df: DataFrame) -> str:
+    return df.rests_in
 
 
 def fresh(df: DataFrame, name: str) -> str:

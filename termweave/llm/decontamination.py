@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm._spark import numbered, removed, table, written
+from termweave.llm._spark import identified, removed, table, written
 
 WINDOW = 13
 PERCENT = 80
@@ -107,7 +107,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that overlap no benchmark item."""
     made: list[str] = []
-    rows, row = numbered(docs, made)
+    rows, row = identified(docs, made)
     leaking = leaks(rows.select(F.col(row).alias("row"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row").alias(row)).distinct()
     out = written(rows.join(leaking, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)), "clean", compression="zstd")
     removed(spark, made)

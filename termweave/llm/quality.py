@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from termweave.llm._spark import removed, table, written
+from termweave.llm._spark import table
 from termweave.llm._text import LOWER, Sums, chunks, words
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
@@ -184,32 +184,28 @@ def held_out(id_col: str, folds: int):
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; labels has the id and the label column."""
-    made: list[str] = []
-    out = written(_classified(docs, labels, made, [], label, threshold, sample, folds, id_col, text_col), "classified")
-    removed(docs.sparkSession, made)
-    return out
+    return _classified(docs, labels, [], label, threshold, sample, folds, id_col, text_col)
 
 
-def _classified(docs: DataFrame, labels: DataFrame, made: list[str], kept: list[Column], label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """classify with further columns ``kept`` of docs, which go with their row through every step."""
+def _classified(docs: DataFrame, labels: DataFrame, kept: list[Column], label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """classify with further columns ``kept`` of docs, which go with their row: rows are measured and scored in one pass,
+    once the model has been fitted on those drawn. Nothing is shuffled but ids and labels, and nothing is written."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *kept)
-    rest = list(source.schema.fields[2:])
-    shape = StructType([source.schema[0], StructField("features", ArrayType(FloatType())), *rest])
-    measured = written(source.mapInArrow(features, shape), "quality", made, "zstd" if kept else "snappy")
+    measured = lambda *rest: StructType([source.schema[0], StructField("features", ArrayType(FloatType())), *rest])
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id", folds))
-    # ids and labels alone are shuffled to draw the sample; features follow only for the rows drawn
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = measured.join(drawn, "doc_id").select("doc_id", "features", "y").toPandas().sort_values(["doc_id", "y"])
+    drawn = source.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
+    rows = drawn.mapInArrow(features, measured(StructField("y", DoubleType()))).toPandas().sort_values(["doc_id", "y"])
     x = np.array(rows["features"].tolist(), np.float64) if len(rows) else np.zeros((0, len(NAMES)))
     model = fit(x, (rows["y"].to_numpy() > 0.5).astype(float))
 
     def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+        for batch in features(batches):
+            x = batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
-    scored = measured.mapInArrow(score, StructType([source.schema[0], StructField("score", DoubleType()), *rest]))
+    rest = list(source.schema.fields[2:])
+    scored = source.mapInArrow(score, StructType([source.schema[0], StructField("score", DoubleType()), *rest]))
     return scored.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(f.name for f in rest))
 
 
@@ -219,8 +215,5 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    made: list[str] = []
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    out = written(_classified(docs, table(spark, sf_dir, "labels"), made, [whole]).where("predicted = 1").select(*(F.col(f"whole.`{c}`").alias(c) for c in docs.columns)), "good", compression="zstd")
-    removed(spark, made)
-    return out
+    return _classified(docs, table(spark, sf_dir, "labels"), [whole]).where("predicted = 1").select(*(F.col(f"whole.`{c}`").alias(c) for c in docs.columns))

@@ -174,14 +174,16 @@ def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
 
-def redact(docs: DataFrame, reach: int = REACH, text_col: str = "text") -> DataFrame:
-    """docs with every reported span replaced by ``MASK``; other columns and untouched texts stay as they are."""
+def redact(docs: DataFrame, reach: int = REACH, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with every reported span replaced by ``MASK``; other columns and untouched texts stay as they are, but for
+    ``length_col``, which holds the code points of a text that has a mask."""
     made: list[str] = []
     found, spans = scan(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")], text_col, reach, made)
     hit = found.where(F.size("parts") > 0).join(spans, "row", "left").select(F.col(f"whole.`{text_col}`").alias("text"), "spans", "whole")
     shape = StructType().add("text", "string").add(found.schema["whole"])
     cut = hit.where("spans is not null").select("text", "spans", "whole").mapInArrow(masked, shape)
-    columns = lambda text: [text.alias(c) if c == text_col else F.col(f"whole.`{c}`").alias(c) for c in docs.columns]
+    length = lambda text: F.when(F.contains(text, F.lit(MASK)), F.char_length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"whole.`{length_col}`"))
+    columns = lambda text: [(text if c == text_col else length(text) if c == length_col else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns]
     old = F.col(f"whole.`{text_col}`")
     out = found.where(F.size("parts") == 0).select(*columns(old)).unionByName(hit.where("spans is null").select(*columns(old))).unionByName(cut.select(*columns(F.col("text"))))
     out = written(out, "masked", compression="zstd")
@@ -195,8 +197,4 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with secrets masked and n_chars brought up to date where a text has changed."""
-    made = redact(docs)
-    if "n_chars" not in docs.columns:
-        return made
-    n = F.when(F.contains("text", F.lit(MASK)), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return made.withColumn("n_chars", n).select(*docs.columns)
+    return redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
