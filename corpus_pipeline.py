@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from termweave.llm import decontamination, neardup, packing, quality, secrets
-from termweave.llm._spark import table, written
+from termweave.llm._spark import at_rest, folder, removed, table, written
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages. A stage whose result is a table of its own is not written again, and a table goes once the next is there."""
+    docs, made = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        before = made
+        docs = stage(spark, docs, sf_dir)
+        made = [folder(docs)] if at_rest(docs) else []
+        if not made:
+            docs = written(docs, name, made)
+        removed(spark, before)
+    return docs
