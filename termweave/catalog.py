@@ -6,13 +6,17 @@ lineitem linked records, documents and labels annotated records, customer to reg
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termweave.functions import text as T
 from termweave.functions import paths
-from termweave.operators import clients, embed, evaluate, evidence, explorer, graph, linkage, ontology, resolve, retrieve
+from termweave.operators import clients, embed, evaluate, evidence, explorer, graph, linkage, lookup, ontology, resolve, retrieve
+from termweave.plans.session import checkpoints
+from termweave.sources.datasets import Datasets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -276,6 +280,44 @@ def resolve_client(spark, d):
     return made.select("record", "t.term_id", "t.role", "t.confidence", "outcome", "flags", "abstain_reason")
 
 
+@query("""with g as (select c_custkey as c, 'A' || c_custkey as accession, case when c_custkey % 4 <> 0 then 'A' || c_custkey end as current, 'B' || c_custkey as paired, 'S' || c_custkey % 50 as biosample, 'P' || c_nationkey as bioproject, case when c_custkey % 3 = 0 then 'W' || c_custkey end as wgs from customer),
+m as (select g.c, s_suppkey as s, 0 as o from g join supplier on 'B' || s_suppkey * 2 in (accession, current, paired) where current is not null
+  union select g.c, s_suppkey, 1 from g join supplier on s_suppkey % 2 = 0 and 'S' || s_suppkey % 60 = biosample union select g.c, s_suppkey, 2 from g join supplier on 'W' || s_suppkey * 3 = wgs),
+b as (select c, min(o) as o, list_sort(list(s)) as ids from (select * from m qualify o = min(o) over (partition by c)) group by c),
+e as (select p_partkey % 7 as x, least(count(*), 50) as n from part group by 1)
+select 'B' || g.c as wanted, accession, case o when 0 then 'assembly_accession' when 1 then 'biosample_accession' when 2 then 'genbank_accessions' end as matched_by, array_to_string(ids, ',') as bvbrc,
+  case when substr(bioproject, 2)::int % 2 = 0 then bioproject end as bioproject, n.n_nationkey as biosample, e.n as experiments
+from g left join b using (c) left join nation n on 'S' || n_nationkey = biosample left join e on n_nationkey % 3 <> 0 and e.x = n_nationkey % 5
+union all select 'none', null, null, null, null, null, null""")
+def genome_lookup(spark, d):
+    """All customers as genomes, looked up by their paired accessions."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    k = F.col("c_custkey")
+    g = read(spark, d, "customer").select(text("A", k).alias("accession"), F.when(k % 4 != 0, text("A", k)).alias("current"), text("B", k).alias("paired"), text("S", k % 50).alias("biosample"), text("P", F.col("c_nationkey")).alias("bioproject"), F.when(k % 3 == 0, F.concat(F.lit("https://x/nuccore/W"), k.cast("string"), F.lit(".1"))).alias("wgs_url"))
+    s = F.col("s_suppkey")
+    bv = read(spark, d, "supplier").select(s.alias("id"), text("B", s * 2).alias("assembly_accession"), F.when(s % 2 == 0, text("S", s % 60)).alias("biosample_accession"), F.concat(text("W", s * 3), F.lit(",V1")).alias("genbank_accessions"))
+    n = F.col("n_nationkey")
+    projects = read(spark, d, "nation").where(n % 2 == 0).select(text("P", n).alias("accession"), "n_name")
+    samples = read(spark, d, "nation").select(text("S", n).alias("accession"), F.when(n % 3 != 0, text("X", n % 5)).alias("sra_sample"), "n_nationkey")
+    runs = read(spark, d, "part").select(text("E", F.col("p_partkey")).alias("accession"), text("X", F.col("p_partkey") % 7).alias("sample_accession"))
+    wanted = g.select(F.col("paired").alias("wanted")).unionAll(spark.createDataFrame([("none",)], "wanted string"))
+    made = lookup.genomes(wanted, g, bv, projects, samples, runs)
+    ids = F.array_join(F.transform("bvbrc", lambda b: b["id"].cast("string")), ",")
+    return made.select("wanted", "genome.accession", "matched_by", ids.alias("bvbrc"), F.col("bioproject.accession").alias("bioproject"), F.col("biosample.n_nationkey").alias("biosample"), F.size("sra_experiments").cast("long").alias("experiments"))
+
+
+@query("select lang as dataset, doc_id, case when lang = 'de' then 2 else 1 end as number from documents where lang in ('en', 'es') or lang = 'de' and n_chars > 500")
+def dataset_versions(spark, d):
+    """Documents as a dataset for each language; one is imported again, one is dropped."""
+    docs, store = read(spark, d, "documents"), Datasets(spark, f"{checkpoints(spark)}/datasets-{uuid.uuid4().hex}")
+    for lang in ("en", "de", "es", "fr"):
+        store.save(lang, {"records": docs.where(F.col("lang") == lang).select("doc_id", "n_chars")})
+    store.save("de", {"records": docs.where("lang = 'de' and n_chars > 500").select("doc_id", "n_chars")})
+    store.drop("fr")
+    store.tidy("de")
+    return store.all_of("records").join(F.broadcast(store.listed().select("dataset", "number")), "dataset").select("dataset", "doc_id", "number")
+
+
 # ---- explorer -------------------------------------------------------------------------------------------------
 
 
@@ -571,6 +613,19 @@ def graph_bounds(spark, d):
     return graph.bounds(graph.nodes(evidence.mentions(made)), graph.edges(evidence.claims(made)))
 
 
+@query("""with recursive p as (select doc_id, 40 + length(doc_id::varchar) + n_chars % 1000 as n, row_number() over (order by doc_id desc) as i from (select * from documents order by doc_id desc limit 50 offset 50)),
+w as (select 0::bigint as i, 0::bigint as used, 0 as taken, 0 as skipped union all select w.i + 1, case when used + n <= 20000 then used + n else used end, taken + (used + n <= 20000)::int, skipped + (used + n > 20000)::int from w join p on p.i = w.i + 1)
+select (select count(*) from documents) as matching_records, max(taken)::bigint as records_examined, max(skipped)::bigint as records_skipped_for_size, 2::bigint as page, (select ceil(count(*) / 50) from documents)::bigint as pages, 50::bigint as record_limit, max(taken)::bigint as samples from w""")
+def graph_page(spark, d):
+    """The second page of documents as records of samples, within a budget of bytes, and the graph of that page."""
+    name = F.col("doc_id").cast("string")
+    payload = F.concat(F.lit('{"record_id":"SAMN'), name, F.lit('","note":"'), F.repeat(F.lit("x"), (F.col("n_chars") % 1000).cast("int")), F.lit('"}      '), F.lit("    "))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("record_id"), (-F.col("doc_id")).alias("line"), payload.alias("payload"))
+    shown, scope = graph.page(rows, ["line"], number=2, size=50, most_bytes=20_000)
+    nodes = graph.nodes(evidence.mentions(evidence.statements(shown))).where("type = 'sample'")
+    return nodes.agg(*(F.lit(v).cast("long").alias(k) for k, v in scope.items()), F.count("*").alias("samples"))
+
+
 def lengthy(spark, d):
     """Customers as records whose lists have just as many items as are read, or more; some say nothing, some are no JSON."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.pmod("c_custkey", F.lit(5)).alias("by"))

@@ -195,7 +195,7 @@ def bioproject_accessions(payload: Column) -> Column:
 def within_budget(page: DataFrame, order: list[str], most_bytes: int = 8 << 20) -> tuple[list, int]:
     """The ids of a page's records whose payloads fit into so many bytes when they are taken in order, and how many did not
     fit; a later, smaller one may still fit. A page is at most 100 rows (``SIZES``), of which ids and lengths are fetched."""
-    sizes = page.select("record_id", *order, F.octet_length("payload").alias("n")).orderBy(*order).limit(SIZES[-1]).collect()
+    sizes = page.select(*dict.fromkeys(["record_id", *order]), F.octet_length("payload").alias("n")).orderBy(*order).limit(SIZES[-1]).collect()
     used, taken = 0, []
     for r in sizes:
         if used + r["n"] <= most_bytes:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termweave.functions.text import repository, repository_url
+from termweave.operators.explorer import within_budget
 
 TYPES = ["study", "sample", "sequence", "publication", "organism", "disease", "repository", "program"]
 RECORDS_PER_NODE, EVIDENCE_PER_EDGE, MOST_NODES, MOST_EDGES = 8, 5, 400, 800
@@ -81,6 +82,25 @@ def bounds(made: DataFrame, links: DataFrame, most_nodes: int = MOST_NODES, most
     return counted.select("nodes", over("nodes", most_nodes).alias("nodes_dropped"), "edges", (F.col("edges") - F.col("inside")).alias("edges_dangling"), over("inside", most_edges).alias("edges_dropped"))
 
 
+PAGE_SIZES, PAGE_BYTES = (10, 25, 50, 100), 8 << 20
+
+
+def page(selected: DataFrame, order: list[str], number: int = 1, size: int = 25, most_bytes: int = PAGE_BYTES) -> tuple[DataFrame, dict]:
+    """A page of selected records (record_id, line, payload) in order, cut to so many bytes of payload, and its scope: how
+    many records match, were examined and were skipped for their size, and which page of how many this is. Of a page, at
+    most 100 rows, ids and lengths are fetched; a number beyond the last page is the last one."""
+    if size not in PAGE_SIZES:
+        raise ValueError("choose 10, 25, 50 or 100 records")
+    matching = selected.count()
+    pages = max(1, -(-matching // size))
+    number = min(max(1, number), pages)
+    here = selected.orderBy(*order).offset((number - 1) * size).limit(size)
+    own = [c for c in order if isinstance(c, str) and c != "record_id"]
+    ids, skipped = within_budget(here, own or ["record_id"], most_bytes)
+    shown = selected.where(F.col("record_id").isin(ids))
+    return shown, {"matching_records": matching, "records_examined": len(ids), "records_skipped_for_size": skipped, "page": number, "pages": pages, "record_limit": size}
+
+
 def as_json(shown: DataFrame, links: DataFrame) -> DataFrame:
     """A view as one JSON text (nodes, edges, types): bounded by what ``view`` shows, so one row holds it."""
     packed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
