@@ -394,6 +394,16 @@ def explorer_sort_page(spark, d):
     return q.paged(q.ordered(q.select(records, None, KINDS), None, KINDS)).select("record_id", "sort_value")
 
 
+@query(LEAVES + " select 'has' as what, record_id, null as value from (select distinct record_id from v where field = '/type' and contains(lower(value), 'ic')) union all select 'kinds of ' || field, null, string_agg(distinct kind, ',' order by kind) from v group by field union all select 'first', record_id, value from (select record_id, value from v where field = '/value' order by value::double desc nulls last, record_id limit 20)")
+def leaf_store(spark, d):
+    """A search in one field, the dictionary and an order, all from the stored leaves."""
+    store = explorer.LeafStore(spark, f"{checkpoints(spark)}/leaves-{uuid.uuid4().hex}").write(explorer.leaves(stored(spark, d)))
+    none = F.lit(None).cast("string").alias("value")
+    found = store.search("IC", "/type").select(F.lit("has").alias("what"), "record_id", none)
+    kinds = store.fields().select(F.concat(F.lit("kinds of "), "field").alias("what"), F.lit(None).cast("long").alias("record_id"), F.array_join("kinds", ",").alias("value"))
+    return found.unionByName(kinds).unionByName(store.ordered("/value", True).limit(20).select(F.lit("first").alias("what"), "record_id", "value"))
+
+
 def reported(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("record_id"), (F.col("doc_id") % 3).cast("int").alias("run_id"))
     entries = read(spark, d, "labels").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("run_id"), (F.col("doc_id") * 2).alias("entry_id"))
@@ -684,8 +694,8 @@ def confidence_normalize(spark, d):
 
 @query("select o_orderstatus as outcome, o_orderpriority as priority, count(*) as n, round(100.0 * count(*) / (select count(*) from orders), 6) as percent, count(distinct o_custkey) as customers from orders group by all")
 def summary_counts(spark, d):
-    made = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("outcome"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
-    return made.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    rows = read(spark, d, "orders").withColumnsRenamed({"o_orderstatus": "outcome", "o_orderpriority": "priority"})
+    return evaluate.shares(rows, ["outcome", "priority"], {"customers": "o_custkey"})
 
 
 @query(r"select distinct unnest(regexp_extract_all(text, '\S+')) as word from documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from termweave.functions.text import assembly_parts
 
@@ -45,6 +46,13 @@ def align(records: DataFrame, gold: DataFrame) -> DataFrame:
     return found.groupBy("record").agg(F.min_by("gold_accession", F.struct("rule", "gold_accession")).alias("gold_accession"), F.min("rule").alias("rule"))
 
 
+def shares(df: DataFrame, by: list[str], distinct: dict[str, str] | None = None, digits: int = 6) -> DataFrame:
+    """For each combination of ``by`` its rows as n, their percentage of all rows, and for each (name, column) of
+    ``distinct`` how many values the column has. The total is added up over the groups, not over the rows."""
+    counted = df.groupBy(*by).agg(F.count("*").alias("n"), *(F.countDistinct(c).alias(name) for name, c in (distinct or {}).items()))
+    return counted.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
+
+
 def means(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Means of the columns (nulls left out) per ontology and over 'all', with n_scored and n_records."""
     return scores.groupingSets([["ontology"], []], "ontology").agg(*(F.avg(c).alias(c) for c in columns), F.count(columns[0]).alias("n_scored"), F.count("*").alias("n_records"), F.grouping("ontology").alias("_all")).withColumn("ontology", F.when(F.col("_all") == 1, "all").otherwise(F.col("ontology"))).drop("_all")

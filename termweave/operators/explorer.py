@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPERATORS = ("contains", "eq", "ne", "gt", "gte", "lt", "lte", "null", "missing", "exists")
@@ -80,6 +80,51 @@ def holds(payload: Column, name: str, operator: str, operand: str | float | None
     return F.coalesce(there & condition(operator, operand, numeric, of, text), F.lit(False))
 
 
+BUCKETS, SHARES = 64, 16  # folders of a leaf store, and files that one field's leaves are dealt to
+
+
+class LeafStore:
+    """Leaves (record_id, field, kind, value) written once as an index: folders by a hash of the field, rows in order of
+    the field, so that what asks for one field reads one folder and in it the row groups of the field; and the dictionary
+    as a small table of its own. A field that all records have is dealt over ``SHARES`` files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def bucket(name: Column) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+
+    def write(self, values: DataFrame) -> LeafStore:
+        placed = values.withColumn("bucket", self.bucket(F.col("field"))).repartition("bucket", F.pmod(F.xxhash64("record_id"), F.lit(SHARES)))
+        placed.sortWithinPartitions("bucket", "field", "record_id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/leaves")
+        dictionary(self.leaves().select("field", "kind")).coalesce(1).write.parquet(f"{self.path}/fields")
+        return self
+
+    def leaves(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/leaves").drop("bucket")
+
+    def fields(self) -> DataFrame:
+        """(field, kinds), from the small table alone."""
+        return self.spark.read.parquet(f"{self.path}/fields")
+
+    def of(self, name: str) -> DataFrame:
+        """The leaves of one field, from its folder alone."""
+        number = self.spark.range(1).select(self.bucket(F.lit(name))).first()[0]
+        return self.spark.read.parquet(f"{self.path}/leaves").where((F.col("bucket") == number) & (F.col("field") == name)).drop("bucket")
+
+    def search(self, text: str, name: str | None = None) -> DataFrame:
+        """The record_ids of which some leaf, or that of one field, contains the text; kinds are not read."""
+        held = self.leaves() if name is None else self.of(name)
+        return held.where(F.contains(F.lower("value"), F.lit(text.lower()))).select("record_id").distinct()
+
+    def ordered(self, name: str, descending: bool = False) -> DataFrame:
+        """(record_id, value) of one field in order, numbers as such where the field holds no other kind, null ones last."""
+        row = self.fields().where(F.col("field") == name).first()
+        key = F.col("value").try_cast("double") if row and set(row["kinds"]) <= {"number", "null"} else F.col("value")
+        return self.of(name).select("record_id", "value").orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "record_id")
+
+
 @dataclass
 class Query:
     """What to show: filters (field, operator, operand) that must all hold, a text that some leaf contains, order, page."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
@@ -25,6 +27,19 @@ ORDER = {
 }
 # The accessions that are kept beside the fields.
 EXTRAS = {"biosample_accession": "s.accession", "bioproject_accession": "p.accession", "genome_accession": "g.accession", "bvbrc_genome_id": "b.genome_id"}
+# The order in which the selector of records with new values looks for them.
+SELECT_ORDER = {
+    "isolation_source": ["b.isolation_source", "a.isolation_source", "a.isolation source"],
+    "host": ["s.host", "b.host_name", "a.host"],
+    "disease": ["b.disease", "a.disease"],
+    "body_sample_site": ["b.body_sample_site", "a.body_sample_site", "a.body sample site"],
+    "geo_loc_name": ["s.geoLocName", "b.geographic_location", "a.geo_loc_name"],
+    "strain": ["s.strain", "b.strain", "a.strain"],
+    "tissue": ["a.tissue"],
+    "environment": ["a.env_medium", "a.environment"],
+    "note": ["a.note"],
+    "collection_date": ["s.collectionDate", "b.collection_date", "a.collection_date"],
+}
 NAMES = ["harmonized_name", "name", "attribute_name"]
 
 
@@ -48,12 +63,9 @@ def _text(c: Column, kind: K.DataType) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
-def flat(records: DataFrame) -> DataFrame:
-    """The flat record of each combined one; columns that the input does not have count as null. A record without any
-    accession is named by a hash of its content. comments are the annotation's texts, extras the accessions and all
-    attributes of the first sample."""
-    schema = records.schema
-    own = {f.name: f.dataType for f in schema}
+def _finder(records: DataFrame) -> tuple[Callable[[str], Column | None], Column | None]:
+    """What gives the text at a path of ``ORDER``, None where the schema does not have it; and the attributes as a map."""
+    own = {f.name: f.dataType for f in records.schema}
     first = lambda name: (F.get(name, F.lit(0)), own[name].elementType) if name in own else (None, None)
     sample, project = first("biosamples"), first("bioprojects")
     roots = {"g": (F.col("genome"), own["genome"]) if "genome" in own else (None, None), "b": (F.col("bvbrc"), own["bvbrc"]) if "bvbrc" in own else (None, None), "s": sample, "p": project}
@@ -72,6 +84,26 @@ def flat(records: DataFrame) -> DataFrame:
             c = c[n]
         return _text(c, leaf)
 
+    return of, held
+
+
+def selected(records: DataFrame, fields: list[str]) -> DataFrame:
+    """records with one text column for each of the fields of ``SELECT_ORDER``, empty where nothing is found, for
+    ``linkage.unique_by``; a field that is not there raises."""
+    unknown = [f for f in fields if f not in SELECT_ORDER]
+    if unknown:
+        raise ValueError(f"unknown field {', '.join(unknown)}; there are {', '.join(sorted(SELECT_ORDER))}")
+    of, _ = _finder(records)
+    found = {name: [c for c in map(of, SELECT_ORDER[name]) if c is not None] for name in fields}
+    return records.withColumns({name: F.coalesce(*cs, F.lit("")) for name, cs in found.items()})
+
+
+def flat(records: DataFrame) -> DataFrame:
+    """The flat record of each combined one; columns that the input does not have count as null. A record without any
+    accession is named by a hash of its content. comments are the annotation's texts, extras the accessions and all
+    attributes of the first sample."""
+    own = {f.name: f.dataType for f in records.schema}
+    of, held = _finder(records)
     out = []
     for name, paths in ORDER.items():
         found = [c for c in map(of, paths) if c is not None]

@@ -119,9 +119,10 @@ def requests(plans: DataFrame) -> DataFrame:
 
 def embedded(asked: DataFrame, embeddings: DataFrame, dimensions: int | None = None) -> DataFrame:
     """asked with the embedding of its (record_id, ontology, query_text). A request without one raises, and so does an
-    embedding of another number of dimensions. Of embeddings with one key the last (by ``pos``, if there is one) counts."""
+    embedding of another number of dimensions. Of embeddings with one key the last by ``pos`` counts; without such a
+    column no order is known, and the largest counts."""
     keys = ["record_id", "ontology", "query_text"]
-    last = F.max_by("embedding", "pos") if "pos" in embeddings.columns else F.last("embedding")
+    last = F.max_by("embedding", "pos") if "pos" in embeddings.columns else F.max("embedding")
     one = embeddings.groupBy(*keys).agg(last.alias("embedding"))
     made = asked.join(one, keys, "left")
     bad = F.col("embedding").isNull() if dimensions is None else F.col("embedding").isNull() | (F.size("embedding") != dimensions)

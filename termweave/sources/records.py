@@ -85,6 +85,20 @@ def jsonl_to_parquet(spark: SparkSession, path: str, out: str) -> None:
     spark.read.json(path).write.option("compression", "zstd").mode("overwrite").parquet(out)
 
 
+def read_pages(spark: SparkSession, folder: str, schema: str, size: int = 50) -> DataFrame:
+    """(page, pos, columns) of a folder of pages, each a JSON array in a file with the page's number, as a paged service
+    gives them: up to the first page with fewer than ``size`` rows, or before the first number that is missing."""
+    number = F.regexp_extract("_metadata.file_name", r"(\d+)\.json", 1)
+    whole = spark.read.text(folder, wholetext=True).select(number.alias("page"), F.from_json("value", f"array<struct<{schema}>>").alias("items"))
+    whole = whole.where("page <> ''").withColumn("page", F.col("page").cast("int"))
+    sizes = whole.select("page", F.coalesce(F.size("items"), F.lit(0)).alias("n"))
+    first, short = sizes.agg(F.min("page"), F.min(F.when(F.col("n") < size, F.col("page")))).first()
+    gap = sizes.where(F.col("page") > first).join(sizes.select((F.col("page") + 1).alias("page")), "page", "left_anti").agg(F.min("page")).first()[0] if first is not None else None
+    kept = whole if short is None else whole.where(F.col("page") <= short)
+    kept = kept if gap is None else kept.where(F.col("page") < gap)
+    return kept.select("page", F.posexplode("items").alias("pos", "item")).select("page", "pos", "item.*")
+
+
 def read_links(spark: SparkSession, path: str, column: int) -> DataFrame:
     """(key, pos, target) of a tab-separated link file, first column the key; a short line raises when it is read."""
     lines = numbered_lines(spark, path).select(F.col("line").alias("pos"), F.split("value", "\t").alias("c")).where("c[0] <> ''")
