@@ -42,8 +42,10 @@ from termweave.llm._text import U, chunks, counted, distinct, mix, word_hashes
 from termweave.llm.quality import held_out
 
 FOLDS = 10
-SHARD = 16 << 20  # bytes of text for each shard, about
-TOKENS = 2_000_000  # tokens that a task sums before it sends them on
+SHARD = 32 << 20  # bytes of text for each shard, about
+TOKENS = 6_000_000  # tokens that a task sums before it sends them on
+SCORED = 1_000_000  # tokens whose scores a task looks up at once
+NARROW = 1 << 21  # words whose numbers, three at a time, are one number of 63 bits
 END, BEGIN = U(0x5BD1E995AABBCCDD) >> U(8), U(0x1B873593CC9E2D51) >> U(8)
 _A, _B = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
 BUCKET = 8  # keys in a bucket, about
@@ -164,8 +166,15 @@ def summed_trigrams(frequent: np.ndarray, bits: int):
         second[v == BEGIN] = begin
         first[1:] = second[:-1]
         first[u == BEGIN] = begin
-        keys, count = counted(((second * k + first) * k + numbers).astype(np.int64))  # k is far below 2**21
-        u, v, w = known[keys // k % k], known[keys // (k * k)], known[keys % k]
+        if k <= NARROW:
+            keys, count = counted(((second * k + first) * k + numbers).astype(np.int64))
+            u, v, w = known[keys // k % k], known[keys // (k * k)], known[keys % k]
+        else:
+            order = np.lexsort((numbers, first, second))
+            rows = np.stack([first, second, numbers])[:, order]
+            at = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0))))
+            u, v, w = known[rows[:, at]]
+            count = np.diff(np.append(at, len(order)))
         shard = shards(u, v, frequent, bits)
         order = np.argsort(shard, kind="stable")
         cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
@@ -504,7 +513,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             tok.append(t)
             ats.append(at[1:] + held)
             held += len(t)
-            if held >= TOKENS // 2:
+            if held >= SCORED:
                 yield flush()
                 ids, tok, ats, held = [], [], [np.zeros(1, np.int64)], 0
         if ids:

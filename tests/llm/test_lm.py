@@ -98,3 +98,20 @@ def test_whole_table(spark):
     rows = L.op6_lm_scoring(spark, "/root/testdata/sf0.01").collect()
     same(rows, docs)
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_more_words_than_fit_a_number(monkeypatch):
+    """Trigrams are summed alike where the words of a task are too many for one number of three."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(12))) for _ in range(60)] + ["", "a a a a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def made():
+        rows = [r for out in L.summed_trigrams(L.np.zeros(0, L.U), 2)(iter([batch])) for r in out.to_pylist()]
+        return sorted((r["shard"], *map(int, x)) for r in rows for x in zip(*L.opened(r["n"], r["words"], r["entries"]), strict=True))
+
+    one = made()
+    monkeypatch.setattr(L, "NARROW", 3)
+    assert made() == one and sum(x[-1] for x in one) == sum(len(t.split()) + 1 for t in texts)
