@@ -7,6 +7,7 @@ import tempfile
 import pytest
 
 from termweave.operators import evaluate, explorer, linkage, normalize, retrieve
+from termweave.plans.stages import Stage, holds, run
 from termweave.sources import records
 
 
@@ -82,3 +83,16 @@ def test_shares_and_unordered_embeddings(spark):
     assert retrieve.embedded(asked, known).first().embedding == [1.0, 2.0]
     for rows in (known, known.orderBy("pos")):
         assert retrieve.embedded(asked, rows.drop("pos")).first().embedding == [3.0, 0.0]
+
+
+def test_a_stage_is_checked_once_it_is_written(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    later = []
+    stages = lambda check: [Stage("kept", ("rows",), lambda s, df: df, check), Stage("more", ("kept",), lambda s, df: later.append(1) or df)]
+    made = run(spark, stages(holds("k", least=2)), folder, {"rows": rows})
+    assert made["more"].count() == 2 and later == [1]
+    for check, what in ((holds("k", "v"), "nulls in v"), (holds("w"), "no column w"), (holds(least=3), "2 rows, 3 at least")):
+        with pytest.raises(ValueError, match=f"stage kept: {what}"):
+            run(spark, stages(check), folder, {"rows": rows})
+    assert later == [1]
