@@ -154,20 +154,27 @@ def opened(n: list[int], words: bytes, entries: bytes) -> list[np.ndarray]:
 
 
 def summed_trigrams(frequent: np.ndarray, bits: int):
-    def flush(tok: list[np.ndarray], us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-        u, v, w = (np.concatenate(x) for x in (us, vs, tok))
-        known = distinct(np.concatenate([w, [BEGIN]]))
-        k = len(known)
+    def flush(tok: list[np.ndarray], starts: list[np.ndarray]) -> pa.RecordBatch:
+        w, at = np.concatenate(tok), np.concatenate(starts)
+        tok.clear()  # what is not needed any more goes at once: a task holds some ten numbers for each token
+        known = distinct(np.append(w, BEGIN))
+        k, begin = len(known), int(np.searchsorted(known, BEGIN))
         numbers = np.searchsorted(known, w)
-        # the numbers of the words before are those of the tokens before
+        del w
+        # the numbers of the words before are those of the tokens before, but at the start of a text
         first, second = np.empty_like(numbers), np.empty_like(numbers)
-        begin = int(np.searchsorted(known, BEGIN))
         second[1:] = numbers[:-1]
-        second[v == BEGIN] = begin
+        second[at] = begin
         first[1:] = second[:-1]
-        first[u == BEGIN] = begin
+        first[at] = begin
         if k <= NARROW:
-            keys, count = counted(((second * k + first) * k + numbers).astype(np.int64))
+            second *= k
+            second += first
+            second *= k
+            second += numbers
+            del first, numbers
+            keys, count = counted(second)
+            del second
             u, v, w = known[keys // k % k], known[keys // (k * k)], known[keys % k]
         else:
             order = np.lexsort((numbers, first, second))
@@ -182,15 +189,17 @@ def summed_trigrams(frequent: np.ndarray, bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "words", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        tok, starts, held = [], [], 0
         for _, data, off in chunks(batches, text=0):
             t, at = tokens(data, off)
-            held.append((t, *before(t, at)))
-            if sum(len(h[0]) for h in held) >= TOKENS:
-                yield flush(*map(list, zip(*held, strict=True)))
-                held = []
+            tok.append(t)
+            starts.append(at[:-1] + held)
+            held += len(t)
+            if held >= TOKENS:
+                yield flush(tok, starts)
+                tok, starts, held = [], [], 0
         if held:
-            yield flush(*map(list, zip(*held, strict=True)))
+            yield flush(tok, starts)
 
     return run
 

@@ -5,7 +5,6 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from termweave.llm import quality as Q
 
