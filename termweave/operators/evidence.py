@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from termweave.functions.text import identifiers, meaningful, publication_ids, repository
 from termweave.plans.session import checkpoints
