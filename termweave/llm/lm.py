@@ -5,7 +5,8 @@ Counting: each task sums the trigrams u v w of its training texts and sends one
 holds all trigrams with its middle words v, so it knows the followers of each context (u, v), the words before each
 pair (v, w), and the followers of v. A middle word so frequent that it would fill more than a shard is dealt over all
 shards by u; its pairs are then summed by a second shuffle, by (v, w). Counts and continuation counts of words are
-summed by a last shuffle. What meets in a shard is summed before it is sent, and only sums reach the driver.
+summed by a last shuffle. What meets in a shard is summed before it is sent, and only sums reach the driver, with the
+words that are most common in the tasks' first chunks: blocks name these by rank and all others by hash.
 
 Scoring: tasks look up the distinct trigrams, pairs and words of some thousand texts in the mapped arrays, in order.
 
@@ -45,6 +46,7 @@ FOLDS = 10
 SHARD = 32 << 20  # bytes of text for each shard, about
 TOKENS = 6_000_000  # tokens that a task sums before it sends them on
 SCORED = 1_000_000  # tokens whose scores a task looks up at once
+COMMON = 1 << 18  # words that are sent by their rank, at most
 NARROW = 1 << 21  # words whose numbers, three at a time, are one number of 63 bits
 END, BEGIN = U(0x5BD1E995AABBCCDD) >> U(8), U(0x1B873593CC9E2D51) >> U(8)
 _A, _B = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F)
@@ -137,30 +139,68 @@ def saved(folder: str, name: str, values: np.ndarray) -> None:
 
 
 BLOCK = "shard long, n array<long>, words binary, entries binary"
+NONE = np.zeros(0, U)
 
 
-def block(shard: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> list:
-    """A shard's trigrams in the order of v, u, w: the words of the block once, then each trigram by their numbers."""
-    own = distinct(np.concatenate([u, v, w]))
-    numbers = [np.searchsorted(own, x).astype(np.uint32) for x in (v, u, w)]
-    counts = small(count)
-    return [shard, [len(own), len(v), len(counts)], squeezed(deltas(own)), squeezed(deltas(numbers[0]), numbers[1], numbers[2], counts)]
-
-
-def opened(n: list[int], words: bytes, entries: bytes) -> list[np.ndarray]:
-    own = np.cumsum(unsqueezed(words, n[:1], ["<u8"])[0], dtype=U)
-    v, u, w, counts = unsqueezed(entries, [n[1]] * 3 + n[2:], ["<u4", "<u4", "<u4", "u1"])
-    return [own[u], own[np.cumsum(v, dtype=np.uint32)], own[w], unsmall(counts, n[1])]
+def since(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of integers that ascend from each start on, which keeps its own."""
+    out = deltas(values)
+    out[starts] = values[starts]
+    return out
 
 
-def summed_trigrams(frequent: np.ndarray, bits: int):
+def summed(differences: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What ``since`` was given."""
+    out = np.cumsum(differences, dtype=np.int64)
+    return out - np.repeat(out[starts] - differences[starts], np.diff(np.append(starts, len(out))))
+
+
+class Words:
+    """The words of a task by numbers: first those that are common, in their order, then the others by their hashes."""
+
+    def __init__(self, known: np.ndarray, common: np.ndarray):
+        order = np.argsort(common)
+        at = np.searchsorted(common[order], known)
+        rank = np.append(order, 0)[at]
+        there = (at < len(common)) & (np.append(common, U(0))[rank] == known)
+        new = np.argsort(np.where(there, rank, len(common)), kind="stable")
+        self.n, self.ranks, self.hashes = int(there.sum()), rank[new].astype(np.uint32), known[new]
+        self.number = np.empty(len(known), np.int64)  # by the place in known
+        self.number[new] = np.arange(len(known))
+        self._mark, self._own = np.zeros(len(known), bool), np.empty(len(known), np.uint32)
+
+    def block(self, shard: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray) -> list:
+        """A shard's trigrams in the order of v, u, w: the words of the block once, the common ones by their ranks, then
+        each trigram by the words' numbers in the block."""
+        for x in (v, u, w):
+            self._mark[x] = True
+        own = np.flatnonzero(self._mark)
+        self._mark[own] = False
+        self._own[own] = np.arange(len(own), dtype=np.uint32)
+        v, u, w = self._own[v], self._own[u], self._own[w]
+        of_v = np.flatnonzero(np.diff(v, prepend=v[0] + 1))
+        counts = small(count)
+        common, other = own[: (k := np.searchsorted(own, self.n))], own[k:]
+        return [shard, [len(common), len(other), len(v), len(counts)], squeezed(deltas(self.ranks[common]), deltas(self.hashes[other])), squeezed(deltas(v), since(u, of_v), w, counts)]
+
+
+def opened(n: list[int], words: bytes, entries: bytes, common: np.ndarray = NONE) -> list[np.ndarray]:
+    ranks, other = unsqueezed(words, n[:2], ["<u4", "<u8"])
+    own = np.concatenate([common[np.cumsum(ranks, dtype=np.int64)], np.cumsum(other, dtype=U)])
+    v, u, w, counts = unsqueezed(entries, [n[2]] * 3 + n[3:], ["<u4", "<u4", "<u4", "u1"])
+    of_v = np.flatnonzero(np.append(True, v[1:] != 0))
+    return [own[summed(u, of_v)], own[np.cumsum(v, dtype=np.uint32)], own[w], unsmall(counts, n[2])]
+
+
+def summed_trigrams(frequent: np.ndarray, bits: int, common: np.ndarray = NONE):
     def flush(tok: list[np.ndarray], starts: list[np.ndarray]) -> pa.RecordBatch:
         w, at = np.concatenate(tok), np.concatenate(starts)
         tok.clear()  # what is not needed any more goes at once: a task holds some ten numbers for each token
         known = distinct(np.append(w, BEGIN))
-        k, begin = len(known), int(np.searchsorted(known, BEGIN))
-        numbers = np.searchsorted(known, w)
-        del w
+        k, words = len(known), Words(known, common)
+        begin = words.number[np.searchsorted(known, BEGIN)]
+        numbers = words.number[np.searchsorted(known, w)]
+        del w, known
         # the numbers of the words before are those of the tokens before, but at the start of a text
         first, second = np.empty_like(numbers), np.empty_like(numbers)
         second[1:] = numbers[:-1]
@@ -175,17 +215,20 @@ def summed_trigrams(frequent: np.ndarray, bits: int):
             del first, numbers
             keys, count = counted(second)
             del second
-            u, v, w = known[keys // k % k], known[keys // (k * k)], known[keys % k]
+            w = keys % k
+            keys //= k
+            u, v = keys % k, keys // k
+            del keys
         else:
             order = np.lexsort((numbers, first, second))
             rows = np.stack([first, second, numbers])[:, order]
             at = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0))))
-            u, v, w = known[rows[:, at]]
+            u, v, w = rows[:, at]
             count = np.diff(np.append(at, len(order)))
-        shard = shards(u, v, frequent, bits)
+        shard = shards(words.hashes[u], words.hashes[v], frequent, bits)
         order = np.argsort(shard, kind="stable")
         cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-        rows = [block(int(shard[order[a]]), u[i], v[i], w[i], count[i]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for i in [order[a:b]]]
+        rows = [words.block(int(shard[order[a]]), v[i], u[i], w[i], count[i]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for i in [order[a:b]]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "words", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,26 +247,59 @@ def summed_trigrams(frequent: np.ndarray, bits: int):
     return run
 
 
+def bucket_bits(n: int) -> int:
+    return max(0, (n // BUCKET).bit_length())
+
+
+def even(n: int, bits: int, bucket: np.ndarray) -> np.ndarray:
+    """Where buckets would begin were the n keys dealt evenly."""
+    return (bucket * n) >> bits
+
+
 def saved_keys(folder: str, name: str, keys: np.ndarray) -> None:
-    """Sorted keys as buckets by their leading bits, and 32 bits that follow these."""
-    bits = max(0, int(len(keys) // BUCKET).bit_length())
+    """Sorted keys as buckets by their leading bits, and 32 bits that follow these. Where a bucket begins is kept as the
+    difference from an even deal: half of the bytes of a number, as keys are hashes."""
+    bits = bucket_bits(len(keys))
     cut = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(keys)])
-    saved(folder, f"{name}.at", cut.astype(np.uint32))
+    off = cut - even(len(keys), bits, np.arange((1 << bits) + 1))
+    saved(folder, f"{name}.at", off.astype(np.int16 if np.abs(off).max() < 1 << 15 else np.int32))
     saved(folder, f"{name}.keys", ((keys << U(bits)) >> U(32)).astype(np.uint32))
 
 
+def numbers_of(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each value, equal ones alike, and how many there are."""
+    made = pa.array(values).dictionary_encode()
+    return made.indices.to_numpy().astype(np.int64), len(made.dictionary)
+
+
 def saved_rows(folder: str, name: str, *columns: np.ndarray) -> None:
-    """Rows of numbers, each distinct row once and its number for each row."""
-    rows = np.stack(columns, 1).astype(np.int64)
-    if len(columns) == 1:
-        kinds, code = np.unique(rows[:, 0], return_inverse=True)
-        kinds = kinds[:, None]
-    else:
-        kinds, code = np.unique(np.ascontiguousarray(rows).view([("", np.int64)] * len(columns)).ravel(), return_inverse=True)
-        kinds = kinds.view(np.int64).reshape(-1, len(columns))
-    size = next(t for t in (np.uint8, np.uint16, np.uint32) if len(kinds) <= np.iinfo(t).max)
-    saved(folder, f"{name}.rows", code.astype(size))
-    saved(folder, f"{name}.kinds", kinds)
+    """Rows of numbers, each distinct row once, the most frequent first, and its number for each row: in one byte, those
+    of 255 and more, where there are any, as a 255, with the places of such rows and their numbers beside it."""
+    code, k = numbers_of(columns[0])
+    for column in columns[1:]:
+        of, k = numbers_of(column)
+        code, k = numbers_of(code * k + of)
+    first, order = np.empty(k, np.int64), np.argsort(-np.bincount(code, minlength=k), kind="stable")
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    rank = np.empty(k, np.int64)
+    rank[order] = np.arange(k)
+    code = rank[code]
+    saved(folder, f"{name}.kinds", np.stack([c[first[order]] for c in columns], 1).astype(np.int64))
+    saved(folder, f"{name}.rows", np.minimum(code, 255).astype(np.uint8))
+    if k > 255:
+        rare = np.flatnonzero(code >= 255)
+        saved(folder, f"{name}.rare", rare.astype(np.uint32))
+        saved(folder, f"{name}.codes", code[rare].astype(np.uint32))
+
+
+def row_codes(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    """The numbers of these rows."""
+    out = mapped(f"{folder}/{name}.rows", "u1")[at].astype(np.int64)
+    rare = mapped(f"{folder}/{name}.rare", "<u4")
+    if len(rare):
+        i = np.flatnonzero(out == 255)
+        out[i] = mapped(f"{folder}/{name}.codes", "<u4")[np.searchsorted(rare, at[i].astype(np.uint32))]
+    return out
 
 
 def sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -269,11 +345,11 @@ def pair_results(folder: str, name: str, v: np.ndarray, w: np.ndarray, kinds: np
     return [*count_of_counts(kinds), len(keys)]
 
 
-def trigram_shard(folder: str, frequent: np.ndarray, bits: int):
+def trigram_shard(folder: str, frequent: np.ndarray, bits: int, common: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         """All blocks of a shard: saves its arrays and sends on what others need."""
         shard = group.column("shard")[0].as_py()
-        parts = [opened(*row) for row in zip(*(group.column(c).to_pylist() for c in ("n", "words", "entries")), strict=True)]
+        parts = [opened(*row, common) for row in zip(*(group.column(c).to_pylist() for c in ("n", "words", "entries")), strict=True)]
         u, v, w, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         keys, at, count = sums(triple_key(u, v, w), count)
@@ -378,11 +454,12 @@ def looked_up(folder: str, name: str, keys: np.ndarray, columns: int) -> np.ndar
     stored = mapped(f"{folder}/{name}.keys", "<u4")
     if not len(stored):
         return out
-    cut = mapped(f"{folder}/{name}.at", "<u4")
-    bits = (len(cut) - 1).bit_length() - 1
+    bits = bucket_bits(len(stored))
+    size = os.path.getsize(f"{folder}/{name}.at") // ((1 << bits) + 1)
+    cut = mapped(f"{folder}/{name}.at", f"<i{size}")
     bucket = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     want = ((keys << U(bits)) >> U(32)).astype(np.uint32)
-    low, end = cut[bucket].astype(np.int64), cut[bucket + 1].astype(np.int64)
+    low, end = (cut[b] + even(len(stored), bits, b) for b in (bucket, bucket + 1))
     high = end
     while (low < high).any():
         middle = (low + high) // 2
@@ -390,8 +467,7 @@ def looked_up(folder: str, name: str, keys: np.ndarray, columns: int) -> np.ndar
         low, high = np.where(less, middle + 1, low), np.where(less | (low >= high), high, middle)
     hit = np.flatnonzero((low < end) & (stored[np.minimum(low, len(stored) - 1)] == want))
     kinds = mapped(f"{folder}/{name}.kinds", "<i8").reshape(-1, columns)
-    size = os.path.getsize(f"{folder}/{name}.rows") // len(stored)
-    out[:, hit] = kinds[mapped(f"{folder}/{name}.rows", f"<u{size}")[low[hit]]].T
+    out[:, hit] = kinds[row_codes(folder, name, low[hit])].T
     return out
 
 
@@ -464,13 +540,13 @@ def local_folder(spark: SparkSession) -> str:
     return where.path
 
 
-def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's first chunk the tokens in all (word null) and the words with a thousandth of them."""
+def common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's first chunk the tokens in all (word null) and the words that occur in it twice or more."""
     for _, data, off in chunks(batches, text=0):
         t, _ = tokens(data, off)
         word, count = counted(t)
-        often = count * 1000 >= len(t)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *word[often].view(np.int64).tolist()], pa.int64()), pa.array([len(t), *count[often].tolist()], pa.int64())], ["word", "n"])
+        often = count > 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(0, word[often].view(np.int64)), mask=np.append(True, np.zeros(often.sum(), bool))), pa.array(np.append(len(t), count[often]))], ["word", "n"])
         break
     for _ in batches:  # the rest is read by no one
         break
@@ -482,14 +558,16 @@ def train(texts: DataFrame) -> Model:
     texts = texts.select(F.coalesce(F.col(texts.columns[0]), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(2, int(size // SHARD).bit_length())
-    # which middle words are dealt over all shards changes how work is spread and no result: no more than 2 ** bits
-    share = texts.mapInArrow(heavy, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    share = {r["word"]: r["n"] for r in share.orderBy(F.col("word").isNotNull(), F.desc("n")).limit(1 + (1 << bits)).collect()}
-    total = share.pop(None, 0)
-    frequent = np.array(sorted(np.uint64(w & 0xFFFFFFFFFFFFFFFF) for w, n in share.items() if n << bits > 2 * total), U)
+    # which words are common changes how they are sent, and which middle words are dealt over all shards how work is
+    # spread; neither changes a result
+    share = texts.mapInArrow(common_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    share = share.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(1 + COMMON).toArrow()
+    total = share["n"][0].as_py() if len(share) else 0
+    common, n = share["word"][1:].to_numpy().astype(np.int64).view(U), share["n"][1:].to_numpy()
+    frequent = np.sort(common[n << bits > 2 * total])
     folder = f"{local_folder(spark)}/lm-{uuid.uuid4().hex}"
-    blocks = texts.mapInArrow(summed_trigrams(frequent, bits), BLOCK)
-    first = blocks.groupBy("shard").applyInArrow(trigram_shard(folder, frequent, bits), SENT)
+    blocks = texts.mapInArrow(summed_trigrams(frequent, bits, common), BLOCK)
+    first = blocks.groupBy("shard").applyInArrow(trigram_shard(folder, frequent, bits, common), SENT)
     told = written(first, "lm-sent")
     if len(frequent):
         pairs = written(told.where("kind = 'pair'").groupBy("shard").applyInArrow(pair_shard(folder, bits), SENT), "lm-pairs")

@@ -115,3 +115,40 @@ def test_more_words_than_fit_a_number(monkeypatch):
     one = made()
     monkeypatch.setattr(L, "NARROW", 3)
     assert made() == one and sum(x[-1] for x in one) == sum(len(t.split()) + 1 for t in texts)
+
+
+def test_common_words_are_sent_by_rank():
+    """Blocks hold the same trigrams whichever words are common, in fewer bytes than with a hash for each word."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 3000)}" for _ in range(rng.randrange(60))) for _ in range(400)] + ["", "w1 w1 w1 w1", "w2999"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    known, count = L.counted(L.tokens(*L.chunks(iter([batch]), text=0).__next__()[1:])[0])
+    ranked = known[L.np.argsort(-count.astype(L.np.int64), kind="stable")]
+
+    def made(common):
+        rows = [r for out in L.summed_trigrams(L.np.zeros(0, L.U), 2, common)(iter([batch])) for r in out.to_pylist()]
+        return sorted((r["shard"], *map(int, x)) for r in rows for x in zip(*L.opened(r["n"], r["words"], r["entries"], common), strict=True)), sum(len(r["words"]) for r in rows)
+
+    none, plain = made(L.NONE)
+    tokens_of = [[int(L.BEGIN)] * 2 + list(map(int, L.tokens(L.np.frombuffer(t.encode(), L.np.uint8), L.np.array([0, len(t)]))[0])) for t in texts]
+    want = Counter(g for t in tokens_of for g in zip(t[:-2], t[1:-1], t[2:], strict=True))
+    assert Counter({x[1:4]: x[4] for x in none}) == want and len(none) == len(want)
+    for common in (ranked, ranked[:50], L.np.append(L.mix(ranked[:9]), ranked[:200])):
+        assert made(common)[0] == none
+    assert made(ranked)[1] < 0.4 * plain
+
+
+def test_arrays_take_one_byte_a_row_and_two_a_bucket(tmp_path):
+    """Rows of more than 255 kinds, keys dealt evenly and not; each key finds its row and others none."""
+    rng = L.np.random.default_rng(7)
+    for name, keys in (("even", L.mix(L.np.arange(70_000, dtype=L.U))), ("uneven", L.np.arange(1, 70_001, dtype=L.U) << L.U(24)), ("one", L.np.array([5], L.U)), ("none", L.np.zeros(0, L.U))):
+        keys, n = L.np.sort(keys), len(keys)
+        rows = [L.np.where(rng.random(n) < 0.9, 1, rng.integers(0, 10**6, n)), rng.integers(0, 3, n)]
+        L.saved_keys(str(tmp_path), name, keys)
+        L.saved_rows(str(tmp_path), name, *rows)
+        assert (L.looked_up(str(tmp_path), name, keys, 2) == rows).all()
+        assert not L.looked_up(str(tmp_path), name, keys + L.U(1 << 45), 2).any()
+    assert (tmp_path / "even.rows").stat().st_size == 70_000
+    assert (tmp_path / "even.at").stat().st_size <= 2 * (70_000 / 4 + 1)
