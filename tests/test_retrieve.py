@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -40,3 +41,15 @@ def test_blocks_change_no_result(terms, metric):
             want.setdefault((r.ontology, r.id), []).extend((x if metric == "l2" else -x, t.id) for x, t in zip(s, own, strict=True))
     want = sorted((o, i, k, t, x if metric == "l2" else -x + 0.0) for (o, i), found in want.items() for k, (x, t) in enumerate(sorted(found)[:7]))
     assert [g[:4] for g in got] == [w[:4] for w in want] and [g[4] for g in got] == pytest.approx([w[4] for w in want])
+
+
+TIES = [i / 2000 for i in range(-1399, 1400, 2)]  # where three decimals are a matter of the last bit
+
+
+def test_flags_of_assembled_results_round_scores_as_sql_does(spark):
+    rows = [(str(i), i, [("O", ["t"])], x) for i, x in enumerate(TIES)]
+    plans = spark.createDataFrame([(*r[:3], []) for r in rows], "record_id string, line long, mappings array<struct<ontology string, query_texts array<string>>>, flags array<string>")
+    matches = spark.createDataFrame([(r[0], 0, 0, 1, "l", r[3], 0) for r in rows], "record_id string, bucket int, place int, term_id int, label string, score double, rank int")
+    got = {r.record_id: r.flags for r in retrieve.assembled(plans, matches, "line").collect()}
+    told = duckdb.execute("select printf('%.3f', unnest($1::double[]))", [TIES]).fetchall()
+    assert got == {r[0]: [f"O: top match score {t} below threshold 0.7 for query 't'"] for r, (t,) in zip(rows, told, strict=True)}
