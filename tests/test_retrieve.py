@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.operators import retrieve
 
@@ -53,3 +54,11 @@ def test_flags_of_assembled_results_round_scores_as_sql_does(spark):
     got = {r.record_id: r.flags for r in retrieve.assembled(plans, matches, "line").collect()}
     told = duckdb.execute("select printf('%.3f', unnest($1::double[]))", [TIES]).fetchall()
     assert got == {r[0]: [f"O: top match score {t} below threshold 0.7 for query 't'"] for r, (t,) in zip(rows, told, strict=True)}
+
+
+def test_flags_round_scores_as_sql_does(spark):
+    rows = [(1, i, x, 0) for i, x in enumerate(TIES)]
+    matches = spark.createDataFrame(rows, "ontology int, query_id int, score double, rank int")
+    got = {r.query_id: r.flag for r in retrieve.flags(matches.select("ontology", F.col("query_id").alias("id")), matches).collect()}
+    told = duckdb.execute("select printf('%.3f', unnest($1::double[]))", [TIES]).fetchall()
+    assert got == {r[1]: f"1: top match score {t} below threshold 0.7 for query '{r[1]}'" for r, (t,) in zip(rows, told, strict=True)}
