@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.operators import linkage as L
+from termweave.operators import lookup
 
 
 def test_a_million_rows_with_a_column_beside_the_order(spark):
@@ -35,3 +36,35 @@ def test_a_right_key_may_begin_with_a_left_one(spark):
     many = spark.range(1, L.MOST_LENGTHS + 2).select("id", F.array(F.expr("repeat('x', cast(id as int))")).alias("keys"))
     with pytest.raises(ValueError, match="lengths"):
         L.match_rules(many, right, rules)
+
+
+def test_lists_of_the_best_rule_hold_what_pairs_hold(spark):
+    left = spark.createDataFrame([(1, ["a", "b"], "x"), (2, ["b", None], "x"), (3, ["q"], "x"), (4, None, "y"), (5, ["q"], None), (6, ["a"], "y")], "id int, many array<string>, one string")
+    right = spark.createDataFrame([(10, "a", "x"), (11, "b", "x"), (11, "c", "z"), (12, "b", "y"), (13, None, "y"), (None, "q", "y")], "id int, a string, b string")
+    rules = [("first", F.col("many"), F.array("a")), ("second", F.array("one"), F.split("b", ","))]
+    found, lists = L.ruled_lists(left, right, rules)
+    got = {r.left_id: (r.rule, [tuple(x) for x in r.rows]) for r in found.join(lists, ["rule", "keys"]).collect()}
+    pairs = L.first_rule(L.match_rules(left, right, rules), ["first", "second"]).join(right.withColumnRenamed("id", "right_id"), "right_id")
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r.left_id, (["first", "second"].index(r.matched_by), []))[1].append((r.right_id, r.a, r.b))
+    assert {k: v for k, v in got.items() if v[1]} == {k: (rule, sorted(rows)) for k, (rule, rows) in want.items()}
+
+
+def most_rows(node) -> int:
+    """The most rows that an operator of a plan that was run has made."""
+    kind, own = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_lookup_makes_no_row_for_each_pair(spark):
+    n = 1000
+    k = F.col("id").cast("string")
+    genome = spark.range(n).select(F.concat(F.lit("A"), k).alias("accession"), F.lit(None).cast("string").alias("current"), F.lit(None).cast("string").alias("paired"), F.lit("S").alias("biosample"), F.lit("P").alias("bioproject"), F.lit(None).cast("string").alias("wgs_url"))
+    bvbrc = spark.range(n).select("id", F.concat(F.lit("B"), k).alias("assembly_accession"), F.lit("S").alias("biosample_accession"), F.lit("V").alias("genbank_accessions"))
+    none = spark.createDataFrame([], "accession string, sra_sample string")
+    made = lookup.genomes(genome.select(F.col("accession").alias("wanted")), genome, bvbrc, none, none)
+    made = made.select("matched_by", F.size("bvbrc").alias("n"))
+    assert {tuple(r) for r in made.collect()} == {("biosample_accession", n)}
+    assert most_rows(made._jdf.queryExecution().executedPlan()) < 40 * n
