@@ -3,9 +3,10 @@
 Records are (record_id, line, payload as JSON text). A small table of steps, (state, key) to state, describes where in a
 record something is said: which objects speak for an entity (assemblies, samples, projects, sequencing experiments, the
 record itself), and which of their fields name another. One pass over the payloads walks them along that table and gives
-rows (record, object, field, item, code, text) that know their places in the payload; a broadcast join with the codes says
-what is read there. Windows over the rows of an object choose between fields of which the first that is there counts, find
-the object's own accession, and put the parts of an item together. A statement is one row:
+rows (record, object, field, item, code, text) that know their places in the payload. Where they are walked, choices are made
+between fields of which the first that is there counts, and the parts of an item are put together. An object is one row,
+within which its own accession is found, so nothing is shuffled; then a broadcast join with the codes says what is read at
+each of its fields. Records are read one by one, also if they share an id. A statement is one row:
 
     record_id, line, source_type, source_id, source_label, relation, target_type, target_id, target_label, path, value, status
 
@@ -125,6 +126,7 @@ ALONE = ("taxon", "called", "title", "supplied")  # uses that read no lists
 PARTS = {use: ["accession", "_key", "id"] for use in ("own", "inner", "refs", "raw")} | {"program": ["name"], "cites": ["pmid", "doi", "db", "id", "title"], "archive": ["db", "id"], "attribute": ["harmonized_name", "attribute_name", "name", "value"]}
 ITEM, SIZE = "*", "#"  # steps to a list's items, and to the size of a list or object
 CODES = "code int, use string, type string, relation string, choice string, rank int, part string"
+OBJECTS = "role string, base string, rows array<struct<field string, item string, n int, code int, text string, label string, db string, pmid string, doi string, id string, title string, attribute string>>"
 FOUND = "role string, base string, field string, item string, n int, code int, text string, there boolean, size int, label string"
 
 
@@ -273,56 +275,94 @@ def _names(text: Column, kind: Column) -> Column:
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
-def statements(records: DataFrame) -> DataFrame:
-    """All statements of the records; they are checkpointed, so that payloads are parsed once."""
-    checkpoints(records.sparkSession)
-    return stated(walked(records)).checkpoint()
-
-
-#: Of the rows of an object: choices, then what the parts of an item and the fields of an object say together.
-GATHERED = """
-with ranked as (
-  select *, min(case when there then rank end) over (partition by record_id, line, role, base, choice) as best from {rows}
-), items as (
-  select *, array_position(array({own_parts}), part) as turn,
-    min(array_position(array({own_parts}), part)) over item as least,
-    lower(max(case when part = 'db' then text end) over item) as db,
-    max(case when part = 'pmid' then text end) over item as pmid,
-    max(case when part = 'doi' then text end) over item as doi,
-    max(case when part = 'id' then text end) over item as id,
-    max(case when part = 'title' then text end) over item as title,
-    replace(lower(coalesce(max(case when part = 'harmonized_name' then text end) over item, max(case when part = 'attribute_name' then text end) over item, max(case when part = 'name' then text end) over item)), ' ', '_') as attribute
-  from ranked where rank = best and text is not null
-  window item as (partition by record_id, line, role, base, choice, item)
-), objects as (
-  select *, get(names, 0) as first_name,
-    min(case when use = 'own' and size(names) > 0 then struct(n, get(names, 0) as x) end) over object as own_id,
-    min(case when use = 'inner' and size(names) > 0 then struct(n, get(names, 0) as x) end) over object as inner,
-    max(case when use = 'root' then struct(type, get(names, 0) as x) end) over object as root,
-    max(case when use = 'title' then told end) over object as own_title,
-    max(case when use = 'taxon' then text end) over object as taxon,
-    max(case when use = 'called' then told end) over object as name,
-    max(case when use = 'supplied' then text end) over object as supplied,
-    min(case when use in ('taxon', 'called') then rank end) over object as seen
-  from {named} where not coalesce(use in ('own', 'inner', 'refs', 'raw') and turn > least, false)
-  window object as (partition by record_id, line, role, base)
-)
-"""
+def gathered(rows: list[tuple]) -> dict[tuple[str, str], list[tuple]]:
+    """The rows that count of one payload's rows of ``FOUND``, as (role, base) -> rows of ``OBJECTS``: of a choice the fields of
+    the least rank that is there, of an item's ways to name an identifier the first, with what an item's parts say together."""
+    codes = steps()[1]
+    best: dict[tuple, int] = {}
+    for role, base, _, _, _, code, _, there, _, _ in rows:
+        _, _, _, _, choice, rank, _ = codes[code]
+        if there and rank < best.get((role, base, choice), rank + 1):
+            best[role, base, choice] = rank
+    kept, items = [], {}
+    for row in rows:
+        role, base, _, item, _, code, text, _, _, _ = row
+        _, use, _, _, choice, rank, part = codes[code]
+        if text is not None and rank == best.get((role, base, choice)):
+            parts = items.setdefault((role, base, choice, item), {})
+            parts[part] = max(text, parts.get(part, text))
+            kept.append((row, use, part, parts))
+    out: dict[tuple[str, str], list[tuple]] = {}
+    turn = {part: i for i, part in enumerate(PARTS["refs"], 1)}
+    for (role, base, field, item, n, code, text, _, _, label), use, part, parts in kept:
+        together = (None,) * 6
+        if use in ("own", "inner", "refs", "raw"):
+            if turn.get(part, 0) > min(turn.get(x, 0) for x in parts):
+                continue
+        elif use in ("cites", "archive", "attribute"):
+            together = (*map(parts.get, ("db", "pmid", "doi", "id", "title")), parts.get("harmonized_name") or parts.get("attribute_name") or parts.get("name"))
+        out.setdefault((role, base), []).append((field, item, n, code, text, label, *together))
+    return out
 
 
-def stated(rows: DataFrame) -> DataFrame:
-    """The statements that walked rows make."""
-    spark = rows.sparkSession
-    quoted = ", ".join(f"'{p}'" for p in PARTS["refs"])
-    gathered = GATHERED.replace("{own_parts}", quoted)
-    choices, objects = gathered.split("), objects as (")
-    # one shuffle serves all windows: a record's rows are few
-    named = spark.sql(choices + ") select * from items", rows=rows.repartition("record_id", "line"))
-    root = F.when(F.col("use") == "root", F.when(F.size(identifiers(F.col("text"), "sample")) > 0, "sample").otherwise("sequence"))
-    named = named.withColumn("type", F.coalesce(root, "type"))
+def objects(records: DataFrame) -> DataFrame:
+    """A row of ``OBJECTS`` for each object of a record that says something."""
+    strings, of_row = pa.string(), {"n": pa.int32(), "code": pa.int32()}
+    fields = [f.name for f in StructType.fromDDL(OBJECTS)["rows"].dataType.elementType]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, keys, ends, rows = [], [], [0], []
+            for i, payload in enumerate(batch.column(2).to_pylist()):
+                for key, own in gathered(found(payload)).items():
+                    of.append(i)
+                    keys.append(key)
+                    rows += own
+                    ends.append(len(rows))
+            columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+            packed = pa.StructArray.from_arrays([pa.array(c, of_row.get(f, strings)) for c, f in zip(columns, fields, strict=True)], fields)
+            at = pa.array(of, pa.int64())
+            role, base = (pa.array([k[j] for k in keys], strings) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), role, base, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), packed)], ["record_id", "line", "role", "base", "rows"])
+
+    shape = StructType([records.schema["record_id"], records.schema["line"], *StructType.fromDDL(OBJECTS)])
+    return records.select("record_id", "line", F.col("payload").cast("string")).mapInArrow(run, shape)
+
+
+def statements(records: DataFrame, kept: bool = True) -> DataFrame:
+    """All statements of the records; they are checkpointed, so that payloads are parsed once, unless they are not kept."""
+    made = stated(objects(records))
+    if not kept:
+        return made
+    checkpoints(records.sparkSession)
+    return made.checkpoint()
+
+
+def stated(objects: DataFrame) -> DataFrame:
+    """The statements of objects. What the fields of an object say together is found within its row, so nothing is shuffled."""
+    spark, codes = objects.sparkSession, steps()[1]
+    role, told_of = F.col("role"), lambda r: meaningful(F.coalesce(r["label"], r["text"]))
+    picked = lambda uses, f: F.transform(F.filter("rows", lambda r: r["code"].isin([c[0] for c in codes if c[1] in uses])), f)
+    first = lambda kind: lambda r: F.struct(r["n"].alias("n"), F.get(_names(r["text"], kind), F.lit(0)).alias("x"))
+    least = lambda pairs: F.array_min(F.filter(pairs, lambda p: p["x"].isNotNull()))
+    root_kind = lambda text: F.when(F.size(identifiers(text, "sample")) > 0, "sample").otherwise("sequence")
+    ranks = F.array(*(F.lit(c[5]) for c in codes))
+    together = {
+        "own_id": least(picked(("own",), first(F.when(role.isin("study", "sample"), role).otherwise("sequence")))),
+        "inner": least(picked(("inner",), first(F.lit("sample")))),
+        "root": F.array_max(picked(("root",), lambda r: F.struct(root_kind(r["text"]).alias("type"), F.get(_names(r["text"], root_kind(r["text"])), F.lit(0)).alias("x")))),
+        "own_title": F.array_max(picked(("title",), told_of)),
+        "taxon": F.array_max(picked(("taxon",), lambda r: r["text"])),
+        "name": F.array_max(picked(("called",), told_of)),
+        "supplied": F.array_max(picked(("supplied",), lambda r: r["text"])),
+        "seen": F.array_min(picked(("taxon", "called"), lambda r: F.get(ranks, r["code"]))),
+    }
+    named = objects.select("*", *(c.alias(k) for k, c in together.items())).select("record_id", "line", "role", "base", *together, F.inline("rows"))
+    named = named.join(F.broadcast(spark.createDataFrame(codes, CODES)), "code").drop("code")
+    named = named.withColumns({"db": F.lower("db"), "attribute": F.replace(F.lower("attribute"), F.lit(" "), F.lit("_")), "type": F.coalesce(F.when(F.col("use") == "root", root_kind(F.col("text"))), "type")})
     named = named.withColumns({"names": F.when(F.col("use").isin("own", "inner", "refs", "raw", "archive", "root"), _names(F.col("text"), F.col("type"))), "told": meaningful(F.coalesce("label", "text"))})
     cited = F.expr("case when use = 'cites' then case when part = '' then text when pmid is not null then concat('PMID:', pmid) when doi is not null then concat('DOI:', doi) when db in ('pubmed', 'pmid') then concat('PMID:', id) when db = 'doi' then concat('DOI:', id) end end")
-    named = named.withColumn("cited", cited).withColumns({"publications": publication_ids(F.col("cited")), "entry": meaningful(F.when(F.col("part") != "", F.col("title")))})
+    named = named.withColumns({"first_name": F.get("names", F.lit(0)), "cited": cited}).withColumns({"publications": publication_ids(F.col("cited")), "entry": meaningful(F.when(F.col("part") != "", F.col("title")))})
     kinds = ", ".join(f"'{role}', '{kind}'" for role, kind in SPEAKS_FOR.items())
     one = lambda i, label, path, value, source="null": f"named_struct('id', cast({i} as string), 'label', cast({label} as string), 'path', cast({path} as string), 'value', cast({value} as string), 'source', cast({source} as string))"
     disease = lambda path: f"array({one("concat('reported:', lower(told))", 'told', path, 'told')})"
@@ -343,9 +383,9 @@ def stated(rows: DataFrame) -> DataFrame:
     # an object's own accession is mentioned even where nothing is said of another; an assembly mentions all it lists
     mentioned = "case when use = 'root' then array(root.x) when use = 'own' and role = 'assembly' then names when use = 'own' then filter(names, t -> t = own_id.x) end"
     return spark.sql(
-        "with objects as (" + objects + f""", owned as (
+        f"""with owned as (
   select *, case when role = 'root' then root.type else map({kinds})[role] end as source_type, case when role = 'root' then root.x else own_id.x end as source_id, case when role <> 'root' then own_title end as source_label
-  from objects
+  from {{named}}
 ), said as (
   select record_id, line, source_type, source_id, source_label, coalesce(relation, 'metadata supplied by') as relation, case when relation is null then 'repository' else type end as target_type,
     inline(concat(coalesce({targets}, array()), coalesce(transform({mentioned}, x -> {one('null', 'null', 'field', 'x', 'x')}), array())))

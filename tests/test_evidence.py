@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from termweave import catalog
 from termweave.operators import evidence, graph
 from termweave.operators import explorer as X
 from termweave.operators import linkage as L
@@ -150,3 +151,22 @@ def test_budget_takes_later_smaller_records(spark):
     page = spark.createDataFrame([(1, "x" * 6), (2, "x" * 9), (3, "x" * 3)], "record_id int, payload string")
     assert X.within_budget(page, ["record_id"], 10) == ([1, 3], 1)
     assert X.comment_key(["/comments", "/comments_2/x"]) == "comments_3"
+
+
+def test_evidence_of_edges_is_shuffled_once_and_not_checkpointed(spark):
+    df = catalog.QUERIES["graph_evidence"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # of the keys that records are made of, and of claims by edge
+    assert plan.count("MapInArrow") == 1 and "ExistingRDD[record_id" not in plan
+
+
+def test_edges_hold_distinct_evidence_in_order(spark):
+    rows = [("a", "b", "r", "s", e) for e in (3, 1, 1, 7, 2, 2, 2, 9, 5, 3)] + [("a", "a", "r", "s", 1), (None, "b", "r", "s", 1), ("a", "c", "r", "s", 4)]
+    made = graph.edges(spark.createDataFrame(rows, "source string, target string, relation string, status string, evidence int").repartition(4))
+    assert {r.target: r.evidence for r in made.collect()} == {"b": [1, 2, 3, 5, 7], "c": [4]}
+
+
+def test_records_that_share_an_id_speak_for_themselves(spark):
+    payload = lambda n: json.dumps({"genome": {"accession": f"GCA_{n}.1", "organism": {"taxId": n}}})
+    said = evidence.statements(spark.createDataFrame([(1, 1, payload(5)), (1, 1, payload(6))], "record_id long, line long, payload string"))
+    assert sorted((r.source_id, r.target_id) for r in said.where("relation = 'organism'").collect()) == [("GCA_5.1", "NCBITaxon:5"), ("GCA_6.1", "NCBITaxon:6")]
