@@ -21,6 +21,7 @@ and those that said nothing. Null and malformed payloads and fields give no stat
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -347,10 +348,14 @@ def stated(objects: DataFrame) -> DataFrame:
     least = lambda pairs: F.array_min(F.filter(pairs, lambda p: p["x"].isNotNull()))
     root_kind = lambda text: F.when(F.size(identifiers(text, "sample")) > 0, "sample").otherwise("sequence")
     ranks = F.array(*(F.lit(c[5]) for c in codes))
+    inner = least(picked(("inner",), first(F.lit("sample"))))
+    root = F.array_max(picked(("root",), lambda r: F.struct(root_kind(r["text"]).alias("type"), F.get(_names(r["text"], root_kind(r["text"])), F.lit(0)).alias("x"))))
     together = {
-        "own_id": least(picked(("own",), first(F.when(role.isin("study", "sample"), role).otherwise("sequence")))),
-        "inner": least(picked(("inner",), first(F.lit("sample")))),
-        "root": F.array_max(picked(("root",), lambda r: F.struct(root_kind(r["text"]).alias("type"), F.get(_names(r["text"], root_kind(r["text"])), F.lit(0)).alias("x")))),
+        "own_id": least(picked(("own",), first(F.when(role.isin("study", "sample"), role).otherwise("sequence"))))["x"],
+        "inner_n": inner["n"],
+        "inner_id": inner["x"],
+        "root_type": root["type"],
+        "root_id": root["x"],
         "own_title": F.array_max(picked(("title",), told_of)),
         "taxon": F.array_max(picked(("taxon",), lambda r: r["text"])),
         "name": F.array_max(picked(("called",), told_of)),
@@ -370,8 +375,8 @@ def stated(objects: DataFrame) -> DataFrame:
       when use = 'refs' then transform(names, t -> {one('t', 'null', 'field', 't')})
       when use = 'raw' then transform(names, t -> {one('t', 'null', 'field', "case when item = field and part = '' then text else '' end")})
       when use = 'archive' and db = 'sra' and part = 'id' then transform(names, t -> {one('t', 'null', "concat(item, '/id')", 't')})
-      when use = 'own' and role = 'assembly' and endswith(base, '/bvbrc') and first_name = own_id.x then array({one("'BV-BRC'", 'null', 'base', "coalesce(supplied, '')")})
-      when use = 'inner' and n = inner.n and first_name = inner.x then array({one('inner.x', 'null', "concat(base, case when endswith(base, 'genome.') then '' else '/' end, 'assemblyInfo/biosample/accession')", 'inner.x')})
+      when use = 'own' and role = 'assembly' and endswith(base, '/bvbrc') and first_name = own_id then array({one("'BV-BRC'", 'null', 'base', "coalesce(supplied, '')")})
+      when use = 'inner' and n = inner_n and first_name = inner_id then array({one('inner_id', 'null', "concat(base, case when endswith(base, 'genome.') then '' else '/' end, 'assemblyInfo/biosample/accession')", 'inner_id')})
       when use in ('taxon', 'called') and rank = seen then array({one("case when taxon rlike '^0*[1-9][0-9]*$' then concat('NCBITaxon:', taxon) else concat('name:', lower(name)) end", "coalesce(name, concat('Taxon ', taxon))", "case when role = 'root' then concat(base, '/extras') else field end", 'coalesce(taxon, name)')})
       when use = 'cites' and part = case when part = '' then '' when pmid is not null then 'pmid' when doi is not null then 'doi' else 'id' end then transform(publications, t -> {one('t', 'entry', 'item', 't')})
       when use = 'program' then array({one("concat('NIAID:', lower(told))", 'told', 'field', 'told')})
@@ -381,10 +386,10 @@ def stated(objects: DataFrame) -> DataFrame:
       when use = 'proposed' and text rlike '^MONDO:[0-9]+$' then array({one('text', 'told', 'field', 'text')})
     end"""
     # an object's own accession is mentioned even where nothing is said of another; an assembly mentions all it lists
-    mentioned = "case when use = 'root' then array(root.x) when use = 'own' and role = 'assembly' then names when use = 'own' then filter(names, t -> t = own_id.x) end"
+    mentioned = "case when use = 'root' then array(root_id) when use = 'own' and role = 'assembly' then names when use = 'own' then filter(names, t -> t = own_id) end"
     return spark.sql(
         f"""with owned as (
-  select *, case when role = 'root' then root.type else map({kinds})[role] end as source_type, case when role = 'root' then root.x else own_id.x end as source_id, case when role <> 'root' then own_title end as source_label
+  select *, case when role = 'root' then root_type else map({kinds})[role] end as source_type, case when role = 'root' then root_id else own_id end as source_id, case when role <> 'root' then own_title end as source_label
   from {{named}}
 ), said as (
   select record_id, line, source_type, source_id, source_label, coalesce(relation, 'metadata supplied by') as relation, case when relation is null then 'repository' else type end as target_type,
@@ -399,6 +404,17 @@ from said where source is not null or id is not null""",
     )
 
 
+def facts(records: DataFrame) -> DataFrame:
+    """The statements of the records with nulls for what tells of records, labels and places: what the keys of nodes and
+    edges can be read from. They are written as a table to the checkpoint folder, so that payloads are parsed once."""
+    spark, said = records.sparkSession, statements(records, kept=False)
+    own = said.select("source_type", "source_id", "relation", "target_type", "target_id", "status")
+    path = f"{checkpoints(spark)}/facts-{uuid.uuid4().hex}"
+    own.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(own.schema).parquet(path)
+    return table.select(*(F.col(f.name) if f.name in own.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in said.schema))
+
+
 def mentions(said: DataFrame) -> DataFrame:
     """(type, identifier, label, record_id) of every entity in the statements, and of the repositories they lie in."""
     end = lambda side: F.struct(F.col(f"{side}_type").alias("type"), F.col(f"{side}_id").alias("identifier"), F.col(f"{side}_label").alias("label"))

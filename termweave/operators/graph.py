@@ -44,6 +44,16 @@ def edges(claims: DataFrame) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_set("evidence")).alias("evidence")).withColumn("edge_id", identity)
 
 
+def node_keys(mentions: DataFrame) -> DataFrame:
+    """(type, identifier) of the nodes alone."""
+    return mentions.where("identifier is not null and identifier <> ''").select("type", "identifier").distinct()
+
+
+def edge_keys(claims: DataFrame) -> DataFrame:
+    """(source, target, relation, status) of the edges alone."""
+    return claims.where("source is not null and target is not null and source <> target").select("source", "target", "relation", "status").distinct()
+
+
 def registered(mentions: DataFrame) -> DataFrame:
     """Claims that studies, samples and sequences are registered in the archive that their accession's form tells."""
     of = repository(F.col("identifier"), F.col("type"))

@@ -170,3 +170,13 @@ def test_records_that_share_an_id_speak_for_themselves(spark):
     payload = lambda n: json.dumps({"genome": {"accession": f"GCA_{n}.1", "organism": {"taxId": n}}})
     said = evidence.statements(spark.createDataFrame([(1, 1, payload(5)), (1, 1, payload(6))], "record_id long, line long, payload string"))
     assert sorted((r.source_id, r.target_id) for r in said.where("relation = 'organism'").collect()) == [("GCA_5.1", "NCBITaxon:5"), ("GCA_6.1", "NCBITaxon:6")]
+
+
+def test_bounds_need_the_keys_of_nodes_and_edges_alone(spark, records, stated):
+    told = evidence.facts(records)
+    node = lambda df: sorted((r.type, r.identifier) for r in df.collect())
+    edge = lambda df: sorted((r.source, r.target, r.relation, r.status) for r in df.collect())
+    assert node(graph.node_keys(evidence.mentions(told))) == node(graph.nodes(evidence.mentions(stated)))
+    assert edge(graph.edge_keys(evidence.claims(told))) == edge(graph.edges(evidence.claims(stated)))
+    plan = catalog.QUERIES["graph_bounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ExistingRDD" not in plan and "Window" not in plan
